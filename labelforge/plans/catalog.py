@@ -17,7 +17,7 @@ from labelforge.operators import metrics as M
 from labelforge.operators import prepare as P
 from labelforge.operators import split as X
 from labelforge.plans import fixtures as FX
-from labelforge.plans.oracle_parts import LABELS_SQL, lst, q, with_parts
+from labelforge.plans.oracle_parts import LABELS_SQL, lst, predicted_sql, q, with_parts
 from labelforge.schema import LABELS, RAW_NO_VARIANTS
 from labelforge.sources.tables import table
 
@@ -225,3 +225,135 @@ def macro_metrics_drop(spark, sf_dir):
 @query("macro_metrics_zero1", with_parts(["pred"], "SELECT * FROM mm", _metrics_sql("pred", ["prompt_id"], 1.0)))
 def macro_metrics_zero1(spark, sf_dir):
     return _metrics_df(FX.predictions(spark, sf_dir), ["prompt_id"], zero_division=1.0)
+
+
+# --------------------------------------------------------------------------- folds x prompts
+
+def _fold_predictions(spark, sf_dir) -> DataFrame:
+    g = FX.gold(spark, sf_dir).select("doc_id", "true_label")
+    folds = X.stratified_kfold(g, "doc_id", "true_label", k=5).select("doc_id", "true_label", "fold")
+    p = FX.prompts_df(spark).select("prompt_id", "ord")
+    return folds.crossJoin(F.broadcast(p)).select(
+        "doc_id", "fold", "prompt_id", F.col("true_label").alias("correct"),
+        FX.predicted_expr(F.col("doc_id"), F.col("prompt_id"), F.col("true_label")).alias("predicted"))
+
+
+_FOLD_CTE = f"""fp AS (SELECT f.doc_id, f.fold, p.prompt_id, f.true_label AS correct,
+    {predicted_sql('f.doc_id', 'p.prompt_id', 'f.true_label')} AS predicted
+  FROM (SELECT doc_id, true_label, CAST((row_number() OVER (PARTITION BY true_label ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1) % 5 AS INTEGER) AS fold FROM gold) f
+  CROSS JOIN prompts p)"""
+
+
+@query("fold_metrics", with_parts(["gold", "prompts"], "SELECT * FROM mm",
+                                  _FOLD_CTE + ",\n" + _metrics_sql("fp", ["fold", "prompt_id"], 1.0)))
+def fold_metrics(spark, sf_dir):
+    return _metrics_df(_fold_predictions(spark, sf_dir), ["fold", "prompt_id"], zero_division=1.0)
+
+
+@query("fold_metrics_mean", with_parts(["gold", "prompts"], f"""
+SELECT prompt_id, round(avg(accuracy), {R}) AS accuracy, round(avg(precision), {R}) AS precision,
+       round(avg(recall), {R}) AS recall, round(avg(f1_score), {R}) AS f1_score, count(*) AS n_runs
+FROM mm GROUP BY ROLLUP (prompt_id)""", _FOLD_CTE + ",\n" + _metrics_sql("fp", ["fold", "prompt_id"], 1.0)
+    .replace(f"round(sum(tp) / sum(n_true), {R})", "sum(tp) / sum(n_true)")
+    .replace(f"round(avg(precision), {R})", "avg(precision)").replace(f"round(avg(recall), {R})", "avg(recall)")
+    .replace(f"round(avg(f1_score), {R})", "avg(f1_score)")))
+def fold_metrics_mean(spark, sf_dir):
+    m = M.macro_metrics(_fold_predictions(spark, sf_dir), ["fold", "prompt_id"], zero_division=1.0)
+    out = m.rollup("prompt_id").agg(*[F.avg(c).alias(c) for c in ("accuracy", "precision", "recall", "f1_score")],
+                                    F.count(F.lit(1)).alias("n_runs"))
+    return rounded(out, ["accuracy", "precision", "recall", "f1_score"])
+
+
+_PIVOT = ", ".join(f"sum(CASE WHEN predicted = {q(lab)} THEN 1 ELSE 0 END)::BIGINT AS \"{lab}\"" for lab in LABELS)
+
+
+@query("confusion_matrix", with_parts(["pred"], f"SELECT prompt_id, correct, {_PIVOT} FROM pred GROUP BY prompt_id, correct"))
+def confusion_matrix(spark, sf_dir):
+    return M.confusion_matrix(FX.predictions(spark, sf_dir), ["prompt_id"])
+
+
+@query("confusion_counts", with_parts(["pred"], "SELECT prompt_id, correct, predicted, count(*) AS n FROM pred GROUP BY ALL"))
+def confusion_counts(spark, sf_dir):
+    return M.confusion_counts(FX.predictions(spark, sf_dir), ["prompt_id"])
+
+
+@query("label_encode", with_parts(["pred"], """
+SELECT prompt_id, cls, CAST(dense_rank() OVER (PARTITION BY prompt_id ORDER BY cls ASC NULLS LAST) - 1 AS BIGINT) AS code
+FROM (SELECT prompt_id, correct AS cls FROM pred UNION SELECT prompt_id, predicted FROM pred)"""))
+def label_encode(spark, sf_dir):
+    return M.label_encode(FX.predictions(spark, sf_dir), ["prompt_id"]).withColumn("code", F.col("code").cast("bigint"))
+
+
+@query("label_binarise", with_parts(["gold"], f"""
+SELECT doc_id, label, CAST(true_label = label AS INTEGER) AS is_true
+FROM (SELECT doc_id, true_label, unnest({LABELS_SQL}) AS label FROM gold)"""))
+def label_binarise(spark, sf_dir):
+    return M.binarise(FX.gold(spark, sf_dir).select("doc_id", "true_label"), truth="true_label").select(
+        "doc_id", "label", "is_true")
+
+
+# --------------------------------------------------------------------------- AUROC
+
+from labelforge.operators import auroc as A  # noqa: E402
+
+
+def _auroc_sql(src: str, keys: list[str], target_sql: str) -> str:
+    k = ", ".join(keys)
+    return f"""d AS (SELECT {k}, score, sum(y) AS pos, sum(1 - y) AS neg
+       FROM (SELECT *, CASE WHEN {target_sql} THEN 1 ELSE 0 END AS y FROM {src}) GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY {k} ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM d),
+au AS (SELECT {k}, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below + 0.5 * neg)) / (sum(pos)::DOUBLE * sum(neg)::DOUBLE) END AS auroc,
+              sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM c GROUP BY ALL)"""
+
+
+_POS_MAP = "CASE label " + " ".join(f"WHEN {q(s)} THEN {q(t)}" for s, t in A.positional_pairs()) + " END"
+
+
+@query("auroc_by_label", with_parts(["scores"], f"SELECT prompt_id, label, round(auroc, {R}) AS auroc, n_pos, n_neg FROM au",
+                                    _auroc_sql("scores", ["prompt_id", "label"], "true_label = label")))
+def auroc_by_label(spark, sf_dir):
+    return rounded(A.one_vs_rest_auroc(FX.scores(spark, sf_dir), ["prompt_id"]), ["auroc"])
+
+
+@query("auroc_macro", with_parts(["scores"], f"SELECT prompt_id, round(avg(auroc), {R}) AS average_auroc, count(auroc) AS n_defined FROM au GROUP BY prompt_id",
+                                 _auroc_sql("scores", ["prompt_id", "label"], "true_label = label")))
+def auroc_macro(spark, sf_dir):
+    return rounded(A.macro_auroc(A.one_vs_rest_auroc(FX.scores(spark, sf_dir), ["prompt_id"]), ["prompt_id"]),
+                   ["average_auroc"])
+
+
+@query("auroc_positional", with_parts(["scores"], f"SELECT prompt_id, label, round(auroc, {R}) AS auroc, n_pos, n_neg FROM au",
+                                      _auroc_sql("scores", ["prompt_id", "label"], f"true_label = {_POS_MAP}")))
+def auroc_positional(spark, sf_dir):
+    return rounded(A.one_vs_rest_auroc(FX.scores(spark, sf_dir), ["prompt_id"], align="positional"), ["auroc"])
+
+
+_AU_COLS = ", ".join(f"round(max(CASE WHEN label = {q(lab)} THEN auroc END), {R}) AS auroc_{lab}" for lab in LABELS)
+_SC_COLS = ", ".join(f"max(CASE WHEN label = {q(lab)} THEN score END) AS \"{lab}\"" for lab in LABELS)
+
+
+@query("auroc_wide_export", with_parts(["scores"], f"""
+SELECT w.*, a.* EXCLUDE (prompt_id), m.average_auroc
+FROM (SELECT doc_id, prompt_id, predicted AS predicted_label, true_label, {_SC_COLS} FROM scores GROUP BY ALL) w
+JOIN (SELECT prompt_id, {_AU_COLS} FROM au GROUP BY prompt_id) a USING (prompt_id)
+JOIN (SELECT prompt_id, round(avg(auroc), {R}) AS average_auroc FROM au GROUP BY prompt_id) m USING (prompt_id)""",
+    _auroc_sql("scores", ["prompt_id", "label"], "true_label = label")))
+def auroc_wide_export(spark, sf_dir):
+    s = FX.scores(spark, sf_dir)
+    wide = A.wide_export(s, A.one_vs_rest_auroc(s, ["prompt_id"]), ["doc_id"], ["prompt_id"])
+    return rounded(wide, ["average_auroc"] + [f"auroc_{lab}" for lab in LABELS])
+
+
+@query("auroc_natural", f"""
+WITH x AS (SELECT 'quality' AS target, l.quality AS y, d.n_chars::DOUBLE AS score FROM labels l JOIN documents d USING (doc_id)
+           UNION ALL SELECT 'toxic', l.toxic, d.n_chars::DOUBLE FROM labels l JOIN documents d USING (doc_id)),
+{_auroc_sql("x", ["target"], "y = 1")}
+SELECT target, round(auroc, {R}) AS auroc, n_pos, n_neg FROM au""")
+def auroc_natural(spark, sf_dir):
+    lab = table(spark, sf_dir, "labels")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    j = lab.join(d, "doc_id")
+    long = j.select("score", F.explode(F.array(
+        F.struct(F.lit("quality").alias("target"), F.col("quality").alias("y")),
+        F.struct(F.lit("toxic").alias("target"), F.col("toxic").alias("y")))).alias("t")).select("score", "t.target", "t.y")
+    return rounded(A.auroc(long, ["target"], "score", "y"), ["auroc"])
