@@ -33,7 +33,7 @@ def _pairs(text: Column, pattern: str) -> Column:
 
 
 def _last_value(pairs: Column, label: str) -> Column:
-    return F.element_at(F.filter(pairs, lambda p: p["k"] == F.lit(label)), -1)["v"]
+    return F.try_element_at(F.filter(pairs, lambda p: p["k"] == F.lit(label)), F.lit(-1))["v"]
 
 
 def _to_double(v: Column) -> Column:
@@ -102,10 +102,14 @@ def compliance(text, stated, labels: list[str] | None = None, tol: float = 1e-6)
     pairs = _pairs(t, PATTERN_A)
     raw = confidences_a(t, labels)
     total = F.aggregate(raw, F.lit(0.0), lambda acc, x: acc + x)
+    def key_is(lab):
+        return lambda p: p["k"] == F.lit(lab)
+
     has_all = F.lit(True)
     for lab in labels:
-        has_all = has_all & F.exists(pairs, lambda p, lab=lab: p["k"] == F.lit(lab))
-    stated_score = F.try_element_at(raw, F.array_position(F.array(*[F.lit(x) for x in labels]), _c(stated)).cast("int"))
+        has_all = has_all & F.exists(pairs, key_is(lab))
+    pos = F.array_position(F.array(*[F.lit(x) for x in labels]), _c(stated)).cast("int")
+    stated_score = F.when(pos > 0, F.element_at(raw, pos))
     return F.struct(
         has_all.alias("all_labels"),
         (F.abs(total - 1.0) <= tol).alias("sums_to_one"),

@@ -357,3 +357,142 @@ def auroc_natural(spark, sf_dir):
         F.struct(F.lit("quality").alias("target"), F.col("quality").alias("y")),
         F.struct(F.lit("toxic").alias("target"), F.col("toxic").alias("y")))).alias("t")).select("score", "t.target", "t.y")
     return rounded(A.auroc(long, ["target"], "score", "y"), ["auroc"])
+
+
+# --------------------------------------------------------------------------- prompts
+
+from labelforge.functions import confidence as C  # noqa: E402
+from labelforge.functions import labels as LB  # noqa: E402
+from labelforge.functions import text as TX  # noqa: E402
+from labelforge.operators import prompts as PR  # noqa: E402
+from labelforge.plans import oracle_parts as OP  # noqa: E402
+
+
+@query("prompt_expand", with_parts(["gold", "prompts"], "SELECT g.doc_id, p.prompt_id, p.ord FROM gold g CROSS JOIN prompts p"))
+def prompt_expand(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id")
+    return PR.expand(d, FX.prompts_df(spark)).select("doc_id", "prompt_id", "ord")
+
+
+@query("prompt_render", with_parts(["resp_dec"], "SELECT doc_id, prompt_id, md5(prompt) AS prompt_md5, length(prompt)::BIGINT AS prompt_chars FROM resp_dec"))
+def prompt_render(spark, sf_dir):
+    r = FX.responses(spark, sf_dir, decoded=True)
+    return r.select("doc_id", "prompt_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").cast("bigint").alias("prompt_chars"))
+
+
+@query("prompt_groups", with_parts(["pred"], "SELECT CASE WHEN ord < 2 THEN 'before' ELSE 'after' END AS grp, prompt_id, count(*) AS n_rows FROM pred GROUP BY ALL"))
+def prompt_groups(spark, sf_dir):
+    p = PR.route_groups(FX.prompts_df(spark), FX.GROUP_SPLIT)
+    pred = FX.predictions(spark, sf_dir).join(F.broadcast(p.select("prompt_id", "grp")), "prompt_id")
+    return pred.groupBy("grp", "prompt_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@query("classification_prompt", with_parts(["gold"], f"""
+SELECT doc_id, md5('### Instruction:' || chr(10) || {_INSTR} || chr(10) || chr(10) || '### Input:' || chr(10) || text || chr(10) || chr(10) || '### Response:') AS prompt_md5 FROM gold"""))
+def classification_prompt(spark, sf_dir):
+    g = FX.gold(spark, sf_dir)
+    return g.select("doc_id", F.md5(TX.classification_prompt(F.lit(P.DEFAULT_INSTRUCTION), F.col("text"))).alias("prompt_md5"))
+
+
+# --------------------------------------------------------------------------- response parsing
+
+@query("strip_echo", with_parts(["resp_dec"], f"""
+SELECT doc_id, prompt_id, {OP.sql_strip("CASE WHEN prompt = '' THEN decoded ELSE replace(decoded, prompt, '') END")} AS generated FROM resp_dec"""))
+def strip_echo(spark, sf_dir):
+    r = FX.responses(spark, sf_dir, decoded=True)
+    return r.select("doc_id", "prompt_id", TX.strip_echo("decoded", "prompt").alias("generated"))
+
+
+@query("after_marker", with_parts(["resp_dec"], f"""
+SELECT doc_id, prompt_id,
+       {OP.sql_strip("(string_split(decoded, '### response ###'))[-1]")} AS after_last,
+       {OP.sql_strip("CASE WHEN strpos(decoded, '### response ###') > 0 THEN substring(decoded, strpos(decoded, '### response ###') + 16) ELSE decoded END")} AS after_first,
+       md5((string_split(decoded, chr(10) || ' ' || chr(10)))[1]) AS before_blank_md5
+FROM resp_dec"""))
+def after_marker(spark, sf_dir):
+    r = FX.responses(spark, sf_dir, decoded=True)
+    return r.select(
+        "doc_id", "prompt_id",
+        TX.py_strip(TX.after_last("decoded", "### response ###")).alias("after_last"),
+        TX.py_strip(TX.after_first("decoded", "### response ###")).alias("after_first"),
+        F.md5(TX.before_first("decoded", "\n \n")).alias("before_blank_md5"),
+    )
+
+
+@query("first_label", with_parts(["resp"], f"""
+SELECT doc_id, prompt_id, CASE WHEN h <> '' THEN h ELSE response END AS label_raw, NULLIF(h, '') AS label_null
+FROM (SELECT *, regexp_extract(response, '\\b({OP.ALT})\\b', 1) AS h FROM resp)"""))
+def first_label(spark, sf_dir):
+    r = FX.responses(spark, sf_dir)
+    return r.select("doc_id", "prompt_id", LB.first_label("response", "raw").alias("label_raw"),
+                    LB.first_label("response", "null").alias("label_null"))
+
+
+@query("multi_stage_label", with_parts(["resp"], f"""
+SELECT doc_id, prompt_id, {OP.sql_multi_stage('lower(response)')} AS label FROM resp"""))
+def multi_stage_label(spark, sf_dir):
+    r = FX.responses(spark, sf_dir)
+    return r.select("doc_id", "prompt_id", LB.multi_stage_label(F.lower(F.col("response"))).alias("label"))
+
+
+@query("multi_stage_metrics", with_parts(["resp"], "SELECT * FROM mm", f"""
+parsed AS (SELECT doc_id, prompt_id, correct, {OP.sql_multi_stage('lower(response)')} AS predicted FROM resp),
+""" + _metrics_sql("parsed", ["prompt_id"], 1.0)))
+def multi_stage_metrics(spark, sf_dir):
+    r = FX.responses(spark, sf_dir)
+    parsed = r.select("doc_id", "prompt_id", "correct", LB.multi_stage_label(F.lower(F.col("response"))).alias("predicted"))
+    return _metrics_df(parsed, ["prompt_id"], zero_division=1.0)
+
+
+def _long_sql(cols: list[str], src: str, extra_cols: str = "") -> str:
+    structs = ", ".join(f"{{'label': {q(lab)}, 'score': {c}}}" for lab, c in zip(LABELS, cols))
+    return f"SELECT doc_id, prompt_id{extra_cols}, unnest([{structs}], recursive := true) FROM {src}"
+
+
+def _long_df(df: DataFrame, scores_col, keep: list[str]) -> DataFrame:
+    x = df.select(*keep, F.posexplode(scores_col).alias("__i", "score"))
+    return x.select(*keep, F.element_at(F.array(*[F.lit(v) for v in LABELS]), (F.col("__i") + 1).cast("int")).alias("label"), "score")
+
+
+@query("confidence_a", with_parts(["resp"], f"SELECT doc_id, prompt_id, label, score FROM ({_long_sql(OP.sql_conf_a('response'), 'resp')})"))
+def confidence_a(spark, sf_dir):
+    r = FX.responses(spark, sf_dir)
+    return _long_df(r, C.confidences_a("response"), ["doc_id", "prompt_id"])
+
+
+@query("confidence_b", with_parts(["resp"], f"""
+SELECT a.doc_id, a.prompt_id, a.label, a.score, b.score AS score_uniform
+FROM ({_long_sql(OP.sql_conf_b('response'), 'resp')}) a
+JOIN ({_long_sql(OP.sql_conf_b('response', 'uniform'), 'resp')}) b USING (doc_id, prompt_id, label)"""))
+def confidence_b(spark, sf_dir):
+    r = FX.responses(spark, sf_dir).select("doc_id", "prompt_id", C.confidences_b("response").alias("s1"),
+                                           C.confidences_b("response", fallback="uniform").alias("s2"))
+    z = r.select("doc_id", "prompt_id", F.posexplode(F.arrays_zip("s1", "s2")).alias("__i", "z"))
+    return z.select("doc_id", "prompt_id",
+                    F.element_at(F.array(*[F.lit(v) for v in LABELS]), (F.col("__i") + 1).cast("int")).alias("label"),
+                    F.col("z.s1").alias("score"), F.col("z.s2").alias("score_uniform"))
+
+
+@query("confidence_normalised", with_parts(["resp"], f"""
+SELECT doc_id, prompt_id, label, round(CASE WHEN tot > 0 THEN score / tot ELSE score END, {R}) AS score
+FROM (SELECT *, sum(score) OVER (PARTITION BY doc_id, prompt_id) AS tot FROM ({_long_sql(OP.sql_conf_a('response'), 'resp')}))"""))
+def confidence_normalised(spark, sf_dir):
+    r = FX.responses(spark, sf_dir)
+    return rounded(_long_df(r, C.normalise(C.confidences_a("response")), ["doc_id", "prompt_id"]), ["score"])
+
+
+@query("format_compliance", with_parts(["resp"], f"""
+SELECT prompt_id, count(*) AS n, count_if(all_labels) AS n_all_labels, count_if(abs(tot - 1.0) <= 1e-6) AS n_sums_to_one,
+       count_if(coalesce(stated = mx AND tot > 0, false)) AS n_stated_is_max, count_if(response = lower(response)) AS n_lower_case
+FROM (SELECT prompt_id, response, all_labels, list_sum(s) AS tot, list_max(s) AS mx,
+             s[list_position({LABELS_SQL}, predicted)] AS stated
+      FROM (SELECT prompt_id, response, predicted, [{', '.join(OP.sql_conf_a('response'))}] AS s,
+                   {' AND '.join(f"len(list_filter(regexp_extract_all(response, '{OP.PAT_A}', 1), lambda k: k = {q(lab)})) > 0" for lab in LABELS)} AS all_labels
+            FROM resp))
+GROUP BY prompt_id"""))
+def format_compliance(spark, sf_dir):
+    r = FX.responses(spark, sf_dir).select("prompt_id", C.compliance("response", "predicted").alias("c"))
+    return r.groupBy("prompt_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("c.all_labels").alias("n_all_labels"),
+        F.count_if("c.sums_to_one").alias("n_sums_to_one"), F.count_if("c.stated_is_max").alias("n_stated_is_max"),
+        F.count_if("c.lower_case").alias("n_lower_case"))

@@ -116,3 +116,83 @@ def with_parts(names: list[str], select: str, extra: str = "") -> str:
         visit(n)
     body = ",\n".join([f"{n} AS ({PARTS[n][1]})" for n in order] + ([extra] if extra else []))
     return f"WITH {body}\n{select}"
+
+
+# ----------------------------------------------------------------- text helpers (DuckDB spellings)
+
+LB_RE = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x{85}\\x{2028}\\x{2029}]"
+LB_CHARS = "[" + ", ".join(f"chr({c})" for c in (10, 13, 11, 12, 28, 29, 30, 133, 8232, 8233)) + "]"
+ALT = "|".join(LABELS)
+FLOAT_RE = r"[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?"
+
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+
+def sql_splitlines(x: str) -> str:
+    parts = f"string_split_regex({x}, '{LB_RE}')"
+    return (f"(CASE WHEN {x} = '' THEN []::VARCHAR[] WHEN list_contains({LB_CHARS}, right({x}, 1)) "
+            f"THEN list_slice({parts}, 1, len({parts}) - 1) ELSE {parts} END)")
+
+
+def sql_multi_stage(t: str) -> str:
+    lines = sql_splitlines(t)
+    finals = f"list_filter({lines}, lambda l: starts_with(l, 'final label:'))"
+    s1 = f"(CASE WHEN len({finals}) > 0 THEN {sql_strip(f'substring(({finals})[-1], 13)')} END)"
+    section = sql_strip(f"(string_split({t}, '### output ###'))[-1]")
+    head = f"array_to_string(list_slice({sql_splitlines(section)}, 1, 2), ' ')"
+    hit = f"lower(regexp_extract({head}, '(?i)\\b({ALT})\\b', 1))"
+    s2 = f"NULLIF({hit}, '')"
+    entries = (
+        f"list_transform(list_filter(list_transform({lines}, lambda l, i: {{'p': string_split(l, ':'), 'pos': i}}), "
+        f"lambda e: len(e.p) = 2 AND regexp_full_match({sql_strip('e.p[2]')}, '{FLOAT_RE}')), "
+        f"lambda e: {{'k': {sql_strip('e.p[1]')}, 'v': CAST(replace({sql_strip('e.p[2]')}, '_', '') AS DOUBLE), 'pos': e.pos}})"
+    )
+    return f"coalesce({s1}, {s2}, {sql_kv_argmax(entries)})"
+
+
+def sql_kv_argmax(entries: str) -> str:
+    firsts = f"list_filter({entries}, lambda e: len(list_filter({entries}, lambda y: y.k = e.k AND y.pos < e.pos)) = 0)"
+    folded = f"list_transform({firsts}, lambda e: {{'k': e.k, 'v': (list_filter({entries}, lambda y: y.k = e.k))[-1].v}})"
+    return (f"(CASE WHEN len({folded}) > 0 THEN "
+            f"(list_reduce({folded}, lambda acc, x: CASE WHEN x.v > acc.v THEN x ELSE acc END)).k END)")
+
+
+PAT_A = r"(\w+)\s*[:,\s]*([\d.]+)"
+
+
+def pat_b() -> str:
+    return rf"({ALT})\s*[:\s/]*\s*([\d.]+)?%?"
+
+
+def _pairs(t: str, pat: str) -> str:
+    return (f"list_transform(regexp_extract_all({t}, '{pat}', 1), "
+            f"lambda k, i: {{'k': k, 'v': (regexp_extract_all({t}, '{pat}', 2))[i]}})")
+
+
+def sql_conf_a(t: str) -> list[str]:
+    pairs = _pairs(t, PAT_A)
+    out = []
+    for lab in LABELS:
+        v = f"(list_filter({pairs}, lambda p: p.k = {q(lab)}))[-1].v"
+        out.append(f"(CASE WHEN {v} IS NULL THEN 0.0 WHEN regexp_full_match({v}, '\\d+\\.?\\d*|\\.\\d+') "
+                   f"THEN CAST({v} AS DOUBLE) ELSE 0.0 END)")
+    return out
+
+
+def sql_conf_b(t: str, fallback: str = "one_hot") -> list[str]:
+    pairs = _pairs(t, pat_b())
+    raw = []
+    for lab in LABELS:
+        v = f"(list_filter({pairs}, lambda p: p.k = {q(lab)}))[-1].v"
+        raw.append(f"(CASE WHEN {v} IS NULL OR {v} = '' THEN 0.0 WHEN regexp_full_match({v}, '\\d+\\.?\\d*|\\.\\d+') "
+                   f"THEN CAST({v} AS DOUBLE) / 100.0 ELSE 0.0 END)")
+    all_zero = " AND ".join(f"{r} = 0.0" for r in raw)
+    first = "(CASE " + " ".join(
+        f"WHEN regexp_matches({t}, '\\b{lab}\\b') THEN {i}" for i, lab in enumerate(LABELS)) + " END)"
+    out = []
+    for i, r in enumerate(raw):
+        fb = f"(CASE WHEN {first} = {i} THEN 1.0 ELSE 0.0 END)" if fallback == "one_hot" else "1.0"
+        out.append(f"(CASE WHEN ({all_zero}) AND {first} IS NOT NULL THEN {fb} ELSE {r} END)")
+    return out
