@@ -496,3 +496,248 @@ def format_compliance(spark, sf_dir):
         F.count(F.lit(1)).alias("n"), F.count_if("c.all_labels").alias("n_all_labels"),
         F.count_if("c.sums_to_one").alias("n_sums_to_one"), F.count_if("c.stated_is_max").alias("n_stated_is_max"),
         F.count_if("c.lower_case").alias("n_lower_case"))
+
+
+# --------------------------------------------------------------------------- error analysis
+
+from labelforge.operators import errors as ER  # noqa: E402
+from labelforge.operators import reports as RP  # noqa: E402
+
+
+@query("errors", with_parts(["pred_text"], """
+SELECT doc_id, prompt_id, correct, predicted, text AS report FROM pred_text WHERE correct IS DISTINCT FROM predicted"""))
+def errors(spark, sf_dir):
+    p = FX.predictions(spark, sf_dir, with_text=True)
+    return ER.errors(p).select("doc_id", "prompt_id", "correct", "predicted", F.col("text").alias("report"))
+
+
+@query("correct_rows", with_parts(["pred"], """
+SELECT prompt_id, correct, count(*) AS n FROM pred WHERE correct IS NOT DISTINCT FROM predicted GROUP BY ALL"""))
+def correct_rows(spark, sf_dir):
+    return ER.correct_rows(FX.predictions(spark, sf_dir)).groupBy("prompt_id", "correct").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("error_slice", with_parts(["pred"], """
+SELECT 'romets_to_improved' AS slice, doc_id, prompt_id FROM pred WHERE correct = 'romets' AND predicted = 'improved'
+UNION ALL
+SELECT 'romets_not_improved', doc_id, prompt_id FROM pred WHERE correct = 'romets' AND predicted IS DISTINCT FROM 'improved'"""))
+def error_slice(spark, sf_dir):
+    p = FX.predictions(spark, sf_dir)
+    a = ER.error_slice(p, "romets", "improved").select(F.lit("romets_to_improved").alias("slice"), "doc_id", "prompt_id")
+    b = ER.error_slice(p, "romets", predicted_not="improved").select(F.lit("romets_not_improved").alias("slice"), "doc_id", "prompt_id")
+    return a.unionByName(b)
+
+
+@query("error_pairs_topk", with_parts(["pred"], """
+SELECT correct, predicted, count(*) AS n FROM pred WHERE correct IS DISTINCT FROM predicted
+GROUP BY ALL ORDER BY n DESC, correct ASC NULLS LAST, predicted ASC NULLS LAST LIMIT 10"""))
+def error_pairs_topk(spark, sf_dir):
+    return ER.error_pairs_topk(FX.predictions(spark, sf_dir), k=10)
+
+
+@query("error_pairs_topk_by_prompt", with_parts(["pred"], """
+SELECT * FROM (SELECT prompt_id, correct, predicted, n,
+       row_number() OVER (PARTITION BY prompt_id ORDER BY n DESC, correct ASC NULLS LAST, predicted ASC NULLS LAST) AS rank
+  FROM (SELECT prompt_id, correct, predicted, count(*) AS n FROM pred WHERE correct IS DISTINCT FROM predicted GROUP BY ALL))
+WHERE rank <= 3"""))
+def error_pairs_topk_by_prompt(spark, sf_dir):
+    return ER.error_pairs_topk(FX.predictions(spark, sf_dir), k=3, keys=["prompt_id"]).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+@query("paragraph_rate", with_parts(["pred_text"], f"""
+SELECT correct, predicted, count(*) AS n, count_if(regexp_matches(text, '\\n\\s*\\n')) AS n_paragraphs,
+       round(count_if(regexp_matches(text, '\\n\\s*\\n')) / count(*), {R}) AS rate
+FROM pred_text WHERE prompt_id = 'base' GROUP BY ALL"""))
+def paragraph_rate(spark, sf_dir):
+    p = FX.predictions(spark, sf_dir, with_text=True).filter(F.col("prompt_id") == "base")
+    return rounded(ER.paragraph_rate(p, "text"), ["rate"])
+
+
+@query("before_after", with_parts(["pred"], f"""
+SELECT count(*) AS n, count_if(NOT ob AND oa) AS n_fixed, count_if(ob AND NOT oa) AS n_broken,
+       count_if(NOT ob AND NOT oa) AS n_still_wrong, count_if(ob AND oa) AS n_still_right,
+       round((count_if(oa) - count_if(ob)) / count(*), {R}) AS accuracy_delta
+FROM (SELECT doc_id, correct IS NOT DISTINCT FROM predicted AS ob FROM pred WHERE prompt_id = 'base') b
+JOIN (SELECT doc_id, correct IS NOT DISTINCT FROM predicted AS oa FROM pred WHERE prompt_id = 'role_cot') a USING (doc_id)"""))
+def before_after(spark, sf_dir):
+    p = FX.predictions(spark, sf_dir)
+    out = ER.before_after(p.filter(F.col("prompt_id") == "base"), p.filter(F.col("prompt_id") == "role_cot"), "doc_id")
+    return rounded(out, ["accuracy_delta"])
+
+
+@query("align_predictions", with_parts(["pred"], """
+SELECT count_if(p.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS n_matched,
+       count_if(p.doc_id IS NOT NULL AND l.doc_id IS NULL) AS n_only_predictions,
+       count_if(p.doc_id IS NULL AND l.doc_id IS NOT NULL) AS n_only_rows
+FROM (SELECT doc_id FROM pred WHERE prompt_id = 'base') p FULL OUTER JOIN labels l ON p.doc_id = l.doc_id"""))
+def align_predictions(spark, sf_dir):
+    p = FX.predictions(spark, sf_dir).filter(F.col("prompt_id") == "base").select("doc_id", "correct", "predicted")
+    rows = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    return ER.align_audit(ER.align(p, rows, "doc_id"))
+
+
+@query("lookup_errors", with_parts(["pred_text"], """
+SELECT d.doc_id, md5(d.text) AS text_md5, e.correct, e.predicted
+FROM documents d JOIN (SELECT doc_id, correct, predicted FROM pred_text WHERE prompt_id = 'base' AND correct IS DISTINCT FROM predicted) e
+  ON d.doc_id = e.doc_id"""))
+def lookup_errors(spark, sf_dir):
+    ids = ER.errors(FX.predictions(spark, sf_dir).filter(F.col("prompt_id") == "base")).select("doc_id", "correct", "predicted")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_md5"))
+    return d.join(ids, "doc_id")
+
+
+@query("confidence_summary", with_parts(["scores"], f"""
+SELECT prompt_id, predicted IS NOT DISTINCT FROM true_label AS is_correct, count(*) AS n,
+       round(avg(pred_score), {R}) AS avg_pred_score, count_if(argmax_label IS NOT DISTINCT FROM predicted) AS n_argmax_is_pred
+FROM (SELECT doc_id, prompt_id, any_value(predicted) AS predicted, any_value(true_label) AS true_label,
+             max(CASE WHEN label = predicted THEN score END) AS pred_score,
+             {LABELS_SQL}[min(CASE WHEN score = mx THEN ord END) + 1] AS argmax_label
+      FROM (SELECT *, max(score) OVER (PARTITION BY prompt_id, doc_id) AS mx, list_position({LABELS_SQL}, label) - 1 AS ord FROM scores)
+      GROUP BY doc_id, prompt_id)
+GROUP BY ALL"""))
+def confidence_summary(spark, sf_dir):
+    return rounded(ER.confidence_summary(FX.scores(spark, sf_dir), ["prompt_id"], "doc_id"), ["avg_pred_score"])
+
+
+@query("prompt_ranking", with_parts(["pred"], f"""
+SELECT * FROM (SELECT *, row_number() OVER (ORDER BY f1_score DESC, prompt_id) AS rank FROM mm) WHERE rank <= 3""",
+    _metrics_sql("pred", ["prompt_id"])))
+def prompt_ranking(spark, sf_dir):
+    m = _metrics_df(FX.predictions(spark, sf_dir), ["prompt_id"])
+    return ER.prompt_ranking(m, 3).withColumn("rank", F.col("rank").cast("bigint"))
+
+
+_FEATS = " UNION ALL ".join(
+    f"SELECT prompt_id, {q(n)} AS feature, regexp_matches(prompt_id || chr(10) || coalesce(description, '') || chr(10) || coalesce(template, ''), {q(p.replace('[\\s\\S]', '(?s:.)'))}) AS present FROM prompts"
+    for n, p in ER.TECHNIQUES.items())
+
+
+@query("technique_effect", with_parts(["pred", "prompts"], f"""
+SELECT feature, present, round(avg(f1), {R}) AS avg_f1_score, count(*) AS n_prompts
+FROM (SELECT prompt_id, avg_f1 AS f1 FROM (SELECT prompt_id, avg(f1_score) AS avg_f1 FROM pm GROUP BY prompt_id)) m
+JOIN ({_FEATS}) f USING (prompt_id) GROUP BY ALL""", _metrics_sql("pred", ["prompt_id"])))
+def technique_effect(spark, sf_dir):
+    m = M.macro_metrics(FX.predictions(spark, sf_dir), ["prompt_id"])
+    feats = ER.prompt_features(FX.prompts_df(spark))
+    return rounded(ER.technique_effect(m, feats), ["avg_f1_score"])
+
+
+# --------------------------------------------------------------------------- report text
+
+_SEC_SQL = f"""secs AS (
+  SELECT doc_id, seq, section, body FROM (
+    SELECT doc_id, CAST(i - 1 AS INTEGER) AS seq,
+           CASE WHEN i > 1 THEN (CASE upper(split_part(part, chr(57345), 1)) {' '.join(f"WHEN {q(k)} THEN {q(v)}" for k, v in RP.CANONICAL.items())} ELSE upper(split_part(part, chr(57345), 1)) END) ELSE 'PREAMBLE' END AS section,
+           {OP.sql_strip("CASE WHEN i > 1 THEN (string_split(part, chr(57345)))[-1] ELSE part END")} AS body
+    FROM (SELECT doc_id, unnest(parts) AS part, unnest(generate_series(1, len(parts))) AS i
+          FROM (SELECT doc_id, string_split(regexp_replace(report, '(?im)^({RP.HEADINGS})[ \\t]*:', chr(57344) || '\\1' || chr(57345), 'g'), chr(57344)) AS parts FROM reports)))
+  WHERE seq > 0 OR body <> '')"""
+
+
+@query("sections", with_parts(["reports"], "SELECT doc_id, seq, section, md5(body) AS body_md5 FROM secs", _SEC_SQL))
+def sections(spark, sf_dir):
+    r = FX.reports(spark, sf_dir)
+    return RP.sections(r, "report", ["doc_id"]).select("doc_id", "seq", "section", F.md5("body").alias("body_md5"))
+
+
+_KW_SQL = "(VALUES " + ", ".join(f"({q(lab)}, {i}, {q(kw)})" for i, lab in enumerate(LABELS) for kw in RP.LABEL_KEYWORDS[lab]) + ") AS k(label, ord, keyword)"
+
+
+@query("keyword_rate", with_parts(["reports"], f"""
+SELECT doc_id, b.label AS keyword_label, round(b.p, {R}) AS primary_rate, round(b.s, {R}) AS secondary_rate
+FROM (SELECT doc_id, arg_max({{'label': label, 'p': p, 's': s}}, {{'p': p, 's': s, 'o': -ord}}) AS b
+      FROM (SELECT h.doc_id, h.label, h.ord, count(DISTINCT CASE WHEN section IN ('CONCLUSION', 'IMPRESSION') THEN keyword END) / any_value(n.n_kw) AS p,
+                   count(DISTINCT CASE WHEN section = 'FINDINGS' THEN keyword END) / any_value(n.n_kw) AS s
+            FROM (SELECT s.doc_id, s.section, k.label, k.ord, k.keyword FROM secs s CROSS JOIN {_KW_SQL}
+                  WHERE s.section IN ('CONCLUSION', 'IMPRESSION', 'FINDINGS') AND contains(lower(s.body), k.keyword)) h
+            JOIN (SELECT label, count(DISTINCT keyword) AS n_kw FROM {_KW_SQL} GROUP BY label) n USING (label)
+            GROUP BY h.doc_id, h.label, h.ord)
+      GROUP BY doc_id)""", _SEC_SQL))
+def keyword_rate(spark, sf_dir):
+    secs = RP.sections(FX.reports(spark, sf_dir), "report", ["doc_id"])
+    return rounded(RP.keyword_label(secs, RP.keywords_df(spark), ["doc_id"]), ["primary_rate", "secondary_rate"])
+
+
+def _cnt(t: str, phrase: str) -> str:
+    return f"len(string_split({t}, {q(phrase)})) - 1"
+
+
+_SIG_COLS = ", ".join(
+    f"({' + '.join(_cnt('lower(report)', p) for p in phrases)})::BIGINT AS n_{fam}" for fam, _, phrases in RP.SIGNAL_FAMILIES)
+_SIG_BEST = "greatest(" + ", ".join(f"n_{fam}" for fam, _, _ in RP.SIGNAL_FAMILIES) + ")"
+_SIG_LAB = "CASE " + " ".join(f"WHEN n_{fam} = {_SIG_BEST} THEN {q(lab)}" for fam, lab, _ in RP.SIGNAL_FAMILIES) + " END"
+
+
+@query("signal_label", with_parts(["reports"], f"""
+SELECT doc_id, {', '.join(f'n_{fam}' for fam, _, _ in RP.SIGNAL_FAMILIES)}, CASE WHEN {_SIG_BEST} > 0 THEN {_SIG_LAB} END AS signal_label
+FROM (SELECT doc_id, {_SIG_COLS} FROM reports)"""))
+def signal_label(spark, sf_dir):
+    r = FX.reports(spark, sf_dir)
+    return RP.signal_counts(r, "report").select("doc_id", *[f"n_{fam}" for fam, _, _ in RP.SIGNAL_FAMILIES], "signal_label")
+
+
+_PW_SQL = "(VALUES " + ", ".join(f"({q(p)}, {q(lab)}, {1.0 / len(labs)!r})" for p, labs in RP.PHRASE_LABELS for lab in labs) + ") AS w(phrase, label, weight)"
+
+
+@query("phrase_weight_label", with_parts(["reports"], f"""
+SELECT doc_id, b.label AS phrase_label, round(b.s / t, {R}) AS share
+FROM (SELECT doc_id, sum(s) AS t, arg_max({{'label': label, 's': s}}, {{'s': s, 'o': -(list_position({LABELS_SQL}, label) - 1)}}) AS b
+      FROM (SELECT doc_id, label, sum(hits * weight) AS s
+            FROM (SELECT r.doc_id, w.label, w.weight, len(string_split(lower(r.report), w.phrase)) - 1 AS hits FROM reports r CROSS JOIN {_PW_SQL})
+            WHERE hits > 0 GROUP BY doc_id, label)
+      GROUP BY doc_id)"""))
+def phrase_weight_label(spark, sf_dir):
+    r = FX.reports(spark, sf_dir)
+    return rounded(RP.phrase_label(r, RP.phrase_weights(spark), "report", ["doc_id"]), ["share"])
+
+
+_RULE_SQL = "CASE " + " ".join(
+    "WHEN " + " OR ".join(f"contains(report, {q(p)})" for p in phrases) + f" THEN {q(lab)}" for lab, phrases in RP.RULES
+) + f" ELSE {q(RP.RULE_DEFAULT)} END"
+
+
+@query("rule_cascade_label", with_parts(["reports"], f"SELECT doc_id, {_RULE_SQL} AS rule_label FROM reports"))
+def rule_cascade_label(spark, sf_dir):
+    return FX.reports(spark, sf_dir).select("doc_id", RP.rule_label("report").alias("rule_label"))
+
+
+@query("rule_cascade_metrics", with_parts(["reports"], "SELECT * FROM mm",
+                                          f"rc AS (SELECT doc_id, true_label AS correct, {_RULE_SQL} AS predicted FROM reports),\n" + _metrics_sql("rc", [])))
+def rule_cascade_metrics(spark, sf_dir):
+    r = FX.reports(spark, sf_dir).select("doc_id", F.col("true_label").alias("correct"), RP.rule_label("report").alias("predicted"))
+    return _metrics_df(r, [])
+
+
+@query("rule_out_flag", with_parts(["reports"], """
+SELECT section, count(*) AS n_sections, count_if(regexp_matches(body, '(?i)\\br/o\\b|rule[- ]out|follow[- ]up')) AS n_rule_out
+FROM secs GROUP BY section""", _SEC_SQL))
+def rule_out_flag(spark, sf_dir):
+    secs = RP.sections(FX.reports(spark, sf_dir), "report", ["doc_id"])
+    return secs.groupBy("section").agg(F.count(F.lit(1)).alias("n_sections"), F.count_if(RP.rule_out_flag("body")).alias("n_rule_out"))
+
+
+@query("error_keywords", with_parts(["reports", "pred"], f"""
+SELECT e.correct, e.predicted, h.section, h.keyword, count(*) AS n
+FROM (SELECT doc_id, correct, predicted FROM pred WHERE prompt_id = 'base' AND correct IS DISTINCT FROM predicted) e
+JOIN (SELECT DISTINCT s.doc_id, s.section, k.keyword FROM secs s CROSS JOIN {_KW_SQL} WHERE contains(lower(s.body), k.keyword)) h USING (doc_id)
+GROUP BY ALL""", _SEC_SQL))
+def error_keywords(spark, sf_dir):
+    errs = ER.errors(FX.predictions(spark, sf_dir).filter(F.col("prompt_id") == "base")).select("doc_id", "correct", "predicted")
+    secs = RP.sections(FX.reports(spark, sf_dir), "report", ["doc_id"])
+    hits = RP.keyword_hits(secs, RP.keywords_df(spark), ["doc_id"]).select("doc_id", "section", "keyword").distinct()
+    return errs.join(hits, "doc_id").groupBy("correct", "predicted", "section", "keyword").agg(F.count(F.lit(1)).alias("n"))
+
+
+_ALLKW = sorted({k for v in RP.LABEL_KEYWORDS.values() for k in v})
+
+
+@query("explanation_checks", f"""
+SELECT role, count(*) AS n, count_if(length(text) <= 300) AS n_short,
+       count_if(regexp_matches(text, '(?i)conclusion|impression|findings?')) AS n_names_section,
+       count_if({' OR '.join(f"contains(lower(text), {q(k)})" for k in _ALLKW)}) AS n_names_keyword
+FROM conversations GROUP BY role""")
+def explanation_checks(spark, sf_dir):
+    c = table(spark, sf_dir, "conversations").select("role", RP.explanation_checks("text").alias("c"))
+    return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if("c.short").alias("n_short"),
+                                 F.count_if("c.names_section").alias("n_names_section"),
+                                 F.count_if("c.names_keyword").alias("n_names_keyword"))
