@@ -741,3 +741,123 @@ def explanation_checks(spark, sf_dir):
     return c.groupBy("role").agg(F.count(F.lit(1)).alias("n"), F.count_if("c.short").alias("n_short"),
                                  F.count_if("c.names_section").alias("n_names_section"),
                                  F.count_if("c.names_keyword").alias("n_names_keyword"))
+
+
+# --------------------------------------------------------------------------- inference
+
+from labelforge.operators import inference as INF  # noqa: E402
+from labelforge.sources import files as IO  # noqa: E402
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    """Expanded and rendered requests (J2 + T1)."""
+    g = FX.gold(spark, sf_dir).select("doc_id", "text", "true_label")
+    pairs = PR.expand(g, FX.prompts_df(spark).select("prompt_id", "template"))
+    stated = FX.predicted_expr(F.col("doc_id"), F.col("prompt_id"), F.col("true_label"))
+    return pairs.select("doc_id", "prompt_id", TX.render(F.col("template"), F.col("text"), stated).alias("prompt"))
+
+
+@query("batch_inference_python", with_parts(["resp_dec"], f"""
+SELECT doc_id, prompt_id, 'final label: ' || {LABELS_SQL}[(length(prompt) % 6) + 1] AS response FROM resp_dec"""))
+def batch_inference_python(spark, sf_dir):
+    req = _requests(spark, sf_dir)
+    out = INF.batch_inference(req, INF.length_scorer, prompt="prompt", key="length")
+    return out.select("doc_id", "prompt_id", "response")
+
+
+@query("batch_inference_replay", with_parts(["resp"], "SELECT doc_id, prompt_id, response FROM resp"))
+def batch_inference_replay(spark, sf_dir):
+    stored = FX.responses(spark, sf_dir).select("doc_id", "prompt_id", "response")
+    return INF.replay(_requests(spark, sf_dir), stored, ["doc_id", "prompt_id"]).select("doc_id", "prompt_id", "response")
+
+
+@query("batch_inference_keyword", with_parts(["reports"], "SELECT * FROM mm", _SEC_SQL + f""",
+kw AS (SELECT doc_id, b.label AS keyword_label
+       FROM (SELECT doc_id, arg_max({{'label': label}}, {{'p': p, 's': s, 'o': -ord}}) AS b
+             FROM (SELECT h.doc_id, h.label, h.ord, count(DISTINCT CASE WHEN section IN ('CONCLUSION', 'IMPRESSION') THEN keyword END) / any_value(n.n_kw) AS p,
+                          count(DISTINCT CASE WHEN section = 'FINDINGS' THEN keyword END) / any_value(n.n_kw) AS s
+                   FROM (SELECT s.doc_id, s.section, k.label, k.ord, k.keyword FROM secs s CROSS JOIN {_KW_SQL}
+                         WHERE s.section IN ('CONCLUSION', 'IMPRESSION', 'FINDINGS') AND contains(lower(s.body), k.keyword)) h
+                   JOIN (SELECT label, count(DISTINCT keyword) AS n_kw FROM {_KW_SQL} GROUP BY label) n USING (label)
+                   GROUP BY h.doc_id, h.label, h.ord)
+             GROUP BY doc_id)),
+kp AS (SELECT r.doc_id, r.true_label AS correct,
+              {OP.sql_multi_stage("lower('final label: ' || kw.keyword_label)")} AS predicted
+       FROM reports r LEFT JOIN kw USING (doc_id)),
+""" + _metrics_sql("kp", [], 1.0)))
+def batch_inference_keyword(spark, sf_dir):
+    rep = FX.reports(spark, sf_dir)
+    secs = RP.sections(rep, "report", ["doc_id"])
+    kw = RP.keyword_label(secs, RP.keywords_df(spark), ["doc_id"])
+    resp = INF.keyword_scorer_responses(kw, ["doc_id"])
+    j = rep.select("doc_id", F.col("true_label").alias("correct")).join(resp, "doc_id", "left")
+    parsed = j.select("doc_id", "correct", LB.multi_stage_label(F.lower(F.col("response"))).alias("predicted"))
+    return _metrics_df(parsed, [], zero_division=1.0)
+
+
+# --------------------------------------------------------------------------- sources and sinks
+
+@query("csv_roundtrip", with_parts(["gold"], "SELECT doc_id, raw_label, true_label, text FROM gold"))
+def csv_roundtrip(spark, sf_dir):
+    path = IO.scratch_path(spark, "csv")
+    IO.write_csv(FX.gold(spark, sf_dir).select("doc_id", "raw_label", "true_label", "text"), path)
+    return IO.read_csv(spark, path, "doc_id bigint, raw_label string, true_label string, text string")
+
+
+_METRIC_SCHEMA = "fold int, prompt_id string, accuracy double, precision double, recall double, f1_score double, n_rows bigint, n_classes bigint"
+
+
+@query("json_roundtrip", ORACLE["fold_metrics"])
+def json_roundtrip(spark, sf_dir):
+    path = IO.scratch_path(spark, "json")
+    IO.write_json(fold_metrics(spark, sf_dir), path)
+    return IO.read_json(spark, path, _METRIC_SCHEMA)
+
+
+@query("result_sink", with_parts(["pred"], "SELECT prompt_id, count(*) AS n, count_if(correct = predicted) AS n_correct FROM pred WHERE prompt_id IN ('base', 'stated') GROUP BY prompt_id"))
+def result_sink(spark, sf_dir):
+    path = IO.scratch_path(spark, "results")
+    IO.write_results(FX.predictions(spark, sf_dir), path, run=IO.run_id())
+    back = spark.read.parquet(path)
+    keys = [r[0] for r in FX.prompts_df(spark).filter(F.col("prompt_id").isin("base", "stated"))
+            .select(IO.prompt_key(F.col("prompt_id"))).collect()]  # catalogue dimension only
+    pruned = back.filter(F.col("prompt_key").isin(keys))  # partition pruning
+    return pruned.groupBy("prompt_id").agg(F.count(F.lit(1)).alias("n"),
+                                           F.count_if(F.col("correct") == F.col("predicted")).alias("n_correct"))
+
+
+_CAT_ENTRIES = [(i, d, t) for _, i, d, t in FX.PROMPTS] + [("stated", "replaced text", "Final check of:\n{report}")]
+_CAT_VALUES = ", ".join(f"({o}, {q(i)}, {q(d)}, {q(t)})" for o, (i, d, t) in enumerate(
+    [e for e in _CAT_ENTRIES[:-1] if e[0] != "stated"][:3] + [_CAT_ENTRIES[-1]] + [e for e in _CAT_ENTRIES[:-1] if e[0] != "stated"][3:]))
+
+
+@query("prompt_catalogue", with_parts(["gold"], f"""
+SELECT p.ord, p.prompt_id, p.description, count(*) AS n_rows,
+       sum(length(replace(p.template, '{{report}}', g.text)))::BIGINT AS total_chars
+FROM gold g CROSS JOIN (VALUES {_CAT_VALUES}) AS p(ord, prompt_id, description, template)
+GROUP BY ALL"""))
+def prompt_catalogue(spark, sf_dir):
+    path = IO.scratch_path(spark, "catalogue")
+    IO.write_prompt_catalogue(spark, _CAT_ENTRIES, path)
+    cat = IO.read_prompt_catalogues(spark, path)
+    g = FX.gold(spark, sf_dir).select("doc_id", "text")
+    x = PR.expand(g, cat).withColumn("rendered", TX.render(F.col("template"), F.col("text")))
+    return x.groupBy("ord", "prompt_id", "description").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.sum(F.length("rendered")).cast("bigint").alias("total_chars"))
+
+
+# --------------------------------------------------------------------------- streaming
+
+from labelforge.streaming import monitor as ST  # noqa: E402
+
+
+@query("streaming_confusion", with_parts(["resp"], f"""
+SELECT prompt_id, correct, predicted, count(*) AS n
+FROM (SELECT prompt_id, correct, {OP.sql_multi_stage('lower(response)')} AS predicted FROM resp) GROUP BY ALL"""))
+def streaming_confusion(spark, sf_dir):
+    src = IO.scratch_path(spark, "stream-src")
+    FX.responses(spark, sf_dir).select("doc_id", "prompt_id", "correct", "response") \
+        .repartition(4, "doc_id").write.parquet(src)
+    sink = IO.scratch_path(spark, "stream-sink")
+    ST.run_confusion(spark, src, sink, IO.scratch_path(spark, "stream-ckpt"))
+    return spark.read.parquet(sink)
