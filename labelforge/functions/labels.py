@@ -65,20 +65,20 @@ def key_value_entries(lines: Column) -> Column:
     )
 
 
-def key_value_argmax(entries: Column, known_labels_only: bool = False,
-                     labels: list[str] | None = None) -> Column:
-    """T6. Python-dict semantics: a repeated key keeps its first position and
-    takes its last value; argmax keeps the first of equal maxima."""
-    if known_labels_only:
-        entries = F.filter(entries, lambda e: e["k"].isin(labels or LABELS))
+def _dedupe_first_pos_last_value(entries: Column) -> Column:
+    """Python-dict semantics for repeated keys: first position, last value."""
     firsts = F.filter(entries, lambda e: ~F.exists(entries, lambda y: (y["k"] == e["k"]) & (y["pos"] < e["pos"])))
-    folded = F.transform(
+    return F.transform(
         firsts,
         lambda e: F.struct(
             e["k"].alias("k"),
             F.element_at(F.filter(entries, lambda y: y["k"] == e["k"]), -1)["v"].alias("v"),
         ),
     )
+
+
+def _first_argmax(folded: Column) -> Column:
+    """``max(d, key=d.get)``: first key among equal maxima."""
     best = F.aggregate(
         folded,
         F.element_at(folded, 1),
@@ -87,18 +87,48 @@ def key_value_argmax(entries: Column, known_labels_only: bool = False,
     return F.when(F.size(folded) > 0, best["k"])
 
 
+def key_value_argmax(entries: Column, known_labels_only: bool = False,
+                     labels: list[str] | None = None) -> Column:
+    """T6. Python-dict semantics: a repeated key keeps its first position and
+    takes its last value; argmax keeps the first of equal maxima."""
+    if known_labels_only:
+        entries = F.filter(entries, lambda e: e["k"].isin(labels or LABELS))
+    return _first_argmax(_dedupe_first_pos_last_value(entries))
+
+
+def _stage1(lines: Column) -> Column:
+    finals = F.filter(lines, lambda l: l.startswith("final label:"))
+    return F.when(F.size(finals) > 0, py_strip(F.regexp_replace(F.element_at(finals, -1), "^final label:", "")))
+
+
+def _stage2(c: Column, labels: list[str] | None = None) -> Column:
+    section = py_strip(after_last(c, "### output ###"))
+    head = F.array_join(F.slice(splitlines(section), 1, 2), " ")
+    hit = F.lower(F.regexp_extract(head, rf"(?iu)\b({label_alternation(labels)})\b", 1))
+    return F.when(hit != "", hit)
+
+
 def multi_stage_label(c, labels: list[str] | None = None, known_labels_only: bool = False) -> Column:
     """T5. (1) last line starting with ``final label:`` (any value, even empty);
     (2) else the first two lines after the last ``### output ###`` (whole text if
     absent), first label ignoring case; (3) else argmax of ``key: number`` lines;
-    (4) else NULL."""
+    (4) else NULL. Row scalar; on DataFrames prefer :func:`with_multi_stage_label`."""
     c = _c(c)
     lines = splitlines(c)
-    finals = F.filter(lines, lambda l: l.startswith("final label:"))
-    stage1 = F.when(F.size(finals) > 0, py_strip(F.regexp_replace(F.element_at(finals, -1), "^final label:", "")))
-    section = py_strip(after_last(c, "### output ###"))
-    head = F.array_join(F.slice(splitlines(section), 1, 2), " ")
-    hit = F.lower(F.regexp_extract(head, rf"(?iu)\b({label_alternation(labels)})\b", 1))
-    stage2 = F.when(hit != "", hit)
     stage3 = key_value_argmax(key_value_entries(lines), known_labels_only, labels)
-    return F.coalesce(stage1, stage2, stage3)
+    return F.coalesce(_stage1(lines), _stage2(c, labels), stage3)
+
+
+def with_multi_stage_label(df, text, out: str = "predicted", labels: list[str] | None = None,
+                           known_labels_only: bool = False):
+    """DataFrame-level T5: lines, key/value entries and the folded entries are
+    materialised once per row, so nothing is re-split inside a lambda."""
+    t = _c(text)
+    x = df.withColumn("__lines", splitlines(t))
+    entries = key_value_entries(F.col("__lines"))
+    if known_labels_only:
+        entries = F.filter(entries, lambda e: e["k"].isin(labels or LABELS))
+    x = x.withColumn("__kv", entries)
+    x = x.withColumn("__folded", _dedupe_first_pos_last_value(F.col("__kv")))
+    x = x.withColumn(out, F.coalesce(_stage1(F.col("__lines")), _stage2(t, labels), _first_argmax(F.col("__folded"))))
+    return x.drop("__lines", "__kv", "__folded")

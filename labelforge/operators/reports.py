@@ -85,7 +85,9 @@ def sections(df: DataFrame, text: str = "report", keys: Sequence[str] = ("report
     downstream keyword work is per section, not per report."""
     marked = F.regexp_replace(F.col(text), HEADING_RE, _OPEN + "$1" + _CLOSE)
     parts = F.split(marked, _OPEN, -1)
-    x = df.select(*keys, F.posexplode(parts).alias("seq", "__part"))
+    # inline over (position, part) structs: posexplode of a computed array is
+    # re-evaluated per element under whole-stage codegen
+    x = df.select(*keys, F.inline(F.transform(parts, lambda p, i: F.struct(i.alias("seq"), p.alias("__part")))))
     has_head = F.col("seq") > 0
     name = F.when(has_head, canonical_section(F.substring_index("__part", _CLOSE, 1))).otherwise(F.lit("PREAMBLE"))
     body = py_strip(F.when(has_head, F.substring_index("__part", _CLOSE, -1)).otherwise(F.col("__part")))

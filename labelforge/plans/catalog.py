@@ -431,16 +431,16 @@ def first_label(spark, sf_dir):
 @query("multi_stage_label", with_parts(["resp"], f"""
 SELECT doc_id, prompt_id, {OP.sql_multi_stage('lower(response)')} AS label FROM resp"""))
 def multi_stage_label(spark, sf_dir):
-    r = FX.responses(spark, sf_dir)
-    return r.select("doc_id", "prompt_id", LB.multi_stage_label(F.lower(F.col("response"))).alias("label"))
+    r = FX.responses(spark, sf_dir).withColumn("lr", F.lower("response"))
+    return LB.with_multi_stage_label(r, "lr", "label").select("doc_id", "prompt_id", "label")
 
 
 @query("multi_stage_metrics", with_parts(["resp"], "SELECT * FROM mm", f"""
 parsed AS (SELECT doc_id, prompt_id, correct, {OP.sql_multi_stage('lower(response)')} AS predicted FROM resp),
 """ + _metrics_sql("parsed", ["prompt_id"], 1.0)))
 def multi_stage_metrics(spark, sf_dir):
-    r = FX.responses(spark, sf_dir)
-    parsed = r.select("doc_id", "prompt_id", "correct", LB.multi_stage_label(F.lower(F.col("response"))).alias("predicted"))
+    r = FX.responses(spark, sf_dir).select("doc_id", "prompt_id", "correct", F.lower("response").alias("lr"))
+    parsed = LB.with_multi_stage_label(r, "lr", "predicted")
     return _metrics_df(parsed, ["prompt_id"], zero_division=1.0)
 
 
@@ -449,15 +449,14 @@ def _long_sql(cols: list[str], src: str, extra_cols: str = "") -> str:
     return f"SELECT doc_id, prompt_id{extra_cols}, unnest([{structs}], recursive := true) FROM {src}"
 
 
-def _long_df(df: DataFrame, scores_col, keep: list[str]) -> DataFrame:
-    x = df.select(*keep, F.posexplode(scores_col).alias("__i", "score"))
-    return x.select(*keep, F.element_at(F.array(*[F.lit(v) for v in LABELS]), (F.col("__i") + 1).cast("int")).alias("label"), "score")
+def _long_df(df: DataFrame, scores_col: str, keep: list[str]) -> DataFrame:
+    return C.long_scores(df, scores_col, keep)
 
 
 @query("confidence_a", with_parts(["resp"], f"SELECT doc_id, prompt_id, label, score FROM ({_long_sql(OP.sql_conf_a('response'), 'resp')})"))
 def confidence_a(spark, sf_dir):
-    r = FX.responses(spark, sf_dir)
-    return _long_df(r, C.confidences_a("response"), ["doc_id", "prompt_id"])
+    r = C.with_confidences(FX.responses(spark, sf_dir), "response", "s", "a")
+    return _long_df(r, "s", ["doc_id", "prompt_id"])
 
 
 @query("confidence_b", with_parts(["resp"], f"""
@@ -465,20 +464,20 @@ SELECT a.doc_id, a.prompt_id, a.label, a.score, b.score AS score_uniform
 FROM ({_long_sql(OP.sql_conf_b('response'), 'resp')}) a
 JOIN ({_long_sql(OP.sql_conf_b('response', 'uniform'), 'resp')}) b USING (doc_id, prompt_id, label)"""))
 def confidence_b(spark, sf_dir):
-    r = FX.responses(spark, sf_dir).select("doc_id", "prompt_id", C.confidences_b("response").alias("s1"),
-                                           C.confidences_b("response", fallback="uniform").alias("s2"))
-    z = r.select("doc_id", "prompt_id", F.posexplode(F.arrays_zip("s1", "s2")).alias("__i", "z"))
-    return z.select("doc_id", "prompt_id",
-                    F.element_at(F.array(*[F.lit(v) for v in LABELS]), (F.col("__i") + 1).cast("int")).alias("label"),
-                    F.col("z.s1").alias("score"), F.col("z.s2").alias("score_uniform"))
+    r = FX.responses(spark, sf_dir).select("doc_id", "prompt_id", "response")
+    r = C.with_confidences(r, "response", "s1", "b")
+    r = C.with_confidences(r, "response", "s2", "b", fallback="uniform")
+    z = F.arrays_zip(F.array(*[F.lit(v) for v in LABELS]).alias("label"), F.col("s1").alias("score"),
+                     F.col("s2").alias("score_uniform"))
+    return r.select("doc_id", "prompt_id", F.inline(z))
 
 
 @query("confidence_normalised", with_parts(["resp"], f"""
 SELECT doc_id, prompt_id, label, round(CASE WHEN tot > 0 THEN score / tot ELSE score END, {R}) AS score
 FROM (SELECT *, sum(score) OVER (PARTITION BY doc_id, prompt_id) AS tot FROM ({_long_sql(OP.sql_conf_a('response'), 'resp')}))"""))
 def confidence_normalised(spark, sf_dir):
-    r = FX.responses(spark, sf_dir)
-    return rounded(_long_df(r, C.normalise(C.confidences_a("response")), ["doc_id", "prompt_id"]), ["score"])
+    r = C.with_confidences(FX.responses(spark, sf_dir), "response", "s", "a", normalised=True)
+    return rounded(_long_df(r, "s", ["doc_id", "prompt_id"]), ["score"])
 
 
 @query("format_compliance", with_parts(["resp"], f"""
@@ -491,7 +490,7 @@ FROM (SELECT prompt_id, response, all_labels, list_sum(s) AS tot, list_max(s) AS
             FROM resp))
 GROUP BY prompt_id"""))
 def format_compliance(spark, sf_dir):
-    r = FX.responses(spark, sf_dir).select("prompt_id", C.compliance("response", "predicted").alias("c"))
+    r = C.with_compliance(FX.responses(spark, sf_dir), "response", "predicted", "c")
     return r.groupBy("prompt_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_if("c.all_labels").alias("n_all_labels"),
         F.count_if("c.sums_to_one").alias("n_sums_to_one"), F.count_if("c.stated_is_max").alias("n_stated_is_max"),
@@ -791,7 +790,7 @@ def batch_inference_keyword(spark, sf_dir):
     kw = RP.keyword_label(secs, RP.keywords_df(spark), ["doc_id"])
     resp = INF.keyword_scorer_responses(kw, ["doc_id"])
     j = rep.select("doc_id", F.col("true_label").alias("correct")).join(resp, "doc_id", "left")
-    parsed = j.select("doc_id", "correct", LB.multi_stage_label(F.lower(F.col("response"))).alias("predicted"))
+    parsed = LB.with_multi_stage_label(j.select("doc_id", "correct", F.lower("response").alias("lr")), "lr", "predicted")
     return _metrics_df(parsed, [], zero_division=1.0)
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelforge.functions.labels import multi_stage_label
+from labelforge.functions.labels import with_multi_stage_label
 
 RESPONSE_SCHEMA = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("prompt_id", T.StringType()),
@@ -26,7 +26,7 @@ def parsed_stream(spark: SparkSession, source_dir: str, schema: T.StructType = R
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", str(max_files_per_trigger))
     s = r.parquet(source_dir)
-    return s.withColumn("predicted", multi_stage_label(F.lower(F.col("response"))))
+    return with_multi_stage_label(s.withColumn("__lr", F.lower(F.col("response"))), "__lr", "predicted").drop("__lr")
 
 
 def running_confusion(parsed: DataFrame, keys: tuple[str, ...] = ("prompt_id",)) -> DataFrame:
