@@ -35,11 +35,17 @@ def _scorer(key: str, factory: ScorerFactory):
 
 
 def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt", out: str = "response",
-                    key: str = "default", group_by_length: bool = True) -> DataFrame:
-    """Append ``out`` = scorer(prompt) batch by batch."""
-    src = length_grouped(df, prompt) if group_by_length else df
-    if "length_bucket" in src.columns and "length_bucket" not in df.columns:
-        src = src.drop("length_bucket")
+                    key: str = "default", keys: Sequence[str] | None = None,
+                    group_by_length: bool = True) -> DataFrame:
+    """Append ``out`` = scorer(prompt) batch by batch.
+
+    Only ``keys`` + the prompt cross into Python (Arrow batches of
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows); rows are sorted by
+    length inside each partition first (P11), without a shuffle."""
+    cols = list(keys) + [prompt] if keys is not None else list(df.columns)
+    src = df.select(*cols)
+    if group_by_length:
+        src = length_grouped(src, prompt).drop("length_bucket")
     schema = T.StructType(src.schema.fields + [T.StructField(out, T.StringType(), True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

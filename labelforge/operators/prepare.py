@@ -74,9 +74,15 @@ def length_bucket(text_col: str = "text") -> Column:
     return F.when(w <= 0, F.lit(0)).otherwise(F.floor(F.log2(w)).cast("int") + 1)
 
 
-def length_grouped(df: DataFrame, text: str = "text", partitions: int | None = None) -> DataFrame:
-    """Rows of similar length next to each other ahead of batch inference:
-    range-partition by bucket, then sort within partitions by length."""
+def length_grouped(df: DataFrame, text: str = "text", partitions: int | None = None,
+                   shuffle: bool = False) -> DataFrame:
+    """Rows of similar length next to each other ahead of batch inference.
+
+    Default: sort within each partition by (bucket, length): no data moves, and
+    every Arrow batch holds similar lengths. ``shuffle=True`` also
+    range-partitions by length (a full shuffle of the text; only worth it when
+    partitions are small and lengths vary a lot within them)."""
     x = df.withColumn("length_bucket", length_bucket(text)).withColumn("__w", word_count(text))
-    x = x.repartitionByRange(partitions, "length_bucket", "__w") if partitions else x.repartitionByRange("length_bucket", "__w")
+    if shuffle:
+        x = x.repartitionByRange(partitions, "length_bucket", "__w") if partitions else x.repartitionByRange("length_bucket", "__w")
     return x.sortWithinPartitions("length_bucket", "__w").drop("__w")

@@ -15,9 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join on ``cols`` treating NULL = NULL, keeping one copy of the keys."""
-    r = right
+def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner",
+                   broadcast_right: bool = False) -> DataFrame:
+    """Equi-join on ``cols`` treating NULL = NULL, keeping one copy of the keys.
+    ``broadcast_right`` only for right sides whose size is bounded by design."""
+    r = F.broadcast(right) if broadcast_right else right
     for c in cols:
         r = r.withColumnRenamed(c, f"__r_{c}")
     cond = None
@@ -28,7 +30,8 @@ def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how:
 
 
 def exclusive_prefix(df: DataFrame, group_cols: Sequence[str], bucket_cols: Sequence[str],
-                     order_cols: Sequence[Column | str], value_col: str, out: str = "prefix") -> DataFrame:
+                     order_cols: Sequence[Column | str], value_col: str, out: str = "prefix",
+                     broadcast_levels: int = 0) -> DataFrame:
     """Per row: sum of ``value_col`` over rows of the same group that come
     strictly before it in ``(bucket_cols..., order_cols...)`` order.
 
@@ -43,7 +46,7 @@ def exclusive_prefix(df: DataFrame, group_cols: Sequence[str], bucket_cols: Sequ
         tot = df.groupBy(*parent, b).agg(F.sum(value_col).alias("__s"))
         w = Window.partitionBy(*parent).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
         off = tot.select(*parent, b, F.coalesce(F.sum("__s").over(w), F.lit(0)).alias(f"__off{k}"))
-        out_df = null_safe_join(out_df, off, parent + [b])
+        out_df = null_safe_join(out_df, off, parent + [b], broadcast_right=k < broadcast_levels)
         offsets.append(F.col(f"__off{k}"))
     wf = (
         Window.partitionBy(*group_cols, *bucket_cols)

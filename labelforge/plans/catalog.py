@@ -760,7 +760,7 @@ def _requests(spark, sf_dir) -> DataFrame:
 SELECT doc_id, prompt_id, 'final label: ' || {LABELS_SQL}[(length(prompt) % 6) + 1] AS response FROM resp_dec"""))
 def batch_inference_python(spark, sf_dir):
     req = _requests(spark, sf_dir)
-    out = INF.batch_inference(req, INF.length_scorer, prompt="prompt", key="length")
+    out = INF.batch_inference(req, INF.length_scorer, prompt="prompt", key="length", keys=["doc_id", "prompt_id"])
     return out.select("doc_id", "prompt_id", "response")
 
 
