@@ -145,7 +145,8 @@ def length_buckets(spark, sf_dir):
 
 # --------------------------------------------------------------------------- splits
 
-def _split_sql(table_sql: str, id_col: str, label_col: str, what: str) -> str:
+def _split_sql(table_sql: str, id_col: str, label_col: str, what: str, test_size: str = "0.3",
+               eval_share: str = "0.5") -> str:
     def lr(src: str, n: str, draw: str, out: str) -> str:
         return f"""SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, {label_col} ASC NULLS LAST) <= d - sum(base) OVER () THEN 1 ELSE 0 END AS {out}
 FROM (SELECT *, (d::HUGEINT * {n}) // tot AS base, (d::HUGEINT * {n}) % tot AS rem
@@ -153,8 +154,8 @@ FROM (SELECT *, (d::HUGEINT * {n}) // tot AS base, (d::HUGEINT * {n}) % tot AS r
     return f"""WITH e AS (SELECT {id_col}, {label_col}, md5(CAST({id_col} AS VARCHAR) || ':42') AS k FROM {table_sql}),
 r AS (SELECT {id_col}, {label_col}, row_number() OVER (PARTITION BY {label_col} ORDER BY k, {id_col}) AS rk FROM e),
 c AS (SELECT {label_col}, count(*) AS n FROM e GROUP BY {label_col}),
-q1 AS (SELECT {label_col}, n, q_temp FROM ({lr('c', 'n', '0.3', 'q_temp')})),
-q2 AS (SELECT {label_col}, q_temp, q_test FROM ({lr('q1', 'q_temp', '0.5', 'q_test')})),
+q1 AS (SELECT {label_col}, n, q_temp FROM ({lr('c', 'n', test_size, 'q_temp')})),
+q2 AS (SELECT {label_col}, q_temp, q_test FROM ({lr('q1', 'q_temp', eval_share, 'q_test')})),
 s AS (SELECT r.{id_col}, r.{label_col}, r.rk,
              CASE WHEN r.rk <= q2.q_test THEN 'test' WHEN r.rk <= q2.q_temp THEN 'eval' ELSE 'train' END AS split
       FROM r JOIN q2 ON r.{label_col} IS NOT DISTINCT FROM q2.{label_col})
@@ -860,3 +861,69 @@ def streaming_confusion(spark, sf_dir):
     sink = IO.scratch_path(spark, "stream-sink")
     ST.run_confusion(spark, src, sink, IO.scratch_path(spark, "stream-ckpt"))
     return spark.read.parquet(sink)
+
+
+# --------------------------------------------------------------------------- more preparation / sources
+
+@query("snapshot_roundtrip", with_parts(["gold"], f"""
+SELECT doc_id, text AS input, {_INSTR} AS instruction, regexp_replace(raw_label, '[N|n]o\\s*', 'no', 'g') AS output FROM gold"""))
+def snapshot_roundtrip(spark, sf_dir):
+    path = IO.scratch_path(spark, "snapshot")
+    rows = P.instruction_rows(FX.gold(spark, sf_dir), report="text", label="raw_label", keep=["doc_id"])
+    IO.write_snapshot(rows, path)
+    return spark.read.parquet(path)
+
+
+@query("training_text_label_only", with_parts(["gold"], """
+SELECT doc_id, regexp_replace(raw_label, '[N|n]o\\s*', 'no', 'g') || '</s>' AS text FROM gold"""))
+def training_text_label_only(spark, sf_dir):
+    rows = P.instruction_rows(FX.gold(spark, sf_dir), report="text", label="raw_label", keep=["doc_id"])
+    return P.training_text(rows, eos="</s>", label_only=True).select("doc_id", "text")
+
+
+@query("surrogate_index", "SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM documents")
+def surrogate_index(spark, sf_dir):
+    return IO.read_parquet_indexed(spark, f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "row_id")
+
+
+@query("preview_errors", with_parts(["pred"], """
+SELECT prompt_id, doc_id, correct, predicted FROM pred WHERE correct IS DISTINCT FROM predicted
+ORDER BY prompt_id, doc_id LIMIT 5"""))
+def preview_errors(spark, sf_dir):
+    """``head()`` of the error table: a preview, so the limit is the feature."""
+    e = ER.errors(FX.predictions(spark, sf_dir)).select("prompt_id", "doc_id", "correct", "predicted")
+    return e.orderBy("prompt_id", "doc_id").limit(5)
+
+
+@query("split_sizes_80_10_10", _split_sql("events", "event_id", "event_type",
+                                          "SELECT split, event_type, count(*) AS n FROM s GROUP BY ALL", "0.2", "0.5"))
+def split_sizes_80_10_10(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", "event_type")
+    return X.split_sizes(X.stratified_split(e, "event_id", "event_type", test_size=0.2, eval_share=0.5), "event_type")
+
+
+@query("classification_prompt_repeat", with_parts(["gold"], f"""
+SELECT doc_id, md5('### Instruction:' || chr(10) || {_INSTR} || chr(10) || chr(10) || '### Input:' || chr(10) || text
+                   || chr(10) || chr(10) || {_INSTR} || chr(10) || chr(10) || '### Response:') AS prompt_md5 FROM gold"""))
+def classification_prompt_repeat(spark, sf_dir):
+    g = FX.gold(spark, sf_dir)
+    return g.select("doc_id", F.md5(TX.classification_prompt(F.lit(P.DEFAULT_INSTRUCTION), F.col("text"), True)).alias("prompt_md5"))
+
+
+@query("kv_label_known_only", with_parts(["resp"], f"""
+SELECT doc_id, prompt_id,
+       {OP.sql_kv_argmax(f"list_filter(list_transform(list_filter(list_transform({OP.sql_splitlines('lower(response)')}, lambda l, i: {{'p': string_split(l, ':'), 'pos': i}}), lambda e: len(e.p) = 2 AND regexp_full_match({OP.sql_strip('e.p[2]')}, '{OP.FLOAT_RE}')), lambda e: {{'k': {OP.sql_strip('e.p[1]')}, 'v': CAST(replace({OP.sql_strip('e.p[2]')}, '_', '') AS DOUBLE), 'pos': e.pos}}), lambda e: list_contains({LABELS_SQL}, e.k))")} AS label
+FROM resp"""))
+def kv_label_known_only(spark, sf_dir):
+    r = FX.responses(spark, sf_dir).withColumn("__l", TX.splitlines(F.lower("response")))
+    r = r.withColumn("__kv", LB.key_value_entries(F.col("__l")))
+    return r.select("doc_id", "prompt_id", LB.key_value_argmax(F.col("__kv"), known_labels_only=True).alias("label"))
+
+
+@query("results_csv_sink", with_parts(["pred"], "SELECT prompt_id, correct, predicted, count(*) AS n FROM pred GROUP BY ALL"))
+def results_csv_sink(spark, sf_dir):
+    """S5/S7 with CSV files: run-stamped, partitioned by run and prompt key."""
+    path = IO.scratch_path(spark, "results-csv")
+    IO.write_results(FX.predictions(spark, sf_dir), path, run=IO.run_id(), fmt="csv")
+    back = IO.read_csv(spark, path, "doc_id bigint, prompt_id string, ord int, correct string, predicted string, run_id string, prompt_key string")
+    return back.groupBy("prompt_id", "correct", "predicted").agg(F.count(F.lit(1)).alias("n"))

@@ -119,3 +119,22 @@ def write_prompt_catalogue(spark: SparkSession, prompts: Sequence[tuple[str, str
     text = yaml.safe_dump({"prompts": [{"id": i, "description": d, "text": t} for i, d, t in prompts]},
                           allow_unicode=True, sort_keys=False)
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.option("lineSep", "\n").text(path)
+
+
+def read_parquet_indexed(spark: SparkSession, path: str, out: str = "row_id") -> DataFrame:
+    """Parquet rows with a stable 0..n-1 index in (file, row) order, for
+    sources that carry no key. Built from the file-metadata row index plus a
+    per-file offset (one row per file), so no row moves and re-execution
+    gives the same ids (unlike ``monotonically_increasing_id``)."""
+    base = spark.read.parquet(path)
+    cols = base.columns
+    x = base.select(*cols, F.col("_metadata.file_path").alias("__f"), F.col("_metadata.row_index").alias("__r"))
+    files = x.groupBy("__f").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
+    offsets = files.select("__f", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    return x.join(offsets, "__f").select(*cols, (F.col("__off") + F.col("__r")).cast("bigint").alias(out))
+
+
+def write_snapshot(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """S3: dataset snapshot (Parquet instead of pickle)."""
+    df.write.mode(mode).parquet(path)
