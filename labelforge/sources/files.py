@@ -33,7 +33,8 @@ def run_id(now: _dt.datetime | None = None) -> str:
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with multi-line quoted text and doubled quotes (pandas style)."""
+    """CSV with multi-line quoted text and doubled quotes (pandas style).
+    As with pandas, an empty field (quoted or not) reads as NULL."""
     r = spark.read.options(**CSV_READ)
     return (r.schema(schema) if schema is not None else r.option("inferSchema", "false")).csv(path)
 
