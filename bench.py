@@ -30,6 +30,7 @@ HEADLINE = [
     "confidence_summary",
     "batch_inference_python",
     "streaming_confusion",
+    "prompt_evaluation",
 ]
 
 

@@ -145,21 +145,25 @@ def length_buckets(spark, sf_dir):
 
 # --------------------------------------------------------------------------- splits
 
-def _split_sql(table_sql: str, id_col: str, label_col: str, what: str, test_size: str = "0.3",
-               eval_share: str = "0.5") -> str:
+def _split_ctes(table_sql: str, id_col: str, label_col: str, test_size: str = "0.3", eval_share: str = "0.5") -> str:
+    """CTEs ``e, r, c, q1, q2, s``; ``s`` holds ``(id, label, rk, split)``."""
     def lr(src: str, n: str, draw: str, out: str) -> str:
         return f"""SELECT *, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, {label_col} ASC NULLS LAST) <= d - sum(base) OVER () THEN 1 ELSE 0 END AS {out}
 FROM (SELECT *, (d::HUGEINT * {n}) // tot AS base, (d::HUGEINT * {n}) % tot AS rem
       FROM (SELECT *, sum({n}) OVER () AS tot, CAST(ceil({draw} * sum({n}) OVER ()) AS BIGINT) AS d FROM {src}))"""
-    return f"""WITH e AS (SELECT {id_col}, {label_col}, md5(CAST({id_col} AS VARCHAR) || ':42') AS k FROM {table_sql}),
+    return f"""e AS (SELECT {id_col}, {label_col}, md5(CAST({id_col} AS VARCHAR) || ':42') AS k FROM {table_sql}),
 r AS (SELECT {id_col}, {label_col}, row_number() OVER (PARTITION BY {label_col} ORDER BY k, {id_col}) AS rk FROM e),
 c AS (SELECT {label_col}, count(*) AS n FROM e GROUP BY {label_col}),
 q1 AS (SELECT {label_col}, n, q_temp FROM ({lr('c', 'n', test_size, 'q_temp')})),
 q2 AS (SELECT {label_col}, q_temp, q_test FROM ({lr('q1', 'q_temp', eval_share, 'q_test')})),
 s AS (SELECT r.{id_col}, r.{label_col}, r.rk,
              CASE WHEN r.rk <= q2.q_test THEN 'test' WHEN r.rk <= q2.q_temp THEN 'eval' ELSE 'train' END AS split
-      FROM r JOIN q2 ON r.{label_col} IS NOT DISTINCT FROM q2.{label_col})
-{what}"""
+      FROM r JOIN q2 ON r.{label_col} IS NOT DISTINCT FROM q2.{label_col})"""
+
+
+def _split_sql(table_sql: str, id_col: str, label_col: str, what: str, test_size: str = "0.3",
+               eval_share: str = "0.5") -> str:
+    return f"WITH {_split_ctes(table_sql, id_col, label_col, test_size, eval_share)}\n{what}"
 
 
 @query("stratified_split", _split_sql("events", "event_id", "event_type",
@@ -927,3 +931,28 @@ def results_csv_sink(spark, sf_dir):
     IO.write_results(FX.predictions(spark, sf_dir), path, run=IO.run_id(), fmt="csv")
     back = IO.read_csv(spark, path, "doc_id bigint, prompt_id string, ord int, correct string, predicted string, run_id string, prompt_key string")
     return back.groupBy("prompt_id", "correct", "predicted").agg(F.count(F.lit(1)).alias("n"))
+
+
+# --------------------------------------------------------------------------- the workflow end to end
+
+@query("prompt_evaluation", with_parts(["gold", "prompts"], "SELECT * FROM mm", _split_ctes("gold", "doc_id", "true_label") + f""",
+t AS (SELECT g.doc_id, g.text, g.true_label FROM gold g JOIN s ON g.doc_id = s.doc_id WHERE s.split = 'test'),
+rq AS (SELECT t.doc_id, p.prompt_id, t.true_label AS correct,
+              replace(replace(p.template, '{{y_i}}', {predicted_sql('t.doc_id', 'p.prompt_id', 't.true_label')}), '{{report}}', t.text) AS prompt
+       FROM t CROSS JOIN prompts p),
+rs AS (SELECT doc_id, prompt_id, correct, 'final label: ' || {LABELS_SQL}[(length(prompt) % 6) + 1] AS response FROM rq),
+ev AS (SELECT prompt_id, correct, {OP.sql_multi_stage('lower(response)')} AS predicted FROM rs),
+""" + _metrics_sql("ev", ["prompt_id"], 1.0)))
+def prompt_evaluation(spark, sf_dir):
+    """Reports -> stratified split -> test rows x prompt catalogue -> rendered
+    prompts -> batch inference (Python scorer) -> multi-stage parse -> macro
+    metrics per prompt: the reference's prompt-evaluation loop as one job."""
+    g = FX.gold(spark, sf_dir).select("doc_id", "text", "true_label")
+    test = X.stratified_split(g, "doc_id", "true_label").filter(F.col("split") == "test")
+    pairs = PR.expand(test, FX.prompts_df(spark).select("prompt_id", "template"))
+    stated = FX.predicted_expr(F.col("doc_id"), F.col("prompt_id"), F.col("true_label"))
+    req = pairs.select("doc_id", "prompt_id", F.col("true_label").alias("correct"),
+                       TX.render(F.col("template"), F.col("text"), stated).alias("prompt"))
+    resp = INF.batch_inference(req, INF.length_scorer, key="length", keys=["doc_id", "prompt_id", "correct"])
+    parsed = LB.with_multi_stage_label(resp.withColumn("lr", F.lower("response")), "lr", "predicted")
+    return _metrics_df(parsed, ["prompt_id"], zero_division=1.0)
