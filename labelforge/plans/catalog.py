@@ -26,11 +26,28 @@ ORACLE: dict[str, str] = {}
 R = 9
 
 
+def bigint_counts(sql: str) -> str:
+    """DuckDB's ``count_if`` is HUGEINT; ``count(*) FILTER (WHERE ...)`` is
+    BIGINT like Spark's ``count_if``."""
+    out, i = [], 0
+    while True:
+        j = sql.find("count_if(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        k, depth = j + len("count_if("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        out.append(sql[i:j] + "count(*) FILTER (WHERE " + bigint_counts(sql[j + len("count_if("):k - 1]) + ")")
+        i = k
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         QUERIES[name] = fn
         if sql is not None:
-            ORACLE[name] = sql
+            ORACLE[name] = bigint_counts(sql)
         return fn
     return deco
 
@@ -132,7 +149,7 @@ def length_audit(spark, sf_dir):
 
 
 @query("length_buckets", f"""
-SELECT CASE WHEN w <= 0 THEN 0 ELSE length(bin(w)) END AS length_bucket, count(*) AS n_docs,
+SELECT CAST(CASE WHEN w <= 0 THEN 0 ELSE length(bin(w)) END AS INTEGER) AS length_bucket, count(*) AS n_docs,
        min(w) AS min_words, max(w) AS max_words
 FROM (SELECT {_WC}::BIGINT AS w FROM documents) GROUP BY 1""")
 def length_buckets(spark, sf_dir):

@@ -40,6 +40,23 @@ def _norm(v):
     return v
 
 
+def _kind(series: pd.Series) -> str:
+    """Coarse type of a column: int / float / bool / str / other (NULL-only: empty)."""
+    vals = [v for v in series.tolist() if v is not None and not (isinstance(v, float) and math.isnan(v))]
+    if not vals:
+        return "empty"
+    v = vals[0]
+    if isinstance(v, bool):
+        return "bool"
+    if isinstance(v, int) or type(v).__name__.startswith("int"):
+        return "int"
+    if isinstance(v, float) or type(v).__name__.startswith("float"):
+        return "float"
+    if isinstance(v, str):
+        return "str"
+    return type(v).__name__
+
+
 def canon(df: pd.DataFrame) -> list[tuple]:
     cols = sorted(df.columns)
     rows = [tuple(_norm(r[c]) for c in cols) for r in df.to_dict("records")]
@@ -63,6 +80,16 @@ def compare(spark, sf_dir: str, name: str, con=None) -> dict:
     if sorted(s_pd.columns) != sorted(o_pd.columns):
         res["status"] = f"columns differ: spark={sorted(s_pd.columns)} oracle={sorted(o_pd.columns)}"
         return res
+    kinds = {c: (_kind(s_pd[c]), _kind(o_pd[c])) for c in s_pd.columns}
+    dtypes = {c: (str(s_pd[c].dtype), str(o_pd[c].dtype)) for c in s_pd.columns}
+    dtype_diff = {c: d for c, d in dtypes.items() if d[0] != d[1] and "empty" not in kinds[c]}
+    if dtype_diff:
+        res["status"] = f"dtypes differ: {dtype_diff}"
+        return res
+    bad_kinds = {c: k for c, k in kinds.items() if k[0] != k[1] and "empty" not in k}
+    if bad_kinds:
+        res["status"] = f"types differ: {bad_kinds}"
+        return res
     a, b = canon(s_pd), canon(o_pd)
     if a == b:
         res["status"] = "match"
