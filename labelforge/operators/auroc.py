@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from labelforge.operators.rank import exclusive_prefix, null_safe_join, range_bucket
@@ -26,30 +26,41 @@ BUCKETS = 1024
 
 
 def auroc(df: DataFrame, keys: Sequence[str], score: str = "score", positive: str = "is_true",
-          buckets: int = BUCKETS, materialize: bool = True) -> DataFrame:
+          buckets: int = BUCKETS, materialize: bool | str = True) -> DataFrame:
     """``(keys..., auroc, n_pos, n_neg)`` for binary ``positive`` (0/1 or bool).
 
     ``keys`` identify a bounded number of curves (prompt x label, say): the
     per-curve bound tables (curves x buckets rows) are broadcast. With
-    ``materialize`` the deduplicated ``(curve, score)`` table is checkpointed to
-    the shared checkpoint folder once, so the four passes over it neither
-    recompute the upstream plan nor depend on executors that may be lost."""
+    ``materialize`` the deduplicated ``(curve, score)`` table is checkpointed
+    once to the shared checkpoint folder (``'parquet'``: written as a Parquet
+    table there instead), so the passes over it neither recompute the upstream
+    plan nor depend on executors that may be lost."""
     keys = list(keys)
     y = F.col(positive).cast("long")
     d = df.groupBy(*keys, F.col(score).alias("__score")).agg(
         F.sum(y).alias("__pos"), F.sum(1 - y).alias("__neg")
     )
-    if materialize:
+    if materialize == "parquet":
+        from labelforge.sources.files import materialize as _materialize
+
+        d = _materialize(d, "auroc-scores")
+    elif materialize:
         d = d.checkpoint(eager=True)
     lvl1 = d.groupBy(*keys).agg(F.min("__score").alias("__lo"), F.max("__score").alias("__hi"))
     d = null_safe_join(d, lvl1, keys, broadcast_right=True).withColumn(
         "__b1", range_bucket(F.col("__score"), F.col("__lo"), F.col("__hi"), buckets)
     ).drop("__lo", "__hi")
-    lvl2 = d.groupBy(*keys, "__b1").agg(F.min("__score").alias("__lo"), F.max("__score").alias("__hi"))
+    # one small table per first-level bucket: its own score range (second-level
+    # buckets are re-fitted to it) and the negatives in all lower buckets
+    lvl2 = d.groupBy(*keys, "__b1").agg(
+        F.min("__score").alias("__lo"), F.max("__score").alias("__hi"), F.sum("__neg").alias("__n1"))
+    w1 = Window.partitionBy(*keys).orderBy("__b1").rowsBetween(Window.unboundedPreceding, -1)
+    lvl2 = lvl2.withColumn("__base0", F.coalesce(F.sum("__n1").over(w1), F.lit(0))).drop("__n1")
     d = null_safe_join(d, lvl2, keys + ["__b1"], broadcast_right=True).withColumn(
         "__b2", range_bucket(F.col("__score"), F.col("__lo"), F.col("__hi"), buckets)
     ).drop("__lo", "__hi")
-    d = exclusive_prefix(d, keys, ["__b1", "__b2"], ["__score"], "__neg", out="__below", broadcast_levels=1)
+    d = exclusive_prefix(d, keys + ["__b1"], ["__b2"], ["__score"], "__neg", out="__below1")
+    d = d.withColumn("__below", F.col("__base0") + F.col("__below1"))
     contrib = F.col("__pos").cast("double") * (F.col("__below").cast("double") + 0.5 * F.col("__neg").cast("double"))
     agg = d.groupBy(*keys).agg(
         F.sum(contrib).alias("__num"), F.sum("__pos").alias("n_pos"), F.sum("__neg").alias("n_neg")
