@@ -110,3 +110,28 @@ def test_label_encode_null_last(spark):
     df = spark.createDataFrame([("mets", None), ("no", "x")], "correct string, predicted string")
     got = {r["cls"]: r["code"] for r in M.label_encode(df).collect()}
     assert got == {"mets": 0, "no": 1, "x": 2, None: 3}
+
+
+def test_auroc_dense_cluster_with_outlier_is_exact(spark):
+    # all but one score fall inside the first of 1024 first-level buckets;
+    # the second level re-fits to that bucket's own range
+    rnd = random.Random(3)
+    rows = [(rnd.randint(0, 1), rnd.random() * 1e-4) for _ in range(2000)] + [(1, 1000.0)]
+    df = spark.createDataFrame(rows, "y int, score double").withColumn("g", F.lit(1))
+    got = A.auroc(df, ["g"], "score", "y").first()["auroc"]
+    exp = py_auc([y for y, _ in rows], [s for _, s in rows])
+    assert abs(got - exp) < 1e-12
+
+
+def test_split_with_hot_class_and_null_stratum(spark):
+    rows = [(i, "hot" if i % 3 == 0 else (None if i % 7 == 1 else f"c{i % 5}")) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, label string")
+    s = X.stratified_split(df, "id", "label")
+    assert s.count() == 3000 and s.select("id").distinct().count() == 3000
+    ranks = {}
+    for r in X.stratified_rank(df, "id", "label").collect():
+        ranks.setdefault(r["label"], []).append(r["rank_in_label"])
+    for lab, rk in ranks.items():  # dense 1..n within every class, NULL included
+        assert sorted(rk) == list(range(1, len(rk) + 1)), lab
+    sizes = {r["split"]: r["n"] for r in X.split_sizes(s).collect()}
+    assert sizes["test"] + sizes["eval"] == 900 and sizes["test"] == 450
