@@ -5,8 +5,6 @@ operations as JVM expressions (whole-stage codegen where Spark allows)."""
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -88,7 +86,3 @@ def word_count(c) -> Column:
 def placeholders(template) -> Column:
     """Placeholders like ``{name}`` present in a template."""
     return F.array_distinct(F.regexp_extract_all(_c(template), F.lit(r"\{([A-Za-z_][A-Za-z0-9_]*)\}"), 1))
-
-
-def quote_regex(s: str) -> str:
-    return re.escape(s)

@@ -11,15 +11,26 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from labelforge.functions import confidence as C
+from labelforge.functions import labels as LB
+from labelforge.functions import text as TX
 from labelforge.functions.labels import normalise_label
 from labelforge.functions.text import word_count
+from labelforge.operators import auroc as A
+from labelforge.operators import errors as ER
+from labelforge.operators import inference as INF
 from labelforge.operators import metrics as M
 from labelforge.operators import prepare as P
+from labelforge.operators import prompts as PR
+from labelforge.operators import reports as RP
 from labelforge.operators import split as X
 from labelforge.plans import fixtures as FX
-from labelforge.plans.oracle_parts import LABELS_SQL, lst, predicted_sql, q, with_parts
+from labelforge.plans import oracle_parts as OP
+from labelforge.plans.oracle_parts import LABELS_SQL, predicted_sql, q, with_parts
 from labelforge.schema import LABELS, RAW_NO_VARIANTS
+from labelforge.sources import files as IO
 from labelforge.sources.tables import table
+from labelforge.streaming import monitor as ST
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -316,7 +327,6 @@ def label_binarise(spark, sf_dir):
 
 # --------------------------------------------------------------------------- AUROC
 
-from labelforge.operators import auroc as A  # noqa: E402
 
 
 def _auroc_sql(src: str, keys: list[str], target_sql: str) -> str:
@@ -383,11 +393,6 @@ def auroc_natural(spark, sf_dir):
 
 # --------------------------------------------------------------------------- prompts
 
-from labelforge.functions import confidence as C  # noqa: E402
-from labelforge.functions import labels as LB  # noqa: E402
-from labelforge.functions import text as TX  # noqa: E402
-from labelforge.operators import prompts as PR  # noqa: E402
-from labelforge.plans import oracle_parts as OP  # noqa: E402
 
 
 @query("prompt_expand", with_parts(["gold", "prompts"], "SELECT g.doc_id, p.prompt_id, p.ord FROM gold g CROSS JOIN prompts p"))
@@ -521,8 +526,6 @@ def format_compliance(spark, sf_dir):
 
 # --------------------------------------------------------------------------- error analysis
 
-from labelforge.operators import errors as ER  # noqa: E402
-from labelforge.operators import reports as RP  # noqa: E402
 
 
 @query("errors", with_parts(["pred_text"], """
@@ -766,8 +769,6 @@ def explanation_checks(spark, sf_dir):
 
 # --------------------------------------------------------------------------- inference
 
-from labelforge.operators import inference as INF  # noqa: E402
-from labelforge.sources import files as IO  # noqa: E402
 
 
 def _requests(spark, sf_dir) -> DataFrame:
@@ -869,7 +870,6 @@ def prompt_catalogue(spark, sf_dir):
 
 # --------------------------------------------------------------------------- streaming
 
-from labelforge.streaming import monitor as ST  # noqa: E402
 
 
 @query("streaming_confusion", with_parts(["resp"], f"""

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from labelforge.functions.hashing import h32
 from labelforge.functions.text import render
@@ -141,5 +140,3 @@ def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = gold(spark, sf_dir)
     return g.select("doc_id", "true_label", report_expr(F.col("source"), F.col("text"), F.col("doc_id")).alias("report"))
 
-
-SCORE_TYPE = T.DoubleType()
