@@ -37,10 +37,15 @@ def confusion_matrix(df: DataFrame, keys: Sequence[str] = (), labels: Sequence[s
 
 
 def per_class_counts(df: DataFrame, keys: Sequence[str] = (), correct: str = "correct",
-                     predicted: str = "predicted") -> DataFrame:
+                     predicted: str = "predicted", counts: str | None = None) -> DataFrame:
     """``(keys..., cls, tp, n_true, n_pred)`` over the union of true and
-    predicted values; NULL is a class of its own (null-safe grouping)."""
-    cm = confusion_counts(df, keys, correct, predicted)
+    predicted values; NULL is a class of its own (null-safe grouping).
+    With ``counts`` the input already is a confusion-count table."""
+    if counts is None:
+        cm = confusion_counts(df, keys, correct, predicted)
+    else:
+        cm = df.select(*keys, F.col(correct).alias("correct"), F.col(predicted).alias("predicted"),
+                       F.col(counts).cast("long").alias("n"))
     both = cm.select(
         *keys,
         F.explode(
@@ -62,8 +67,8 @@ def _zd(num: Column, den: Column, zero_division: float) -> Column:
 
 
 def per_class_metrics(df: DataFrame, keys: Sequence[str] = (), zero_division: float = 0.0,
-                      correct: str = "correct", predicted: str = "predicted") -> DataFrame:
-    pc = per_class_counts(df, keys, correct, predicted)
+                      correct: str = "correct", predicted: str = "predicted", counts: str | None = None) -> DataFrame:
+    pc = per_class_counts(df, keys, correct, predicted, counts)
     return pc.select(
         *keys, "cls", "tp", "n_true", "n_pred",
         _zd(F.col("tp"), F.col("n_pred"), zero_division).alias("precision"),
@@ -74,16 +79,18 @@ def per_class_metrics(df: DataFrame, keys: Sequence[str] = (), zero_division: fl
 
 def macro_metrics(df: DataFrame, keys: Sequence[str] = (), zero_division: float = 0.0,
                   unparsed: str = "keep", labels: Sequence[str] | None = None,
-                  correct: str = "correct", predicted: str = "predicted") -> DataFrame:
+                  correct: str = "correct", predicted: str = "predicted", counts: str | None = None) -> DataFrame:
     """E1/E2/F8. Accuracy and macro precision/recall/F1 over the union of true and
     predicted classes (each distinct unparsed string is a class with P=R=F1=0).
     ``zero_division`` is the value of an undefined precision/recall (0 or 1).
-    ``unparsed='drop'`` first removes rows whose prediction is not a known label."""
+    ``unparsed='drop'`` first removes rows whose prediction is not a known label.
+    ``counts`` names a count column when ``df`` is a confusion-count table
+    (for example the running state of a streaming query)."""
     if unparsed == "drop":
         df = df.filter(F.col(predicted).isin(list(labels or LABELS)))
     elif unparsed != "keep":
         raise ValueError(f"unknown unparsed policy {unparsed!r}")
-    pcm = per_class_metrics(df, keys, zero_division, correct, predicted)
+    pcm = per_class_metrics(df, keys, zero_division, correct, predicted, counts)
     return pcm.groupBy(*keys).agg(
         (F.sum("tp") / F.sum("n_true")).alias("accuracy"),
         F.avg("precision").alias("precision"),

@@ -973,3 +973,12 @@ def prompt_evaluation(spark, sf_dir):
     resp = INF.batch_inference(req, INF.length_scorer, key="length", keys=["doc_id", "prompt_id", "correct"])
     parsed = LB.with_multi_stage_label(resp.withColumn("lr", F.lower("response")), "lr", "predicted")
     return _metrics_df(parsed, ["prompt_id"], zero_division=1.0)
+
+
+@query("streaming_metrics", with_parts(["resp"], "SELECT * FROM mm", f"""
+parsed AS (SELECT doc_id, prompt_id, correct, {OP.sql_multi_stage('lower(response)')} AS predicted FROM resp),
+""" + _metrics_sql("parsed", ["prompt_id"], 1.0)))
+def streaming_metrics(spark, sf_dir):
+    """Macro metrics from the streaming monitor's running confusion counts."""
+    counts = streaming_confusion(spark, sf_dir)
+    return _metrics_df(counts, ["prompt_id"], zero_division=1.0, counts="n")
