@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from labelforge.functions.text import after_last, py_strip, splitlines
+from labelforge.functions.text import LINE_SPLIT_RE, after_last, py_strip, splitlines
 from labelforge.schema import LABELS
 
 
@@ -119,16 +119,35 @@ def multi_stage_label(c, labels: list[str] | None = None, known_labels_only: boo
     return F.coalesce(_stage1(lines), _stage2(c, labels), stage3)
 
 
+def _first_two_lines(section: Column) -> Column:
+    """``' '.join(section.splitlines()[:2])`` without splitting the rest of a
+    long text (a third element, if any, holds the remainder)."""
+    parts = F.split(section, LINE_SPLIT_RE, 3)
+    return F.when(section == "", F.lit("")).otherwise(F.array_join(F.slice(parts, 1, 2), " "))
+
+
 def with_multi_stage_label(df, text, out: str = "predicted", labels: list[str] | None = None,
                            known_labels_only: bool = False):
-    """DataFrame-level T5: lines, key/value entries and the folded entries are
-    materialised once per row, so nothing is re-split inside a lambda."""
+    """DataFrame-level T5: the text is split into lines once; stage 1 keeps lines
+    by a prefix test, stage 3 looks only at lines holding a ``:`` (no regex on
+    the others), stage 2 splits off just the first two lines after the marker.
+    Intermediates are columns, so nothing is re-evaluated inside a lambda."""
     t = _c(text)
     x = df.withColumn("__lines", splitlines(t))
-    entries = key_value_entries(F.col("__lines"))
+    x = x.withColumn("__colon", F.filter(
+        F.transform("__lines", lambda l, i: F.struct(l.alias("l"), i.alias("i"))), lambda e: e["l"].contains(":")))
+    indexed = F.transform("__colon", lambda e: F.struct(F.split(e["l"], ":", -1).alias("p"), e["i"].alias("pos")))
+    kv = F.filter(indexed, lambda e: (F.size(e["p"]) == 2) & py_strip(F.element_at(e["p"], 2)).rlike(FLOAT_RE))
+    entries = F.transform(kv, lambda e: F.struct(
+        py_strip(F.element_at(e["p"], 1)).alias("k"),
+        F.regexp_replace(py_strip(F.element_at(e["p"], 2)), "_", "").cast("double").alias("v"),
+        e["pos"].alias("pos")))
     if known_labels_only:
         entries = F.filter(entries, lambda e: e["k"].isin(labels or LABELS))
     x = x.withColumn("__kv", entries)
     x = x.withColumn("__folded", _dedupe_first_pos_last_value(F.col("__kv")))
-    x = x.withColumn(out, F.coalesce(_stage1(F.col("__lines")), _stage2(t, labels), _first_argmax(F.col("__folded"))))
-    return x.drop("__lines", "__kv", "__folded")
+    section = py_strip(after_last(t, "### output ###"))
+    hit = F.lower(F.regexp_extract(_first_two_lines(section), rf"(?iu)\b({label_alternation(labels)})\b", 1))
+    stage2 = F.when(hit != "", hit)
+    x = x.withColumn(out, F.coalesce(_stage1(F.col("__lines")), stage2, _first_argmax(F.col("__folded"))))
+    return x.drop("__lines", "__colon", "__kv", "__folded")

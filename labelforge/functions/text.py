@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 LINE_BREAKS = ["\n", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x85", "\u2028", "\u2029"]
 LINE_SPLIT_RE = r"\r\n|[\n\r\x0B\x0C\x1C\x1D\x1E\x{85}\x{2028}\x{2029}]"
 
-# Python str.strip() with no argument strips Unicode whitespace.
-_STRIP_RE = r"(?U)^\s+|\s+$"
+# Python str.strip() with no argument strips the characters for which
+# str.isspace() is true; the set is derived from that rule.
+PY_WHITESPACE = "".join(chr(c) for c in range(0x110000) if chr(c).isspace())
 
 
 def _c(x) -> Column:
@@ -21,8 +22,10 @@ def _c(x) -> Column:
 
 
 def py_strip(c) -> Column:
-    """``str.strip()``: Spark's ``trim`` only strips spaces."""
-    return F.regexp_replace(_c(c), _STRIP_RE, "")
+    """``str.strip()``: the native character-set ``trim`` with Python's
+    whitespace set (plain ``trim`` only strips spaces; a regex strip scans the
+    whole text)."""
+    return F.trim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def splitlines(c) -> Column:

@@ -126,8 +126,17 @@ ALT = "|".join(LABELS)
 FLOAT_RE = r"[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?"
 
 
+def _ws_sql() -> str:
+    from labelforge.functions.text import PY_WHITESPACE
+
+    return "||".join(f"chr({ord(ch)})" for ch in PY_WHITESPACE)
+
+
+WS_SQL = _ws_sql()
+
+
 def sql_strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"trim({x}, {WS_SQL})"
 
 
 def sql_splitlines(x: str) -> str:
