@@ -116,3 +116,19 @@ def test_compliance(spark):
                                "t string, s string")
     r = df.select(C.compliance("t", "s").alias("c")).first()["c"]
     assert r["all_labels"] and r["sums_to_one"] and r["stated_is_max"] and r["lower_case"]
+
+
+TRICKY = [
+    "final label: mets\nfinal label: stable", "final label:", " final label: mets\n### output ###\nStable now",
+    "x\n### output ###\n\nline1\nIMPROVED", "### output ###\na\nb\nmets", "a: 0.2\nb: 0.7\nc: 0.7",
+    "a: 0.9\nb: 0.5\na: 0.1", "a: 1:2\nb: 1e-3", "- no: 0.9", "", "\n\n", "k: 1_0\r\nj: 2\r\n",
+    "### output ###", "x: 1\x0bfinal label: romets", "no mets", "report: a\nexam: b\nvalue: .5\n",
+]
+
+
+@pytest.mark.parametrize("text", TRICKY)
+def test_dataframe_parser_equals_row_scalar(spark, text):
+    df = spark.createDataFrame([(text,)], "t string")
+    a = LB.with_multi_stage_label(df, "t", "p").first()["p"]
+    b = one(spark, LB.multi_stage_label(F.col("t")), text)
+    assert a == b
