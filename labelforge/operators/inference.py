@@ -45,7 +45,7 @@ def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt
     cols = list(keys) + [prompt] if keys is not None else list(df.columns)
     src = df.select(*cols)
     if group_by_length:
-        src = length_grouped(src, prompt).drop("length_bucket")
+        src = length_grouped(src, prompt)
     schema = T.StructType(src.schema.fields + [T.StructField(out, T.StringType(), True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -78,11 +78,12 @@ def length_grouped(df: DataFrame, text: str = "text", partitions: int | None = N
                    shuffle: bool = False) -> DataFrame:
     """Rows of similar length next to each other ahead of batch inference.
 
-    Default: sort within each partition by (bucket, length): no data moves, and
-    every Arrow batch holds similar lengths. ``shuffle=True`` also
-    range-partitions by length (a full shuffle of the text; only worth it when
-    partitions are small and lengths vary a lot within them)."""
-    x = df.withColumn("length_bucket", length_bucket(text)).withColumn("__w", word_count(text))
+    Default: sort within each partition by character length (native ``length``,
+    no regex pass over the text): no data moves, and every Arrow batch holds
+    similar lengths. ``shuffle=True`` also range-partitions by length (a full
+    shuffle of the text; only worth it when lengths vary a lot within
+    partitions)."""
+    x = df.withColumn("__len", F.length(F.col(text)))
     if shuffle:
-        x = x.repartitionByRange(partitions, "length_bucket", "__w") if partitions else x.repartitionByRange("length_bucket", "__w")
-    return x.sortWithinPartitions("length_bucket", "__w").drop("__w")
+        x = x.repartitionByRange(partitions, "__len") if partitions else x.repartitionByRange("__len")
+    return x.sortWithinPartitions("__len").drop("__len")
