@@ -122,7 +122,9 @@ def wide_export(scores: DataFrame, per_label: DataFrame, row_keys: Sequence[str]
     for lab in labels:
         au = au.withColumnRenamed(lab, f"auroc_{lab}")
     mean = macro_auroc(per_label, group_keys).drop("n_defined")
-    au = au.join(mean, list(group_keys)) if group_keys else au.crossJoin(mean)
-    if group_keys:
-        return wide.join(au, list(group_keys))
-    return wide.crossJoin(au)
+    if not group_keys:  # one curve set: join on a constant key
+        wide, au, mean = (x.withColumn("__one", F.lit(1)) for x in (wide, au, mean))
+        group_keys = ["__one"]
+    # the AUROC side has one row per curve set: bounded, broadcast
+    au = au.join(mean, list(group_keys))
+    return wide.join(F.broadcast(au), list(group_keys)).drop("__one")

@@ -139,10 +139,8 @@ def label_counts(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
 def label_share(df: DataFrame, label: str) -> DataFrame:
     """Count and ``round(100*n/total, 2)`` (half-even, like pandas)."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select(
-        label, "n", F.bround(100.0 * F.col("n") / F.col("total"), 2).alias("ratio_pct")
-    )
+    total = F.sum("n").over(Window.partitionBy())  # over the class-count table only
+    return counts.select(label, "n", F.bround(100.0 * F.col("n") / total, 2).alias("ratio_pct"))
 
 
 def label_imbalance(df: DataFrame, label: str) -> DataFrame:

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import placeholders, render
+from labelforge.operators.dims import MAX_INLINE_ROWS, attach
 
 
-def expand(reports: DataFrame, prompts: DataFrame) -> DataFrame:
-    """Every prompt over every report. The catalogue is a fixed-size
-    dimension (tens of rows), so it is broadcast and the report table streams
-    through a BroadcastNestedLoopJoin without any shuffle of report text."""
-    return reports.crossJoin(F.broadcast(prompts))
+def expand(reports: DataFrame, prompts: DataFrame, max_prompts: int = MAX_INLINE_ROWS) -> DataFrame:
+    """Every prompt over every report. The catalogue is a small dimension
+    (tens of rows): it is size-checked and inlined into each report row, so the
+    report table streams through without a join or a shuffle of report text."""
+    return attach(reports, prompts, max_prompts)
 
 
 def route_groups(prompts: DataFrame, split_index: int, before: str = "before", after: str = "after") -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import py_strip
+from labelforge.operators.dims import attach, literal_rows
 from labelforge.schema import LABELS
 
 # Fixed values from the reference's prompt catalogue: keywords per label.
@@ -98,8 +99,15 @@ def sections(df: DataFrame, text: str = "report", keys: Sequence[str] = ("report
 def keyword_hits(secs: DataFrame, keywords: DataFrame, keys: Sequence[str] = ("report_id",)) -> DataFrame:
     """``(keys..., section, label, ord, keyword)`` for each keyword contained
     (lower-cased) in a section. Keywords are broadcast (fixed table)."""
-    j = secs.select(*keys, "section", F.lower("body").alias("__lb")).crossJoin(F.broadcast(keywords))
-    return j.filter(F.col("__lb").contains(F.col("keyword"))).drop("__lb")
+    arr = literal_rows(keywords)
+    if arr is None:  # a very large keyword table: plain join on the condition
+        j = secs.select(*keys, "section", F.lower("body").alias("__lb")).join(
+            keywords, F.col("__lb").contains(F.col("keyword")))
+        return j.drop("__lb")
+    lb = F.lower(F.col("body"))
+    x = secs.select(*keys, "section", lb.alias("__lb"))
+    x = x.select(*keys, "section", F.inline(F.filter(arr, lambda k: F.col("__lb").contains(k["keyword"]))))
+    return x
 
 
 def keyword_label(secs: DataFrame, keywords: DataFrame, keys: Sequence[str] = ("report_id",),
@@ -148,7 +156,7 @@ def phrase_label(df: DataFrame, weights: DataFrame, text: str = "report", keys:
     (label order on ties); reports with no phrase get no row."""
     labels = list(labels or LABELS)
     ordm = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
-    j = df.select(*keys, F.lower(F.col(text)).alias("__lt")).crossJoin(F.broadcast(weights))
+    j = attach(df.select(*keys, F.lower(F.col(text)).alias("__lt")), weights)
     j = j.withColumn("__hits", F.regexp_count("__lt", F.concat(F.lit("\\Q"), F.col("phrase"), F.lit("\\E"))))
     per = j.filter(F.col("__hits") > 0).groupBy(*keys, "label").agg(F.sum(F.col("__hits") * F.col("weight")).alias("__s"))
     tot = per.groupBy(*keys).agg(F.sum("__s").alias("__t"),

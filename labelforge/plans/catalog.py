@@ -266,7 +266,7 @@ def _fold_predictions(spark, sf_dir) -> DataFrame:
     g = FX.gold(spark, sf_dir).select("doc_id", "true_label")
     folds = X.stratified_kfold(g, "doc_id", "true_label", k=5).select("doc_id", "true_label", "fold")
     p = FX.prompts_df(spark).select("prompt_id", "ord")
-    return folds.crossJoin(F.broadcast(p)).select(
+    return PR.expand(folds, p).select(
         "doc_id", "fold", "prompt_id", F.col("true_label").alias("correct"),
         FX.predicted_expr(F.col("doc_id"), F.col("prompt_id"), F.col("true_label")).alias("predicted"))
 

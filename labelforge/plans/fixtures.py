@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import h32
 from labelforge.functions.text import render
+from labelforge.operators.prompts import expand
 from labelforge.schema import LABELS, PROMPT_SCHEMA, RAW_NO_VARIANTS
 from labelforge.sources.tables import table
 
@@ -75,7 +76,7 @@ def predictions(spark: SparkSession, sf_dir: str, with_text: bool = False) -> Da
             predicted_expr(F.col("doc_id"), F.col("prompt_id"), F.col("true_label")).alias("predicted")]
     if with_text:
         cols += ["text", "lang", "source", "n_chars"]
-    return g.crossJoin(F.broadcast(p)).select(*cols)
+    return expand(g, p).select(*cols)
 
 
 def score_expr(doc_id: Column, prompt_id: Column, label: Column, predicted: Column) -> Column:
