@@ -74,28 +74,59 @@ def auroc(df: DataFrame, keys: Sequence[str], score: str = "score", positive: st
 
 
 def positional_pairs(labels: Sequence[str] | None = None) -> list[tuple[str, str]]:
-    """(score label, truth label) pairs as the reference zips them: score
-    columns in label order against binarised truth columns in sorted order."""
+    """E8 when every label occurs as a truth: (score label, truth label) pairs,
+    score columns in label order against binarised truth columns in sorted order."""
     labels = list(labels or LABELS)
     return list(zip(labels, sorted(labels)))
 
 
+def positional_targets(scores: DataFrame, keys: Sequence[str], truth: str = "true_label",
+                       labels: Sequence[str] | None = None) -> DataFrame:
+    """E8 exactly as the reference pairs columns: the binariser is fitted on
+    the truth values present (sorted), score column ``i`` (label order) is
+    compared with truth column ``i``; with exactly two truth classes the
+    binariser yields one column (the second class); a score column without a
+    partner gets no target (NULL AUROC). Output: ``(keys..., label, target)``,
+    at most ``groups x labels`` rows."""
+    labels = list(labels or LABELS)
+    keys = list(keys)
+    present = scores.select(*keys, F.col(truth).alias("__t")).filter(F.col("__t").isNotNull()).distinct()
+    w = Window.partitionBy(*keys).orderBy("__t")
+    ranked = present.withColumn("__i", F.row_number().over(w) - 1).withColumn(
+        "__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    # two classes -> one column holding the second class
+    ranked = ranked.withColumn("__col", F.when(F.col("__n") == 2, F.col("__i") - 1).otherwise(F.col("__i")))
+    label_pos = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
+    grid = ranked.select(*keys).distinct().withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
+    grid = grid.withColumn("__col", label_pos[F.col("label")])
+    return grid.join(ranked.filter(F.col("__col") >= 0).select(*keys, "__col", F.col("__t").alias("target")),
+                     keys + ["__col"], "left").drop("__col")
+
+
 def one_vs_rest_auroc(scores: DataFrame, keys: Sequence[str] = (), truth: str = "true_label",
                       label: str = "label", score: str = "score", align: str = "by_name",
                       labels: Sequence[str] | None = None) -> DataFrame:
     """E6/E8 on long-form scores ``(keys..., label, score, truth)``: one AUROC
     per ``(keys..., label)``. ``align='by_name'`` (correct) compares score of
     label L with truth == L; ``'positional'`` reproduces the reference's
-    pairing of score label i with the i-th truth label in sorted order."""
+    pairing of score column i with the i-th binarised truth column."""
+    keys = list(keys)
     if align == "by_name":
-        target = F.col(label)
+        flagged = scores.withColumn("__y", (F.col(truth) == F.col(label)).cast("int"))
     elif align == "positional":
-        m = F.create_map(*[F.lit(x) for pair in positional_pairs(labels) for x in pair])
-        target = m[F.col(label)]
+        targets = positional_targets(scores, keys, truth, labels).withColumnRenamed("label", label)
+        # targets: groups x labels rows (bounded by design) -> broadcast
+        flagged = scores.join(F.broadcast(targets), keys + [label], "left").withColumn(
+            "__y", (F.col(truth) == F.col("target")).cast("int"))
+        flagged = flagged.filter(F.col("target").isNotNull())
     else:
         raise ValueError(f"unknown align {align!r}")
-    flagged = scores.withColumn("__y", (F.col(truth) == target).cast("int"))
-    return auroc(flagged, list(keys) + [label], score=score, positive="__y")
+    out = auroc(flagged, keys + [label], score=score, positive="__y")
+    if align == "positional":
+        # score columns with no truth partner: NaN in the reference -> NULL
+        grid = scores.select(*keys, label).distinct()
+        out = grid.join(out, keys + [label], "left")
+    return out
 
 
 def macro_auroc(per_label: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -338,9 +338,6 @@ au AS (SELECT {k}, CASE WHEN sum(pos) > 0 AND sum(neg) > 0 THEN sum(pos * (below
               sum(pos)::BIGINT AS n_pos, sum(neg)::BIGINT AS n_neg FROM c GROUP BY ALL)"""
 
 
-_POS_MAP = "CASE label " + " ".join(f"WHEN {q(s)} THEN {q(t)}" for s, t in A.positional_pairs()) + " END"
-
-
 @query("auroc_by_label", with_parts(["scores"], f"SELECT prompt_id, label, round(auroc, {R}) AS auroc, n_pos, n_neg FROM au",
                                     _auroc_sql("scores", ["prompt_id", "label"], "true_label = label")))
 def auroc_by_label(spark, sf_dir):
@@ -354,8 +351,20 @@ def auroc_macro(spark, sf_dir):
                    ["average_auroc"])
 
 
-@query("auroc_positional", with_parts(["scores"], f"SELECT prompt_id, label, round(auroc, {R}) AS auroc, n_pos, n_neg FROM au",
-                                      _auroc_sql("scores", ["prompt_id", "label"], f"true_label = {_POS_MAP}")))
+_POS_TARGETS = f"""tr AS (SELECT prompt_id, t, i, n, CASE WHEN n = 2 THEN i - 1 ELSE i END AS col
+       FROM (SELECT prompt_id, t, row_number() OVER (PARTITION BY prompt_id ORDER BY t) - 1 AS i,
+                    count(*) OVER (PARTITION BY prompt_id) AS n
+             FROM (SELECT DISTINCT prompt_id, true_label AS t FROM scores WHERE true_label IS NOT NULL))),
+tg AS (SELECT g.prompt_id, g.label, tr.t AS target
+       FROM (SELECT DISTINCT prompt_id, label FROM scores) g
+       LEFT JOIN tr ON g.prompt_id = tr.prompt_id AND list_position({LABELS_SQL}, g.label) - 1 = tr.col),
+ps AS (SELECT s.*, tg.target FROM scores s JOIN tg USING (prompt_id, label) WHERE tg.target IS NOT NULL)"""
+
+
+@query("auroc_positional", with_parts(["scores"], f"""
+SELECT g.prompt_id, g.label, round(au.auroc, {R}) AS auroc, au.n_pos, au.n_neg
+FROM (SELECT DISTINCT prompt_id, label FROM scores) g LEFT JOIN au USING (prompt_id, label)""",
+    _POS_TARGETS + ",\n" + _auroc_sql("ps", ["prompt_id", "label"], "true_label = target")))
 def auroc_positional(spark, sf_dir):
     return rounded(A.one_vs_rest_auroc(FX.scores(spark, sf_dir), ["prompt_id"], align="positional"), ["auroc"])
 

@@ -135,3 +135,30 @@ def test_split_with_hot_class_and_null_stratum(spark):
         assert sorted(rk) == list(range(1, len(rk) + 1)), lab
     sizes = {r["split"]: r["n"] for r in X.split_sizes(s).collect()}
     assert sizes["test"] + sizes["eval"] == 900 and sizes["test"] == 450
+
+
+def py_positional(rows, labels):
+    """Reference pairing: binariser over sorted present truths, score column i
+    (label order) against truth column i; two classes -> one column."""
+    classes = sorted({t for t, _ in rows})
+    cols = [classes[1]] if len(classes) == 2 else classes
+    out = {}
+    for i, lab in enumerate(labels):
+        if i >= len(cols):
+            out[lab] = None
+            continue
+        out[lab] = py_auc([t == cols[i] for t, _ in rows], [s[lab] for _, s in rows])
+    return out
+
+
+@pytest.mark.parametrize("present", [LABELS, ["mets", "no", "stable", "romets"], ["stable", "no"]])
+def test_positional_auroc_matches_reference_pairing(spark, present):
+    rnd = random.Random(len(present))
+    rows = [(present[i % len(present)], {lab: float(rnd.randint(0, 9)) for lab in LABELS}) for i in range(120)]
+    long = [(i, t, lab, s[lab]) for i, (t, s) in enumerate(rows) for lab in LABELS]
+    df = spark.createDataFrame(long, "row_id int, true_label string, label string, score double")
+    got = {r["label"]: r["auroc"] for r in A.one_vs_rest_auroc(df, align="positional").collect()}
+    exp = py_positional(rows, LABELS)
+    assert set(got) == set(LABELS)
+    for lab in LABELS:
+        assert (got[lab] is None and exp[lab] is None) or abs(got[lab] - exp[lab]) < 1e-12, lab
