@@ -36,26 +36,40 @@ def _scorer(key: str, factory: ScorerFactory):
 
 def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt", out: str = "response",
                     key: str = "default", keys: Sequence[str] | None = None,
-                    group_by_length: bool = True) -> DataFrame:
-    """Append ``out`` = scorer(prompt) batch by batch.
+                    group_by_length: bool = True, materialize: bool = False) -> DataFrame:
+    """``out`` = scorer(prompt), batch by batch.
 
     Only ``keys`` + the prompt cross into Python (Arrow batches of
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows); rows are sorted by
-    length inside each partition first (P11), without a shuffle."""
-    cols = list(keys) + [prompt] if keys is not None else list(df.columns)
-    src = df.select(*cols)
+    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows) and only ``keys`` +
+    the response come back; rows are sorted by length inside each partition
+    first (P11), without a shuffle. With ``keys=None`` every input column is
+    kept. ``materialize=True`` writes the responses once to the shared
+    checkpoint folder and returns that table: use it for sampled (not
+    deterministic) models, so that a task re-run after an executor loss cannot
+    change responses that were already consumed."""
+    keep = list(keys) if keys is not None else [c for c in df.columns if c != prompt]
+    src = df.select(*keep, prompt)
     if group_by_length:
         src = length_grouped(src, prompt)
-    schema = T.StructType(src.schema.fields + [T.StructField(out, T.StringType(), True)])
+    schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(out, T.StringType(), True)])
+    if keys is None and prompt in df.columns:
+        schema = T.StructType(list(schema.fields[:-1]) + [src.schema[prompt], schema.fields[-1]])
+        keep = keep + [prompt]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = _scorer(key, factory)
         for pdf in batches:
-            res = fn(pdf[prompt])
-            pdf[out] = pd.Series(res, index=pdf.index).astype(object)
-            yield pdf
+            res = pd.Series(fn(pdf[prompt]), index=pdf.index).astype(object)
+            part = pdf[keep].copy()
+            part[out] = res
+            yield part
 
-    return src.mapInPandas(run, schema)
+    result = src.mapInPandas(run, schema)
+    if materialize:
+        from labelforge.sources.files import materialize as _materialize
+
+        result = _materialize(result, "responses")
+    return result
 
 
 def replay(requests: DataFrame, stored: DataFrame, keys: Sequence[str], response: str = "response") -> DataFrame:

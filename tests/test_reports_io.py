@@ -101,3 +101,12 @@ def test_streaming_running_counts_across_batches(spark):
     ST.run_confusion(spark, src, sink, IO.scratch_path(spark, "t-ckpt"))
     got = {(r["correct"], r["predicted"]): r["n"] for r in spark.read.parquet(sink).collect()}
     assert got == {("no", "no"): 1, ("no", "mets"): 1, ("mets", "mets"): 2, ("stable", "stable"): 1, ("stable", None): 1}
+
+
+def test_scorer_keeps_all_columns_without_keys_and_materialises(spark):
+    req = spark.createDataFrame([(1, "abc", "x")], "doc_id long, prompt string, extra string")
+    r = INF.batch_inference(req, INF.length_scorer).first()
+    assert (r["doc_id"], r["prompt"], r["extra"], r["response"]) == (1, "abc", "x", "final label: stable")
+    m = INF.batch_inference(req, INF.length_scorer, keys=["doc_id"], materialize=True)
+    assert m.columns == ["doc_id", "response"] and m.first()["response"] == "final label: stable"
+    assert "parquet" in m._jdf.queryExecution().executedPlan().toString().lower()  # read back from the shared folder
