@@ -70,6 +70,12 @@ def hex_buckets(key: Column, digits: Sequence[int] = (3, 3)) -> list[Column]:
 
 
 def range_bucket(x: Column, lo: Column, hi: Column, n: int) -> Column:
-    """Equal-width bucket of ``x`` in ``[lo, hi]``: monotone in ``x``."""
-    b = F.floor((x - lo) / (hi - lo) * F.lit(n)).cast("int")
-    return F.when(hi > lo, F.least(b, F.lit(n - 1))).otherwise(F.lit(0))
+    """Equal-width bucket of ``x`` in ``[lo, hi]``, non-decreasing in ``x``
+    (Spark order: NaN above +inf). Halved operands avoid overflow of
+    ``hi - lo``; with an infinite or NaN bound the range degenerates to three
+    buckets (lowest value, highest value, everything between)."""
+    finite = ~F.isnan(lo) & ~F.isnan(hi) & (lo > F.lit(float("-inf"))) & (hi < F.lit(float("inf")))
+    scaled = F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * F.lit(n)).cast("int")
+    regular = F.when(hi > lo, F.least(F.greatest(scaled, F.lit(0)), F.lit(n - 1))).otherwise(F.lit(0))
+    degenerate = F.when(x == lo, F.lit(0)).when(x == hi, F.lit(n - 1)).otherwise(F.lit(n // 2))
+    return F.when(finite, regular).otherwise(degenerate)

@@ -162,3 +162,14 @@ def test_positional_auroc_matches_reference_pairing(spark, present):
     assert set(got) == set(LABELS)
     for lab in LABELS:
         assert (got[lab] is None and exp[lab] is None) or abs(got[lab] - exp[lab]) < 1e-12, lab
+
+
+@pytest.mark.parametrize("extra", [[(1, float("inf"))], [(0, float("-inf")), (1, float("inf"))],
+                                   [(0, -1e308), (1, 1e308)]])
+def test_auroc_with_extreme_scores(spark, extra):
+    rnd = random.Random(11)
+    rows = [(rnd.randint(0, 1), rnd.random()) for _ in range(300)] + extra
+    df = spark.createDataFrame(rows, "y int, score double").withColumn("g", F.lit(1))
+    got = A.auroc(df, ["g"], "score", "y", buckets=8).first()["auroc"]
+    exp = py_auc([y for y, _ in rows], [s for _, s in rows])
+    assert abs(got - exp) < 1e-12
