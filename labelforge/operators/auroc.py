@@ -37,6 +37,9 @@ def auroc(df: DataFrame, keys: Sequence[str], score: str = "score", positive: st
     plan nor depend on executors that may be lost."""
     keys = list(keys)
     y = F.col(positive).cast("long")
+    # a row without a score or without a target has no rank (the reference
+    # raises on such input); it does not enter P, N or the sums
+    df = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull())
     d = df.groupBy(*keys, F.col(score).alias("__score")).agg(
         F.sum(y).alias("__pos"), F.sum(1 - y).alias("__neg")
     )

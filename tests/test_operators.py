@@ -173,3 +173,10 @@ def test_auroc_with_extreme_scores(spark, extra):
     got = A.auroc(df, ["g"], "score", "y", buckets=8).first()["auroc"]
     exp = py_auc([y for y, _ in rows], [s for _, s in rows])
     assert abs(got - exp) < 1e-12
+
+
+def test_auroc_ignores_rows_without_score_or_target(spark):
+    rows = [(1, 0.9), (0, 0.1), (1, None), (None, 0.5), (0, 0.8)]
+    df = spark.createDataFrame(rows, "y int, score double").withColumn("g", F.lit(1))
+    r = A.auroc(df, ["g"], "score", "y").first()
+    assert (r["n_pos"], r["n_neg"], r["auroc"]) == (1, 2, 1.0)
