@@ -132,3 +132,22 @@ def test_dataframe_parser_equals_row_scalar(spark, text):
     a = LB.with_multi_stage_label(df, "t", "p").first()["p"]
     b = one(spark, LB.multi_stage_label(F.col("t")), text)
     assert a == b
+
+
+@pytest.mark.parametrize("text,label", [("énoé mets", "mets"), ("Ça no", "no"), ("stable。", "stable"), ("nó no", "no")])
+def test_word_boundaries_follow_python_unicode_rules(spark, text, label):
+    # Python's \b treats accented letters as word characters
+    import re
+
+    m = re.search(r"\b(?:no|mets|progression|stable|improved|romets)\b", text)
+    assert m.group(0) == label
+    assert one(spark, LB.first_label(F.col("t"), "null"), text) == label
+
+
+def test_order_invariance_of_metrics(spark):
+    from labelforge.operators import metrics as M
+
+    rows = [("no", "no"), ("mets", "no"), ("stable", None), ("mets", "mets"), ("no", "junk")] * 7
+    a = M.macro_metrics(spark.createDataFrame(rows, "correct string, predicted string")).first()
+    b = M.macro_metrics(spark.createDataFrame(rows[::-1], "correct string, predicted string").repartition(5)).first()
+    assert a == b
