@@ -53,3 +53,11 @@ def test_length_grouped_sorts_within_partitions(spark):
     for r in parts:
         by_part.setdefault(r["p"], []).append(r["n"])
     assert all(v == sorted(v) for v in by_part.values()) and sum(map(len, by_part.values())) == 200
+
+
+def test_oracle_count_rewrite_handles_nesting():
+    from labelforge.plans.catalog import bigint_counts
+
+    sql = "SELECT count_if(a = (1)), round(count_if(coalesce(b, false)) / count(*), 9) FROM t"
+    assert bigint_counts(sql) == ("SELECT count(*) FILTER (WHERE a = (1)), "
+                                  "round(count(*) FILTER (WHERE coalesce(b, false)) / count(*), 9) FROM t")
