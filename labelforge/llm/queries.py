@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelforge.llm import bpe
+from labelforge.llm import bpe, sharding
 from labelforge.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -25,6 +25,12 @@ def op1_bpe_chunk_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_chunk_reuse,)}
+def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = sharding.shard(documents(spark, sf_dir), 16)
+    return got.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_histogram_sort)}
 #: DuckDB SQL, where SQL can express the operator.
 ORACLE: dict[str, str] = {}
