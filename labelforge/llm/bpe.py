@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from labelforge.llm.common import saved
+
 #: Expected bytes between cuts (a power of two), and the least bytes of a chunk.
 CHUNK_BITS = 10
 MIN_CHUNK = 256
@@ -56,6 +58,7 @@ class Codec:
         self.tok.no_truncation()
         self.tok.no_padding()
         self.table = vocabulary_bytes(tokenizer_json)
+        self.narrow = "<u2" if len(self.table) <= 1 << 16 else "<u4"
         self.sizes = np.array([len(t) for t in self.table], np.int64)
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -183,14 +186,30 @@ def _list(kind: pa.DataType, values: list) -> pa.Array:
     return pa.array(values, kind)
 
 
+def _name(b: bytes) -> bytes:
+    """A text's or chunk's name: 128 bits of its content."""
+    return hashlib.blake2b(b, digest_size=16).digest()
+
+
+def _packed(batches):
+    """Texts by name and compressed, as they move to the ids they share."""
+    import zstandard
+
+    z = zstandard.ZstdCompressor(level=1)
+    for b in batches:
+        texts = [(t.as_py() or "").encode() for t in b.column("text")]
+        yield pa.record_batch([b.column("doc_id"), _list(pa.binary(), list(map(_name, texts))),
+                               _list(pa.binary(), list(map(z.compress, texts)))], ["doc_id", "key", "packed"])
+
+
 def _chunks(batches):
     for b in batches:
         rows: list[list] = [[], [], [], []]
-        for key, text in zip(b.column("key").to_pylist(), b.column("text")):
-            t = text.as_py().encode()
-            at = 0
+        for text in b.column("text"):
+            t = (text.as_py() or "").encode()
+            key, at = _name(t), 0
             for end in chunk_bounds(t):
-                for r, v in zip(rows, (key, at, end - at, hashlib.blake2b(t[at:end], digest_size=16).digest())):
+                for r, v in zip(rows, (key, at, end - at, _name(t[at:end]))):
                     r.append(v)
                 at = end
         yield pa.record_batch([_list(k, r) for k, r in zip((pa.binary(), pa.int64(), pa.int64(), pa.binary()), rows)],
@@ -199,18 +218,20 @@ def _chunks(batches):
 
 def _encode_owned(spec):
     def run(batches):
-        c = codec(spec.value)
+        import zstandard
+
+        c, z = codec(spec.value), zstandard.ZstdDecompressor()
         done: set[bytes] = set()  # a text that stands here again is encoded once
         for b in batches:
             names, ids = [], []
-            for key, text, owned in zip(b.column("key").to_pylist(), b.column("text"), b.column("owned")):
-                if key in done:
+            for key, packed, owned in zip(b.column("key"), b.column("packed"), b.column("owned")):
+                if not owned.is_valid or key.as_py() in done:
                     continue
-                done.add(key)
-                t, own = text.as_py().encode(), owned.as_py()
+                done.add(key.as_py())
+                t, own = z.decompress(packed.as_py()), owned.as_py()
                 got = c.encode([t[o["start"]:o["start"] + o["size"]] for o in own])
                 names += [o["chunk"] for o in own]
-                ids += [g.astype("<u4").tobytes() for g in got]
+                ids += [g.astype(c.narrow).tobytes() for g in got]
             yield pa.record_batch([_list(pa.binary(), names), _list(pa.binary(), ids)], ["chunk", "ids"])
     return run
 
@@ -219,19 +240,21 @@ def _encode_rest(spec, with_text: bool):
     names = ["doc_id", "n_tokens", "ids", "decoded"]
 
     def run(batches):
-        c = codec(spec.value)
+        import zstandard
+
+        c, z = codec(spec.value), zstandard.ZstdDecompressor()
         for b in batches:
             at = 0
-            doc, texts, known = b.column("doc_id"), b.column("text"), b.column("known")
+            doc, packed, known = b.column("doc_id"), b.column("packed"), b.column("known")
             while at < b.num_rows:
                 end, size, parts = at, 0, []
                 while end < b.num_rows and size < 2 * CALL_BYTES:
-                    parts.append(texts[end].as_py().encode())
+                    parts.append(z.decompress(packed[end].as_py()))
                     size += len(parts[-1])
                     end += 1
                 had = [known[i].as_py() for i in range(at, end)]
                 plain = iter(c.encode([p for p, k in zip(parts, had) if not k]))
-                ids = [stitch(c, p, list({o["start"]: (o["start"], o["size"], np.frombuffer(o["ids"], "<u4"))
+                ids = [stitch(c, p, list({o["start"]: (o["start"], o["size"], np.frombuffer(o["ids"], c.narrow))
                                           for o in k}.values())) if k else next(plain)
                        for p, k in zip(parts, had)]
                 yield pa.record_batch([
@@ -248,18 +271,19 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, decode: bool = True) ->
     (null unless ``decode``). ``tokenizer_json`` is the content of a byte-level
     BPE file of the tokenizers library."""
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
-    text = F.coalesce(F.col("text"), F.lit(""))
-    d = docs.select("doc_id", F.unhex(F.md5(text.cast("binary"))).alias("key"), text.alias("text"))
+    doc_type = docs.schema["doc_id"].dataType.simpleString()
+    d = docs.select("doc_id", "text").mapInArrow(_packed, f"doc_id {doc_type}, key binary, packed binary")
 
-    pieces = d.select("key", "text").mapInArrow(_chunks, "key binary, start long, size long, chunk binary")
-    held = pieces.groupBy("key", "start", "size", "chunk").agg(F.count(F.lit(1)).alias("n"))
+    pieces = docs.select("text").mapInArrow(_chunks, "key binary, start long, size long, chunk binary")
+    held = saved(pieces.groupBy("key", "start", "size", "chunk").agg(F.count(F.lit(1)).alias("n")), "bpe-chunks")
     shared = (held.groupBy("chunk").agg(F.sum("n").alias("n"), F.min(F.struct("key", "start", "size")).alias("at"))
               .where("n > 1"))
     owned = (shared.select("at.key", F.struct("at.start", "at.size", "chunk").alias("o"))
              .groupBy("key").agg(F.collect_list("o").alias("owned")))
-    once = d.join(owned, "key").mapInArrow(_encode_owned(spec), "chunk binary, ids binary")
+    # both joins below are left joins on the same side, so that its exchange is
+    # made once and read twice
+    once = d.join(owned, "key", "left").mapInArrow(_encode_owned(spec), "chunk binary, ids binary")
     known = (held.select("key", "start", "size", "chunk").join(once, "chunk")
              .groupBy("key").agg(F.collect_list(F.struct("start", "size", "ids")).alias("known")))
-    doc_type = docs.schema["doc_id"].dataType.simpleString()
     return d.join(known, "key", "left").mapInArrow(
         _encode_rest(spec, decode), f"doc_id {doc_type}, n_tokens long, ids binary, decoded string")

@@ -27,7 +27,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def subtract_mod(col, mod: int, rest: int):
+def crc_mod_is(col, mod: int, rest: int):
     """Is crc32(col as text) mod ``mod`` equal to ``rest``; a null key counts as
     the empty string."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod == rest

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelforge.llm import bpe, sharding
+from labelforge.llm import bpe, quality, sharding, simhash
 from labelforge.llm.common import documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -31,6 +31,20 @@ def op2_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_histogram_sort)}
+def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet")
+
+
+def op3_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = quality.judge(documents(spark, sf_dir), labels(spark, sf_dir).where("quality = 1"))
+    return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "score")
+
+
+def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_histogram_sort, op3_ngram_ratio, op10_simhash_pigeonhole)}
 #: DuckDB SQL, where SQL can express the operator.
 ORACLE: dict[str, str] = {}
