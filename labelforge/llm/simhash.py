@@ -223,8 +223,8 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     small = (index.join(sizes.where(F.col("n") <= PAIRWISE), "key").groupBy("key")
              .agg(F.collect_list("_fp").alias("members")))
-    large = sizes.where(F.col("n") > PAIRWISE).select("key", F.lit(None).cast("array<long>").alias("members"))
-    met = saved(probes.join(small.union(large), "key")
+    buckets = sizes.join(small, "key", "left")  # members are null in a large bucket
+    met = saved(probes.join(buckets, "key")
                 .withColumn("near", F.expr(f"filter(members, v -> v > _fp and bit_count(v ^ _fp) <= {int(most)})"))
                 .where("near is null or size(near) > 0").select("_fp", "near"), "simhash-met")
     pairs = met.select(F.col("_fp").alias("a"), F.explode("near").alias("b"))
