@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Bytes of text in a block; more only if there would be over MOST_BLOCKS.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 MOST_BLOCKS = 1 << 18
 MOST_BUCKETS = 1 << 16
 

@@ -219,13 +219,14 @@ def _answer(table: pa.Table) -> pa.Table:
                      "tokens": pa.array([int(total.sum()), *rest], pa.int64())})
 
 
-def score(docs: DataFrame, held_out, depth: int = DEPTH, states: int = STATES) -> DataFrame:
+def score(docs: DataFrame, held_out, depth: int = DEPTH, states: int = STATES,
+          block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
     for every row of ``docs``; ``held_out`` is the column of rows not learned."""
     spark = docs.sparkSession
     d = docs.select("doc_id", "text").withColumn("held_out", held_out)
     tree = spark.sparkContext.broadcast(fit(d.where("not held_out"), depth, states))
-    block, n_blocks = blocks.blocked(d, "held_out")
+    block, n_blocks = blocks.blocked(d, "held_out", block_bytes=block_bytes)
     buckets = min(blocks.MOST_BUCKETS, n_blocks)
     asked = block.groupBy("block").applyInArrow(
         _ask(buckets), "block int, bucket int, hashes binary, counts binary")

@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelforge.llm import bpe, quality, sharding, simhash
-from labelforge.llm.common import documents
+from labelforge.llm import bpe, langid, lm, quality, repeats, sharding, simhash
+from labelforge.llm.common import crc_mod_is, documents
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -41,10 +41,29 @@ def op3_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "score")
 
 
+def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    held = crc_mod_is(F.col("doc_id"), 3, 1)
+    model = langid.fit(docs.where(~held))
+    return langid.identify(docs, model).withColumn("held_out", held)
+
+
+def op6_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), lm.held_out())
+
+
+def op7_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = repeats.remove_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["length"])
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                      F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_histogram_sort, op3_ngram_ratio, op10_simhash_pigeonhole)}
+QUERIES = {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_histogram_sort, op3_ngram_ratio, op5_cross_parsing, op6_suffix_tree,
+                                   op7_interval_tree, op10_simhash_pigeonhole)}
 #: DuckDB SQL, where SQL can express the operator.
 ORACLE: dict[str, str] = {}
