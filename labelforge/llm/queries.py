@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelforge.llm import bpe, langid, lm, quality, repeats, sharding, simhash
+from labelforge.llm import bpe, langid, lm, packing, quality, repeats, sharding, simhash, toxicity
 from labelforge.llm.common import crc_mod_is, documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -41,6 +41,15 @@ def op3_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "score")
 
 
+def op4_compression_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    held = crc_mod_is(F.col("doc_id"), 3, 1)
+    model = toxicity.fit(docs.where(~held), labels(spark, sf_dir).select("doc_id", "toxic").where(~held))
+    return toxicity.score(docs, model).select(
+        "doc_id", held.alias("held_out"), F.col("_score").alias("score"),
+        F.when(F.col("_score") >= toxicity.TOXIC, 1).otherwise(0).alias("predicted"))
+
+
 def op5_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     held = crc_mod_is(F.col("doc_id"), 3, 1)
@@ -59,11 +68,16 @@ def op7_interval_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_configuration_program(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir), tokenizer_json())
+
+
 def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_histogram_sort, op3_ngram_ratio, op5_cross_parsing, op6_suffix_tree,
-                                   op7_interval_tree, op10_simhash_pigeonhole)}
+QUERIES = {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_histogram_sort, op3_ngram_ratio, op4_compression_distance,
+                                   op5_cross_parsing, op6_suffix_tree, op7_interval_tree, op8_configuration_program,
+                                   op10_simhash_pigeonhole)}
 #: DuckDB SQL, where SQL can express the operator.
 ORACLE: dict[str, str] = {}
