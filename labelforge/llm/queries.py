@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from labelforge.llm import bpe, langid, lm, packing, quality, repeats, sharding, simhash, toxicity
+from labelforge.llm import bpe, langid, lm, neardup, packing, quality, repeats, sharding, simhash, toxicity
 from labelforge.llm.common import crc_mod_is, documents
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -72,12 +72,16 @@ def op8_configuration_program(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), tokenizer_json())
 
 
+def op9_small_world(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(spark.read.parquet(f"{sf_dir.rstrip('/')}/embeddings.parquet"))
+
+
 def op10_simhash_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_chunk_reuse, op2_histogram_sort, op3_ngram_ratio, op4_compression_distance,
                                    op5_cross_parsing, op6_suffix_tree, op7_interval_tree, op8_configuration_program,
-                                   op10_simhash_pigeonhole)}
+                                   op9_small_world, op10_simhash_pigeonhole)}
 #: DuckDB SQL, where SQL can express the operator.
 ORACLE: dict[str, str] = {}
