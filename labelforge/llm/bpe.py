@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labelforge.llm.common import saved
+from labelforge.llm.common import saved, sorted_join
 
 #: Expected bytes between cuts (a power of two), and the least bytes of a chunk.
 CHUNK_BITS = 10
@@ -282,8 +282,8 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, decode: bool = True) ->
              .groupBy("key").agg(F.collect_list("o").alias("owned")))
     # both joins below are left joins on the same side, so that its exchange is
     # made once and read twice
-    once = d.join(owned, "key", "left").mapInArrow(_encode_owned(spec), "chunk binary, ids binary")
-    known = (held.select("key", "start", "size", "chunk").join(once, "chunk")
+    once = sorted_join(d, owned, "key", "left").mapInArrow(_encode_owned(spec), "chunk binary, ids binary")
+    known = (sorted_join(held.select("key", "start", "size", "chunk"), once, "chunk")
              .groupBy("key").agg(F.collect_list(F.struct("start", "size", "ids")).alias("known")))
-    return d.join(known, "key", "left").mapInArrow(
+    return sorted_join(d, known, "key", "left").mapInArrow(
         _encode_rest(spec, decode), f"doc_id {doc_type}, n_tokens long, ids binary, decoded string")

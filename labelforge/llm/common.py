@@ -33,6 +33,12 @@ def crc_mod_is(col, mod: int, rest: int):
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
+def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
+    """A sort-merge join: neither side has a size bound, so neither may be
+    broadcast, however small it looks compressed."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, component): the smallest node reachable over ``edges`` (a, b), for
     every node that has an edge to another node.
@@ -43,7 +49,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     shuffle, and each round is a table in the shared folder."""
     def spread(sym: DataFrame, keep) -> DataFrame:
         low = sym.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        return sym.join(low, "a").where(keep)
+        return sorted_join(sym, low, "a").where(keep)
 
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     e = saved(e, name)
@@ -56,7 +62,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         sym = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = spread(sym, F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        both = large.join(low, "a")
+        both = sorted_join(large, low, "a")
         small = both.select("a", F.col("m").alias("b")).union(
             both.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
         e = saved(small.distinct(), name)

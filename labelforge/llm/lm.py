@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelforge.llm import blocks
-from labelforge.llm.common import saved, crc_mod_is
+from labelforge.llm.common import crc_mod_is, saved, sorted_join
 
 #: Longest context, in symbols (at most 6: contexts and a symbol share a long).
 DEPTH = 4
@@ -155,12 +155,12 @@ def fit(texts: DataFrame, depth: int = DEPTH, states: int = STATES, bar: float =
     grams = saved(leaf.select(every.alias("c"), F.col("code").bitwiseAND(F.lit(255).cast("long")).alias("sym"), "n")
                   .groupBy("c.k", "c.ctx", "sym").agg(F.sum("n").alias("n")), "pst-grams")
     totals = grams.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    shares = grams.join(totals, ["k", "ctx"])
+    shares = sorted_join(grams, totals, ["k", "ctx"])
     suffix = F.when(F.col("k") > 0, F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 8 * (k - 1)) - 1")))
     above = shares.select(F.col("k").alias("up_k"), F.col("ctx").alias("up"), F.col("sym").alias("up_sym"),
                           (F.col("n") / F.col("total")).alias("q"))
-    gains = (shares.where("k > 0").withColumns({"up_k": F.col("k") - 1, "up": suffix, "up_sym": F.col("sym")})
-             .join(above, ["up_k", "up", "up_sym"])
+    gains = (sorted_join(shares.where("k > 0").withColumns({"up_k": F.col("k") - 1, "up": suffix, "up_sym": F.col("sym")}),
+                         above, ["up_k", "up", "up_sym"])
              .groupBy("k", "ctx", "total", "kinds")
              .agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain")))
     stay = (gains.where(F.col("gain") > F.lit(bar / 2) * F.col("kinds") * F.log(F.col("total") + 1))

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labelforge.llm.common import connected_components, saved
+from labelforge.llm.common import connected_components, saved, sorted_join
 
 LEAST_COSINE = 0.98
 #: Rows of a shard and of a block of queries, at most about.
@@ -318,14 +318,13 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, shar
     found = saved(asked.groupBy("label", "dim", "shard", "part").applyInArrow(search, "rep long, links long, to long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")), "vector-components")
-    named = (nodes.select("label", "embedding", "rep", "first", "copies").join(links, "rep", "left")
-             .join(comps.withColumnRenamed("node", "rep"), "rep", "left")
-             .withColumn("component", F.coalesce("component", "rep")))
+    named = (sorted_join(sorted_join(nodes.select("label", "embedding", "rep", "first", "copies"), links, "rep", "left"),
+                         comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     least = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = named.join(least, "component").select(
+    named = sorted_join(named, least, "component").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id",
         F.lit(True).alias("good"))
-    return v.join(named, ["label", "embedding", "good"], "left").select(
+    return sorted_join(v, named, ["label", "embedding", "good"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")
     ).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labelforge.llm.bpe import in_parts, vocabulary_bytes
-from labelforge.llm.common import saved
+from labelforge.llm.common import saved, sorted_join
 
 CAPACITY = 1024
 END_ID = 2
@@ -230,7 +230,7 @@ def pack(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id:
         F.sum("_n").over(Window.partitionBy("length").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)),
         F.lit(0))).drop("_n")
     own = F.row_number().over(Window.partitionBy("length", "_cell").orderBy("doc_id", "piece", "ids_crc32")) - 1
-    ranked = (ranked.withColumn("_own", own).join(before, ["length", "_cell"])
+    ranked = (sorted_join(ranked.withColumn("_own", own), before, ["length", "_cell"])
               .withColumn("_rank", (F.col("_before") + F.col("_own")).cast("long")))
     return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "_rank").mapInArrow(
         _place(table), columns + ", sequence_id long, offset long")

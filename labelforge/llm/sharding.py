@@ -22,7 +22,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from labelforge.llm.common import saved
+from labelforge.llm.common import saved, sorted_join
 
 #: Bits of a half of the key that one round tells apart (buckets of a round).
 ROUND_BITS = 10
@@ -154,6 +154,6 @@ def shard(docs: DataFrame, shards: int = 16, cell_rows: int = CELL_ROWS, toleran
         Window.partitionBy("shard").orderBy("_cell.a", "_cell.b", "_cell.c")
         .rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     place = F.row_number().over(Window.partitionBy("shard", "_cell").orderBy("_hi", "_lo", "doc_id")) - 1
-    return (placed.withColumn("_place", place).join(before, ["shard", "_cell"])
+    return (sorted_join(placed.withColumn("_place", place), before, ["shard", "_cell"])
             .withColumn("slot", (F.col("_before") + F.col("_place")).cast("long"))
             .drop("_hi", "_lo", "_cell", "_place", "_before", "_parts"))

@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labelforge.llm.common import connected_components, saved
+from labelforge.llm.common import connected_components, saved, sorted_join
 
 SHINGLE_WORDS = 4
 MOST_BITS = 4
@@ -221,10 +221,10 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     index = fps.mapInArrow(_keys(groups, thresholds, False), "key long, _fp long")
     probes = fps.mapInArrow(_keys(groups, thresholds, True), "key long, _fp long")
     sizes = index.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    small = (index.join(sizes.where(F.col("n") <= PAIRWISE), "key").groupBy("key")
+    small = (sorted_join(index, sizes.where(F.col("n") <= PAIRWISE), "key").groupBy("key")
              .agg(F.collect_list("_fp").alias("members")))
-    buckets = sizes.join(small, "key", "left")  # members are null in a large bucket
-    met = saved(probes.join(buckets, "key")
+    buckets = sorted_join(sizes, small, "key", "left")  # members are null in a large bucket
+    met = saved(sorted_join(probes, buckets, "key")
                 .withColumn("near", F.expr(f"filter(members, v -> v > _fp and bit_count(v ^ _fp) <= {int(most)})"))
                 .where("near is null or size(near) > 0").select("_fp", "near"), "simhash-met")
     pairs = met.select(F.col("_fp").alias("a"), F.explode("near").alias("b"))
@@ -234,11 +234,11 @@ def links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     meets = crowd.mapInArrow(_codes(lower), "code long, _fp long")
     if most % 2 == 0:
         low = meets.groupBy("code").agg(F.min("_fp").alias("b"), F.count(F.lit(1)).alias("n")).where("n > 1")
-        shared = meets.join(low, "code").where("_fp <> b").select(F.col("_fp").alias("a"), "b")
+        shared = sorted_join(meets, low, "code").where("_fp <> b").select(F.col("_fp").alias("a"), "b")
     else:  # codes of one side reach a bit further
         wide = crowd.mapInArrow(_codes(lower + 1), "code long, _fp long")
         low = wide.groupBy("code").agg(F.min("_fp").alias("b"))
-        shared = (meets.join(wide.withColumnRenamed("_fp", "b"), "code").where("_fp < b")
+        shared = (sorted_join(meets, wide.withColumnRenamed("_fp", "b"), "code").where("_fp < b")
                   .select(F.col("_fp").alias("a"), "b"))
     return pairs.union(shared).distinct()
 
@@ -248,17 +248,17 @@ def components(fingerprints: DataFrame, most: int = MOST_BITS) -> DataFrame:
     smallest doc_id reachable over links."""
     nodes = saved(fingerprints.groupBy("_fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     found = connected_components(links(nodes.select("_fp"), most), "simhash-components")
-    of = nodes.join(found.withColumnRenamed("node", "_fp"), "_fp", "left").select(
+    of = sorted_join(nodes, found.withColumnRenamed("node", "_fp"), "_fp", "left").select(
         "_fp", "first", F.coalesce("component", "_fp").alias("component"))
     least = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    return of.join(least, "component").select("_fp", "component_id")
+    return sorted_join(of, least, "component").select("_fp", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words_in: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of ``docs``."""
     fps = saved(with_fingerprint(docs.select("doc_id", "text"), words_in).select("doc_id", "_fp"), "simhash")
     of = components(fps, most)
-    return fps.join(of, "_fp").select(
+    return sorted_join(fps, of, "_fp").select(
         "doc_id", F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -267,9 +267,9 @@ def keep_one(docs: DataFrame, words_in: int = SHINGLE_WORDS, most: int = MOST_BI
     full = with_fingerprint(docs, words_in).withColumns(
         {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
     fps = saved(with_fingerprint(docs.select("doc_id", "text"), words_in).select("doc_id", "_fp"), "simhash")
-    keep = (fps.join(components(fps, most), "_fp")
+    keep = (sorted_join(fps, components(fps, most), "_fp")
             .groupBy(F.col("component_id")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"),
                                                                F.coalesce("doc_id", F.lit(0)).alias("_id"), "_fp")).alias("k"))
             .select("k._id", "k._none", "k._fp"))
     keys = ["_id", "_none", "_fp"]
-    return full.join(keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return sorted_join(full, keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
