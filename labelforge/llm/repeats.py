@@ -30,7 +30,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from labelforge.llm import blocks
 
@@ -91,7 +91,7 @@ class Runs:
                 stop[:-1] &= ~ok[1:] | new[1:]
                 first.append(at + s)
                 last.append(np.flatnonzero(stop) + s)
-                hashes.append(h[anchor[at]])
+                hashes.append(_mix(h[anchor[at]] ^ _C[0]))  # smallest hashes are small: spread them out
         self.first = np.concatenate(first) if first else np.empty(0, np.int64)
         self.last = np.concatenate(last) if last else np.empty(0, np.int64)
         self.hash = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
@@ -234,9 +234,11 @@ def maximal_repeats(strings: list[bytes], least: int = LEAST):
     rest = n[whose] - offset
     wide = int(rest.max())
     flat = np.frombuffer(buf, np.uint8)
-    reach = np.arange(wide)
-    rows = np.where(reach < rest[:, None], flat[place[:, None] + reach], 0).astype(np.uint8)
-    order = np.argsort(np.ascontiguousarray(rows).view(f"S{wide}").ravel(), kind="stable")
+    rows = np.zeros((len(place), wide), np.uint8)
+    for k in range(wide):
+        more = np.flatnonzero(rest > k)
+        rows[more, k] = flat[place[more] + k]
+    order = np.argsort(rows.view(f"S{wide}").ravel(), kind="stable")
     rows, whose, offset, place, rest = rows[order], whose[order], offset[order], place[order], rest[order]
     differ = rows[1:] != rows[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), wide)
@@ -285,7 +287,7 @@ def _answer_repeats(table: pa.Table) -> pa.Table:
     return table.set_column(3, "data", pa.array(out, pa.binary()))
 
 
-def _remove(buckets: int):
+def _remove(buckets: int, as_text: bool):
     def run(table: pa.Table, answer: pa.Table) -> pa.Table:
         s = Shared(table, answer, buckets)
         said = dict(zip(answer.column("bucket").to_pylist(), answer.column("data").to_pylist()))
@@ -312,7 +314,8 @@ def _remove(buckets: int):
             start = end
         return pa.table({"doc_id": table.column("doc_id"), "n_bytes": pa.array(np.diff([0, *s.runs.ends]), pa.int64()),
                          "spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))),
-                         "kept": pa.array(kept, pa.binary()),
+                         "kept": (pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string()) if as_text
+                                  else pa.array(kept, pa.binary())),
                          **{c: table.column(c) for c in table.column_names if c not in ("block", "doc_id", "packed")}})
     return run
 
@@ -320,9 +323,23 @@ def _remove(buckets: int):
 SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("length", LongType())]))
 
 
-def remove_repeats(docs: DataFrame, *extra: str, block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+def keep_first(docs: DataFrame, **params) -> DataFrame:
+    """``docs`` with the repeats taken out of ``text`` and ``n_chars`` (if there)
+    its new length; code points that lost a byte go, a null text stays null."""
+    named = {c: f"_given_{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")}
+    given = docs.select("doc_id", "text", F.col("text").isNull().alias("_none"),
+                        *[F.col(f"`{c}`").alias(n) for c, n in named.items()])
+    got = remove_repeats(given, "_none", *named.values(), as_text=True, **params)
+    text = F.when(~F.col("_none"), F.col("kept"))
+    new = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.length(text)}
+    return got.select(*[(new[c].cast(docs.schema[c].dataType) if c in new else F.col(named[c])).alias(c) for c in docs.columns])
+
+
+def remove_repeats(docs: DataFrame, *extra: str, as_text: bool = False,
+                   block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, extra...) for every row of ``docs``: the
-    spans of bytes removed, and the bytes that stay."""
+    spans of bytes removed, and the bytes that stay (``as_text``: their text,
+    without code points that lost a byte)."""
     block, n = blocks.blocked(docs, *extra, block_bytes=block_bytes)
     buckets = min(blocks.MOST_BUCKETS, n)
     of_block = block.groupBy("block")
@@ -331,5 +348,5 @@ def remove_repeats(docs: DataFrame, *extra: str, block_bytes: int = blocks.BLOCK
     repeats = (of_block.cogroup(anchors.groupBy("block")).applyInArrow(_ask_repeats(buckets), ROWS)
                .groupBy("bucket").applyInArrow(_answer_repeats, ROWS))
     schema = StructType([docs.schema["doc_id"], StructField("n_bytes", LongType()), StructField("spans", SPANS),
-                         StructField("kept", BinaryType()), *(docs.schema[c] for c in extra)])
-    return of_block.cogroup(repeats.groupBy("block")).applyInArrow(_remove(buckets), schema)
+                         StructField("kept", StringType() if as_text else BinaryType()), *(docs.schema[c] for c in extra)])
+    return of_block.cogroup(repeats.groupBy("block")).applyInArrow(_remove(buckets, as_text), schema)
