@@ -36,7 +36,7 @@ from labelforge.llm import blocks
 
 LEAST = 50  # bytes of a repeat; at most 64 windows may share an anchor
 GRAM = 16  # bytes of an anchor
-SLICE = (1 << 20) - 128
+SLICE = (1 << 20) - 128  # windows looked at together
 LAST = np.iinfo(np.int64).max
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]  # odd mixing constants
@@ -71,8 +71,8 @@ class Runs:
             inside = np.cumsum(inside[:-1]) > 0
             view = memoryview(self.buf)
             span = LEAST - GRAM + 1
-            for s in range(0, n, SLICE):
-                count = min(SLICE, n - s)
+            for s, e in self._slices(starts, n):
+                count = e - s
                 grams = count + span - 1
                 h = _mix(_words(view, grams, s) * _C[0] + _mix(_words(view, grams, s + 8)))
                 key = (h & ~np.uint64((1 << 20) - 1)) | np.arange(grams, dtype=np.uint64)
@@ -97,6 +97,23 @@ class Runs:
         self.hash = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
         self.text = np.searchsorted(self.ends, self.first, "right")
 
+    def _slices(self, starts: np.ndarray, n: int):
+        """Ranges of windows to look at together: some whole texts, or a part of
+        a long text cut at fixed places, so that a text's runs don't depend on
+        the texts around it."""
+        at = 0
+        for start, end in zip(starts.tolist(), self.ends.tolist()):
+            if end - at > SLICE and start > at:
+                yield at, min(start, n)
+                at = start
+            while end - at > SLICE:  # only a long text gets here
+                yield at, min(at + SLICE, n)
+                at += SLICE
+            if at >= n:
+                return
+        if at < n:
+            yield at, n
+
     def around(self, i: int) -> bytes:
         return self.buf[self.first[i]:self.last[i] + LEAST]
 
