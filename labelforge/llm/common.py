@@ -5,7 +5,10 @@ from __future__ import annotations
 
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType, StructField, StructType
 
 from labelforge.session import ensure_checkpoint_dir
 
@@ -33,6 +36,24 @@ def crc_mod_is(col, mod: int, rest: int):
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % mod == rest
 
 
+def with_python_column(docs: DataFrame, name: str, kind: DataType, run) -> DataFrame:
+    """The rows of ``docs`` with a column ``name`` that ``run`` makes of the
+    texts of a batch (a list of str or None); a column of that name is replaced.
+    All columns travel under names of their own, so that none can clash."""
+    kept = [c for c in docs.columns if c != name]
+    fields = [StructField(f"_given_{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]
+
+    def batches(it):
+        make = run()
+        for b in it:
+            made = pa.array(make(b.column(len(kept)).to_pylist()), to_arrow_type(kind))
+            yield pa.record_batch([*b.columns[:len(kept)], made], [*b.schema.names[:len(kept)], "_made"])
+
+    got = docs.select(*[F.col(f"`{c}`").alias(f.name) for c, f in zip(kept, fields)], F.col("text").alias("_text")).mapInArrow(
+        batches, StructType([*fields, StructField("_made", kind)]))
+    return got.select(*[F.col(f.name).alias(c) for c, f in zip(kept, fields)], F.col("_made").alias(name))
+
+
 def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """A sort-merge join: neither side has a size bound, so neither may be
     broadcast, however small it looks compressed."""

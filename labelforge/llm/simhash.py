@@ -31,8 +31,9 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType
 
-from labelforge.llm.common import connected_components, saved, sorted_join
+from labelforge.llm.common import connected_components, saved, sorted_join, with_python_column
 
 SHINGLE_WORDS = 4
 MOST_BITS = 4
@@ -65,23 +66,14 @@ def fingerprint(text: bytes, words_in: int = SHINGLE_WORDS) -> int:
     return int(np.packbits(counts * 2 > len(spans), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(words_in: int):
-    def run(batches):
-        for b in batches:
-            texts = b.column("_text")
-            f = [fingerprint((texts[i].as_py() or "").encode(), words_in) for i in range(b.num_rows)]
-            cols = [c for c in b.schema.names if c != "_text"]
-            yield pa.record_batch([*(b.column(c) for c in cols), pa.array(np.array(f, np.uint64).view(np.int64))],
-                                  [*cols, "_fp"])
-    return run
-
-
 def with_fingerprint(docs: DataFrame, words_in: int = SHINGLE_WORDS) -> DataFrame:
     """The rows of ``docs`` with ``_fp``, the fingerprint's bits as a long."""
-    from pyspark.sql.types import LongType, StructField, StructType
+    def run():
+        def make(texts: list[str | None]) -> np.ndarray:
+            return np.array([fingerprint((t or "").encode(), words_in) for t in texts], np.uint64).view(np.int64)
+        return make
 
-    schema = StructType([*docs.schema.fields, StructField("_fp", LongType())])
-    return docs.withColumn("_text", F.col("text")).mapInArrow(_fingerprints(words_in), schema)
+    return with_python_column(docs, "_fp", LongType(), run)
 
 
 def bits_of(x: np.ndarray) -> np.ndarray:

@@ -29,9 +29,9 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
-from labelforge.llm.common import saved
+from labelforge.llm.common import saved, with_python_column
 
 #: Toxic and ordinary documents that are learned from, at most.
 SAMPLE = (3000, 9000)
@@ -221,16 +221,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` with ``_score``, from 0 to 1."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches):
+    def run():
         m = shared.value
-        gains = m.gains() if len(m.curve) else None
-        for b in batches:
-            got = [value(m.curve, features(gains(words_of(t.as_py())))) if gains else 0.0 for t in b.column("_text")]
-            keep = [c for c in b.schema.names if c != "_text"]
-            yield pa.record_batch([*(b.column(c) for c in keep), pa.array(got, pa.float64())], [*keep, "_score"])
+        if not len(m.curve):
+            return lambda texts: [0.0] * len(texts)
+        gains = m.gains()
+        return lambda texts: [value(m.curve, features(gains(words_of(t)))) for t in texts]
 
-    return docs.withColumn("_text", F.col("text")).mapInArrow(
-        run, StructType([*docs.schema.fields, StructField("_score", DoubleType())]))
+    return with_python_column(docs, "_score", DoubleType(), run)
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
