@@ -5,6 +5,8 @@ Scores come out as ``array<double>`` aligned to the label order; use
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -18,6 +20,9 @@ def _c(x) -> Column:
 # Variant A: any word followed by a number; later match of a label wins.
 PATTERN_A = r"(?U)(\w+)\s*[:,\s]*([\d.]+)"
 _DECIMAL_RE = r"^(?:\d+\.?\d*|\.\d+)$"
+# Decimal digits beyond ASCII, which ``float`` reads as well, and their values.
+_DIGITS = [chr(c) for c in range(128, 0x110000) if unicodedata.category(chr(c)) == "Nd"]
+_VALUES = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
 
 
 def pattern_b(labels: list[str] | None = None) -> str:
@@ -39,6 +44,7 @@ def _last_value(pairs: Column, label: str) -> Column:
 
 
 def _to_double(v: Column) -> Column:
+    v = F.when(v.rlike(r"^[\x00-\x7F]*$"), v).otherwise(F.translate(v, "".join(_DIGITS), _VALUES))
     return F.when(v.rlike(_DECIMAL_RE), v.cast("double")).otherwise(F.lit(0.0))
 
 

@@ -35,7 +35,7 @@ def first_label(c, unparsed: str = "raw", labels: list[str] | None = None) -> Co
     ``unparsed='raw'`` keeps the raw text as the label (reference behaviour),
     ``'null'`` gives NULL (use ``filter(isNotNull)`` for ``'drop'``)."""
     c = _c(c)
-    hit = F.regexp_extract(c, rf"\b({label_alternation(labels)})\b", 1)
+    hit = F.regexp_extract(c, rf"(?U)\b({label_alternation(labels)})\b", 1)
     if unparsed == "raw":
         return F.when(hit != "", hit).otherwise(c)
     if unparsed in ("null", "drop"):
@@ -43,8 +43,14 @@ def first_label(c, unparsed: str = "raw", labels: list[str] | None = None) -> Co
     raise ValueError(f"unknown unparsed policy {unparsed!r}")
 
 
-# Python float() accepted forms (without inf/nan), after strip.
-FLOAT_RE = r"^[+-]?(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?$"
+# Fixed value: the forms that Python's float() accepts, after strip.
+FLOAT_RE = (r"^[+-]?(?:(?:\d+(?:_\d+)*(?:\.(?:\d+(?:_\d+)*)?)?|\.\d+(?:_\d+)*)(?:[eE][+-]?\d+(?:_\d+)*)?"
+            r"|(?i:inf(?:inity)?|nan))$")
+
+
+def _float(c: Column) -> Column:
+    """``float(text)`` of a text that matches ``FLOAT_RE``."""
+    return F.regexp_replace(F.regexp_replace(c, "_", ""), "(?i)^[+-]nan$", "nan").cast("double")
 
 
 def key_value_entries(lines: Column) -> Column:
@@ -59,7 +65,7 @@ def key_value_entries(lines: Column) -> Column:
         kv,
         lambda e: F.struct(
             py_strip(F.element_at(e["p"], 1)).alias("k"),
-            F.regexp_replace(py_strip(F.element_at(e["p"], 2)), "_", "").cast("double").alias("v"),
+            _float(py_strip(F.element_at(e["p"], 2))).alias("v"),
             e["pos"].alias("pos"),
         ),
     )
@@ -78,11 +84,12 @@ def _dedupe_first_pos_last_value(entries: Column) -> Column:
 
 
 def _first_argmax(folded: Column) -> Column:
-    """``max(d, key=d.get)``: first key among equal maxima."""
+    """``max(d, key=d.get)``: first key among equal maxima; in Python no
+    comparison with ``nan`` is true, so it neither takes nor gives up the lead."""
     best = F.aggregate(
         folded,
         F.element_at(folded, 1),
-        lambda acc, x: F.when(x["v"] > acc["v"], x).otherwise(acc),
+        lambda acc, x: F.when((x["v"] > acc["v"]) & ~F.isnan(x["v"]), x).otherwise(acc),
     )
     return F.when(F.size(folded) > 0, best["k"])
 
@@ -104,7 +111,7 @@ def _stage1(lines: Column) -> Column:
 def _stage2(c: Column, labels: list[str] | None = None) -> Column:
     section = py_strip(after_last(c, "### output ###"))
     head = F.array_join(F.slice(splitlines(section), 1, 2), " ")
-    hit = F.lower(F.regexp_extract(head, rf"(?iu)\b({label_alternation(labels)})\b", 1))
+    hit = F.lower(F.regexp_extract(head, rf"(?iuU)\b({label_alternation(labels)})\b", 1))
     return F.when(hit != "", hit)
 
 
@@ -140,14 +147,14 @@ def with_multi_stage_label(df, text, out: str = "predicted", labels: list[str] |
     kv = F.filter(indexed, lambda e: (F.size(e["p"]) == 2) & py_strip(F.element_at(e["p"], 2)).rlike(FLOAT_RE))
     entries = F.transform(kv, lambda e: F.struct(
         py_strip(F.element_at(e["p"], 1)).alias("k"),
-        F.regexp_replace(py_strip(F.element_at(e["p"], 2)), "_", "").cast("double").alias("v"),
+        _float(py_strip(F.element_at(e["p"], 2))).alias("v"),
         e["pos"].alias("pos")))
     if known_labels_only:
         entries = F.filter(entries, lambda e: e["k"].isin(labels or LABELS))
     x = x.withColumn("__kv", entries)
     x = x.withColumn("__folded", _dedupe_first_pos_last_value(F.col("__kv")))
     section = py_strip(after_last(t, "### output ###"))
-    hit = F.lower(F.regexp_extract(_first_two_lines(section), rf"(?iu)\b({label_alternation(labels)})\b", 1))
+    hit = F.lower(F.regexp_extract(_first_two_lines(section), rf"(?iuU)\b({label_alternation(labels)})\b", 1))
     stage2 = F.when(hit != "", hit)
     x = x.withColumn(out, F.coalesce(_stage1(F.col("__lines")), stage2, _first_argmax(F.col("__folded"))))
     return x.drop("__lines", "__colon", "__kv", "__folded")

@@ -55,13 +55,22 @@ def before_first(c, marker: str) -> Column:
 
 
 def render(template, report, y_i=None) -> Column:
-    """``template.format(report=..., y_i=...)``: all occurrences; ``{y_i}`` is
-    substituted first and ``{report}`` last so braces inside a report are never
-    expanded. Leftover placeholders are checked on the catalogue, not on rows."""
-    out = _c(template)
-    if y_i is not None:
-        out = F.replace(out, F.lit("{y_i}"), F.coalesce(_c(y_i), F.lit("None")))
-    return F.replace(out, F.lit("{report}"), F.coalesce(_c(report), F.lit("nan")))
+    """``template.format(report=..., y_i=...)``: all occurrences, ``{{`` and ``}}``
+    as single braces; what is put in is never expanded. A NULL prints ``nan``:
+    both columns come from ``read_csv``. Leftover placeholders are checked on
+    the catalogue, not on rows."""
+    brace = "\ue000"  # stands for a doubled brace while fields are looked for
+
+    def plain(part: Column) -> Column:
+        return F.replace(F.replace(part, F.lit("}}"), F.lit("}")), F.lit(brace), F.lit("{"))
+
+    def put(part: Column, field: str, value, inner) -> Column:
+        return F.call_function("array_join", F.transform(F.split(part, "\\{" + field + "\\}", -1), inner),
+                               F.coalesce(_c(value), F.lit("nan")))
+
+    marked = F.replace(_c(template), F.lit("{{"), F.lit(brace))
+    inner = plain if y_i is None else lambda part: put(part, "y_i", y_i, plain)
+    return put(marked, "report", report, inner)
 
 
 def strip_echo(generated, prompt) -> Column:

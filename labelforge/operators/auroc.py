@@ -156,9 +156,12 @@ def wide_export(scores: DataFrame, per_label: DataFrame, row_keys: Sequence[str]
     for lab in labels:
         au = au.withColumnRenamed(lab, f"auroc_{lab}")
     mean = macro_auroc(per_label, group_keys).drop("n_defined")
-    if not group_keys:  # one curve set: join on a constant key
+    one = not group_keys
+    if one:  # one curve set: join on a constant key
         wide, au, mean = (x.withColumn("__one", F.lit(1)) for x in (wide, au, mean))
         group_keys = ["__one"]
-    # the AUROC side has one row per curve set: bounded, broadcast
-    au = au.join(mean, list(group_keys))
-    return wide.join(F.broadcast(au), list(group_keys)).drop("__one")
+    # every report stays: a group without a curve, or a NULL group key, gets
+    # NULL figures (or its own), as the reference keeps such rows
+    au = null_safe_join(au, mean, list(group_keys))
+    out = null_safe_join(wide, au, list(group_keys), "left")
+    return out.drop("__one") if one else out

@@ -1,37 +1,23 @@
-"""Small fixed dimensions (prompt catalogue, keyword / phrase tables, label
-lists) attached to every row of a large table.
+"""Every row of a large table combined with every row of a dimension (prompt
+catalogue, label list), as one plan for any size of the dimension.
 
-A dimension of at most ``max_rows`` rows is read once, size-checked, and
-turned into a literal array of structs that each row inlines: no join
-operator, no shuffle, and the large side streams through unchanged. A larger
-dimension falls back to a plain (non-broadcast) cartesian join, which the
-semantics (every row x every dimension entry) then require."""
+Each row of the dimension is copied under ``COPIES`` key values and each row of
+the table gets one of them by hash, so the combination is an equi-join: Spark
+broadcasts a side whose size it knows to be small, and otherwise shuffles both
+by a key that no single row of the dimension makes hot. Nothing is read while
+the plan is built."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-MAX_INLINE_ROWS = 10_000
+COPIES = 32
 
 
-def literal_rows(dim: DataFrame, max_rows: int = MAX_INLINE_ROWS) -> Column | None:
-    """``array<struct<dim columns>>`` literal, or None when ``dim`` is larger
-    than ``max_rows`` (only ``max_rows + 1`` rows are ever fetched)."""
-    rows = dim.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return None
-    fields = dim.schema.fields
-    if not rows:
-        return F.array().cast(f"array<{dim.schema.simpleString()}>")
-    return F.array(*[
-        F.struct(*[F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in fields]) for r in rows
-    ])
-
-
-def attach(df: DataFrame, dim: DataFrame, max_rows: int = MAX_INLINE_ROWS) -> DataFrame:
-    """Every row of ``df`` combined with every row of the small ``dim``."""
-    arr = literal_rows(dim, max_rows)
-    if arr is None:
-        return df.crossJoin(dim)
-    return df.select("*", F.inline(arr))
+def attach(df: DataFrame, dim: DataFrame) -> DataFrame:
+    """Every row of ``df`` combined with every row of ``dim``."""
+    hashed = [c for c, f in zip(df.columns, df.schema.fields) if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    copies = dim.withColumn("__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))))
+    return df.withColumn("__copy", F.pmod(F.xxhash64(*hashed), F.lit(COPIES))).join(copies, "__copy").drop("__copy")

@@ -11,6 +11,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
@@ -26,29 +27,34 @@ ScorerFactory = Callable[[], Callable[[pd.Series], pd.Series]]
 _WORKER_CACHE: dict[str, Callable[[pd.Series], pd.Series]] = {}
 
 
-def _scorer(key: str, factory: ScorerFactory):
-    fn = _WORKER_CACHE.get(key)
-    if fn is None:
-        fn = factory()
-        _WORKER_CACHE[key] = fn
-    return fn
+def _scorer(token: str, factory: ScorerFactory):
+    """The scorer of one ``batch_inference`` call, built once per worker; a
+    worker keeps one scorer at a time."""
+    if token not in _WORKER_CACHE:
+        _WORKER_CACHE.clear()
+        _WORKER_CACHE[token] = factory()
+    return _WORKER_CACHE[token]
 
 
 def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt", out: str = "response",
-                    key: str = "default", keys: Sequence[str] | None = None,
-                    group_by_length: bool = True, materialize: bool = False) -> DataFrame:
+                    keys: Sequence[str] | None = None, group_by_length: bool = True,
+                    materialize: bool = True, partitions: int | None = None) -> DataFrame:
     """``out`` = scorer(prompt), batch by batch.
 
     Only ``keys`` + the prompt cross into Python (Arrow batches of
     ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows) and only ``keys`` +
     the response come back; rows are sorted by length inside each partition
     first (P11), without a shuffle. With ``keys=None`` every input column is
-    kept. ``materialize=True`` writes the responses once to the shared
-    checkpoint folder and returns that table: use it for sampled (not
-    deterministic) models, so that a task re-run after an executor loss cannot
-    change responses that were already consumed."""
+    kept. The responses are written once to the shared checkpoint folder and that
+    table is returned, so that a task re-run after an executor loss cannot
+    change sampled responses that were already consumed; ``materialize=False``
+    is for deterministic scorers. ``partitions`` spreads the requests over so
+    many tasks (default: as they come)."""
+    token = uuid.uuid4().hex
     keep = list(keys) if keys is not None else [c for c in df.columns if c != prompt]
     src = df.select(*keep, prompt)
+    if partitions:
+        src = src.repartition(partitions)
     if group_by_length:
         src = length_grouped(src, prompt)
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(out, T.StringType(), True)])
@@ -57,7 +63,7 @@ def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt
         keep = keep + [prompt]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _scorer(key, factory)
+        fn = _scorer(token, factory)
         for pdf in batches:
             res = pd.Series(fn(pdf[prompt]), index=pdf.index).astype(object)
             part = pdf[keep].copy()
@@ -72,10 +78,18 @@ def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt
     return result
 
 
-def replay(requests: DataFrame, stored: DataFrame, keys: Sequence[str], response: str = "response") -> DataFrame:
+def replay(requests: DataFrame, stored: DataFrame, keys: Sequence[str], response: str = "response",
+           run_id: str | None = None) -> DataFrame:
     """I1 (replay): responses recorded by an earlier run, joined on keys.
-    Requests with no stored response keep a NULL response (left join)."""
-    return requests.join(stored.select(*keys, response), list(keys), "left")
+    Requests with no stored response keep a NULL response (left join). Stored
+    tables hold several runs: ``run_id`` names the one to replay. Two stored
+    responses for one key would multiply requests, so they raise."""
+    if run_id is not None:
+        stored = stored.filter(F.col("run_id") == run_id)
+    one = stored.groupBy(*keys).agg(F.min(response).alias("__r"), F.count(F.lit(1)).alias("__n"))
+    clash = F.raise_error(F.concat(F.lit("several stored responses for "), F.to_json(F.struct(*keys)))).cast("string")
+    one = one.select(*keys, F.when(F.col("__n") > 1, clash).otherwise(F.col("__r")).alias(response))
+    return requests.join(one, list(keys), "left")
 
 
 class LengthScorer:

@@ -131,25 +131,28 @@ def binarise(df: DataFrame, labels: Sequence[str] | None = None, truth: str = "c
     )
 
 
-def label_counts(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
-    """``groupby(label).count()``: non-null count of each other column."""
-    return df.groupBy(label).agg(*[F.count(c).alias(f"n_{c}") for c in cols])
+def label_counts(df: DataFrame, label: str, cols: Sequence[str] | None = None) -> DataFrame:
+    """``groupby(label).count()``: non-null count of each other column; a
+    NULL label is no group, as in pandas."""
+    cols = [c for c in df.columns if c != label] if cols is None else cols
+    return df.filter(F.col(label).isNotNull()).groupBy(label).agg(*[F.count(c).alias(f"n_{c}") for c in cols])
 
 
-def label_share(df: DataFrame, label: str) -> DataFrame:
-    """Count and ``round(100*n/total, 2)`` (half-even, like pandas)."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
+def label_share(df: DataFrame, label: str, report: str) -> DataFrame:
+    """Reports (not NULL) per label (not NULL) and their share
+    ``round(100*n/sum(n), 2)`` (half-even, like pandas)."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(report).alias("n"))
     total = F.sum("n").over(Window.partitionBy())  # over the class-count table only
     return counts.select(label, "n", F.bround(100.0 * F.col("n") / total, 2).alias("ratio_pct"))
 
 
-def label_imbalance(df: DataFrame, label: str) -> DataFrame:
-    """Spread (max-min) and factor (max/min) of the class counts."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    return counts.agg(
-        F.max("n").alias("max_n"), F.min("n").alias("min_n"),
-        (F.max("n") - F.min("n")).alias("spread"),
-        (F.max("n") / F.min("n")).alias("factor"),
+def label_imbalance(df: DataFrame, label: str, report: str) -> DataFrame:
+    """Spread (max-min) and factor (max/min) of the rounded shares."""
+    share = label_share(df, label, report)
+    return share.agg(
+        F.max("ratio_pct").alias("max_pct"), F.min("ratio_pct").alias("min_pct"),
+        (F.max("ratio_pct") - F.min("ratio_pct")).alias("spread"),
+        (F.max("ratio_pct") / F.min("ratio_pct")).alias("factor"),
         F.count(F.lit(1)).alias("n_classes"),
     )
 

@@ -6,14 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import placeholders, render
-from labelforge.operators.dims import MAX_INLINE_ROWS, attach
+from labelforge.operators.dims import attach
 
 
-def expand(reports: DataFrame, prompts: DataFrame, max_prompts: int = MAX_INLINE_ROWS) -> DataFrame:
-    """Every prompt over every report. The catalogue is a small dimension
-    (tens of rows): it is size-checked and inlined into each report row, so the
-    report table streams through without a join or a shuffle of report text."""
-    return attach(reports, prompts, max_prompts)
+def expand(reports: DataFrame, prompts: DataFrame) -> DataFrame:
+    """Every prompt over every report, for a catalogue of any size; Spark
+    broadcasts a catalogue that it knows to be small, so report text stays put."""
+    return attach(reports, prompts)
 
 
 def route_groups(prompts: DataFrame, split_index: int, before: str = "before", after: str = "after") -> DataFrame:
@@ -21,6 +20,17 @@ def route_groups(prompts: DataFrame, split_index: int, before: str = "before", a
     return prompts.withColumn("grp", F.when(F.col("ord") < split_index, F.lit(before)).otherwise(F.lit(after)))
 
 
+def route_predictions(prompts: DataFrame, by_group: dict[str, DataFrame], keys: tuple[str, ...] = ("prompt_id",)) -> DataFrame:
+    """Each prompt's rows from the prediction table of its group. ``prompts``
+    has ``grp``; a group's table gives only the rows of its own prompts."""
+    out = None
+    for grp, table in by_group.items():
+        mine = prompts.filter(F.col("grp") == grp).select(*keys)
+        part = table.join(mine, list(keys), "left_semi").withColumn("grp", F.lit(grp))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 def render_prompts(pairs: DataFrame, template: str = "template", report: str = "report",
                    y_i: str | None = None, out: str = "prompt") -> DataFrame:
     """T1 on expanded rows."""

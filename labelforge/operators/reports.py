@@ -1,18 +1,17 @@
 """Report-text operators (T16-T23): sections, keyword rates, signal and
 phrase scoring, ordered rules, rule-out flags, error keyword attribution.
 
-Keyword, phrase and rule tables are small fixed dimensions: they are
-broadcast, and the report text is scanned once per row."""
+Keyword, phrase and rule tables are fixed values in code: they become
+expressions of the row, and no report text is shuffled."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import py_strip
-from labelforge.operators.dims import attach, literal_rows
 from labelforge.schema import LABELS
 
 # Fixed values from the reference's prompt catalogue: keywords per label.
@@ -62,14 +61,9 @@ RULE_DEFAULT = "romets"
 HEADINGS = r"EXAM|FINDINGS?|CONCLUSIONS?|IMPRESSION|RECOMMEND(?:ATION)?|HISTORY|CLINICAL INFORMATION|COMPARISON"
 HEADING_RE = rf"(?imd)^({HEADINGS})[ \t]*:"
 CANONICAL = {"FINDING": "FINDINGS", "CONCLUSIONS": "CONCLUSION", "RECOMMEND": "RECOMMENDATION"}
-_OPEN, _CLOSE = "\ue000", "\ue001"  # private-use delimiters
+_OPEN, _CLOSE, _ESCAPE = "\ue000", "\ue001", "\ue002"  # delimiters; those in a text are escaped
 
-RULE_OUT_RE = r"(?i)\br/o\b|rule[- ]out|follow[- ]up"
-
-
-def keywords_df(spark: SparkSession) -> DataFrame:
-    rows = [(lab, i, kw) for i, lab in enumerate(LABELS) for kw in LABEL_KEYWORDS[lab]]
-    return spark.createDataFrame(rows, "label string, ord int, keyword string")
+RULE_OUT_RE = r"(?iU)\br/o\b|rule[- ]out|follow[- ]up"
 
 
 def canonical_section(name: Column) -> Column:
@@ -84,48 +78,69 @@ def sections(df: DataFrame, text: str = "report", keys: Sequence[str] = ("report
     """``(keys..., seq, section, body)``; text before the first heading is
     section ``PREAMBLE`` (dropped when blank). One row per section, so
     downstream keyword work is per section, not per report."""
-    marked = F.regexp_replace(F.col(text), HEADING_RE, _OPEN + "$1" + _CLOSE)
-    parts = F.split(marked, _OPEN, -1)
     # inline over (position, part) structs: posexplode of a computed array is
     # re-evaluated per element under whole-stage codegen
-    x = df.select(*keys, F.inline(F.transform(parts, lambda p, i: F.struct(i.alias("seq"), p.alias("__part")))))
-    has_head = F.col("seq") > 0
-    name = F.when(has_head, canonical_section(F.substring_index("__part", _CLOSE, 1))).otherwise(F.lit("PREAMBLE"))
-    body = py_strip(F.when(has_head, F.substring_index("__part", _CLOSE, -1)).otherwise(F.col("__part")))
-    out = x.select(*keys, F.col("seq").cast("int").alias("seq"), name.alias("section"), body.alias("body"))
+    x = df.select(*keys, F.inline(F.transform(_parts(F.col(text)), lambda p, i: F.struct(i.alias("seq"), p.alias("__part")))))
+    out = x.select(*keys, F.col("seq").cast("int").alias("seq"), _section_name(F.col("__part"), F.col("seq")).alias("section"),
+                   _section_body(F.col("__part"), F.col("seq")).alias("body"))
     return out.filter((F.col("seq") > 0) | (F.col("body") != ""))
 
 
-def keyword_hits(secs: DataFrame, keywords: DataFrame, keys: Sequence[str] = ("report_id",)) -> DataFrame:
+def _parts(text: Column) -> Column:
+    """The text cut before each heading; a heading ends with ``_CLOSE``."""
+    safe = text
+    for i, c in enumerate((_ESCAPE, _OPEN, _CLOSE)):
+        safe = F.replace(safe, F.lit(c), F.lit(f"{_ESCAPE}{i}"))
+    return F.split(F.regexp_replace(safe, HEADING_RE, _OPEN + "$1" + _CLOSE), _OPEN, -1)
+
+
+def _section_name(part: Column, seq: Column) -> Column:
+    return F.when(seq > 0, canonical_section(F.substring_index(part, _CLOSE, 1))).otherwise(F.lit("PREAMBLE"))
+
+
+def _section_body(part: Column, seq: Column) -> Column:
+    body = F.when(seq > 0, F.substring_index(part, _CLOSE, -1)).otherwise(part)
+    for i, c in reversed(list(enumerate((_ESCAPE, _OPEN, _CLOSE)))):
+        body = F.replace(body, F.lit(f"{_ESCAPE}{i}"), F.lit(c))
+    return py_strip(body)
+
+
+def keyword_hits(secs: DataFrame, keywords: dict[str, list[str]] | None = None, keys: Sequence[str] = ("report_id",)) -> DataFrame:
     """``(keys..., section, label, ord, keyword)`` for each keyword contained
-    (lower-cased) in a section. Keywords are broadcast (fixed table)."""
-    arr = literal_rows(keywords)
-    if arr is None:  # a very large keyword table: plain join on the condition
-        j = secs.select(*keys, "section", F.lower("body").alias("__lb")).join(
-            keywords, F.col("__lb").contains(F.col("keyword")))
-        return j.drop("__lb")
-    lb = F.lower(F.col("body"))
-    x = secs.select(*keys, "section", lb.alias("__lb"))
-    x = x.select(*keys, "section", F.inline(F.filter(arr, lambda k: F.col("__lb").contains(k["keyword"]))))
-    return x
-
-
-def keyword_label(secs: DataFrame, keywords: DataFrame, keys: Sequence[str] = ("report_id",),
+    (lower-cased) in a section."""
+    keywords = keywords or LABEL_KEYWORDS
+    arr = F.array(*[F.struct(F.lit(lab).alias("label"), F.lit(i).alias("ord"), F.lit(kw).alias("keyword"))
+                    for i, lab in enumerate(keywords) for kw in keywords[lab]])
+    x = secs.select(*keys, "section", F.lower(F.col("body")).alias("__lb"))
+    return x.select(*keys, "section", F.inline(F.filter(arr, lambda k: F.col("__lb").contains(k["keyword"]))))
+
+
+def keyword_label(df: DataFrame, text: str = "report", keys: Sequence[str] = ("report_id",),
+                  keywords: dict[str, list[str]] | None = None,
                   primary: Sequence[str] = ("CONCLUSION", "IMPRESSION"), secondary: Sequence[str] = ("FINDINGS",)) -> DataFrame:
     """Share of each label's keywords found in the conclusion/impression
     (primary) and findings (secondary) sections; highest primary share wins,
-    then secondary share, then label order. No keyword at all -> no row."""
-    n_kw = keywords.groupBy("label", "ord").agg(F.countDistinct("keyword").alias("n_kw"))
-    hits = keyword_hits(secs.filter(F.col("section").isin(list(primary) + list(secondary))), keywords, keys)
-    per = hits.groupBy(*keys, "label", "ord").agg(
-        F.countDistinct(F.when(F.col("section").isin(list(primary)), F.col("keyword"))).alias("__p"),
-        F.countDistinct(F.when(F.col("section").isin(list(secondary)), F.col("keyword"))).alias("__s"),
-    ).join(F.broadcast(n_kw), ["label", "ord"])
-    per = per.withColumn("primary_rate", F.col("__p") / F.col("n_kw")).withColumn("secondary_rate", F.col("__s") / F.col("n_kw"))
-    best = per.groupBy(*keys).agg(F.max_by(F.struct("label", "primary_rate", "secondary_rate"),
-                                           F.struct("primary_rate", "secondary_rate", (-F.col("ord")).alias("o"))).alias("b"))
-    return best.select(*keys, F.col("b.label").alias("keyword_label"), F.col("b.primary_rate").alias("primary_rate"),
-                       F.col("b.secondary_rate").alias("secondary_rate"))
+    then secondary share, then label order. No keyword at all -> no row. All
+    of it is computed on the report's own row: nothing is shuffled."""
+    keywords = keywords or LABEL_KEYWORDS
+    x = df.select(*keys, F.transform(_parts(F.col(text)), lambda p, i: F.struct(
+        _section_name(p, i).alias("section"), F.lower(_section_body(p, i)).alias("body"))).alias("__parts"))
+
+    def bodies(names: Sequence[str]) -> Column:  # in one text; no keyword spans the NUL between two
+        own = F.filter("__parts", lambda s: s["section"].isin(list(names)))
+        return F.array_join(F.transform(own, lambda s: s["body"]), "\0")
+
+    x = x.select(*keys, bodies(primary).alias("__p"), bodies(secondary).alias("__s"))
+
+    def rate(col: str, lab: str) -> Column:
+        kws = sorted(set(keywords[lab]))
+        return sum((F.col(col).contains(k).cast("int") for k in kws), F.lit(0)) / F.lit(len(kws))
+
+    best = F.greatest(*[F.struct(rate("__p", lab).alias("p"), rate("__s", lab).alias("s"), F.lit(-i).alias("o"), F.lit(lab).alias("label"))
+                        for i, lab in enumerate(keywords)])
+    x = x.select(*keys, best.alias("__b"))
+    return x.where((F.col("__b.p") > 0) | (F.col("__b.s") > 0)).select(
+        *keys, F.col("__b.label").alias("keyword_label"), F.col("__b.p").alias("primary_rate"), F.col("__b.s").alias("secondary_rate"))
 
 
 def _count_phrase(text_lower: Column, phrase: str) -> Column:
@@ -145,24 +160,24 @@ def signal_counts(df: DataFrame, text: str = "report") -> DataFrame:
     return x.withColumn("signal_label", F.when(best > 0, lab))
 
 
-def phrase_weights(spark: SparkSession) -> DataFrame:
-    rows = [(p, lab, 1.0 / len(labs)) for p, labs in PHRASE_LABELS for lab in labs]
-    return spark.createDataFrame(rows, "phrase string, label string, weight double")
-
-
-def phrase_label(df: DataFrame, weights: DataFrame, text: str = "report", keys: Sequence[str] = ("report_id",),
-                 labels: Sequence[str] | None = None) -> DataFrame:
-    """``sum(weight * mentions)`` per label, share of the total, argmax
-    (label order on ties); reports with no phrase get no row."""
-    labels = list(labels or LABELS)
-    ordm = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
-    j = attach(df.select(*keys, F.lower(F.col(text)).alias("__lt")), weights)
-    j = j.withColumn("__hits", F.regexp_count("__lt", F.concat(F.lit("\\Q"), F.col("phrase"), F.lit("\\E"))))
-    per = j.filter(F.col("__hits") > 0).groupBy(*keys, "label").agg(F.sum(F.col("__hits") * F.col("weight")).alias("__s"))
-    tot = per.groupBy(*keys).agg(F.sum("__s").alias("__t"),
-                                 F.max_by("label", F.struct("__s", (-ordm[F.col("label")]).alias("o"))).alias("phrase_label"))
-    best = per.join(tot, list(keys)).filter(F.col("label") == F.col("phrase_label"))
-    return best.select(*keys, "phrase_label", (F.col("__s") / F.col("__t")).alias("share"))
+def phrase_label(df: DataFrame, text: str = "report", keys: Sequence[str] = ("report_id",),
+                 phrases: Sequence[tuple[str, Sequence[str]]] | None = None, labels: Sequence[str] | None = None) -> DataFrame:
+    """``sum(weight * mentions)`` per label (a phrase's weight is shared
+    by its labels), share of the total, argmax (label order on ties); reports
+    with no phrase get no row. Computed on the report's own row."""
+    phrases, labels = phrases or PHRASE_LABELS, list(labels or LABELS)
+    lt = F.lower(F.col(text))
+    x = df.select(*keys, *[_count_phrase(lt, p).alias(f"__n{i}") for i, (p, _) in enumerate(phrases)])
+
+    def total(lab: str) -> Column:
+        return sum((F.col(f"__n{i}") * F.lit(1.0 / len(labs)) for i, (_, labs) in enumerate(phrases) if lab in labs), F.lit(0.0))
+
+    x = x.select(*keys, *[total(lab).alias(f"__s{i}") for i, lab in enumerate(labels)])
+    sums = [F.col(f"__s{i}") for i in range(len(labels))]
+    best = F.greatest(*[F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(lab).alias("label"))
+                        for i, (s, lab) in enumerate(zip(sums, labels))])
+    x = x.select(*keys, best.alias("__b"), sum(sums, F.lit(0.0)).alias("__t")).where("__b.s > 0")
+    return x.select(*keys, F.col("__b.label").alias("phrase_label"), (F.col("__b.s") / F.col("__t")).alias("share"))
 
 
 def rule_label(text: str = "report") -> Column:

@@ -71,9 +71,15 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: floa
 
 
 def stratified_kfold(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``fold = (rank_in_label - 1) % k``; per-class fold sizes differ by <= 1."""
+    """``fold = (rows of earlier classes + rank_in_label - 1) % k``: a class
+    goes on where the one before it ended, so that fold sizes differ by <= 1 per
+    class and over all classes. Classes in label order, NULL last."""
     ranked = stratified_rank(df, id_col, label_col, seed)
-    return ranked.withColumn("fold", ((F.col("rank_in_label") - 1) % k).cast("int"))
+    w = Window.partitionBy().orderBy(F.col(label_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = (df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__n"))
+               .select(label_col, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__earlier")))  # one row per class
+    j = null_safe_join(ranked, earlier, [label_col])
+    return j.withColumn("fold", ((F.col("__earlier") + F.col("rank_in_label") - 1) % k).cast("int")).drop("__earlier")
 
 
 def split_sizes(split_df: DataFrame, label_col: str | None = None, split_col: str = "split") -> DataFrame:

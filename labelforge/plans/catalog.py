@@ -85,34 +85,46 @@ def label_normalise(spark, sf_dir):
                     normalise_label("raw_label", "strict").alias("label_strict"))
 
 
+_HOLES = """holes AS (SELECT doc_id, CASE WHEN doc_id % 13 = 3 THEN NULL ELSE text END AS text, lang, source, n_chars,
+  CASE WHEN doc_id % 17 = 5 THEN NULL ELSE true_label END AS true_label, raw_label FROM gold)"""
+
+
+def _with_holes(spark, sf_dir) -> DataFrame:
+    """Labelled reports, some without a label, some without a text."""
+    return FX.gold(spark, sf_dir).withColumns({
+        "text": F.when(F.col("doc_id") % 13 != 3, F.col("text")),
+        "true_label": F.when(F.col("doc_id") % 17 != 5, F.col("true_label"))})
+
+
 @query("label_counts", with_parts(["gold"], """
-SELECT true_label, count(text) AS n_text, count(raw_label) AS n_raw_label, count(n_chars) AS n_n_chars
-FROM gold GROUP BY true_label"""))
+SELECT true_label, count(doc_id) AS n_doc_id, count(text) AS n_text, count(lang) AS n_lang, count(source) AS n_source,
+       count(n_chars) AS n_n_chars, count(raw_label) AS n_raw_label
+FROM holes WHERE true_label IS NOT NULL GROUP BY true_label""", _HOLES))
 def label_counts(spark, sf_dir):
-    return M.label_counts(FX.gold(spark, sf_dir), "true_label", ["text", "raw_label", "n_chars"])
+    return M.label_counts(_with_holes(spark, sf_dir), "true_label")
 
 
 @query("label_share", with_parts(["gold"], """
 SELECT true_label, n, round_even(100.0 * n / sum(n) OVER (), 2) AS ratio_pct
-FROM (SELECT true_label, count(*) AS n FROM gold GROUP BY true_label)"""))
+FROM (SELECT true_label, count(text) AS n FROM holes WHERE true_label IS NOT NULL GROUP BY true_label)""", _HOLES))
 def label_share(spark, sf_dir):
-    return M.label_share(FX.gold(spark, sf_dir), "true_label")
+    return M.label_share(_with_holes(spark, sf_dir), "true_label", "text")
 
 
 @query("label_imbalance", with_parts(["gold"], f"""
-SELECT max(n) AS max_n, min(n) AS min_n, max(n) - min(n) AS spread,
-       round(max(n)::DOUBLE / min(n), {R}) AS factor, count(*) AS n_classes
-FROM (SELECT true_label, count(*) AS n FROM gold GROUP BY true_label)"""))
+SELECT max(p) AS max_pct, min(p) AS min_pct, round(max(p) - min(p), {R}) AS spread, round(max(p) / min(p), {R}) AS factor, count(*) AS n_classes
+FROM (SELECT round_even(100.0 * n / sum(n) OVER (), 2) AS p
+      FROM (SELECT true_label, count(text) AS n FROM holes WHERE true_label IS NOT NULL GROUP BY true_label))""", _HOLES))
 def label_imbalance(spark, sf_dir):
-    return rounded(M.label_imbalance(FX.gold(spark, sf_dir), "true_label"), ["factor"])
+    return rounded(M.label_imbalance(_with_holes(spark, sf_dir), "true_label", "text"), ["spread", "factor"])
 
 
 @query("null_profile", """
-SELECT count_if(d.doc_id IS NULL) AS null_doc_id, count_if(d.lang IS NULL) AS null_lang,
-       count_if(l.quality IS NULL) AS null_quality, count_if(l.toxic IS NULL) AS null_toxic
+SELECT count_if(d.doc_id IS NULL) AS null_doc_id, count_if(d.text IS NULL) AS null_text, count_if(d.lang IS NULL) AS null_lang,
+       count_if(d.source IS NULL) AS null_source, count_if(d.n_chars IS NULL) AS null_n_chars, count_if(l.quality IS NULL) AS null_quality, count_if(l.toxic IS NULL) AS null_toxic
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def null_profile(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
     lab = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")
     return M.null_profile(d.join(lab, "doc_id", "left"))
 
@@ -216,7 +228,9 @@ def split_sizes_orders(spark, sf_dir):
 
 
 @query("stratified_kfold", _split_sql("events", "event_id", "event_type",
-                                      "SELECT event_id, event_type, CAST((rk - 1) % 5 AS INTEGER) AS fold FROM s"))
+                                      """SELECT event_id, event_type, CAST((earlier + rk - 1) % 5 AS INTEGER) AS fold FROM s JOIN
+(SELECT event_type AS t, coalesce(sum(n) OVER (ORDER BY event_type NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS earlier FROM c)
+ON event_type IS NOT DISTINCT FROM t"""))
 def stratified_kfold(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "event_type")
     return X.stratified_kfold(e, "event_id", "event_type", k=5).select("event_id", "event_type", "fold")
@@ -273,7 +287,7 @@ def _fold_predictions(spark, sf_dir) -> DataFrame:
 
 _FOLD_CTE = f"""fp AS (SELECT f.doc_id, f.fold, p.prompt_id, f.true_label AS correct,
     {predicted_sql('f.doc_id', 'p.prompt_id', 'f.true_label')} AS predicted
-  FROM (SELECT doc_id, true_label, CAST((row_number() OVER (PARTITION BY true_label ORDER BY md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1) % 5 AS INTEGER) AS fold FROM gold) f
+  FROM (SELECT doc_id, true_label, CAST((row_number() OVER (ORDER BY true_label NULLS LAST, md5(CAST(doc_id AS VARCHAR) || ':42'), doc_id) - 1) % 5 AS INTEGER) AS fold FROM gold) f
   CROSS JOIN prompts p)"""
 
 
@@ -687,8 +701,7 @@ FROM (SELECT doc_id, arg_max({{'label': label, 'p': p, 's': s}}, {{'p': p, 's':
             GROUP BY h.doc_id, h.label, h.ord)
       GROUP BY doc_id)""", _SEC_SQL))
 def keyword_rate(spark, sf_dir):
-    secs = RP.sections(FX.reports(spark, sf_dir), "report", ["doc_id"])
-    return rounded(RP.keyword_label(secs, RP.keywords_df(spark), ["doc_id"]), ["primary_rate", "secondary_rate"])
+    return rounded(RP.keyword_label(FX.reports(spark, sf_dir), "report", ["doc_id"]), ["primary_rate", "secondary_rate"])
 
 
 def _cnt(t: str, phrase: str) -> str:
@@ -721,7 +734,7 @@ FROM (SELECT doc_id, sum(s) AS t, arg_max({{'label': label, 's': s}}, {{'s': s,
       GROUP BY doc_id)"""))
 def phrase_weight_label(spark, sf_dir):
     r = FX.reports(spark, sf_dir)
-    return rounded(RP.phrase_label(r, RP.phrase_weights(spark), "report", ["doc_id"]), ["share"])
+    return rounded(RP.phrase_label(r, "report", ["doc_id"]), ["share"])
 
 
 _RULE_SQL = "CASE " + " ".join(
@@ -757,7 +770,7 @@ GROUP BY ALL""", _SEC_SQL))
 def error_keywords(spark, sf_dir):
     errs = ER.errors(FX.predictions(spark, sf_dir).filter(F.col("prompt_id") == "base")).select("doc_id", "correct", "predicted")
     secs = RP.sections(FX.reports(spark, sf_dir), "report", ["doc_id"])
-    hits = RP.keyword_hits(secs, RP.keywords_df(spark), ["doc_id"]).select("doc_id", "section", "keyword").distinct()
+    hits = RP.keyword_hits(secs, keys=["doc_id"]).select("doc_id", "section", "keyword").distinct()
     return errs.join(hits, "doc_id").groupBy("correct", "predicted", "section", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -792,7 +805,7 @@ def _requests(spark, sf_dir) -> DataFrame:
 SELECT doc_id, prompt_id, 'final label: ' || {LABELS_SQL}[(length(prompt) % 6) + 1] AS response FROM resp_dec"""))
 def batch_inference_python(spark, sf_dir):
     req = _requests(spark, sf_dir)
-    out = INF.batch_inference(req, INF.length_scorer, prompt="prompt", key="length", keys=["doc_id", "prompt_id"])
+    out = INF.batch_inference(req, INF.length_scorer, prompt="prompt", keys=["doc_id", "prompt_id"])
     return out.select("doc_id", "prompt_id", "response")
 
 
@@ -818,8 +831,7 @@ kp AS (SELECT r.doc_id, r.true_label AS correct,
 """ + _metrics_sql("kp", [], 1.0)))
 def batch_inference_keyword(spark, sf_dir):
     rep = FX.reports(spark, sf_dir)
-    secs = RP.sections(rep, "report", ["doc_id"])
-    kw = RP.keyword_label(secs, RP.keywords_df(spark), ["doc_id"])
+    kw = RP.keyword_label(rep, "report", ["doc_id"])
     resp = INF.keyword_scorer_responses(kw, ["doc_id"])
     j = rep.select("doc_id", F.col("true_label").alias("correct")).join(resp, "doc_id", "left")
     parsed = LB.with_multi_stage_label(j.select("doc_id", "correct", F.lower("response").alias("lr")), "lr", "predicted")
@@ -886,11 +898,9 @@ SELECT prompt_id, correct, predicted, count(*) AS n
 FROM (SELECT prompt_id, correct, {OP.sql_multi_stage('lower(response)')} AS predicted FROM resp) GROUP BY ALL"""))
 def streaming_confusion(spark, sf_dir):
     src = IO.scratch_path(spark, "stream-src")
-    FX.responses(spark, sf_dir).select("doc_id", "prompt_id", "correct", "response") \
-        .repartition(4, "doc_id").write.parquet(src)
+    FX.responses(spark, sf_dir).select("doc_id", "prompt_id", "correct", "response").write.parquet(src)
     sink = IO.scratch_path(spark, "stream-sink")
-    ST.run_confusion(spark, src, sink, IO.scratch_path(spark, "stream-ckpt"))
-    return spark.read.parquet(sink)
+    return spark.read.parquet(ST.run_confusion(spark, src, sink, IO.scratch_path(spark, "stream-ckpt")))
 
 
 # --------------------------------------------------------------------------- more preparation / sources
@@ -979,7 +989,7 @@ def prompt_evaluation(spark, sf_dir):
     stated = FX.predicted_expr(F.col("doc_id"), F.col("prompt_id"), F.col("true_label"))
     req = pairs.select("doc_id", "prompt_id", F.col("true_label").alias("correct"),
                        TX.render(F.col("template"), F.col("text"), stated).alias("prompt"))
-    resp = INF.batch_inference(req, INF.length_scorer, key="length", keys=["doc_id", "prompt_id", "correct"])
+    resp = INF.batch_inference(req, INF.length_scorer, keys=["doc_id", "prompt_id", "correct"])
     parsed = LB.with_multi_stage_label(resp.withColumn("lr", F.lower("response")), "lr", "predicted")
     return _metrics_df(parsed, ["prompt_id"], zero_division=1.0)
 

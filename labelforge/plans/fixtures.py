@@ -8,6 +8,7 @@ oracle (``labelforge.plans.oracle``)."""
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,7 +47,9 @@ def lab_at(idx: Column, labels: list[str] | None = None) -> Column:
 
 def prompts_df(spark: SparkSession) -> DataFrame:
     rows = [("fixture", o, i, d, t) for o, i, d, t in PROMPTS]
-    return spark.createDataFrame(rows, PROMPT_SCHEMA)
+    names = [f.name for f in PROMPT_SCHEMA.fields]
+    # from an Arrow table, as Spark then knows its size when it plans joins
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(names, r)) for r in rows]), PROMPT_SCHEMA)
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:

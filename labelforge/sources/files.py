@@ -29,7 +29,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 def run_id(now: _dt.datetime | None = None) -> str:
     """Run stamp ``%Y%m%d_%H%M%S``."""
-    return (now or _dt.datetime.now()).strftime("%Y%m%d_%H%M%S")
+    return (now or _dt.datetime.now()).strftime("%Y%m%d_%H%M%S")  # fixed value: the stamp's format
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
@@ -52,10 +52,11 @@ def prompt_key(prompt_id: Column) -> Column:
                     F.substring(F.md5(prompt_id), 1, 8))
 
 
-def write_results(df: DataFrame, path: str, run: str, fmt: str = "parquet", mode: str = "append") -> None:
-    """Per-row results partitioned by run and prompt."""
+def write_results(df: DataFrame, path: str, run: str, fmt: str = "parquet") -> None:
+    """Per-row results partitioned by run and prompt. Writing a run again
+    replaces that run's partitions; other runs stay."""
     out = df.withColumn("run_id", F.lit(run)).withColumn("prompt_key", prompt_key(F.col("prompt_id")))
-    w = out.write.mode(mode).partitionBy("run_id", "prompt_key")
+    w = out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "prompt_key")
     if fmt == "csv":
         w.options(**CSV_WRITE).csv(path)
     else:
@@ -87,8 +88,7 @@ def _parse_yaml(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for path, content in zip(pdf["path"], pdf["value"]):
             doc = yaml.safe_load(content) or {}
-            parts = str(path).rstrip("/").split("/")
-            name = parts[-2] if parts[-1].startswith("part-") and len(parts) > 1 else parts[-1].rsplit(".", 1)[0]
+            name = str(path)  # two folders may hold files of one name
             for i, p in enumerate(doc.get("prompts") or []):
                 rows.append((name, i, None if p.get("id") is None else str(p.get("id")),
                              p.get("description"), "" if p.get("text") is None else str(p.get("text"))))
@@ -133,6 +133,7 @@ def read_parquet_indexed(spark: SparkSession, path: str, out: str = "row_id") ->
     files = x.groupBy("__f").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.orderBy("__f").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
     offsets = files.select("__f", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__off"))
+    # one row per file; Spark broadcasts it if it is small enough, so no row moves
     return x.join(offsets, "__f").select(*cols, (F.col("__off") + F.col("__r")).cast("bigint").alias(out))
 
 

@@ -34,20 +34,23 @@ def running_confusion(parsed: DataFrame, keys: tuple[str, ...] = ("prompt_id",))
 
 
 def run_confusion(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint_dir: str,
-                  max_files_per_trigger: int | None = 1, timeout_sec: int = 600) -> None:
+                  max_files_per_trigger: int | None = None) -> str:
     """Process every file present now (``availableNow``), keep the running
-    counts in streaming state and publish the full counts table after each
-    micro-batch (idempotent overwrite keyed by the batch)."""
+    counts in streaming state and publish the full counts table of each
+    micro-batch under its batch id (a repeated batch rewrites its own folder
+    only, so readers of an older one are not disturbed). Returns the newest
+    table's path."""
     counts = running_confusion(parsed_stream(spark, source_dir, max_files_per_trigger=max_files_per_trigger))
 
+    newest = ""
+
     def publish(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(sink_dir)
+        nonlocal newest
+        path = f"{sink_dir.rstrip('/')}/batch_id={batch_id}"
+        batch.write.mode("overwrite").parquet(path)
+        newest = path
 
     q = (counts.writeStream.outputMode("complete").foreachBatch(publish)
          .option("checkpointLocation", checkpoint_dir).trigger(availableNow=True).start())
-    q.awaitTermination(timeout_sec)
-    if q.isActive:
-        q.stop()
-        raise TimeoutError("streaming query did not finish")
-    if q.exception() is not None:
-        raise q.exception()
+    q.awaitTermination()
+    return newest

@@ -17,13 +17,14 @@ def test_placeholder_check_and_routing(spark):
     assert groups == {"a": "before", "b": "before", "c": "after"}
 
 
-def test_attach_inlines_small_dimension_and_falls_back(spark):
-    big = spark.range(5).withColumnRenamed("id", "rid")
+def test_attach_gives_every_combination_without_a_cross_join(spark):
+    big = spark.range(500).withColumnRenamed("id", "rid")
     dim = label_dim(spark)
-    inlined = D.attach(big, dim)
-    assert inlined.count() == 30 and "Join" not in inlined._jdf.queryExecution().optimizedPlan().toString()
-    fallback = D.attach(big, dim, max_rows=3)
-    assert sorted(tuple(r) for r in fallback.collect()) == sorted(tuple(r) for r in inlined.collect())
+    out = D.attach(big, dim)
+    assert sorted((r["rid"], r["label"]) for r in out.collect()) == sorted((i, lab) for i in range(500) for lab in LABELS)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
+    assert D.attach(big, spark.range(2000).withColumnRenamed("id", "d")).count() == 1_000_000
 
 
 def test_expand_keeps_types_and_nulls(spark):

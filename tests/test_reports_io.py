@@ -23,8 +23,7 @@ def test_sections_split_and_canonical_names(spark):
 
 def test_keyword_label_prefers_conclusion(spark):
     df = spark.createDataFrame([(1, REPORT)], "report_id long, report string")
-    secs = RP.sections(df)
-    r = RP.keyword_label(secs, RP.keywords_df(spark)).first()
+    r = RP.keyword_label(df).first()
     # conclusion: 'stable disease' (stable 1/3), 'follow up' + 'r/o' (romets 2/4 = 0.5) -> romets
     assert r["keyword_label"] == "romets" and r["primary_rate"] == 0.5
 
@@ -36,7 +35,7 @@ def test_rules_signals_phrases(spark):
     assert rules == {1: "stable", 2: "no", 3: "romets"}  # report 1: "Stable disease" (case-sensitive)
     sig = {r["report_id"]: r["signal_label"] for r in RP.signal_counts(df).collect()}
     assert sig[1] == "stable" and sig[3] is None
-    ph = {r["report_id"]: (r["phrase_label"], r["share"]) for r in RP.phrase_label(df, RP.phrase_weights(spark)).collect()}
+    ph = {r["report_id"]: (r["phrase_label"], r["share"]) for r in RP.phrase_label(df).collect()}
     # report 2: 'no evidence' -> no .5, stable .5; 'metastasis' -> mets 1 => mets wins with share .5
     assert ph[2] == ("mets", 0.5) and 3 not in ph
 
@@ -98,8 +97,8 @@ def test_streaming_running_counts_across_batches(spark):
     for i in range(3):  # three files -> three micro-batches with maxFilesPerTrigger=1
         spark.createDataFrame(pdf.iloc[2 * i:2 * i + 2]).coalesce(1).write.mode("append").parquet(src)
     sink = IO.scratch_path(spark, "t-sink")
-    ST.run_confusion(spark, src, sink, IO.scratch_path(spark, "t-ckpt"))
-    got = {(r["correct"], r["predicted"]): r["n"] for r in spark.read.parquet(sink).collect()}
+    newest = ST.run_confusion(spark, src, sink, IO.scratch_path(spark, "t-ckpt"), max_files_per_trigger=1)
+    got = {(r["correct"], r["predicted"]): r["n"] for r in spark.read.parquet(newest).collect()}
     assert got == {("no", "no"): 1, ("no", "mets"): 1, ("mets", "mets"): 2, ("stable", "stable"): 1, ("stable", None): 1}
 
 
