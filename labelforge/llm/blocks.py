@@ -15,6 +15,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from labelforge.llm.common import bounded_batches
+
 #: Bytes of text in a block; more only if there would be over MOST_BLOCKS.
 BLOCK_BYTES = 4 << 20
 MOST_BLOCKS = 1 << 18
@@ -24,6 +26,7 @@ MOST_BUCKETS = 1 << 16
 def blocked(docs: DataFrame, *extra: str, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, int]:
     """(block, doc_id, packed, extra...) and the number of blocks: each row of
     ``docs`` with its text (null: empty) in UTF-8, compressed."""
+    bounded_batches(docs.sparkSession)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = min(MOST_BLOCKS, total // block_bytes + 1)
     block = F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labelforge.llm.common import saved, sorted_join
+from labelforge.llm.common import bounded_batches, saved, sorted_join
 
 #: Expected bytes between cuts (a power of two), and the least bytes of a chunk.
 CHUNK_BITS = 10
@@ -270,6 +270,7 @@ def encode_decode(docs: DataFrame, tokenizer_json: str, decode: bool = True) ->
     ids as little-endian unsigned 32-bit integers, and the text they decode to
     (null unless ``decode``). ``tokenizer_json`` is the content of a byte-level
     BPE file of the tokenizers library."""
+    bounded_batches(docs.sparkSession)
     spec = docs.sparkSession.sparkContext.broadcast(tokenizer_json)
     doc_type = docs.schema["doc_id"].dataType.simpleString()
     d = docs.select("doc_id", "text").mapInArrow(_packed, f"doc_id {doc_type}, key binary, packed binary")

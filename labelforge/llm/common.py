@@ -17,6 +17,18 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Rows and bytes that a Python worker gets at a time, at most.
+BATCH_ROWS = 2000
+BATCH_BYTES = "4m"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Makes Spark hand rows to Python in batches of bounded bytes, however long
+    the texts are: what a worker once held it keeps."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
 
@@ -40,6 +52,7 @@ def with_python_column(docs: DataFrame, name: str, kind: DataType, run) -> DataF
     """The rows of ``docs`` with a column ``name`` that ``run`` makes of the
     texts of a batch (a list of str or None); a column of that name is replaced.
     All columns travel under names of their own, so that none can clash."""
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != name]
     fields = [StructField(f"_given_{i}", docs.schema[c].dataType) for i, c in enumerate(kept)]
 

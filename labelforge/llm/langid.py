@@ -24,6 +24,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from labelforge.llm.common import bounded_batches
+
 #: Passages of a language that its automaton is built on, at most.
 SAMPLE_DOCS = 64
 #: Bytes of the passages of all languages together, at most.
@@ -160,6 +162,7 @@ def fit(labelled: DataFrame, docs_per_lang: int = SAMPLE_DOCS, sample_bytes: int
 
 def identify(docs: DataFrame, model: list[tuple[str, Automaton]]) -> DataFrame:
     """(doc_id, lang_pred, score) for every row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from labelforge.llm import blocks
-from labelforge.llm.common import crc_mod_is, saved, sorted_join
+from labelforge.llm.common import bounded_batches, crc_mod_is, saved, sorted_join
 
 #: Longest context, in symbols (at most 6: contexts and a symbol share a long).
 DEPTH = 4
@@ -148,6 +148,7 @@ def build(counts: dict[tuple[int, int], dict[int, int]]) -> Tree:
 
 
 def fit(texts: DataFrame, depth: int = DEPTH, states: int = STATES, bar: float = BAR) -> Tree:
+    bounded_batches(texts.sparkSession)
     leaf = texts.select("text").mapInArrow(_counts(depth), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     every = F.explode(F.array(*[F.struct(
         F.lit(k).alias("k"), F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).alias("ctx"))

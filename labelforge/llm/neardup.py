@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from labelforge.llm.common import connected_components, saved, sorted_join
+from labelforge.llm.common import bounded_batches, connected_components, saved, sorted_join
 
 LEAST_COSINE = 0.98
 #: Rows of a shard and of a block of queries, at most about.
@@ -261,7 +261,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, shar
                     block_rows: int = BLOCK_ROWS, recall: float = RECALL) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of ``vectors``
     (vec_id, embedding, label)."""
-    spark = vectors.sparkSession
+    bounded_batches(vectors.sparkSession)
     numbers = F.col("embedding").cast("array<double>")
     v = vectors.select("vec_id", "label", numbers.alias("embedding"))
     good = (F.col("label").isNotNull() & (F.size("embedding") > 0)

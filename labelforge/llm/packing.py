@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labelforge.llm.bpe import in_parts, vocabulary_bytes
-from labelforge.llm.common import saved, sorted_join
+from labelforge.llm.common import bounded_batches, saved, sorted_join
 
 CAPACITY = 1024
 END_ID = 2
@@ -214,6 +214,7 @@ def _place(shared):
 def pack(docs: DataFrame, tokenizer_json: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), a row for
     each piece of each row of ``docs`` (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     context = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     columns = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"

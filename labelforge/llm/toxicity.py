@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType
 
-from labelforge.llm.common import saved, with_python_column
+from labelforge.llm.common import bounded_batches, saved, with_python_column
 
 #: Toxic and ordinary documents that are learned from, at most.
 SAMPLE = (3000, 9000)
@@ -143,6 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     import zstandard as zs
 
     spark = docs.sparkSession
+    bounded_batches(spark)
     sample = _sample(docs, labels)
     n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:
