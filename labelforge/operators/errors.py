@@ -77,19 +77,30 @@ def align_audit(aligned: DataFrame) -> DataFrame:
     )
 
 
+def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
+    """How many keys stand more than once, and how many rows they add; such
+    rows would match several times in :func:`align`."""
+    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    return n.agg(F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_extra_rows"))
+
+
 def before_after(before: DataFrame, after: DataFrame, key: str = "report_id") -> DataFrame:
     """The same reports under two prompt versions -> fixed / broken /
-    still wrong / still right counts and the accuracy change."""
+    still wrong / still right counts and the accuracy change over the reports on
+    both sides, and how many stand on one side only."""
     b = before.select(key, (~is_error()).alias("ok_before"))
     a = after.select(key, (~is_error()).alias("ok_after"))
-    j = b.join(a, key)
+    j = b.join(a, key, "full_outer")
+    both = F.col("ok_before").isNotNull() & F.col("ok_after").isNotNull()
     return j.agg(
-        F.count(F.lit(1)).alias("n"),
+        F.count_if(both).alias("n"),
+        F.count_if(F.col("ok_after").isNull()).alias("n_only_before"),
+        F.count_if(F.col("ok_before").isNull()).alias("n_only_after"),
         F.count_if(~F.col("ok_before") & F.col("ok_after")).alias("n_fixed"),
         F.count_if(F.col("ok_before") & ~F.col("ok_after")).alias("n_broken"),
         F.count_if(~F.col("ok_before") & ~F.col("ok_after")).alias("n_still_wrong"),
         F.count_if(F.col("ok_before") & F.col("ok_after")).alias("n_still_right"),
-        ((F.count_if("ok_after") - F.count_if("ok_before")) / F.count(F.lit(1))).alias("accuracy_delta"),
+        ((F.count_if(both & F.col("ok_after")) - F.count_if(both & F.col("ok_before"))) / F.count_if(both)).alias("accuracy_delta"),
     )
 
 

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelforge.operators.rank import null_safe_join
 from labelforge.schema import LABELS
 
 
@@ -101,6 +102,11 @@ def macro_metrics(df: DataFrame, keys: Sequence[str] = (), zero_division: float
     )
 
 
+def metrics_on_rows(df: DataFrame, keys: Sequence[str], **params) -> DataFrame:
+    """Each result row with the macro metrics of its group; every row stays."""
+    return null_safe_join(df, macro_metrics(df, keys, **params).drop("n_rows", "n_classes"), list(keys), "left")
+
+
 def mean_metrics(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Unweighted mean of run-level metrics (all runs together when ``by``
     is empty, as the reference does)."""

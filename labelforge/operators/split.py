@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from labelforge.functions.hashing import order_key
 from labelforge.operators.rank import exclusive_prefix, hex_buckets, null_safe_join
+from labelforge.sources.files import materialize
 
 
 def stratified_rank(df: DataFrame, id_col: str, label_col: str, seed: int = 42,
@@ -56,18 +57,46 @@ def split_quotas(df: DataFrame, label_col: str, test_size: float = 0.3, eval_sha
     return largest_remainder(q1, label_col, "q_temp", F.col("__draw2"), "q_test").drop("__draw2")
 
 
+def cut_offs(df: DataFrame, id_col: str, label_col: str, quotas: DataFrame, names: list[str], seed: int = 42) -> DataFrame:
+    """Per class and quota column ``name``: the order key and id of the row at
+    that rank (``__cut_<name>``; NULL for a quota of 0). Ranks are counted by
+    (class, key prefix); only the rows of the one prefix in which a quota falls
+    are ranked, by keys alone."""
+    narrow = df.select(F.col(label_col), F.col(id_col), order_key(F.col(id_col), seed).alias("__key"))
+    narrow = narrow.withColumn("__b", F.substring("__key", 1, 3))
+    counts = narrow.groupBy(label_col, "__b").agg(F.count(F.lit(1)).alias("__n"))
+    w = Window.partitionBy(label_col).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # at most 4096 rows
+    before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0)))
+    wanted = quotas.select(label_col, F.explode(F.array(*[
+        F.struct(F.lit(n).alias("name"), F.col(n).alias("rank")) for n in names])).alias("__q"))
+    at = (null_safe_join(before, wanted, [label_col])
+          .where((F.col("__before") < F.col("__q.rank")) & (F.col("__q.rank") <= F.col("__before") + F.col("__n")))
+          .select(label_col, "__b", F.col("__q.name").alias("__name"), (F.col("__q.rank") - F.col("__before")).alias("__at")))
+    at = materialize(at, "split-prefixes")
+    prefixes = at.select(label_col, "__b").distinct()
+    place = F.row_number().over(Window.partitionBy(label_col, "__b").orderBy("__key", id_col))
+    ranked = null_safe_join(narrow, prefixes, [label_col, "__b"]).withColumn("__place", place)
+    hit = null_safe_join(ranked, at, [label_col, "__b"]).where(F.col("__place") == F.col("__at"))
+    cut = F.struct(F.col("__key"), F.col(id_col))
+    return materialize(hit.groupBy(label_col).agg(*[
+        F.max(F.when(F.col("__name") == n, cut)).alias(f"__cut_{n}") for n in names]), "split-cut-offs")
+
+
 def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: float = 0.3,
                      eval_share: float = 0.5, seed: int = 42) -> DataFrame:
-    """Adds ``split`` in {train, eval, test}; 0.3 then 0.5 gives 70/15/15."""
-    ranked = stratified_rank(df, id_col, label_col, seed)
+    """Adds ``split`` in {train, eval, test}; 0.3 then 0.5 gives 70/15/15.
+
+    A row's split follows from comparing its order key with two cut-off keys of
+    its class, one row per class; Spark knows that table's size and broadcasts
+    it if small, so no row moves. Rows of one id go to the same split."""
     q = split_quotas(df, label_col, test_size, eval_share)
-    j = null_safe_join(ranked, q.select(label_col, "q_temp", "q_test"), [label_col])
+    cuts = cut_offs(df, id_col, label_col, q, ["q_test", "q_temp"], seed)
+    j = null_safe_join(df, cuts, [label_col], "left")
+    own = F.struct(order_key(F.col(id_col), seed).alias("__key"), F.col(id_col))
     return j.withColumn(
         "split",
-        F.when(F.col("rank_in_label") <= F.col("q_test"), "test")
-        .when(F.col("rank_in_label") <= F.col("q_temp"), "eval")
-        .otherwise("train"),
-    ).drop("q_temp", "q_test")
+        F.when(own <= F.col("__cut_q_test"), "test").when(own <= F.col("__cut_q_temp"), "eval").otherwise("train"),
+    ).drop("__cut_q_test", "__cut_q_temp")
 
 
 def stratified_kfold(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int = 42) -> DataFrame:

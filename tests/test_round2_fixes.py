@@ -138,3 +138,37 @@ def test_predictions_routed_by_group(spark):
     after = spark.createDataFrame([(1, "b", "y"), (1, "a", "stale")], "doc_id long, prompt_id string, predicted string")
     got = PR.route_predictions(PR.route_groups(cat, 1), {"before": before, "after": after})
     assert sorted(tuple(r) for r in got.select("prompt_id", "predicted", "grp").collect()) == [("a", "x", "before"), ("b", "y", "after")]
+
+
+def test_split_moves_no_text_and_keeps_quotas(spark):
+    from labelforge.sources.files import materialize
+
+    rows = [(i, None if i % 7 == 0 else f"c{i % 3}", "long text " * 20) for i in range(3000)]
+    df = materialize(spark.createDataFrame(rows, "id long, label string, report string"), "t-split")
+    out = X.stratified_split(df, "id", "label")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "report" in plan and out._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1
+    n = {r["split"]: r["n"] for r in X.split_sizes(out).collect()}
+    assert n == {"train": 2100, "eval": 450, "test": 450}
+    per = out.groupBy("label", "split").count().toPandas()
+    for _, x in per.groupby("label", dropna=False):
+        test, total = x[x.split == "test"]["count"].sum(), x["count"].sum()
+        assert abs(test - 0.15 * total) <= 1
+
+
+def test_before_after_counts_one_sided_reports(spark):
+    from labelforge.operators import errors as ER
+
+    b = spark.createDataFrame([(1, "no", "no"), (2, "no", "mets"), (3, "no", "no")], "report_id long, correct string, predicted string")
+    a = spark.createDataFrame([(2, "no", "no"), (3, "no", "mets"), (4, "no", "no")], "report_id long, correct string, predicted string")
+    r = ER.before_after(b, a).first()
+    assert (r["n"], r["n_only_before"], r["n_only_after"], r["n_fixed"], r["n_broken"], r["accuracy_delta"]) == (2, 1, 1, 1, 1, 0.0)
+
+
+def test_metrics_on_rows_and_duplicate_keys(spark):
+    from labelforge.operators import errors as ER
+
+    df = spark.createDataFrame([("p", "no", "no"), ("p", "no", "mets"), (None, "no", "no")], "prompt_id string, correct string, predicted string")
+    got = M.metrics_on_rows(df, ["prompt_id"]).collect()
+    assert sorted((r["prompt_id"] or "", r["accuracy"]) for r in got) == [("", 1.0), ("p", 0.5), ("p", 0.5)]
+    assert tuple(ER.duplicate_keys(df, "correct").first()) == (1, 2)
