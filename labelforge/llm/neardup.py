@@ -246,13 +246,14 @@ def _pack(table: pa.Table) -> dict:
             "x": _matrix(table)[order]}
 
 
-GROUP = "label {label}, dim int, shard int, part int, reps binary, copies binary, vectors binary, edges array<binary>"
+GROUP = "label {label}, dim int, shard int, part int, shards int, reps binary, copies binary, vectors binary, edges array<binary>"
 
 
 def _rows(table: pa.Table, key: str, number: int, data: dict, edges: list[bytes], schema: pa.Schema) -> pa.Table:
     shard, part = (number, 0) if key == "shard" else (0, number)
     return pa.Table.from_pylist([{
         "label": table.column("label")[0].as_py(), "dim": table.column("dim")[0].as_py(), "shard": shard, "part": part,
+        "shards": table.column("shards")[0].as_py(),
         "reps": data["reps"].astype(np.int64).tobytes(), "copies": data["copies"].astype(np.int64).tobytes(),
         "vectors": data["x"].tobytes(), "edges": edges}], schema=schema)
 
@@ -279,7 +280,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, shar
                                "part": F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int")})
     label = vectors.schema["label"].dataType.simpleString()
     form = GROUP.format(label=label)
-    arrow = pa.schema([("label", _arrow_type(label)), ("dim", pa.int32()), ("shard", pa.int32()), ("part", pa.int32()),
+    arrow = pa.schema([("label", _arrow_type(label)), ("dim", pa.int32()), ("shard", pa.int32()), ("part", pa.int32()), ("shards", pa.int32()),
                        ("reps", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("edges", pa.list_(pa.binary()))])
 
     def build(table: pa.Table) -> pa.Table:
@@ -291,7 +292,7 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, shar
     def block(table: pa.Table) -> pa.Table:
         return _rows(table, "part", table.column("part")[0].as_py(), _pack(table), [], arrow)
 
-    columns = ["label", "dim", "shard", "part", "rep", "copies", "embedding"]
+    columns = ["label", "dim", "shard", "part", "shards", "rep", "copies", "embedding"]
     index = saved(sized.select(columns).groupBy("label", "dim", "shard").applyInArrow(build, form), "vector-shards")
     queries = saved(sized.select(columns).groupBy("label", "dim", "part").applyInArrow(block, form), "vector-blocks")
 
@@ -313,8 +314,10 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, shar
         return pa.table({"rep": np.concatenate([q_reps[some], names]), "links": np.concatenate([links[some], np.zeros(len(names), np.int64)]),
                          "to": np.concatenate([q_reps[some], roots])})
 
-    asked = (queries.select("label", "dim", "part", F.col("reps").alias("q_reps"), F.col("vectors").alias("q_vectors"))
-             .join(index.select("label", "dim", "shard", "reps", "copies", "vectors", "edges"), ["label", "dim"]))
+    # every block to every shard of its label, dealt out by shard
+    blocks = queries.select("label", "dim", "part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
+                            F.col("reps").alias("q_reps"), F.col("vectors").alias("q_vectors"))
+    asked = sorted_join(blocks, index.select("label", "dim", "shard", "reps", "copies", "vectors", "edges"), ["label", "dim", "shard"])
     found = saved(asked.groupBy("label", "dim", "shard", "part").applyInArrow(search, "rep long, links long, to long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")), "vector-components")
