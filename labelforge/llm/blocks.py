@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from labelforge.llm.common import bounded_batches
 
 #: Bytes of text in a block; more only if there would be over MOST_BLOCKS.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 MOST_BLOCKS = 1 << 18
 MOST_BUCKETS = 1 << 16
 

@@ -67,6 +67,10 @@ def with_python_column(docs: DataFrame, name: str, kind: DataType, run) -> DataF
     return got.select(*[F.col(f.name).alias(c) for c, f in zip(kept, fields)], F.col("_made").alias(name))
 
 
+#: Edges that one task writes between rounds, about.
+EDGES_A_FILE = 250_000
+
+
 def sorted_join(left: DataFrame, right: DataFrame, on, how: str = "inner") -> DataFrame:
     """A sort-merge join: neither side has a size bound, so neither may be
     broadcast, however small it looks compressed."""
@@ -99,6 +103,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         both = sorted_join(large, low, "a")
         small = both.select("a", F.col("m").alias("b")).union(
             both.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        e = saved(small.distinct(), name)
+        # never more edges than before, so as many files as those need
+        e = saved(small.distinct().coalesce(1 + mark[0] // EDGES_A_FILE), name)
     own = e.select(F.col("b").alias("node")).distinct().withColumn("component", F.col("node"))
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(own)
