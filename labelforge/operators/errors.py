@@ -104,25 +104,23 @@ def before_after(before: DataFrame, after: DataFrame, key: str = "report_id") ->
     )
 
 
-def confidence_summary(scores: DataFrame, keys: Sequence[str] = ("prompt_id",), row_key: str = "report_id",
+def confidence_summary(df: DataFrame, keys: Sequence[str] = ("prompt_id",), scores: str = "scores",
+                       predicted: str = "predicted", truth: str = "true_label",
                        labels: Sequence[str] | None = None) -> DataFrame:
     """Per prompt and outcome (prediction right or wrong): mean score of the
-    predicted label and how often the score argmax equals the stated label.
-    The argmax window is per report row (six rows), never per class."""
+    predicted label and how often the score argmax (first label on ties) equals
+    the stated label. ``scores`` is an array in label order on the report's row,
+    so nothing is regrouped before the one aggregate."""
     labels = list(labels or LABELS)
-    ordm = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
-    w = Window.partitionBy(*keys, row_key)
-    s = scores.withColumn("__ord", ordm[F.col("label")]).withColumn("__mx", F.max("score").over(w))
-    s = s.withColumn("__arg", F.min(F.when(F.col("score") == F.col("__mx"), F.col("__ord"))).over(w))
-    per_row = s.groupBy(*keys, row_key).agg(
-        F.first("predicted").alias("predicted"), F.first("true_label").alias("true_label"),
-        F.max(F.when(F.col("label") == F.col("predicted"), F.col("score"))).alias("pred_score"),
-        F.max(F.when(F.col("__ord") == F.col("__arg"), F.col("label"))).alias("argmax_label"),
-    )
-    return per_row.groupBy(*keys, F.col("predicted").eqNullSafe(F.col("true_label")).alias("is_correct")).agg(
+    names = F.array(*[F.lit(x) for x in labels])
+    own = F.get(F.col(scores), F.array_position(names, F.col(predicted)).cast("int") - 1)
+    top = F.get(names, F.array_position(F.col(scores), F.array_max(scores)).cast("int") - 1)
+    x = df.select(*keys, F.col(predicted).eqNullSafe(F.col(truth)).alias("is_correct"),
+                  own.alias("__own"), top.eqNullSafe(F.col(predicted)).alias("__top"))
+    return x.groupBy(*keys, "is_correct").agg(
         F.count(F.lit(1)).alias("n"),
-        F.avg("pred_score").alias("avg_pred_score"),
-        F.count_if(F.col("argmax_label").eqNullSafe(F.col("predicted"))).alias("n_argmax_is_pred"),
+        F.avg("__own").alias("avg_pred_score"),
+        F.count_if("__top").alias("n_argmax_is_pred"),
     )
 
 

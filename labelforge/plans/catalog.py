@@ -652,19 +652,19 @@ def before_after(spark, sf_dir):
 SELECT count_if(p.doc_id IS NOT NULL AND l.doc_id IS NOT NULL) AS n_matched,
        count_if(p.doc_id IS NOT NULL AND l.doc_id IS NULL) AS n_only_predictions,
        count_if(p.doc_id IS NULL AND l.doc_id IS NOT NULL) AS n_only_rows
-FROM (SELECT doc_id FROM pred WHERE prompt_id = 'base') p FULL OUTER JOIN labels l ON p.doc_id = l.doc_id"""))
+FROM (SELECT doc_id FROM pred) p FULL OUTER JOIN labels l ON p.doc_id = l.doc_id"""))
 def align_predictions(spark, sf_dir):
-    p = FX.predictions(spark, sf_dir).filter(F.col("prompt_id") == "base").select("doc_id", "correct", "predicted")
+    p = FX.predictions(spark, sf_dir).select("doc_id", "prompt_id", "correct", "predicted")
     rows = table(spark, sf_dir, "labels").select("doc_id", "quality")
     return ER.align_audit(ER.align(p, rows, "doc_id"))
 
 
 @query("lookup_errors", with_parts(["pred_text"], """
-SELECT d.doc_id, md5(d.text) AS text_md5, e.correct, e.predicted
-FROM documents d JOIN (SELECT doc_id, correct, predicted FROM pred_text WHERE prompt_id = 'base' AND correct IS DISTINCT FROM predicted) e
+SELECT d.doc_id, e.prompt_id, md5(d.text) AS text_md5, e.correct, e.predicted
+FROM documents d JOIN (SELECT doc_id, prompt_id, correct, predicted FROM pred_text WHERE correct IS DISTINCT FROM predicted) e
   ON d.doc_id = e.doc_id"""))
 def lookup_errors(spark, sf_dir):
-    ids = ER.errors(FX.predictions(spark, sf_dir).filter(F.col("prompt_id") == "base")).select("doc_id", "correct", "predicted")
+    ids = ER.errors(FX.predictions(spark, sf_dir)).select("doc_id", "prompt_id", "correct", "predicted")
     d = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("text_md5"))
     return d.join(ids, "doc_id")
 
@@ -679,7 +679,7 @@ FROM (SELECT doc_id, prompt_id, any_value(predicted) AS predicted, any_value(tru
       GROUP BY doc_id, prompt_id)
 GROUP BY ALL"""))
 def confidence_summary(spark, sf_dir):
-    return rounded(ER.confidence_summary(FX.scores(spark, sf_dir), ["prompt_id"], "doc_id"), ["avg_pred_score"])
+    return rounded(ER.confidence_summary(FX.score_arrays(spark, sf_dir), ["prompt_id"]), ["avg_pred_score"])
 
 
 @query("prompt_ranking", with_parts(["pred"], f"""
@@ -799,15 +799,15 @@ def rule_out_flag(spark, sf_dir):
 
 
 @query("error_keywords", with_parts(["reports", "pred"], f"""
-SELECT e.correct, e.predicted, h.section, h.keyword, count(*) AS n
-FROM (SELECT doc_id, correct, predicted FROM pred WHERE prompt_id = 'base' AND correct IS DISTINCT FROM predicted) e
+SELECT e.prompt_id, e.correct, e.predicted, h.section, h.keyword, count(*) AS n
+FROM (SELECT doc_id, prompt_id, correct, predicted FROM pred WHERE correct IS DISTINCT FROM predicted) e
 JOIN (SELECT DISTINCT s.doc_id, s.section, k.keyword FROM secs s CROSS JOIN {_KW_SQL} WHERE contains(lower(s.body), k.keyword)) h USING (doc_id)
 GROUP BY ALL""", _SEC_SQL))
 def error_keywords(spark, sf_dir):
-    errs = ER.errors(FX.predictions(spark, sf_dir).filter(F.col("prompt_id") == "base")).select("doc_id", "correct", "predicted")
+    errs = ER.errors(FX.predictions(spark, sf_dir)).select("doc_id", "prompt_id", "correct", "predicted")
     secs = RP.sections(FX.reports(spark, sf_dir), "report", ["doc_id"])
     hits = RP.keyword_hits(secs, keys=["doc_id"]).select("doc_id", "section", "keyword").distinct()
-    return errs.join(hits, "doc_id").groupBy("correct", "predicted", "section", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    return errs.join(hits, "doc_id").groupBy("prompt_id", "correct", "predicted", "section", "keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
 _ALLKW = sorted({k for v in RP.LABEL_KEYWORDS.values() for k in v})

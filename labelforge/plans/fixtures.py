@@ -96,6 +96,13 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
                     "predicted", F.col("correct").alias("true_label"))
 
 
+def score_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scores of :func:`scores` as one array per row, in label order."""
+    p = predictions(spark, sf_dir)
+    cols = [score_expr(F.col("doc_id"), F.col("prompt_id"), F.lit(lab), F.col("predicted")) for lab in LABELS]
+    return p.select("doc_id", "prompt_id", "predicted", F.col("correct").alias("true_label"), F.array(*cols).alias("scores"))
+
+
 def response_expr(doc_id: Column, prompt_id: Column, predicted: Column) -> Column:
     r = h32(doc_id, F.concat(prompt_id, F.lit("r"))) % 6
     kv = F.concat_ws("\n", *[

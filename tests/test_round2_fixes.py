@@ -172,3 +172,17 @@ def test_metrics_on_rows_and_duplicate_keys(spark):
     got = M.metrics_on_rows(df, ["prompt_id"]).collect()
     assert sorted((r["prompt_id"] or "", r["accuracy"]) for r in got) == [("", 1.0), ("p", 0.5), ("p", 0.5)]
     assert tuple(ER.duplicate_keys(df, "correct").first()) == (1, 2)
+
+
+def test_confidence_summary_on_the_row(spark):
+    from labelforge.operators import errors as ER
+
+    row = [0.0] * len(LABELS)
+    a, b = row.copy(), row.copy()
+    a[LABELS.index("mets")], b[0], b[1] = 0.9, 0.5, 0.5
+    df = spark.createDataFrame([("p", "mets", "mets", a), ("p", LABELS[1], "stable", b), ("p", "junk", "no", row)],
+                               "prompt_id string, predicted string, true_label string, scores array<double>")
+    out = ER.confidence_summary(df)
+    got = {r["is_correct"]: (r["n"], r["avg_pred_score"], r["n_argmax_is_pred"]) for r in out.collect()}
+    assert got == {True: (1, 0.9, 1), False: (2, 0.5, 0)}
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
