@@ -38,7 +38,7 @@ SAMPLE = (3000, 9000)
 #: Words of a window.
 WINDOW = 16
 #: Bytes of the ordinary and the toxic dictionary, at most.
-ORDINARY_BYTES = 32768
+ORDINARY_BYTES = 98304
 TOXIC_BYTES = 4096
 #: Bytes of the strings that spans are made of.
 GRAM = 5
@@ -47,7 +47,7 @@ GRAM = 5
 SHARE, LOG_ODDS = 0.01, 5.0
 #: Windows of an ordinary document that its dictionary is trained on, at most.
 ORDINARY_WINDOWS = 8
-LEVEL = 6
+LEVEL = 9
 #: Score from which a document counts as toxic (fixed value).
 TOXIC = 0.7
 GAINS = (1, 2, 3, 4)
@@ -88,7 +88,7 @@ class Model:
         def compressor(content: bytes):
             d = zs.ZstdCompressionDict(content, dict_type=zs.DICT_TYPE_RAWCONTENT)
             p = zs.ZstdCompressionParameters.from_level(
-                LEVEL, min_match=GRAM, window_log=17, hash_log=16, chain_log=16, write_content_size=0,
+                LEVEL, min_match=GRAM, window_log=18, hash_log=17, chain_log=17, write_content_size=0,
                 write_checksum=0, write_dict_id=0, format=zs.FORMAT_ZSTD1_MAGICLESS)
             d.precompute_compress(compression_params=p)
             return zs.ZstdCompressor(dict_data=d, compression_params=p).compress
