@@ -17,7 +17,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def remove_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.keep_good(docs, labels(spark, sf_dir).where("quality = 1"))
+    return quality.keep_good(docs, labels(spark, sf_dir).where("quality = 1"), pairs=True)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

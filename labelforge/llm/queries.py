@@ -36,7 +36,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = quality.judge(documents(spark, sf_dir), labels(spark, sf_dir).where("quality = 1"))
+    got = quality.judge(documents(spark, sf_dir), labels(spark, sf_dir).where("quality = 1"), pairs=True)
     return got.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                       "base_failed", "kept", "score")
 
