@@ -2,15 +2,19 @@
 
 The tree's symbols are the bytes of a text's words, one space between words and
 one end symbol. Contexts of up to ``DEPTH`` symbols are counted over all
-training texts; a context stays if its next-symbol counts diverge from those of
-its suffix by more than their number of symbols explains (a likelihood-ratio
-test with the Bayesian information criterion as its bar), the largest gains
-first, up to ``STATES`` contexts. A state's distribution is smoothed with that
-of its suffix. A text is scored by the longest suffix state at each symbol: the
-closed tree is an automaton, and many segments step through it at a time.
+training texts; every context stays whose next-symbol counts diverge from those of its
+suffix by more than their number of symbols explains (a likelihood-ratio test
+with the Bayesian information criterion as its bar), and with it its suffixes. A
+state's distribution is smoothed with that of its suffix. A symbol is scored by
+the longest suffix before it that is a state.
+
+The tree is a table of (context, next symbol), as large as the texts make it; no
+process holds it. Level by level its rows are joined with those of the suffix,
+which leaves a probability for each distinct string of ``DEPTH`` + 1 symbols;
+blocks of texts ask buckets for those of their own strings (``blocks.py``).
 
 Beside it stands a unigram base model over words (and one end per text) with
-exact counts, looked up through blocks and buckets (``blocks.py``).
+exact counts, looked up through the same blocks and buckets.
 
 Defined results: a null text counts as empty and has one token, its end;
 without training texts all counts are zero and the tree is uniform; repeated
@@ -26,17 +30,19 @@ from math import log10
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from labelforge.llm import blocks
 from labelforge.llm.common import bounded_batches, crc_mod_is, saved, sorted_join
 
-#: Longest context, in symbols (at most 6: contexts and a symbol share a long).
+#: Longest context, in symbols; any number, as contexts are keyed by their bytes.
 DEPTH = 5
-#: Contexts that stay, at most. Closing them under prefixes and suffixes adds up
-#: to 15 parts of each, a fifth more in all on the test tables; the broadcast
-#: tables have 256 entries of 8 bytes for each.
+#: Depth and contexts of ``fit``, the tree that fits one process (depth at most
+#: 6: contexts and a symbol share a long). Scoring doesn't use it.
+FIT_DEPTH = 5
 STATES = 20_000
+#: Distinct strings that a task adds up before it hands them on.
+HELD = 1 << 20
 #: Share of the criterion's penalty that a context's gain must exceed.
 BAR = 1.0
 SEGMENT = 1024
@@ -148,7 +154,7 @@ def build(counts: dict[tuple[int, int], dict[int, int]]) -> Tree:
     return Tree(nxt, np.log10(prob).astype(np.float32))
 
 
-def fit(texts: DataFrame, depth: int = DEPTH, states: int = STATES, bar: float = BAR) -> Tree:
+def fit(texts: DataFrame, depth: int = FIT_DEPTH, states: int = STATES, bar: float = BAR) -> Tree:
     bounded_batches(texts.sparkSession)
     leaf = texts.select("text").mapInArrow(_counts(depth), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     every = F.explode(F.array(*[F.struct(
@@ -179,9 +185,146 @@ def fit(texts: DataFrame, depth: int = DEPTH, states: int = STATES, bar: float =
     return build(counts)
 
 
-def _ask(buckets: int):
+def _slices(texts, depth: int):
+    """(symbols, places, whose) of some texts at a time: the places of ``symbols``
+    that are scored, each with ``depth`` symbols before it, and the texts' numbers."""
+    def joined(parts, owners):
+        flat = np.frombuffer(b"".join(parts), np.uint8)
+        sizes = np.array([len(p) for p in parts])
+        scored = np.ones(len(flat), bool)
+        for k in range(depth):
+            scored[np.cumsum(sizes) - sizes + k] = False
+        return flat, np.flatnonzero(scored), np.repeat(owners, sizes - depth)
+
+    pad, parts, owners, size = b"\n" * depth, [], [], 0
+    for i, t in enumerate(texts):
+        s = symbols(t)
+        for x in range(0, len(s), 1 << 20):  # a long text in slices, each with its context
+            parts.append((pad if x == 0 else s[x - depth:x]) + s[x:x + (1 << 20)])
+            owners.append(i)
+            size += len(parts[-1])
+            if size > 2 << 20:
+                yield joined(parts, owners)
+                parts, owners, size = [], [], 0
+    if parts:
+        yield joined(parts, owners)
+
+
+def _tables(depth: int) -> np.ndarray:
+    """A random number for each symbol and distance; a string's hash is their sum modulo 2."""
+    import xxhash
+
+    return np.array([[xxhash.xxh3_64_intdigest(k.to_bytes(2, "little") + bytes([c])) for c in range(256)]
+                     for k in range(depth + 1)], np.uint64)
+
+
+def _hashes(flat: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    """Hashes of the strings that end at each place from ``depth`` on."""
+    depth = len(tables) - 1
+    h = np.zeros(len(flat) - depth, np.uint64)
+    for k in range(depth + 1):
+        h ^= tables[k][flat[depth - k:len(flat) - k]]
+    return h
+
+
+def _strings(depth: int):
+    """Rows (gram, n): the distinct strings of ``depth`` + 1 symbols in a task's
+    texts, with their number in those that aren't held out."""
+    def run(batches):
+        tables = _tables(depth)
+        h, n, grams = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, depth + 1), np.uint8)
+
+        def rows():
+            for x in range(0, len(h), 1 << 16):
+                some = grams[x:x + (1 << 16)]
+                ends = np.arange(len(some) + 1, dtype=np.int32) * (depth + 1)
+                data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(some.tobytes())])
+                yield pa.record_batch([data, pa.array(n[x:x + (1 << 16)])], ["gram", "n"])
+
+        def texts():
+            for b in batches:
+                for t, held in zip(b.column("text"), b.column("held_out").to_pylist()):
+                    train.append(not held)
+                    yield (t.as_py() or "").encode()
+
+        train: list[bool] = []
+        for flat, at, whose in _slices(texts(), depth):
+            found, first, where = np.unique(_hashes(flat, tables)[at - depth], return_index=True, return_inverse=True)
+            count = np.bincount(where, np.array(train)[whose], len(found)).astype(np.int64)
+            new = flat[at[first][:, None] + np.arange(-depth, 1)]
+            h, first, where = np.unique(np.concatenate([h, found]), return_index=True, return_inverse=True)
+            n = np.bincount(where, np.concatenate([n, count]), len(h)).astype(np.int64)
+            grams = np.concatenate([grams, new])[first]
+            if len(h) > HELD:
+                yield from rows()
+                h, n, grams = h[:0], n[:0], grams[:0]
+        yield from rows()
+    return run
+
+
+def probabilities(docs: DataFrame, depth: int = DEPTH, bar: float = BAR) -> DataFrame:
+    """(gram, p) for every distinct string of ``depth`` + 1 symbols of ``docs``
+    (text, held_out): the probability of its last symbol after the others, in
+    the tree of the rows that aren't held out."""
+    bounded_batches(docs.sparkSession)
+    leaf = (docs.select("text", "held_out").mapInArrow(_strings(depth), "gram binary, n long")
+            .groupBy("gram").agg(F.sum("n").alias("n")))
+    suffix = F.expr("substring(ctx, 2)")
+    same = Window.partitionBy("ctx")  # at most 256 rows
+    rows = leaf.select(F.substring("gram", 1, depth).alias("ctx"), F.substring("gram", depth + 1, 1).alias("sym"), "n")
+    levels: list[DataFrame] = []
+    for k in range(depth, -1, -1):
+        if k < depth:
+            rows = levels[0].select(suffix.alias("ctx"), "sym", "n").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
+        levels.insert(0, saved(rows.withColumns({
+            "total": F.sum("n").over(same), "kinds": F.sum((F.col("n") > 0).cast("long")).over(same)}), f"pst-level-{k}"))
+    stay = None  # contexts that pass, and suffixes of those that do
+    states = []
+    for k in range(depth, 0, -1):
+        above = levels[k - 1].where("n > 0").select(F.col("ctx").alias("up"), "sym", (F.col("n") / F.col("total")).alias("q"))
+        gains = (sorted_join(levels[k].where("n > 0").withColumn("up", suffix), above, ["up", "sym"])
+                 .groupBy("ctx", "total", "kinds")
+                 .agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain")))
+        passed = gains.where(F.col("gain") > F.lit(bar / 2) * F.col("kinds") * F.log(F.col("total") + 1)).select("ctx")
+        stay = saved(passed if stay is None else passed.union(stay.select(suffix.alias("ctx"))).distinct(), f"pst-states-{k}")
+        states.insert(0, stay)
+    p = None
+    for k, level in enumerate(levels):
+        level = level.withColumn("up", suffix)
+        if k == 0:
+            level = level.withColumns({"above": F.lit(1 / 256), "state": F.col("kinds") > 0})
+        else:
+            level = sorted_join(sorted_join(level, p, ["up", "sym"]), states[k - 1].withColumn("state", F.lit(True)), "ctx", "left")
+        own = (F.col("n") + F.col("kinds") * F.col("above")) / (F.col("total") + F.col("kinds"))
+        level = level.withColumn("p", F.when(F.col("state"), own).otherwise(F.col("above")))
+        p = level.select(F.col("ctx").alias("up"), "sym", F.col("p").alias("above"))
+    return level.select(F.concat("ctx", "sym").alias("gram"), "p")
+
+
+def _by_bucket(depth: int, buckets: int):
+    """Rows (bucket, h, logp) of the strings (gram, p)."""
+    def run(batches):
+        tables = _tables(depth)
+        for b in batches:
+            grams = np.frombuffer(b"".join(b.column("gram").to_pylist()), np.uint8).reshape(-1, depth + 1)
+            h = np.zeros(len(grams), np.uint64)
+            for k in range(depth + 1):
+                h ^= tables[k][grams[:, depth - k]]
+            yield pa.record_batch([pa.array(blocks.bucket_of(h, buckets).astype(np.int32)), pa.array(h.view(np.int64)),
+                                   pa.array(np.log10(b.column("p").to_numpy()).astype(np.float32))], ["bucket", "h", "logp"])
+    return run
+
+
+def _distinct(text: list[bytes], tables: np.ndarray) -> np.ndarray:
+    """The hashes of a block's distinct strings, in order."""
+    depth = len(tables) - 1
+    found = [np.unique(_hashes(flat, tables)[at - depth]) for flat, at, _ in _slices(text, depth)]
+    return np.unique(np.concatenate([np.empty(0, np.uint64), *found]))
+
+
+def _ask(buckets: int, depth: int):
     """A block's distinct words, by hash, with their counts in its training
-    texts: one row for each bucket."""
+    texts, and its distinct strings: one row for each bucket."""
     def run(table: pa.Table) -> pa.Table:
         import xxhash
 
@@ -197,43 +340,52 @@ def _ask(buckets: int):
         n[:len(train)] = list(train.values())
         h, first = np.unique(h, return_index=True)
         n = n[first]
-        rows = blocks.by_bucket(h, buckets)
+        g = _distinct(blocks.texts(table), _tables(depth))
+        word = {b: (x, y) for b, x, y in (blocks.by_bucket(h, buckets) if len(h) else [])}
+        gram = {b: (x, y) for b, x, y in blocks.by_bucket(g, buckets)}
+        rows = sorted(word.keys() | gram.keys())
+        words, grams = ([part.get(b, (0, 0)) for b in rows] for part in (word, gram))
         block = table.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * len(rows), pa.int32()),
-                         "bucket": pa.array([r[0] for r in rows], pa.int32()),
-                         "hashes": pa.array([h[x:y].tobytes() for _, x, y in rows], pa.binary()),
-                         "counts": pa.array([n[x:y].tobytes() for _, x, y in rows], pa.binary())})
+                         "bucket": pa.array(rows, pa.int32()),
+                         "hashes": pa.array([h[x:y].tobytes() for x, y in words], pa.binary()),
+                         "counts": pa.array([n[x:y].tobytes() for x, y in words], pa.binary()),
+                         "grams": pa.array([g[x:y].tobytes() for x, y in grams], pa.binary())})
     return run
 
 
-def _answer(table: pa.Table) -> pa.Table:
-    """Counts over all blocks, in the order each block asked; the bucket's own
-    sums stand on its first row."""
+def _answer(table: pa.Table, known: pa.Table) -> pa.Table:
+    """Counts over all blocks and the strings' log10 probabilities, in the order
+    each block asked; the bucket's own sums stand on its first row."""
     hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
     counts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]
     every, at = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(every)).astype(np.uint64)
     found = np.split(total[at], np.cumsum([len(h) for h in hashes])[:-1])
     rest = [0] * (len(hashes) - 1)
+    h = known.column("h").to_numpy().view(np.uint64)
+    order = np.argsort(h)
+    h, logp = h[order], known.column("logp").to_numpy()[order]
+    steps = [logp[np.searchsorted(h, np.frombuffer(x.as_py(), np.uint64))].tobytes() for x in table.column("grams")]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
                      "counts": pa.array([f.tobytes() for f in found], pa.binary()),
+                     "steps": pa.array(steps, pa.binary()),
                      "distinct": pa.array([int((total > 0).sum()), *rest], pa.int64()),
                      "tokens": pa.array([int(total.sum()), *rest], pa.int64())})
 
 
-def score(docs: DataFrame, held_out, depth: int = DEPTH, states: int = STATES,
+def score(docs: DataFrame, held_out, depth: int = DEPTH, bar: float = BAR,
           block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
     for every row of ``docs``; ``held_out`` is the column of rows not learned."""
-    spark = docs.sparkSession
     d = docs.select("doc_id", "text").withColumn("held_out", held_out)
-    tree = spark.sparkContext.broadcast(fit(d.where("not held_out"), depth, states))
     block, n_blocks = blocks.blocked(d, "held_out", block_bytes=block_bytes)
     buckets = min(blocks.MOST_BUCKETS, n_blocks)
     asked = block.groupBy("block").applyInArrow(
-        _ask(buckets), "block int, bucket int, hashes binary, counts binary")
-    answers = saved(asked.groupBy("bucket").applyInArrow(
-        _answer, "block int, bucket int, counts binary, distinct long, tokens long"), "lm-counts")
+        _ask(buckets, depth), "block int, bucket int, hashes binary, counts binary, grams binary")
+    steps = probabilities(d, depth, bar).mapInArrow(_by_bucket(depth, buckets), "bucket int, h long, logp float")
+    answers = saved(asked.groupBy("bucket").cogroup(steps.groupBy("bucket")).applyInArrow(
+        _answer, "block int, bucket int, counts binary, steps binary, distinct long, tokens long"), "lm-counts")
     known, tokens = (x or 0 for x in answers.agg(F.sum("distinct"), F.sum("tokens")).first())
     training = d.where("not held_out").count()
     known, tokens = known + (training > 0), tokens + training  # the end of each text
@@ -245,8 +397,9 @@ def score(docs: DataFrame, held_out, depth: int = DEPTH, states: int = STATES,
         words = [t.lower().split() for t in text]
         distinct = list({w for ws in words for w in ws})
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
-        rows = sorted(zip(answer.column("bucket").to_pylist(), answer.column("counts").to_pylist()))
-        counts = np.array([], np.uint64) if not rows else np.frombuffer(b"".join(c for _, c in rows), np.uint64)
+        rows = sorted(zip(*(answer.column(c).to_pylist() for c in ("bucket", "counts", "steps"))))
+        counts = np.frombuffer(b"".join(r[1] for r in rows), np.uint64)
+        logp = np.frombuffer(b"".join(r[2] for r in rows), np.float32)
         _, at = np.unique(h, return_inverse=True)
         per = dict(zip(distinct, counts[at].tolist()))
         size = tokens + known + 1
@@ -256,20 +409,17 @@ def score(docs: DataFrame, held_out, depth: int = DEPTH, states: int = STATES,
             c = np.append(c, training)
             known_of.append(int((c > 0).sum()))
             base.append(float(np.log10((c + 1) / size).sum()))
-        total, at = [], 0
-        while at < len(text):
-            end, n = at, 0
-            while end < len(text) and (end == at or n < 2 << 20):
-                n += len(text[end])
-                end += 1
-            total.append(tree.value.score([symbols(t) for t in text[at:end]], depth))
-            at = end
+        tables = _tables(depth)
+        grams, total = _distinct(text, tables), np.zeros(len(text))
+        for flat, at, whose in _slices(text, depth):
+            found, where = np.unique(_hashes(flat, tables)[at - depth], return_inverse=True)
+            total += np.bincount(whose, logp[np.searchsorted(grams, found)][where], len(text))
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"),
                          "n_tokens": pa.array([len(w) + 1 for w in words], pa.int64()),
                          "n_known": pa.array(known_of, pa.int64()),
                          "train_tokens": pa.array([tokens] * len(words), pa.int64()),
                          "base_score": pa.array(base, pa.float64()),
-                         "score": pa.array(np.concatenate(total), pa.float64())})
+                         "score": pa.array(total, pa.float64())})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return block.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(

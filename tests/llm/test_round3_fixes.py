@@ -1,6 +1,8 @@
 """Findings of the second review: each test fails on the code before its fix."""
 
+import math
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -8,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from labelforge.llm import quality
+from labelforge.llm import lm, quality
 from labelforge.llm.queries import op3_ngram_ratio
 
 from .conftest import prose
@@ -52,3 +54,64 @@ def test_quality_pairs_against_brute_force(spark, docs, texts):
         g = grams(r["text"])
         want = np.mean([np.log(share(target[x], m) / share(raw[x], n)) for x in g]) if g else 0.0
         assert r["score"] == pytest.approx(want, abs=1e-9)
+
+
+# ---- op6: every context that passes stays
+
+def suffix_tree(train, depth, bar):
+    """Next-symbol counts of the contexts that pass, and of their suffixes."""
+    counts = {}
+    for t in train:
+        s = b"\n" * depth + lm.symbols(t)
+        for x in range(depth, len(s)):
+            for k in range(depth + 1):
+                counts.setdefault(s[x - k:x], Counter())[s[x]] += 1
+    stay = {b""}
+    for c, n in counts.items():
+        if c:
+            total, up = sum(n.values()), counts[c[1:]]
+            gain = sum(v * math.log(v / total / (up[a] / sum(up.values()))) for a, v in n.items())
+            if gain > bar / 2 * len(n) * math.log(total + 1):
+                stay |= {c[j:] for j in range(len(c))}
+    return {c: counts.get(c, Counter()) for c in stay}
+
+
+def log_probability(tree, t, depth):
+    s, total = b"\n" * depth + lm.symbols(t), 0.0
+    for x in range(depth, len(s)):
+        p, k = 1 / 256, 0
+        while k <= depth and s[x - k:x] in tree:
+            n = tree[s[x - k:x]]
+            weight = max(1, len(n))
+            p = (n[s[x]] + weight * p) / (sum(n.values()) + weight)
+            k += 1
+        total += math.log10(p)
+    return total
+
+
+@pytest.mark.parametrize("block_bytes,depth", [(1 << 22, lm.DEPTH), (4_000, 3)])
+def test_scores_are_those_of_all_contexts_that_pass(spark, block_bytes, depth):
+    rows = [(i, prose(i, 60)) for i in range(60)] + [(100, None), (101, ""), (102, "é ÿ zz"), (3, prose(3, 60)), (None, prose(9, 50))]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = lm.score(d, lm.held_out(), depth=depth, block_bytes=block_bytes).join(d, "doc_id").collect()
+    train = [(r["text"] or "").encode() for r in got if not r["held_out"] and r["doc_id"] != 3]
+    train += [prose(3, 60).encode()] * 2 * (not next(r for r in got if r["doc_id"] == 3)["held_out"])
+    if not lm_held(None):
+        train.append(prose(9, 50).encode())
+    tree = suffix_tree(train, depth, lm.BAR)
+    for r in got:
+        assert r["score"] == pytest.approx(log_probability(tree, (r["text"] or "").encode(), depth), rel=1e-5), r["doc_id"]
+
+
+def lm_held(i):
+    return zlib.crc32(str("" if i is None else i).encode()) % 7 == 2
+
+
+def test_long_contexts_and_more_of_them_than_the_former_cap(spark):
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(9000)]
+    docs = [(i, " ".join(r.choice(words) for _ in range(300))) for i in range(300)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    got = lm.score(d, F.col("doc_id") < 0)
+    n = d.agg(F.sum(F.length("text"))).first()[0]
+    assert got.agg(F.sum("score")).first()[0] / n > -0.6
