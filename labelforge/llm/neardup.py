@@ -3,11 +3,13 @@
 Vectors of one label (and length) are dealt into shards of bounded rows. Each
 shard gets a hierarchical navigable small-world graph: every layer holds a
 sixteenth of the nodes below it, a node links to near and diverse neighbours,
-and a search walks down from the top with a beam. Every block of query vectors
-searches every shard of its label; what lies in range is followed to the last
-neighbour in range. In each search some queries are audited against brute
-force; as long as one of their links is missed the beam doubles, up to the whole
-shard. Links are verified by cosine in double precision, and components joined.
+and a search walks down from the top with a beam. Every shard searches every
+shard of its label, in blocks of queries; what lies in range is followed to the
+last neighbour in range. In each search some queries that have links are audited
+against brute force; as long as one of them misses more than its share the beam
+doubles, up to the whole shard. Where too few have links, all are looked at, and
+brute force is the result. Links are verified by cosine in double precision; a
+link that either of its vectors finds counts for both. Components are joined.
 
 Equal vectors of a label are one node with a number of copies. A search returns
 a count of links for each query and the edges of a spanning forest, never all
@@ -29,14 +31,14 @@ from pyspark.sql import DataFrame, functions as F
 from labelforge.llm.common import bounded_batches, connected_components, saved, sorted_join
 
 LEAST_COSINE = 0.98
-#: Rows of a shard and of a block of queries, at most about.
+#: Rows of a shard, about, and of a block of queries.
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 1_024
 #: Links of a node when it is inserted, half of them diverse.
 LINKS = 12
 #: Beam of an insertion, and the first beam of a search.
 BEAM = 24
-#: Queries of a search that are audited, and the share of links they must find.
+#: Queries with links that are audited in a search, and the share of its links that each must find.
 AUDITED = 64
 RECALL = 0.999
 LAYER = 16  # each layer has one node in so many of the layer below
@@ -217,18 +219,65 @@ class SmallWorld:
         return tuple(self._local(q, 0, self._entry(q, 1) if len(self.layers) > 1 else self._entry(q, 0), beam, at_least)[2])
 
 
-def audited_search(world: SmallWorld, q: np.ndarray, at_least: float, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray, int]:
-    """All (query, node) in range, and the beam that passed the audit."""
-    some = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-    truth = (q[some] @ world.x.T >= at_least + 1e-6).sum()
+def audited_search(world: SmallWorld, q: np.ndarray, at_least: float, recall: float = RECALL,
+                   own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
+    """All (query, node) in range, and the beam that passed the audit; ``own``
+    is each query's own node or -1."""
+    n = len(world.x)
+    order = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
+    order = np.concatenate([order, np.setdiff1d(np.arange(len(q)), order)])
+    seen, truth, linked = [], [], 0
+    for s in range(0, len(order), AUDITED):
+        some = order[s:s + AUDITED]
+        sims = q[some] @ world.x.T
+        x, y = np.nonzero(sims >= at_least)
+        seen.append((some[x], y))
+        real = sims[x, y] >= at_least + 1e-6
+        if own is not None:
+            real &= own[some[x]] != y
+        truth.append(some[x[real]] * n + y[real])
+        linked += len(np.unique(x[real]))
+        if linked >= AUDITED:
+            break
+    else:  # all were looked at
+        return *(np.concatenate(p) for p in zip(*seen)), n
+    truth = np.concatenate(truth)
+    wanted = np.bincount(truth // n, minlength=len(q))
     beam = BEAM
     while True:
         a, b = world.in_range(q, at_least, beam)
-        if beam >= len(world.x) or np.isin(a, some).sum() >= recall * truth:
+        hit = truth[np.isin(truth, a * n + b)]
+        if beam >= n or (np.bincount(hit // n, minlength=len(q)) >= recall * wanted).all():
             return a, b, beam
         beam *= 2
 
 
+def found_links(world: SmallWorld, x: np.ndarray, reps: np.ndarray, q: np.ndarray, q_reps: np.ndarray,
+                least: float, recall: float, step: int) -> np.ndarray:
+    """A row of bits for each query: the nodes of ``x`` it links to, by its own search."""
+    order = np.argsort(reps)
+    at = order[np.minimum(np.searchsorted(reps, q_reps, sorter=order), len(reps) - 1)]
+    own = np.where(reps[at] == q_reps, at, -1)
+    bits = np.zeros((len(q), (len(x) + 7) // 8), np.uint8)
+    for s in range(0, len(q), step):
+        part = q[s:s + step]
+        a, b, _ = audited_search(world, part.astype(np.float32), least - SLACK, recall, own[s:s + step])
+        a, b = _verified(part, x, a, b, least)
+        row = np.zeros((len(part), len(x)), bool)
+        row[a, b] = own[s + a] != b
+        bits[s:s + step] = np.packbits(row, axis=1)
+    return bits
+
+
+def joined_links(there: np.ndarray, back: np.ndarray, nodes: int, step: int):
+    """(from, links) for each ``step`` queries: the links (query, node) that
+    either side found; ``back`` has a row for each node."""
+    for s in range(0, len(there), step):
+        e = min(len(there), s + step)
+        yield s, (np.unpackbits(there[s:e], axis=1, count=nodes)
+                  | np.unpackbits(back[:, s // 8:(e + 7) // 8], axis=1, count=e - s).T).astype(bool)
+
+
 def unit(x: np.ndarray) -> np.ndarray:
     # scaled first, so that neither huge nor tiny components leave the range
     x = x / np.abs(x).max(axis=1, keepdims=True)
@@ -246,14 +295,12 @@ def _pack(table: pa.Table) -> dict:
             "x": _matrix(table)[order]}
 
 
-GROUP = "label {label}, dim int, shard int, part int, shards int, reps binary, copies binary, vectors binary, edges array<binary>"
+GROUP = "label {label}, dim int, shard int, shards int, reps binary, copies binary, vectors binary, edges array<binary>"
 
 
-def _rows(table: pa.Table, key: str, number: int, data: dict, edges: list[bytes], schema: pa.Schema) -> pa.Table:
-    shard, part = (number, 0) if key == "shard" else (0, number)
+def _row(table: pa.Table, data: dict, edges: list[bytes], schema: pa.Schema) -> pa.Table:
     return pa.Table.from_pylist([{
-        "label": table.column("label")[0].as_py(), "dim": table.column("dim")[0].as_py(), "shard": shard, "part": part,
-        "shards": table.column("shards")[0].as_py(),
+        **{c: table.column(c)[0].as_py() for c in ("label", "dim", "shard", "shards")},
         "reps": data["reps"].astype(np.int64).tobytes(), "copies": data["copies"].astype(np.int64).tobytes(),
         "vectors": data["x"].tobytes(), "edges": edges}], schema=schema)
 
@@ -272,53 +319,58 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, shar
     # a node's own number: vec_ids may be null or repeated
     nodes = saved(v.where("good").groupBy("label", "embedding").agg(F.min("vec_id").alias("first"), F.count(F.lit(1)).alias("copies"))
                   .withColumns({"dim": F.size("embedding"), "rep": F.xxhash64("label", "embedding")}), "vector-nodes")
-    # a shard of a label, and a block of queries, by hash
+    # a shard of a label, by hash
     sizes = nodes.groupBy("label", "dim").agg(F.count(F.lit(1)).alias("n"))
     sized = nodes.join(sizes, ["label", "dim"]).withColumns({
-        "shards": F.ceil(F.col("n") / shard_rows).cast("int"), "parts": F.ceil(F.col("n") / block_rows).cast("int")})
-    sized = sized.withColumns({"shard": F.pmod(F.xxhash64("rep"), "shards").cast("int"),
-                               "part": F.pmod(F.xxhash64("rep", F.lit(1)), "parts").cast("int")})
+        "shards": F.ceil(F.col("n") / shard_rows).cast("int")})
+    sized = sized.withColumn("shard", F.pmod(F.xxhash64("rep"), "shards").cast("int"))
     label = vectors.schema["label"].dataType.simpleString()
     form = GROUP.format(label=label)
-    arrow = pa.schema([("label", _arrow_type(label)), ("dim", pa.int32()), ("shard", pa.int32()), ("part", pa.int32()), ("shards", pa.int32()),
+    arrow = pa.schema([("label", _arrow_type(label)), ("dim", pa.int32()), ("shard", pa.int32()), ("shards", pa.int32()),
                        ("reps", pa.binary()), ("copies", pa.binary()), ("vectors", pa.binary()), ("edges", pa.list_(pa.binary()))])
 
     def build(table: pa.Table) -> pa.Table:
         data = _pack(table)
         world = SmallWorld(unit(data["x"]).astype(np.float32))
         edges = [np.stack([g.a, g.b]).tobytes() for g in world.layers]
-        return _rows(table, "shard", table.column("shard")[0].as_py(), data, edges, arrow)
-
-    def block(table: pa.Table) -> pa.Table:
-        return _rows(table, "part", table.column("part")[0].as_py(), _pack(table), [], arrow)
+        return _row(table, data, edges, arrow)
 
-    columns = ["label", "dim", "shard", "part", "shards", "rep", "copies", "embedding"]
+    columns = ["label", "dim", "shard", "shards", "rep", "copies", "embedding"]
     index = saved(sized.select(columns).groupBy("label", "dim", "shard").applyInArrow(build, form), "vector-shards")
-    queries = saved(sized.select(columns).groupBy("label", "dim", "part").applyInArrow(block, form), "vector-blocks")
+    step = (block_rows + 7) // 8 * 8
 
     def search(table: pa.Table) -> pa.Table:
         row = table.to_pylist()[0]
-        d = row["dim"]
-        reps, copies = (np.frombuffer(row[c], np.int64) for c in ("reps", "copies"))
-        x = unit(np.frombuffer(row["vectors"], np.float64).reshape(-1, d))
-        world = SmallWorld(x.astype(np.float32), [tuple(np.frombuffer(e, np.int32).reshape(2, -1)) for e in row["edges"]])
-        q_reps = np.frombuffer(row["q_reps"], np.int64)
-        q = unit(np.frombuffer(row["q_vectors"], np.float64).reshape(-1, d))
-        a, b, _ = audited_search(world, q.astype(np.float32), least_cosine - SLACK, recall)
-        a, b = _verified(q, x, a, b, least_cosine)
-        other = q_reps[a] != reps[b]
-        a, b = a[other], b[other]
-        links = np.bincount(a, copies[b], len(q_reps)).astype(np.int64)
-        names, roots = _forest(q_reps[a], reps[b])
-        some = np.flatnonzero(links)
-        return pa.table({"rep": np.concatenate([q_reps[some], names]), "links": np.concatenate([links[some], np.zeros(len(names), np.int64)]),
-                         "to": np.concatenate([q_reps[some], roots])})
-
-    # every block to every shard of its label, dealt out by shard
-    blocks = queries.select("label", "dim", "part", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"),
-                            F.col("reps").alias("q_reps"), F.col("vectors").alias("q_vectors"))
-    asked = sorted_join(blocks, index.select("label", "dim", "shard", "reps", "copies", "vectors", "edges"), ["label", "dim", "shard"])
-    found = saved(asked.groupBy("label", "dim", "shard", "part").applyInArrow(search, "rep long, links long, to long"), "vector-links")
+        one, two = ((*(np.frombuffer(row[side + c], np.int64) for c in ("reps", "copies")),
+                     unit(np.frombuffer(row[side + "vectors"], np.float64).reshape(-1, row["dim"])), row[side + "edges"])
+                    for side in ("q_", ""))
+
+        def found(queries, nodes):
+            world = SmallWorld(nodes[2].astype(np.float32), [tuple(np.frombuffer(e, np.int32).reshape(2, -1)) for e in nodes[3]])
+            return found_links(world, nodes[2], nodes[0], queries[2], queries[0], least_cosine, recall, step)
+
+        (q_reps, q_copies, *_), (reps, copies, *_) = one, two
+        same = row["q_shard"] == row["shard"]
+        there = found(one, two)
+        back = there if same else found(two, one)
+        out, theirs = [], np.zeros(len(reps), np.int64)
+        for s, linked in joined_links(there, back, len(reps), step):
+            a, b = np.nonzero(linked)
+            out.append((q_reps[s:s + len(linked)], linked @ copies, q_reps[s:s + len(linked)]))
+            names, roots = _forest(q_reps[s + a], reps[b])
+            out.append((names, np.zeros(len(names), np.int64), roots))
+            theirs += q_copies[s:s + len(linked)] @ linked
+        if not same:
+            out.append((reps, theirs, reps))
+        reps_, links_, to_ = (np.concatenate(p).astype(np.int64) for p in zip(*out))
+        some = (links_ > 0) | (reps_ != to_)
+        return pa.table({"rep": reps_[some], "links": links_[some], "to": to_[some]})
+
+    # every pair of shards of a label once, dealt out by the second
+    first = index.select("label", "dim", F.col("shard").alias("q_shard"), F.explode(F.sequence("shard", F.col("shards") - 1)).alias("shard"),
+                         *[F.col(c).alias(f"q_{c}") for c in ("reps", "copies", "vectors", "edges")])
+    asked = sorted_join(first, index.select("label", "dim", "shard", "reps", "copies", "vectors", "edges"), ["label", "dim", "shard"])
+    found = saved(asked.groupBy("label", "dim", "shard", "q_shard").applyInArrow(search, "rep long, links long, to long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")), "vector-components")
     named = (sorted_join(sorted_join(nodes.select("label", "embedding", "rep", "first", "copies"), links, "rep", "left"),

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from labelforge.llm import lm, quality
+from labelforge.llm import lm, neardup, quality
 from labelforge.llm.queries import op3_ngram_ratio
 
 from .conftest import prose
@@ -115,3 +115,42 @@ def test_long_contexts_and_more_of_them_than_the_former_cap(spark):
     got = lm.score(d, F.col("doc_id") < 0)
     n = d.agg(F.sum(F.length("text"))).first()[0]
     assert got.agg(F.sum("score")).first()[0] / n > -0.6
+
+
+# ---- op9: the audit looks at each query, and a link counts for both of its vectors
+
+class Narrow:
+    """A graph that misses the links of a query with few of them, unless the beam is wide."""
+
+    def __init__(self, x):
+        self.x = x
+
+    def in_range(self, q, at_least, beam):
+        a, b = np.nonzero(q @ self.x.T >= at_least)
+        few = np.bincount(a, minlength=len(q))[a] < 10
+        keep = ~few | (a == b) | (beam >= 96)
+        return a[keep], b[keep]
+
+
+def crowd_and_pairs(crowd, pairs):
+    r = np.random.default_rng(5)
+    x = r.normal(size=(crowd + 2 * pairs, 32))
+    x[:crowd] = x[0] + 0.01 * r.normal(size=(crowd, 32))
+    x[crowd:crowd + pairs] = x[crowd + pairs:] + 0.01 * r.normal(size=(pairs, 32))
+    return neardup.unit(r.permutation(x)).astype(np.float32)
+
+
+@pytest.mark.parametrize("crowd,pairs", [(1500, 60), (0, 20)])
+def test_a_crowd_does_not_hide_the_links_of_others(crowd, pairs):
+    x = crowd_and_pairs(crowd, pairs)
+    a, b, _ = neardup.audited_search(Narrow(x), x, 0.98, own=np.arange(len(x)))
+    want = np.argwhere(x @ x.T >= 0.98)
+    assert set(zip(a.tolist(), b.tolist())) == set(map(tuple, want.tolist()))
+
+
+def test_a_link_that_one_side_finds_counts_for_both():
+    r = np.random.default_rng(2)
+    for nq, n, step in [(50, 37, 16), (16, 16, 8), (3, 90, 24)]:
+        there, back = r.random((nq, n)) < 0.1, r.random((n, nq)) < 0.1
+        got = np.concatenate([x for _, x in neardup.joined_links(np.packbits(there, axis=1), np.packbits(back, axis=1), n, step)])
+        assert (got == (there | back.T)).all()
