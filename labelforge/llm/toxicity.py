@@ -172,8 +172,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         for b in batches:
             some = []
             for t in b.column("text"):
-                w = windows(words_of(t.as_py()))
-                some += w[::max(1, len(w) // ORDINARY_WINDOWS)][:ORDINARY_WINDOWS]
+                some += spread(windows(words_of(t.as_py())), ORDINARY_WINDOWS)
             yield pa.record_batch([pa.array(some, pa.binary())], ["part"])
 
     plain = [bytes(r["part"]) for r in sample.where("toxic = 0").select("text")
@@ -199,6 +198,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return model
 
 
+def spread(items: list, n: int) -> list:
+    """At most ``n`` of ``items``, evenly spread from the first to the last."""
+    return items if len(items) <= n else [items[k * (len(items) - 1) // (n - 1)] for k in range(n)]
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     """Coefficients and the constant (last), by Newton steps."""
     x = np.c_[x, np.ones(len(x))]

@@ -8,9 +8,10 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
-from labelforge.llm import lm, neardup, quality
+from labelforge.llm import lm, neardup, quality, toxicity
 from labelforge.llm.queries import op3_ngram_ratio
 
 from .conftest import prose
@@ -154,3 +155,28 @@ def test_a_link_that_one_side_finds_counts_for_both():
         there, back = r.random((nq, n)) < 0.1, r.random((n, nq)) < 0.1
         got = np.concatenate([x for _, x in neardup.joined_links(np.packbits(there, axis=1), np.packbits(back, axis=1), n, step)])
         assert (got == (there | back.T)).all()
+
+
+# ---- op4: windows of the whole text train the ordinary dictionary
+
+def test_ordinary_windows_come_from_the_whole_text(spark, monkeypatch):
+    given = []
+
+    def trained(size, samples, **_):
+        given.extend(samples)
+        raise zstandard.ZstdError("not needed")
+
+    monkeypatch.setattr(zstandard, "train_dictionary", trained)
+    rows = [(i, f"first{i} " + prose(i, 200) + f" last{i}") for i in range(20)] + [(50 + i, f"grubworm {i}") for i in range(9)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    toxicity.fit(d, d.select("doc_id", (F.col("doc_id") >= 50).cast("int").alias("toxic")))
+    text = b" ".join(given)
+    assert all(b"first%d" % i in text and b"last%d" % i in text for i in range(20))
+
+
+def test_spread():
+    for n in range(40):
+        at = toxicity.spread(list(range(n)), 8)
+        assert len(at) == min(n, 8) and (n == 0 or (at[0], at[-1]) == (0, n - 1))
+        gaps = np.diff(at)
+        assert n < 2 or gaps.max() - gaps.min() <= 1
