@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
+from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -74,45 +74,72 @@ class Node:
             n = n.parent
 
 
-class _Tree(HTMLParser):
-    """The elements of a page in page order; missing end tags are supplied."""
-
-    def __init__(self, html: str):
-        super().__init__(convert_charrefs=True)
-        self.nodes = [Node("", {}, None)]
-        self.open = [self.nodes[0]]
-        self.feed(html)
-        self.close()
-
-    def end(self, tags, stops) -> None:
-        for k in range(len(self.open) - 1, 0, -1):
-            if self.open[k].tag in tags:
-                del self.open[k:]
+#: A comment, tag or declaration; quotes count only behind an equals sign.
+MARKUP = re.compile(r"""<(?:!--(?:-?>|.*?(?:--!?>|\Z))|(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+)>|[!?/][^>]*+(?:>|\Z))""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+CUT_OFF = re.compile(r"<[a-zA-Z/!?]")
+#: Elements whose content is no markup, and those of them that hold text.
+RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in ("script", "style", "textarea", "title", "iframe", "noembed", "noframes", "xmp")}
+RAW_TEXT = ("textarea", "title")
+#: Start tags of blocks end an open paragraph, unless one of these holds it.
+HOLDS_P = frozenset("div section article main td th li blockquote button object form".split())
+
+
+def tree(html: str) -> list[Node]:
+    """The elements of a page in page order; missing end tags are supplied, and
+    a tag that the page's end cuts off is left out."""
+    top = Node("", {}, None)
+    nodes, open_ = [top], [top]
+    at = 0
+
+    def end(tags, stops) -> None:
+        for k in range(len(open_) - 1, 0, -1):
+            if open_[k].tag in tags:
+                del open_[k:]
                 return
-            if self.open[k].tag in stops:
+            if open_[k].tag in stops:
                 return
 
-    def handle_starttag(self, tag, attrs):
+    def say(text: str) -> None:
+        if text:
+            open_[-1].kids.append(unescape(text) if "&" in text else text)
+
+    while found := MARKUP.search(html, at):
+        say(html[at:found.start()])
+        at = found.end()
+        closes, tag, rest = found.groups()
+        if tag is None:
+            continue
+        tag = tag.lower()
+        if closes:
+            if tag in VOID or tag in ("body", "html"):
+                continue
+            if open_[-1].tag == tag and len(open_) > 1:
+                open_.pop()
+            else:
+                end((tag,), {n.tag for n in open_ if n.tag not in INLINE} if tag in INLINE else ())
+            continue
         if tag in ENDED_BY:
-            self.end(*ENDED_BY[tag])
-        if tag not in INLINE and tag not in VOID or tag == "hr":
-            self.end({"p"}, {"div", "section", "article", "td", "th", "li", "blockquote", "button", "object", "form"})
-        if tag == "body" and self.open[-1].tag == "head":
-            self.end({"head"}, ())
-        node = Node(tag, {k: v or "" for k, v in attrs}, self.open[-1])
-        self.open[-1].kids.append(node)
-        self.nodes.append(node)
-        if tag not in VOID:
-            self.open.append(node)
-
-    def handle_endtag(self, tag):
-        if tag in VOID or tag in ("body", "html"):
-            return
-        stops = () if tag not in INLINE else {n.tag for n in self.open if n.tag not in INLINE}
-        self.end({tag}, stops)
-
-    def handle_data(self, data):
-        self.open[-1].kids.append(data)
+            end(*ENDED_BY[tag])
+        if tag not in INLINE and (tag not in VOID or tag == "hr"):
+            end(("p",), HOLDS_P)
+        if tag == "body":
+            end(("head",), ())
+        attrs = {k.lower(): v1 or v2 or v3 for k, v1, v2, v3 in ATTRIBUTE.findall(rest)} if "=" in rest or "hidden" in rest else {}
+        node = Node(tag, attrs, open_[-1])
+        open_[-1].kids.append(node)
+        nodes.append(node)
+        if tag in RAW:
+            stop = RAW[tag].search(html, at)
+            if tag in RAW_TEXT:
+                node.kids.append(unescape(html[at:stop.start() if stop else len(html)]))
+            at = stop.end() if stop else len(html)
+        elif tag not in VOID:
+            open_.append(node)
+    rest = html[at:]
+    cut = CUT_OFF.search(rest)
+    say(rest[:cut.start()] if cut else rest)
+    return nodes
 
 
 def tidy(text: str) -> str:
@@ -125,21 +152,19 @@ class Page:
     def __init__(self, html: str | None):
         import xxhash
 
-        self.nodes = _Tree(html or "").nodes
+        self.nodes = tree(html or "")
         for n in reversed(self.nodes):  # a node comes before its descendants
-            if n.tag in ("script", "style"):
-                continue
-            h = xxhash.xxh3_64(n.tag.encode("utf-8", "surrogatepass"))
+            said = [n.tag]
             for kid in n.kids:
                 if isinstance(kid, str):
                     text = tidy(kid)
                     n.chars += len(text)
-                    h.update(b"\0" + text.encode("utf-8", "surrogatepass"))
+                    said.append(text)
                 else:
                     n.chars += kid.chars
                     n.linked += kid.chars if kid.tag == "a" else kid.linked
-                    h.update(b"\1" + kid.hash.to_bytes(8, "little"))
-            n.hash = h.intdigest()
+                    said.append(f"\1{kid.hash:x}")
+            n.hash = xxhash.xxh3_64_intdigest("\0".join(said).encode("utf-8", "surrogatepass"))
         # what holds the headline or the largest article isn't judged by its names
         articles = [n for n in self.nodes if n.tag == "article"]
         keys = [n for n in self.nodes if n.tag in ("h1", "main")] + sorted(articles, key=lambda n: -n.chars)[:1]
@@ -151,9 +176,9 @@ class Page:
         self.roots = next((r for m in marks if (r := [n for n in self.nodes if n.chars and m(n) and not any(id(u) in self.said for u in n.up())
                                                       and not any(m(u) for u in n.parent.up())])), [])
         self.holds = {id(u) for n in self.roots for u in n.up()}
-        self.inside = set()
-        for n in self.nodes:
-            if n.parent is not None and (id(n.parent) in self.inside or any(n.parent is r for r in self.roots)):
+        self.inside, roots = set(), {id(r) for r in self.roots}
+        for n in self.nodes[1:]:
+            if id(n.parent) in self.inside or id(n.parent) in roots:
                 self.inside.add(id(n))
 
     @staticmethod
