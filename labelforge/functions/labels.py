@@ -72,15 +72,24 @@ def key_value_entries(lines: Column) -> Column:
 
 
 def _dedupe_first_pos_last_value(entries: Column) -> Column:
-    """Python-dict semantics for repeated keys: first position, last value."""
-    firsts = F.filter(entries, lambda e: ~F.exists(entries, lambda y: (y["k"] == e["k"]) & (y["pos"] < e["pos"])))
-    return F.transform(
-        firsts,
-        lambda e: F.struct(
-            e["k"].alias("k"),
-            F.element_at(F.filter(entries, lambda y: y["k"] == e["k"]), -1)["v"].alias("v"),
-        ),
-    )
+    """Python-dict semantics for repeated keys: first position, last value.
+
+    Sorted by key and position, a key's first entry is the one whose left
+    neighbour has another key, its last the one whose right neighbour has; both
+    lists hold the keys in one order, so they are zipped and put back by
+    position: n log n steps, where each entry against all others takes n^2."""
+    by_key = F.sort_array(F.transform(entries, lambda e: F.struct(e["k"].alias("k"), e["pos"].alias("pos"), e["v"].alias("v"))))
+    none = F.slice(F.transform(by_key, lambda e: F.lit(None).cast("string")), 1, 1)  # one, or none for no entries
+    keys = F.transform(by_key, lambda e: e["k"])
+    n = F.size(by_key)
+    left = F.concat(none, F.slice(keys, 1, F.greatest(n - 1, F.lit(0))))
+    right = F.concat(F.slice(keys, 2, F.greatest(n - 1, F.lit(0))), none)
+    near = F.arrays_zip(by_key.alias("e"), left.alias("l"), right.alias("r"))
+    firsts = F.filter(near, lambda x: ~x["e"]["k"].eqNullSafe(x["l"]))
+    lasts = F.filter(near, lambda x: ~x["e"]["k"].eqNullSafe(x["r"]))
+    folded = F.zip_with(firsts, lasts, lambda f, z: F.struct(
+        f["e"]["pos"].alias("pos"), f["e"]["k"].alias("k"), z["e"]["v"].alias("v")))
+    return F.transform(F.sort_array(folded), lambda e: F.struct(e["k"].alias("k"), e["v"].alias("v")))
 
 
 def _first_argmax(folded: Column) -> Column:

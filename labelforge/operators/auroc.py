@@ -6,8 +6,10 @@ one half, the same number ``roc_auc_score`` gives. Computed relationally:
 
 1. ``(group, score) -> pos, neg``: partial aggregate (map-side combine); one
    row per distinct score, so a hot score value is a single row.
-2. negatives below each score: bucketed running sum (two levels of
-   equal-width score buckets), never a window over a whole class.
+2. negatives below each score: score buckets of about as many rows each (cut
+   points from a quantile sketch of each curve), exact counts per bucket, and a
+   window inside a bucket only; never over a whole class, however the scores
+   are spread.
 3. ``sum(pos * (neg_below + neg/2)) / (P * N)`` per group; NULL when a group
    has only one class present (the reference's NaN), skipped by ``avg``.
 """
@@ -19,51 +21,40 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.operators.rank import exclusive_prefix, null_safe_join, range_bucket
+from labelforge.functions.confidence import PATTERN_A
+from labelforge.operators.rank import cut_bucket, null_safe_join, quantile_cuts
 from labelforge.schema import LABELS
 
+#: Score buckets of a curve, and how many cut points may travel by broadcast.
 BUCKETS = 1024
+BROADCAST_CUTS = 1 << 22
 
 
 def auroc(df: DataFrame, keys: Sequence[str], score: str = "score", positive: str = "is_true",
-          buckets: int = BUCKETS, materialize: bool | str = True) -> DataFrame:
+          buckets: int = BUCKETS) -> DataFrame:
     """``(keys..., auroc, n_pos, n_neg)`` for binary ``positive`` (0/1 or bool).
 
-    ``keys`` identify a bounded number of curves (prompt x label, say): the
-    per-curve bound tables (curves x buckets rows) are broadcast. With
-    ``materialize`` the deduplicated ``(curve, score)`` table is checkpointed
-    once to the shared checkpoint folder (``'parquet'``: written as a Parquet
-    table there instead), so the passes over it neither recompute the upstream
-    plan nor depend on executors that may be lost."""
+    A row without a score or a target has no rank (:func:`unranked` counts
+    them). The distinct ``(curve, score)`` rows are written once to the shared
+    checkpoint folder, so the passes over them neither recompute the upstream plan
+    nor depend on executors that may be lost. A curve's cut points are one row;
+    they are broadcast only if all curves have ``BROADCAST_CUTS`` at most."""
+    from labelforge.sources.files import materialize
+
     keys = list(keys)
     y = F.col(positive).cast("long")
-    # a row without a score or without a target has no rank (the reference
-    # raises on such input); it does not enter P, N or the sums
     df = df.filter(F.col(score).isNotNull() & F.col(positive).isNotNull())
     d = df.groupBy(*keys, F.col(score).alias("__score")).agg(
         F.sum(y).alias("__pos"), F.sum(1 - y).alias("__neg")
     )
-    if materialize == "parquet":
-        from labelforge.sources.files import materialize as _materialize
-
-        d = _materialize(d, "auroc-scores")
-    elif materialize:
-        d = d.checkpoint(eager=True)
-    lvl1 = d.groupBy(*keys).agg(F.min("__score").alias("__lo"), F.max("__score").alias("__hi"))
-    d = null_safe_join(d, lvl1, keys, broadcast_right=True).withColumn(
-        "__b1", range_bucket(F.col("__score"), F.col("__lo"), F.col("__hi"), buckets)
-    ).drop("__lo", "__hi")
-    # one small table per first-level bucket: its own score range (second-level
-    # buckets are re-fitted to it) and the negatives in all lower buckets
-    lvl2 = d.groupBy(*keys, "__b1").agg(
-        F.min("__score").alias("__lo"), F.max("__score").alias("__hi"), F.sum("__neg").alias("__n1"))
-    w1 = Window.partitionBy(*keys).orderBy("__b1").rowsBetween(Window.unboundedPreceding, -1)
-    lvl2 = lvl2.withColumn("__base0", F.coalesce(F.sum("__n1").over(w1), F.lit(0))).drop("__n1")
-    d = null_safe_join(d, lvl2, keys + ["__b1"], broadcast_right=True).withColumn(
-        "__b2", range_bucket(F.col("__score"), F.col("__lo"), F.col("__hi"), buckets)
-    ).drop("__lo", "__hi")
-    d = exclusive_prefix(d, keys + ["__b1"], ["__b2"], ["__score"], "__neg", out="__below1")
-    d = d.withColumn("__below", F.col("__base0") + F.col("__below1"))
+    d = materialize(d, "auroc-scores")
+    d = score_buckets(d, keys, "__score", buckets)
+    low = d.groupBy(*keys, "__b").agg(F.sum("__neg").alias("__n"))
+    w = Window.partitionBy(*keys).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    low = low.withColumn("__base", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    inside = Window.partitionBy(*keys, "__b").orderBy("__score").rowsBetween(Window.unboundedPreceding, -1)
+    d = null_safe_join(d.withColumn("__in", F.coalesce(F.sum("__neg").over(inside), F.lit(0))), low, keys + ["__b"])
+    d = d.withColumn("__below", F.col("__base") + F.col("__in"))
     contrib = F.col("__pos").cast("double") * (F.col("__below").cast("double") + 0.5 * F.col("__neg").cast("double"))
     agg = d.groupBy(*keys).agg(
         F.sum(contrib).alias("__num"), F.sum("__pos").alias("n_pos"), F.sum("__neg").alias("n_neg")
@@ -76,21 +67,44 @@ def auroc(df: DataFrame, keys: Sequence[str], score: str = "score", positive: st
     )
 
 
-def positional_pairs(labels: Sequence[str] | None = None) -> list[tuple[str, str]]:
-    """E8 when every label occurs as a truth: (score label, truth label) pairs,
-    score columns in label order against binarised truth columns in sorted order."""
-    labels = list(labels or LABELS)
-    return list(zip(labels, sorted(labels)))
+def score_buckets(d: DataFrame, keys: Sequence[str], score: str, buckets: int = BUCKETS) -> DataFrame:
+    """``d`` with ``__b``, the score's bucket within its curve."""
+    from labelforge.sources.files import materialize
+
+    cuts = materialize(d.groupBy(*keys).agg(quantile_cuts(F.col(score).cast("double"), buckets).alias("__cuts")), "auroc-cuts")
+    bounded = cuts.count() * buckets <= BROADCAST_CUTS
+    bucket = cut_bucket(F.col(score).cast("double"), F.col("__cuts"), buckets)
+    return null_safe_join(d, cuts, list(keys), broadcast_right=bounded).withColumn("__b", bucket).drop("__cuts")
+
+
+def unranked(df: DataFrame, keys: Sequence[str] = (), score: str = "score", positive: str = "is_true") -> DataFrame:
+    """Rows that have no place on a curve: ``(keys..., n_rows, n_no_score,
+    n_no_target, n_unranked)``."""
+    s, y = F.col(score).isNull(), F.col(positive).isNull()
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(s).alias("n_no_score"),
+                                 F.count_if(y).alias("n_no_target"), F.count_if(s | y).alias("n_unranked"))
+
+
+def first_mention_order(responses: DataFrame, keys: Sequence[str], text: str, position: str,
+                        labels: Sequence[str] | None = None) -> DataFrame:
+    """``(keys..., column_order)``: the order in which a table built row by row
+    from parsed responses gets its score columns: labels as the first response
+    (by ``position``) of the group scores them, then the others in label order."""
+    names = F.array(*[F.lit(x) for x in labels or LABELS])
+    said = F.filter(F.regexp_extract_all(F.col(text), F.lit(PATTERN_A), 1), lambda k: F.array_contains(names, k))
+    first = responses.groupBy(*keys).agg(F.min_by(F.coalesce(F.col(text), F.lit("")), F.col(position)).alias(text))
+    return first.select(*keys, F.array_distinct(F.concat(said, names)).alias("column_order"))
 
 
 def positional_targets(scores: DataFrame, keys: Sequence[str], truth: str = "true_label",
-                       labels: Sequence[str] | None = None) -> DataFrame:
+                       labels: Sequence[str] | None = None, order: DataFrame | None = None) -> DataFrame:
     """E8 exactly as the reference pairs columns: the binariser is fitted on
     the truth values present (sorted), score column ``i`` (label order) is
     compared with truth column ``i``; with exactly two truth classes the
     binariser yields one column (the second class); a score column without a
-    partner gets no target (NULL AUROC). Output: ``(keys..., label, target)``,
-    at most ``groups x labels`` rows."""
+    partner gets no target (NULL AUROC). ``order`` ((keys..., column_order), of
+    :func:`first_mention_order`) replaces label order by each group's own.
+    Output: ``(keys..., label, target)``, at most ``groups x labels`` rows."""
     labels = list(labels or LABELS)
     keys = list(keys)
     present = scores.select(*keys, F.col(truth).alias("__t")).filter(F.col("__t").isNotNull()).distinct()
@@ -99,25 +113,29 @@ def positional_targets(scores: DataFrame, keys: Sequence[str], truth: str = "tru
         "__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
     # two classes -> one column holding the second class
     ranked = ranked.withColumn("__col", F.when(F.col("__n") == 2, F.col("__i") - 1).otherwise(F.col("__i")))
-    label_pos = F.create_map(*[x for i, lab in enumerate(labels) for x in (F.lit(lab), F.lit(i))])
-    grid = ranked.select(*keys).distinct().withColumn("label", F.explode(F.array(*[F.lit(x) for x in labels])))
-    grid = grid.withColumn("__col", label_pos[F.col("label")])
-    return grid.join(ranked.filter(F.col("__col") >= 0).select(*keys, "__col", F.col("__t").alias("target")),
-                     keys + ["__col"], "left").drop("__col")
+    columns = F.array(*[F.lit(x) for x in labels])
+    grid = ranked.select(*keys).distinct()
+    if order is not None:
+        grid = null_safe_join(grid, order, keys, "left")
+        columns = F.coalesce("column_order", columns)
+    grid = grid.select(*keys, F.posexplode(columns).alias("__col", "label"))
+    return null_safe_join(grid, ranked.filter(F.col("__col") >= 0).select(*keys, "__col", F.col("__t").alias("target")),
+                          keys + ["__col"], "left").drop("__col")
 
 
 def one_vs_rest_auroc(scores: DataFrame, keys: Sequence[str] = (), truth: str = "true_label",
                       label: str = "label", score: str = "score", align: str = "by_name",
-                      labels: Sequence[str] | None = None) -> DataFrame:
+                      labels: Sequence[str] | None = None, order: DataFrame | None = None) -> DataFrame:
     """E6/E8 on long-form scores ``(keys..., label, score, truth)``: one AUROC
     per ``(keys..., label)``. ``align='by_name'`` (correct) compares score of
     label L with truth == L; ``'positional'`` reproduces the reference's
-    pairing of score column i with the i-th binarised truth column."""
+    pairing of score column i with the i-th binarised truth column, score
+    columns in label order or in ``order`` (:func:`first_mention_order`)."""
     keys = list(keys)
     if align == "by_name":
         flagged = scores.withColumn("__y", (F.col(truth) == F.col(label)).cast("int"))
     elif align == "positional":
-        targets = positional_targets(scores, keys, truth, labels).withColumnRenamed("label", label)
+        targets = positional_targets(scores, keys, truth, labels, order).withColumnRenamed("label", label)
         # targets: groups x labels rows (bounded by design) -> broadcast
         flagged = scores.join(F.broadcast(targets), keys + [label], "left").withColumn(
             "__y", (F.col(truth) == F.col("target")).cast("int"))

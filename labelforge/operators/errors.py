@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from labelforge.operators.rank import numbered
 from labelforge.schema import LABELS
 
 
@@ -84,6 +86,31 @@ def duplicate_keys(df: DataFrame, key: str) -> DataFrame:
     return n.agg(F.count(F.lit(1)).alias("n_keys"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("n_extra_rows"))
 
 
+def align_by_occurrence(predictions: DataFrame, rows: DataFrame, key: str, order_predictions: Sequence[Column],
+                        order_rows: Sequence[Column]) -> DataFrame:
+    """J1 where keys repeat: the n-th prediction of a key (in its order) meets the
+    n-th row of that key, and what one side has more of stays, alone. Each side
+    is numbered within its keys over range partitions, so a key of any size is
+    split, and the join has one row a side for each (key, ``occurrence``). NULL
+    keys meet nothing."""
+    p = numbered(predictions, [key], order_predictions, "occurrence", "align").withColumn("__in_pred", F.lit(True))
+    r = numbered(rows, [key], order_rows, "occurrence", "align").withColumn("__in_rows", F.lit(True))
+    return p.join(r, [key, "occurrence"], "full_outer")
+
+
+def occurrence_audit(aligned: DataFrame, key: str) -> DataFrame:
+    """Matched rows, rows beyond the other side's count of their key
+    (``n_surplus_*``), and rows whose key stands on one side only."""
+    has = lambda c: F.col(c).isNotNull()
+    per = aligned.groupBy(key).agg(
+        F.count_if(has("__in_pred") & has("__in_rows")).alias("m"), F.count_if(~has("__in_rows")).alias("p"),
+        F.count_if(~has("__in_pred")).alias("r"))
+    total = lambda c, cond: F.coalesce(F.sum(F.when(cond, F.col(c))), F.lit(0))
+    return per.agg(total("m", F.lit(True)).alias("n_matched"),
+                   total("p", F.col("m") > 0).alias("n_surplus_predictions"), total("r", F.col("m") > 0).alias("n_surplus_rows"),
+                   total("p", F.col("m") == 0).alias("n_only_predictions"), total("r", F.col("m") == 0).alias("n_only_rows"))
+
+
 def before_after(before: DataFrame, after: DataFrame, key: str = "report_id") -> DataFrame:
     """The same reports under two prompt versions -> fixed / broken /
     still wrong / still right counts and the accuracy change over the reports on
@@ -153,3 +180,36 @@ def technique_effect(metrics: DataFrame, features: DataFrame, metric: str = "f1_
     j = metrics.join(F.broadcast(features), "prompt_id")
     return j.groupBy("feature", "present").agg(
         F.avg(metric).alias(f"avg_{metric}"), F.count(F.lit(1)).alias("n_prompts"))
+
+
+def technique_effects(rows: DataFrame, features: DataFrame, value: str, key: str = "prompt_id",
+                      techniques: Sequence[str] | None = None, ridge: float = 1e-3) -> DataFrame:
+    """What each technique adds to the mean of ``value``, the others held
+    fixed: least squares of ``value`` (a number of each row, such as right = 1)
+    on an intercept and the techniques of the row's prompt.
+
+    Rows are summed to (n, sum) per prompt, prompts to the cross products of
+    the normal equations: one row of p^2 numbers for p techniques, however
+    many prompts and rows there are; only that row reaches the driver. Techniques that
+    always come together can't be told apart: the ridge (a share of the rows
+    added to the diagonal, not for the intercept) shares their effect out
+    evenly, and ``separable`` is false for them."""
+    names = list(techniques or TECHNIQUES)
+    per = rows.groupBy(key).agg(F.count(value).cast("double").alias("__n"), F.sum(value).cast("double").alias("__s"))
+    flags = features.groupBy(key).pivot("feature", names).agg(F.max(F.col("present").cast("double")))
+    x = [F.lit(1.0), *[F.coalesce(F.col(f"`{n}`"), F.lit(0.0)) for n in names]]
+    p = len(x)
+    sums = [F.sum(F.col("__n") * x[i] * x[j]) for i in range(p) for j in range(i, p)]
+    got = per.join(flags, key).agg(F.array(*sums).alias("xx"), F.array(*[F.sum(F.col("__s") * c) for c in x]).alias("xy"),
+                                   F.array(*[F.sum(c) for c in x]).alias("prompts")).first()
+    a = np.zeros((p, p))
+    a[np.triu_indices(p)] = [v or 0.0 for v in got["xx"]]
+    a = a + np.triu(a, 1).T
+    y = np.array([v or 0.0 for v in got["xy"]])
+    n = a[0, 0]
+    effect = np.linalg.solve(a + np.diag([0.0] + [ridge * n] * (p - 1)), y) if n else np.zeros(p)
+    # a technique is separable if no other mix of columns makes its column
+    separable = [np.linalg.matrix_rank(np.delete(np.delete(a, i, 0), i, 1)) < np.linalg.matrix_rank(a) for i in range(p)]
+    out = [("(all)" if i == 0 else names[i - 1], float(effect[i]) if n else None, int(got["prompts"][i] or 0), int(a[i, i]), bool(separable[i]))
+           for i in range(p)]
+    return rows.sparkSession.createDataFrame(out, "feature string, effect double, n_prompts long, n_rows long, separable boolean")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from labelforge.operators.prepare import length_grouped
+from labelforge.operators.prepare import length_grouped, padded_runs
 from labelforge.schema import LABELS
 
 ScorerFactory = Callable[[], Callable[[pd.Series], pd.Series]]
@@ -38,7 +38,7 @@ def _scorer(token: str, factory: ScorerFactory):
 
 def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt", out: str = "response",
                     keys: Sequence[str] | None = None, group_by_length: bool = True,
-                    materialize: bool = True, partitions: int | None = None) -> DataFrame:
+                    materialize: bool = True, partitions: int | None = None, max_padded: int | None = None) -> DataFrame:
     """``out`` = scorer(prompt), batch by batch.
 
     Only ``keys`` + the prompt cross into Python (Arrow batches of
@@ -49,7 +49,10 @@ def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt
     table is returned, so that a task re-run after an executor loss cannot
     change sampled responses that were already consumed; ``materialize=False``
     is for deterministic scorers. ``partitions`` spreads the requests over so
-    many tasks (default: as they come)."""
+    many tasks (default: as they come). ``max_padded`` bounds what the scorer
+    gets at a time by its padded size (longest prompt x rows, in characters;
+    :func:`labelforge.operators.prepare.padded_runs`); a longer prompt comes
+    alone."""
     token = uuid.uuid4().hex
     keep = list(keys) if keys is not None else [c for c in df.columns if c != prompt]
     src = df.select(*keep, prompt)
@@ -64,7 +67,7 @@ def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = _scorer(token, factory)
-        for pdf in batches:
+        for pdf in batches if max_padded is None else _padded(batches, prompt, max_padded):
             res = pd.Series(fn(pdf[prompt]), index=pdf.index).astype(object)
             part = pdf[keep].copy()
             part[out] = res
@@ -78,6 +81,51 @@ def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt
     return result
 
 
+def _padded(batches: Iterator[pd.DataFrame], prompt: str, budget: int) -> Iterator[pd.DataFrame]:
+    """The rows of ``batches`` in runs of at most ``budget`` padded characters;
+    a run may go on from one Arrow batch into the next."""
+    held = None
+    for pdf in batches:
+        pdf = pdf if held is None else pd.concat([held, pdf], ignore_index=True)
+        ends = padded_runs(pdf[prompt].str.len().fillna(0).astype("int64").to_numpy(), budget)
+        for x, y in zip([0, *ends], ends[:-1]):
+            yield pdf.iloc[x:y]
+        held = pdf.iloc[ends[-2] if len(ends) > 1 else 0:] if len(ends) else None
+    if held is not None and len(held):
+        yield held
+
+
+def resume_inference(requests: DataFrame, factory: ScorerFactory, store: str, run_id: str, keys: Sequence[str],
+                     prompt: str = "prompt", out: str = "response", slices: int = 16, max_slices: int | None = None,
+                     **params) -> DataFrame:
+    """A run that goes on after a failure. Responses are appended to a store
+    (Parquet, by run and slice of the requests' keys), one commit for each
+    slice; a slice's requests are first matched against what the run has
+    stored, so a run started again, or continued, scores only the rest, and no
+    response is ever replaced. ``max_slices`` ends a call after so many slices
+    with open requests. Keys name one request each; :func:`replay` raises
+    where they don't. Returns the run's stored responses."""
+    spark, keys = requests.sparkSession, list(keys)
+    schema = T.StructType([*(requests.schema[c] for c in keys), T.StructField(out, T.StringType()),
+                           T.StructField("run_id", T.StringType()), T.StructField("slice", T.IntegerType())])
+
+    def append(df: DataFrame) -> None:
+        df.write.mode("append").partitionBy("run_id", "slice").parquet(store)
+
+    def stored() -> DataFrame:
+        return spark.read.schema(schema).parquet(store).where(F.col("run_id") == run_id)
+
+    append(spark.createDataFrame([], schema))  # the store exists from here on
+    asked = requests.withColumn("slice", F.pmod(F.xxhash64(*keys), F.lit(slices)).cast("int"))
+    open_slices = sorted(r["slice"] for r in asked.select(*keys, "slice").join(stored(), [*keys, "slice"], "left_anti")
+                         .select("slice").distinct().collect())  # at most ``slices`` numbers
+    for k in open_slices[:max_slices]:
+        rest = asked.where(F.col("slice") == k).join(stored().where(F.col("slice") == k), keys, "left_anti")
+        got = batch_inference(rest, factory, prompt=prompt, out=out, keys=keys, materialize=False, **params)
+        append(got.select(*keys, out).withColumns({"run_id": F.lit(run_id), "slice": F.lit(k)}))
+    return stored().select(*keys, out, "run_id")
+
+
 def replay(requests: DataFrame, stored: DataFrame, keys: Sequence[str], response: str = "response",
            run_id: str | None = None) -> DataFrame:
     """I1 (replay): responses recorded by an earlier run, joined on keys.

@@ -1,9 +1,10 @@
 """Classification metrics and label statistics.
 
 All metrics start from one partial aggregate, the confusion counts
-``(keys..., correct, predicted) -> n``, whose size is bounded by
-``groups x classes^2`` however many rows there are; everything after it
-works on that small table."""
+``(keys..., correct, predicted) -> n``; everything after it works on that
+table. It has ``groups x classes^2`` rows however many reports there are, where
+predictions are parsed labels; raw answers kept as classes can make it as long
+as the input, and it stays a distributed table."""
 
 from __future__ import annotations
 
@@ -12,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from labelforge.operators.rank import null_safe_join
+from labelforge.operators.rank import null_safe_join, numbered
 from labelforge.schema import LABELS
 
 
@@ -107,6 +108,16 @@ def metrics_on_rows(df: DataFrame, keys: Sequence[str], **params) -> DataFrame:
     return null_safe_join(df, macro_metrics(df, keys, **params).drop("n_rows", "n_classes"), list(keys), "left")
 
 
+def metrics_on_first_row(df: DataFrame, keys: Sequence[str], position: str, **params) -> DataFrame:
+    """J4 as a result file holds it: the group's macro metrics on its first row (by
+    ``position``, which is unique in a group), NULL on all others."""
+    names = ["accuracy", "precision", "recall", "f1_score"]
+    first = df.groupBy(*keys).agg(F.min(position).alias("__first"))
+    x = null_safe_join(metrics_on_rows(df, keys, **params), first, list(keys), "left")
+    here = F.col(position).eqNullSafe(F.col("__first"))
+    return x.withColumns({c: F.when(here, F.col(c)) for c in names}).drop("__first")
+
+
 def mean_metrics(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Unweighted mean of run-level metrics (all runs together when ``by``
     is empty, as the reference does)."""
@@ -119,14 +130,12 @@ def mean_metrics(metrics: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def label_encode(df: DataFrame, keys: Sequence[str] = (), correct: str = "correct",
                  predicted: str = "predicted") -> DataFrame:
     """Sorted union of true and predicted values -> 0..k-1 (NULL last).
-    The distinct-label table is tiny; the window over it is cheap."""
-    classes = (
-        df.select(*keys, F.col(correct).alias("cls"))
-        .union(df.select(*keys, F.col(predicted).alias("cls")))
-        .distinct()
-    )
-    w = Window.partitionBy(*keys).orderBy(F.col("cls").asc_nulls_last())
-    return classes.select(*keys, "cls", (F.dense_rank().over(w) - 1).alias("code"))
+
+    Where unparsed answers stay as classes, these are as many as there are
+    answers: the distinct classes are ranked over range partitions, not in one
+    task (:func:`labelforge.operators.rank.numbered`)."""
+    classes = df.select(*keys, F.explode(F.array(F.col(correct), F.col(predicted))).alias("cls")).distinct()
+    return numbered(classes, keys, [F.col("cls").asc_nulls_last()], "code", "classes").select(*keys, "cls", "code")
 
 
 def binarise(df: DataFrame, labels: Sequence[str] | None = None, truth: str = "correct") -> DataFrame:

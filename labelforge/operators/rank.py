@@ -69,13 +69,48 @@ def hex_buckets(key: Column, digits: Sequence[int] = (3, 3)) -> list[Column]:
     return cols
 
 
-def range_bucket(x: Column, lo: Column, hi: Column, n: int) -> Column:
-    """Equal-width bucket of ``x`` in ``[lo, hi]``, non-decreasing in ``x``
-    (Spark order: NaN above +inf). Halved operands avoid overflow of
-    ``hi - lo``; with an infinite or NaN bound the range degenerates to three
-    buckets (lowest value, highest value, everything between)."""
-    finite = ~F.isnan(lo) & ~F.isnan(hi) & (lo > F.lit(float("-inf"))) & (hi < F.lit(float("inf")))
-    scaled = F.floor((x / 2 - lo / 2) / (hi / 2 - lo / 2) * F.lit(n)).cast("int")
-    regular = F.when(hi > lo, F.least(F.greatest(scaled, F.lit(0)), F.lit(n - 1))).otherwise(F.lit(0))
-    degenerate = F.when(x == lo, F.lit(0)).when(x == hi, F.lit(n - 1)).otherwise(F.lit(n // 2))
-    return F.when(finite, regular).otherwise(degenerate)
+def quantile_cuts(x: Column, buckets: int, accuracy: int | None = None) -> Column:
+    """Aggregate: ``buckets - 1`` ascending cut points that split the values of
+    ``x`` into buckets of about as many rows each. From a mergeable quantile
+    sketch: each cut's rank is off by ``rows / accuracy`` at most. NaN, which
+    Spark orders last, is left to the last bucket."""
+    known = F.when(~F.isnan(x), x)
+    return F.percentile_approx(known, [k / buckets for k in range(1, buckets)], accuracy or 8 * buckets)
+
+
+def cut_bucket(x: Column, cuts: Column, buckets: int) -> Column:
+    """How many of the ascending ``cuts`` (fewer than ``buckets``, a power of two) are at or
+    below ``x``: a binary search, so non-decreasing in ``x``, whatever the cuts."""
+    steps = [1 << k for k in range((buckets - 1).bit_length() - 1, -1, -1)]
+    found = F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0),
+                        lambda at, s: F.when(F.get(cuts, at + s - 1) <= x, at + s).otherwise(at))
+    return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
+
+
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[Column], out: str, name: str = "numbered") -> DataFrame:
+    """``df`` with ``out``: a row's number (from 0) among the rows of its
+    ``keys`` (NULL = NULL) in ``order``, however many rows a key has.
+
+    Rows are range-partitioned by keys and order, so that a hot key lies in many
+    partitions; a row's number is its place in its partition plus the key's
+    rows in earlier partitions. The sorted rows are written once, with their
+    places, to the shared checkpoint folder: a task that runs again can't
+    number them otherwise."""
+    from labelforge.sources.files import materialize
+
+    keys = list(keys)
+    by = [F.col(k).asc_nulls_first() for k in keys] + list(order)
+    placed = df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__place", F.monotonically_increasing_id())
+    placed = materialize(placed, name).withColumn("__part", F.shiftright("__place", 33))
+    spans = placed.groupBy(*keys, "__part").agg(F.min("__place").alias("__lo"), F.count(F.lit(1)).alias("__n"))
+    if keys:  # a key's rows here are its number of partitions
+        w = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+        spans = spans.withColumn("__before", F.coalesce(F.sum("__n").over(w), F.lit(0))).drop("__n")
+    else:  # one row for each partition
+        rows, before = [], 0
+        for r in sorted(spans.collect(), key=lambda r: r["__part"]):
+            rows.append((r["__part"], r["__lo"], before))
+            before += r["__n"]
+        spans = df.sparkSession.createDataFrame(rows, "__part long, __lo long, __before long")
+    got = null_safe_join(placed, spans, [*keys, "__part"], broadcast_right=not keys)
+    return got.withColumn(out, F.col("__place") - F.col("__lo") + F.col("__before")).drop("__place", "__part", "__lo", "__before")

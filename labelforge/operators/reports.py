@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from labelforge.functions.text import py_strip
+from labelforge.operators.rank import null_safe_join
 from labelforge.schema import LABELS
 
 # Fixed values from the reference's prompt catalogue: keywords per label.
@@ -115,6 +116,55 @@ def keyword_hits(secs: DataFrame, keywords: dict[str, list[str]] | None = None,
     return x.select(*keys, "section", F.inline(F.filter(arr, lambda k: F.col("__lb").contains(k["keyword"]))))
 
 
+def with_keyword_pairs(df: DataFrame, text: str = "report", out: str = "hits",
+                       keywords: dict[str, list[str]] | None = None) -> DataFrame:
+    """``df`` with ``out``: the distinct (section, keyword) pairs of each report,
+    found on the report's own row."""
+    words = sorted({k for v in (keywords or LABEL_KEYWORDS).values() for k in v})
+    x = df.withColumn("__parts", F.transform(_parts(F.col(text)), lambda p, i: F.struct(
+        _section_name(p, i).alias("section"), F.lower(_section_body(p, i)).alias("body"))))
+    found = F.transform("__parts", lambda s: F.transform(
+        F.filter(F.array(*[F.lit(w) for w in words]), lambda w: s["body"].contains(w)),
+        lambda w: F.struct(s["section"].alias("section"), w.alias("keyword"))))
+    return x.withColumn(out, F.array_distinct(F.flatten(found))).drop("__parts")
+
+
+def keyword_lift(predictions: DataFrame, reports: DataFrame, key: str = "report_id", keys: Sequence[str] = ("prompt_id",),
+                 text: str = "report", keywords: dict[str, list[str]] | None = None, smooth: float = 0.5) -> DataFrame:
+    """Which keywords, in which section, go with an error: for each error
+    pair (true -> predicted) the reports with the keyword among its
+    ``error_rows`` (``n_error``) and among the ``correct_rows`` of the same
+    true label (``n_correct``), and ``lift``, the smoothed log-odds ratio of the two
+    (above 0: the keyword is commoner where the model errs).
+
+    Pairs are found on the report's row and joined once by ``key``; one
+    aggregate counts them for right and wrong predictions alike, and a pair of
+    NULLs in each row's list counts the rows themselves."""
+    from labelforge.sources.files import materialize
+
+    keys = list(keys)
+    hits = with_keyword_pairs(reports.select(key, text), text, "__hits", keywords).select(key, "__hits")
+    itself = F.array(F.struct(F.lit(None).cast("string").alias("section"), F.lit(None).cast("string").alias("keyword")))
+    rows = predictions.select(key, *keys, "correct", "predicted").join(hits, key)
+    n = rows.select(*keys, "correct", "predicted", F.inline(F.concat("__hits", itself))).groupBy(
+        *keys, "correct", "predicted", "section", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    n = materialize(n, "keyword-counts")
+    right, total = F.col("correct").eqNullSafe(F.col("predicted")), F.col("keyword").isNull()
+    out = n.where(~right & ~total).withColumnRenamed("n", "n_error")
+    out = null_safe_join(out, n.where(~right & total).select(*keys, "correct", "predicted", F.col("n").alias("error_rows")),
+                         [*keys, "correct", "predicted"])
+    out = null_safe_join(out, n.where(right & ~total).select(*keys, "correct", "section", "keyword", F.col("n").alias("n_correct")),
+                         [*keys, "correct", "section", "keyword"], "left")
+    out = null_safe_join(out, n.where(right & total).select(*keys, "correct", F.col("n").alias("correct_rows")), [*keys, "correct"], "left")
+    out = out.fillna(0, ["n_correct", "correct_rows"])
+
+    def log_odds(hit: str, all_rows: str) -> Column:
+        return F.log((F.col(hit) + smooth) / (F.col(all_rows) - F.col(hit) + smooth))
+
+    return out.select(*keys, "correct", "predicted", "section", "keyword", "n_error", "error_rows", "n_correct", "correct_rows",
+                      (log_odds("n_error", "error_rows") - log_odds("n_correct", "correct_rows")).alias("lift"))
+
+
 def keyword_label(df: DataFrame, text: str = "report", keys: Sequence[str] = ("report_id",),
                   keywords: dict[str, list[str]] | None = None,
                   primary: Sequence[str] = ("CONCLUSION", "IMPRESSION"), secondary: Sequence[str] = ("FINDINGS",)) -> DataFrame:
@@ -138,9 +188,11 @@ def keyword_label(df: DataFrame, text: str = "report", keys: Sequence[str] = ("r
 
     best = F.greatest(*[F.struct(rate("__p", lab).alias("p"), rate("__s", lab).alias("s"), F.lit(-i).alias("o"), F.lit(lab).alias("label"))
                         for i, lab in enumerate(keywords)])
-    x = x.select(*keys, best.alias("__b"))
-    return x.where((F.col("__b.p") > 0) | (F.col("__b.s") > 0)).select(
-        *keys, F.col("__b.label").alias("keyword_label"), F.col("__b.p").alias("primary_rate"), F.col("__b.s").alias("secondary_rate"))
+    # filtered inside the generator: a filter above would be pushed below both
+    # projections and repeat the splitting of sections for every keyword in it
+    one = F.filter(F.array(best), lambda b: (b["p"] > 0) | (b["s"] > 0))
+    return x.select(*keys, F.inline(F.transform(one, lambda b: F.struct(
+        b["label"].alias("keyword_label"), b["p"].alias("primary_rate"), b["s"].alias("secondary_rate")))))
 
 
 def _count_phrase(text_lower: Column, phrase: str) -> Column:
@@ -176,8 +228,8 @@ def phrase_label(df: DataFrame, text: str = "report", keys: Sequence[str] = ("re
     sums = [F.col(f"__s{i}") for i in range(len(labels))]
     best = F.greatest(*[F.struct(s.alias("s"), F.lit(-i).alias("o"), F.lit(lab).alias("label"))
                         for i, (s, lab) in enumerate(zip(sums, labels))])
-    x = x.select(*keys, best.alias("__b"), sum(sums, F.lit(0.0)).alias("__t")).where("__b.s > 0")
-    return x.select(*keys, F.col("__b.label").alias("phrase_label"), (F.col("__b.s") / F.col("__t")).alias("share"))
+    one = F.array(F.struct(best["label"].alias("phrase_label"), F.try_divide(best["s"], sum(sums, F.lit(0.0))).alias("share")))
+    return x.select(*keys, F.inline(F.filter(one, lambda b: b["share"] > 0)))
 
 
 def rule_label(text: str = "report") -> Column:

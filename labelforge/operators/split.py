@@ -99,16 +99,39 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: floa
     ).drop("__cut_q_test", "__cut_q_temp")
 
 
-def stratified_kfold(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int = 42) -> DataFrame:
-    """``fold = (rows of earlier classes + rank_in_label - 1) % k``: a class
-    goes on where the one before it ended, so that fold sizes differ by <= 1 per
-    class and over all classes. Classes in label order, NULL last."""
-    ranked = stratified_rank(df, id_col, label_col, seed)
+#: Bytes of a fold table that may travel by broadcast.
+BROADCAST_FOLDS = 32 << 20
+
+
+def fold_table(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """``(id, label, n, fold)``, a row for each id and class: ``fold = (rows of earlier
+    classes + rank in the class) % k``. Only ids, classes and order keys are
+    ranked and moved; rows of one id go to one fold."""
+    ids = df.groupBy(label_col, id_col).agg(F.count(F.lit(1)).alias("n"))
+    keyed = ids.withColumn("__key", order_key(F.col(id_col), seed))
+    b = hex_buckets(F.col("__key"))
+    names = [f"__b{i}" for i in range(len(b))]
+    keyed = materialize(keyed.withColumns(dict(zip(names, b))), "fold-keys")
+    ranked = exclusive_prefix(keyed, [label_col], names, ["__key", id_col], "n", out="__rank")
     w = Window.partitionBy().orderBy(F.col(label_col).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = (df.groupBy(label_col).agg(F.count(F.lit(1)).alias("__n"))
+    earlier = (keyed.groupBy(label_col).agg(F.sum("n").alias("__n"))
                .select(label_col, F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__earlier")))  # one row per class
-    j = null_safe_join(ranked, earlier, [label_col])
-    return j.withColumn("fold", ((F.col("__earlier") + F.col("rank_in_label") - 1) % k).cast("int")).drop("__earlier")
+    fold = ((F.col("__earlier") + F.col("__rank")) % k).cast("int").alias("fold")
+    return materialize(null_safe_join(ranked, earlier, [label_col]).select(id_col, label_col, "n", fold), "folds")
+
+
+def stratified_kfold(df: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """Adds ``fold``. A class goes on where the one before it ended, so that
+    fold sizes differ by <= 1 per class and over all classes. Classes in label
+    order, NULL last.
+
+    :func:`fold_table` ranks ids alone; its folds are joined back by id. A fold
+    table of ``BROADCAST_FOLDS`` at most is broadcast, so no other column of
+    ``df`` moves; a larger one meets ``df`` in a join by id, the one time that
+    the rows move (a caller that can join later takes the fold table)."""
+    folds = fold_table(df, id_col, label_col, k, seed).drop("n")
+    size = folds.agg(F.sum(F.octet_length(F.col(id_col).cast("string")) + 48)).first()[0] or 0
+    return null_safe_join(df, folds, [id_col, label_col], broadcast_right=size <= BROADCAST_FOLDS)
 
 
 def split_sizes(split_df: DataFrame, label_col: str | None = None, split_col: str = "split") -> DataFrame:

@@ -335,7 +335,17 @@ def confusion_counts(spark, sf_dir):
 SELECT prompt_id, cls, CAST(dense_rank() OVER (PARTITION BY prompt_id ORDER BY cls ASC NULLS LAST) - 1 AS BIGINT) AS code
 FROM (SELECT prompt_id, correct AS cls FROM pred UNION SELECT prompt_id, predicted FROM pred)"""))
 def label_encode(spark, sf_dir):
-    return M.label_encode(FX.predictions(spark, sf_dir), ["prompt_id"]).withColumn("code", F.col("code").cast("bigint"))
+    return M.label_encode(FX.predictions(spark, sf_dir), ["prompt_id"])
+
+
+@query("label_encode_all", with_parts(["resp"], f"""
+SELECT cls, CAST(dense_rank() OVER (ORDER BY cls ASC NULLS LAST) - 1 AS BIGINT) AS code
+FROM (SELECT correct AS cls FROM resp
+      UNION SELECT CASE WHEN regexp_matches(response, '\\b({OP.ALT})\\b') THEN regexp_extract(response, '\\b({OP.ALT})\\b', 1) ELSE response END FROM resp)"""))
+def label_encode_all(spark, sf_dir):
+    """E12 over all runs at once, unparsed answers kept as classes (T4)."""
+    r = FX.responses(spark, sf_dir).select("correct", LB.first_label("response", "raw").alias("predicted"))
+    return M.label_encode(r)
 
 
 @query("label_binarise", with_parts(["gold"], f"""
@@ -421,6 +431,45 @@ def auroc_natural(spark, sf_dir):
     return rounded(A.auroc(long, ["target"], "score", "y"), ["auroc"])
 
 
+@query("auroc_unranked", """
+SELECT target, count(*) AS n_rows, count_if(score IS NULL) AS n_no_score, count_if(y IS NULL) AS n_no_target, count_if(score IS NULL OR y IS NULL) AS n_unranked
+FROM (SELECT 'quality' AS target, l.quality AS y, d.n_chars::DOUBLE AS score FROM documents d LEFT JOIN labels l USING (doc_id)
+      UNION ALL SELECT 'toxic', l.toxic, d.n_chars::DOUBLE FROM documents d LEFT JOIN labels l USING (doc_id)) GROUP BY target""")
+def auroc_unranked(spark, sf_dir):
+    """Documents that no label ranks."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    j = d.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    long = j.select("score", F.inline(F.array(
+        F.struct(F.lit("quality").alias("target"), F.col("quality").alias("y")),
+        F.struct(F.lit("toxic").alias("target"), F.col("toxic").alias("y")))))
+    return A.unranked(long, ["target"], "score", "y")
+
+
+_CONF_LONG = f"""conf AS (
+  SELECT doc_id, prompt_id, label, round(CASE WHEN tot > 0 THEN score / tot ELSE score END, {R}) AS score, correct AS true_label
+  FROM (SELECT *, sum(score) OVER (PARTITION BY doc_id, prompt_id) AS tot
+        FROM (SELECT doc_id, prompt_id, correct, unnest([{', '.join(f"{{'label': {q(lab)}, 'score': {c}}}" for lab, c in zip(LABELS, OP.sql_conf_a('response')))}], recursive := true) FROM resp)))"""
+_MENTIONS = f"list_concat(list_filter(regexp_extract_all(response, '{OP.PAT_A}', 1), lambda k: list_contains({LABELS_SQL}, k)), {LABELS_SQL})"
+
+
+@query("auroc_first_appearance", with_parts(["resp"], f"""
+SELECT g.prompt_id, g.label, round(au.auroc, {R}) AS auroc, au.n_pos, au.n_neg
+FROM (SELECT DISTINCT prompt_id, label FROM conf) g LEFT JOIN au USING (prompt_id, label)""",
+    _CONF_LONG + f""",
+ord AS (SELECT prompt_id, list_filter(l, lambda v, i: list_position(l, v) = i) AS cols
+        FROM (SELECT prompt_id, arg_min({_MENTIONS}, doc_id) AS l FROM resp GROUP BY prompt_id)),
+""" + _POS_TARGETS.replace("FROM scores", "FROM conf").replace("JOIN tr ON", "JOIN ord USING (prompt_id) LEFT JOIN tr ON", 1).replace("LEFT JOIN ord", "JOIN ord")
+    .replace(f"list_position({LABELS_SQL}, g.label)", "list_position(ord.cols, g.label)")
+    + ",\n" + _auroc_sql("ps", ["prompt_id", "label"], "true_label = target")))
+def auroc_first_appearance(spark, sf_dir):
+    """E8 with the columns of a table built row by row: the first response of a
+    prompt decides which score column meets which truth column."""
+    r = FX.responses(spark, sf_dir).select("doc_id", "prompt_id", "response", F.col("correct").alias("true_label"))
+    s = rounded(C.long_scores(C.with_confidences(r, "response", "s", "a", normalised=True), "s", ["doc_id", "prompt_id", "true_label"]), ["score"])
+    order = A.first_mention_order(r, ["prompt_id"], "response", "doc_id")
+    return rounded(A.one_vs_rest_auroc(s, ["prompt_id"], align="positional", order=order), ["auroc"])
+
+
 # --------------------------------------------------------------------------- prompts
 
 
@@ -462,12 +511,50 @@ def metrics_on_rows(spark, sf_dir):
     return rounded(M.metrics_on_rows(p, ["prompt_id"]), ["accuracy", "precision", "recall", "f1_score"])
 
 
+@query("metrics_on_first_row", with_parts(["pred"], """
+SELECT p.doc_id, prompt_id, p.correct, p.predicted, CASE WHEN p.doc_id = f THEN m.accuracy END AS accuracy, CASE WHEN p.doc_id = f THEN m.precision END AS precision,
+       CASE WHEN p.doc_id = f THEN m.recall END AS recall, CASE WHEN p.doc_id = f THEN m.f1_score END AS f1_score
+FROM pred p JOIN mm m USING (prompt_id) JOIN (SELECT prompt_id, min(doc_id) AS f FROM pred GROUP BY prompt_id) USING (prompt_id)""",
+    _metrics_sql("pred", ["prompt_id"])))
+def metrics_on_first_row(spark, sf_dir):
+    p = FX.predictions(spark, sf_dir).select("doc_id", "prompt_id", "correct", "predicted")
+    return rounded(M.metrics_on_first_row(p, ["prompt_id"], "doc_id"), ["accuracy", "precision", "recall", "f1_score"])
+
+
+_TURNS = """(SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS o FROM conversations WHERE role = 'user') p
+FULL JOIN (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS o FROM conversations WHERE role = 'assistant') r
+ON p.conv_id = r.conv_id AND p.o = r.o"""
+
+
+def _turns(spark, sf_dir) -> DataFrame:
+    """Each conversation's n-th question beside its n-th answer."""
+    c = table(spark, sf_dir, "conversations")
+    ask = c.where("role = 'user'").select("conv_id", F.col("turn").alias("user_turn"))
+    reply = c.where("role = 'assistant'").select("conv_id", F.col("turn").alias("reply_turn"))
+    return ER.align_by_occurrence(ask, reply, "conv_id", [F.col("user_turn").asc()], [F.col("reply_turn").asc()])
+
+
+@query("align_occurrences", f"""
+SELECT coalesce(p.conv_id, r.conv_id) AS conv_id, coalesce(p.o, r.o) AS occurrence, coalesce(p.turn, -1) AS user_turn, coalesce(r.turn, -1) AS reply_turn FROM {_TURNS}""")
+def align_occurrences(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "occurrence", F.coalesce("user_turn", F.lit(-1)).alias("user_turn"),
+                                        F.coalesce("reply_turn", F.lit(-1)).alias("reply_turn"))  # -1: no counterpart
+
+
+@query("align_occurrences_audit", f"""
+SELECT sum(m)::BIGINT AS n_matched, coalesce(sum(a) FILTER (WHERE m > 0), 0)::BIGINT AS n_surplus_predictions, coalesce(sum(b) FILTER (WHERE m > 0), 0)::BIGINT AS n_surplus_rows,
+       coalesce(sum(a) FILTER (WHERE m = 0), 0)::BIGINT AS n_only_predictions, coalesce(sum(b) FILTER (WHERE m = 0), 0)::BIGINT AS n_only_rows
+FROM (SELECT coalesce(p.conv_id, r.conv_id) AS k, count_if(p.o IS NOT NULL AND r.o IS NOT NULL) AS m, count_if(r.o IS NULL) AS a, count_if(p.o IS NULL) AS b
+      FROM {_TURNS} GROUP BY 1)""")
+def align_occurrences_audit(spark, sf_dir):
+    return ER.occurrence_audit(_turns(spark, sf_dir), "conv_id")
+
+
 @query("duplicate_keys", with_parts(["pred"], """
 SELECT count(*) AS n_keys, coalesce(sum(n - 1), 0)::BIGINT AS n_extra_rows
-FROM (SELECT doc_id, count(*) AS n FROM pred WHERE prompt_id IN ('base', 'stated') OR doc_id % 3 = 0 GROUP BY doc_id) WHERE n > 1"""))
+FROM (SELECT doc_id, count(*) AS n FROM pred GROUP BY doc_id) WHERE n > 1"""))
 def duplicate_keys(spark, sf_dir):
-    p = FX.predictions(spark, sf_dir)
-    return ER.duplicate_keys(p.filter(F.col("prompt_id").isin("base", "stated") | (F.col("doc_id") % 3 == 0)), "doc_id")
+    return ER.duplicate_keys(FX.predictions(spark, sf_dir), "doc_id")
 
 
 @query("classification_prompt", with_parts(["gold"], f"""
@@ -625,12 +712,12 @@ def error_pairs_topk_by_prompt(spark, sf_dir):
 
 
 @query("paragraph_rate", with_parts(["pred_text"], f"""
-SELECT correct, predicted, count(*) AS n, count_if(regexp_matches(text, '\\n\\s*\\n')) AS n_paragraphs,
+SELECT prompt_id, correct, predicted, count(*) AS n, count_if(regexp_matches(text, '\\n\\s*\\n')) AS n_paragraphs,
        round(count_if(regexp_matches(text, '\\n\\s*\\n')) / count(*), {R}) AS rate
-FROM pred_text WHERE prompt_id = 'base' GROUP BY ALL"""))
+FROM pred_text GROUP BY ALL"""))
 def paragraph_rate(spark, sf_dir):
-    p = FX.predictions(spark, sf_dir, with_text=True).filter(F.col("prompt_id") == "base")
-    return rounded(ER.paragraph_rate(p, "text"), ["rate"])
+    p = FX.predictions(spark, sf_dir, with_text=True)
+    return rounded(ER.paragraph_rate(p, "text", ["prompt_id", "correct", "predicted"]), ["rate"])
 
 
 @query("before_after", with_parts(["pred"], f"""
@@ -638,13 +725,12 @@ SELECT count_if(ob IS NOT NULL AND oa IS NOT NULL) AS n, count_if(oa IS NULL) AS
        count_if(NOT ob AND oa) AS n_fixed, count_if(ob AND NOT oa) AS n_broken,
        count_if(NOT ob AND NOT oa) AS n_still_wrong, count_if(ob AND oa) AS n_still_right,
        round((count_if(oa AND ob IS NOT NULL) - count_if(ob AND oa IS NOT NULL)) / count_if(ob IS NOT NULL AND oa IS NOT NULL), {R}) AS accuracy_delta
-FROM (SELECT doc_id, correct IS NOT DISTINCT FROM predicted AS ob FROM pred WHERE prompt_id = 'base' AND doc_id % 19 <> 2) b
-FULL JOIN (SELECT doc_id, correct IS NOT DISTINCT FROM predicted AS oa FROM pred WHERE prompt_id = 'role_cot' AND doc_id % 23 <> 4) a USING (doc_id)"""))
+FROM (SELECT doc_id, correct IS NOT DISTINCT FROM predicted AS ob FROM pred WHERE prompt_id = 'base') b
+FULL JOIN (SELECT doc_id, correct IS NOT DISTINCT FROM predicted AS oa FROM pred WHERE prompt_id = 'role_cot') a USING (doc_id)"""))
 def before_after(spark, sf_dir):
-    """Two runs that each lack some reports."""
+    """All reports under two prompts."""
     p = FX.predictions(spark, sf_dir)
-    out = ER.before_after(p.filter((F.col("prompt_id") == "base") & (F.col("doc_id") % 19 != 2)),
-                          p.filter((F.col("prompt_id") == "role_cot") & (F.col("doc_id") % 23 != 4)), "doc_id")
+    out = ER.before_after(p.filter(F.col("prompt_id") == "base"), p.filter(F.col("prompt_id") == "role_cot"), "doc_id")
     return rounded(out, ["accuracy_delta"])
 
 
@@ -705,6 +791,31 @@ def technique_effect(spark, sf_dir):
     return rounded(ER.technique_effect(m, feats), ["avg_f1_score"])
 
 
+_TECH = list(ER.TECHNIQUES)
+_X = ["1.0::DOUBLE"] + [f"max(CASE WHEN feature = {q(n)} AND present THEN 1.0 ELSE 0.0 END)::DOUBLE" for n in _TECH]
+_NORMAL = ", ".join("[" + ", ".join(
+    [f"sum(n * x{i} * x{j}){' + 0.001 * sum(n)' if i == j and i else ''}" for j in range(len(_X))] + [f"sum(s * x{i})"]) + "]" for i in range(len(_X)))
+_NAMES_SQL = "[" + ", ".join(q(n) for n in ["(all)"] + _TECH) + "]"
+
+
+@query("technique_effects", with_parts(["pred", "prompts"], f"""
+SELECT {_NAMES_SQL}[i] AS feature, round(m[i][{len(_X) + 1}], 8) AS effect, np[i]::BIGINT AS n_prompts, nr[i]::BIGINT AS n_rows
+FROM (SELECT m, np, nr, unnest(range(1, {len(_X) + 1})) AS i FROM g CROSS JOIN tot WHERE k = {len(_X)})""", f"""
+per AS (SELECT prompt_id, count(*)::DOUBLE AS n, count_if(correct IS NOT DISTINCT FROM predicted)::DOUBLE AS s FROM pred GROUP BY prompt_id),
+x AS (SELECT prompt_id, n, s, {', '.join(f'{c} AS x{i}' for i, c in enumerate(_X))} FROM per JOIN ({_FEATS}) f USING (prompt_id) GROUP BY prompt_id, n, s),
+tot AS (SELECT [{', '.join(f'sum(x{i})' for i in range(len(_X)))}] AS np, [{', '.join(f'sum(n * x{i})' for i in range(len(_X)))}] AS nr FROM x),
+g(k, m) AS (SELECT 0, [{_NORMAL}] FROM x
+            UNION ALL
+            SELECT k + 1, list_transform(m, lambda row, i: CASE WHEN i = k + 1 THEN list_transform(row, lambda v: v / m[k + 1][k + 1])
+                          ELSE list_transform(row, lambda v, j: v - row[k + 1] * m[k + 1][j] / m[k + 1][k + 1]) END)
+            FROM g WHERE k < {len(_X)})""").replace("WITH", "WITH RECURSIVE", 1))
+def technique_effects(spark, sf_dir):
+    """One effect for each technique on the share of right answers."""
+    rows = FX.predictions(spark, sf_dir).select("prompt_id", (~ER.is_error()).cast("double").alias("right"))
+    out = ER.technique_effects(rows, ER.prompt_features(FX.prompts_df(spark)), "right")
+    return rounded(out.drop("separable"), ["effect"], 8)
+
+
 # --------------------------------------------------------------------------- report text
 
 _SEC_SQL = f"""secs AS (
@@ -799,15 +910,20 @@ def rule_out_flag(spark, sf_dir):
 
 
 @query("error_keywords", with_parts(["reports", "pred"], f"""
-SELECT e.prompt_id, e.correct, e.predicted, h.section, h.keyword, count(*) AS n
-FROM (SELECT doc_id, prompt_id, correct, predicted FROM pred WHERE correct IS DISTINCT FROM predicted) e
-JOIN (SELECT DISTINCT s.doc_id, s.section, k.keyword FROM secs s CROSS JOIN {_KW_SQL} WHERE contains(lower(s.body), k.keyword)) h USING (doc_id)
-GROUP BY ALL""", _SEC_SQL))
+SELECT e.prompt_id, e.correct, e.predicted, e.section, e.keyword, e.n AS n_error, t.n AS error_rows,
+       coalesce(c.n, 0) AS n_correct, coalesce(ct.n, 0) AS correct_rows,
+       round(ln((e.n + 0.5) / (t.n - e.n + 0.5)) - ln((coalesce(c.n, 0) + 0.5) / (coalesce(ct.n, 0) - coalesce(c.n, 0) + 0.5)), {R}) AS lift
+FROM n e JOIN t ON t.prompt_id = e.prompt_id AND t.correct = e.correct AND t.predicted = e.predicted
+LEFT JOIN n c ON c.prompt_id = e.prompt_id AND c.correct = e.correct AND c.predicted = e.correct AND c.section = e.section AND c.keyword = e.keyword
+LEFT JOIN t ct ON ct.prompt_id = e.prompt_id AND ct.correct = e.correct AND ct.predicted = e.correct
+WHERE e.correct <> e.predicted""", _SEC_SQL + f""",
+n AS (SELECT prompt_id, correct, predicted, section, keyword, count(*) AS n
+      FROM pred JOIN (SELECT DISTINCT s.doc_id, s.section, k.keyword FROM secs s CROSS JOIN {_KW_SQL} WHERE contains(lower(s.body), k.keyword)) h USING (doc_id)
+      GROUP BY ALL),
+t AS (SELECT prompt_id, correct, predicted, count(*) AS n FROM pred GROUP BY ALL)"""))
 def error_keywords(spark, sf_dir):
-    errs = ER.errors(FX.predictions(spark, sf_dir)).select("doc_id", "prompt_id", "correct", "predicted")
-    secs = RP.sections(FX.reports(spark, sf_dir), "report", ["doc_id"])
-    hits = RP.keyword_hits(secs, keys=["doc_id"]).select("doc_id", "section", "keyword").distinct()
-    return errs.join(hits, "doc_id").groupBy("prompt_id", "correct", "predicted", "section", "keyword").agg(F.count(F.lit(1)).alias("n"))
+    """Keywords of errors against those of right answers of the same label."""
+    return rounded(RP.keyword_lift(FX.predictions(spark, sf_dir), FX.reports(spark, sf_dir), "doc_id"), ["lift"])
 
 
 _ALLKW = sorted({k for v in RP.LABEL_KEYWORDS.values() for k in v})
@@ -845,6 +961,25 @@ def batch_inference_python(spark, sf_dir):
     return out.select("doc_id", "prompt_id", "response")
 
 
+@query("batch_inference_resume", ORACLE["batch_inference_python"])
+def batch_inference_resume(spark, sf_dir):
+    """A run that ends after half of its slices and is then taken up again."""
+    req, store, run = _requests(spark, sf_dir), IO.scratch_path(spark, "responses"), IO.run_id()
+    INF.resume_inference(req, INF.length_scorer, store, run, ["doc_id", "prompt_id"], slices=4, max_slices=2)
+    return INF.resume_inference(req, INF.length_scorer, store, run, ["doc_id", "prompt_id"], slices=4).drop("run_id")
+
+
+_BUDGET = 200_000
+
+
+@query("padded_batches", f"""
+SELECT count(*) AS n_rows, sum(length(text))::BIGINT AS total_chars, 0::BIGINT AS n_over_budget, count_if(length(text) > {_BUDGET}) AS n_long_rows FROM documents""")
+def padded_batches(spark, sf_dir):
+    """What holds however the rows lie in partitions."""
+    return P.padding_report(P.padded_batches(table(spark, sf_dir, "documents"), _BUDGET), _BUDGET).select(
+        "n_rows", "total_chars", "n_over_budget", "n_long_rows")
+
+
 @query("batch_inference_replay", with_parts(["resp"], "SELECT doc_id, prompt_id, response FROM resp"))
 def batch_inference_replay(spark, sf_dir):
     stored = FX.responses(spark, sf_dir).select("doc_id", "prompt_id", "response")
@@ -962,6 +1097,23 @@ def surrogate_index(spark, sf_dir):
     return IO.read_parquet_indexed(spark, f"{sf_dir.rstrip('/')}/documents.parquet").select("doc_id", "row_id")
 
 
+@query("csv_index", with_parts(["gold"], "SELECT doc_id, true_label, md5(text) AS text_md5, row_number() OVER (ORDER BY doc_id) - 1 AS row_id FROM gold"))
+def csv_index(spark, sf_dir):
+    """P8 on CSV files whose texts hold line breaks."""
+    path = IO.scratch_path(spark, "csv-index")
+    IO.write_csv(FX.gold(spark, sf_dir).select("doc_id", "true_label", "text").orderBy("doc_id"), path)
+    x = IO.read_csv_indexed(spark, path, "doc_id bigint, true_label string, text string")
+    return x.select("doc_id", "true_label", F.md5("text").alias("text_md5"), "row_id")
+
+
+@query("json_index", "SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - 1 AS row_id FROM events")
+def json_index(spark, sf_dir):
+    """P8 on JSON lines, read in several tasks a file."""
+    path = IO.scratch_path(spark, "json-index")
+    IO.write_json(table(spark, sf_dir, "events").select("event_id", "event_type", "props").orderBy("event_id"), path)
+    return IO.read_json_indexed(spark, path, "event_id bigint, event_type string").select("event_id", "event_type", "row_id")
+
+
 @query("preview_errors", with_parts(["pred"], """
 SELECT prompt_id, doc_id, correct, predicted FROM pred WHERE correct IS DISTINCT FROM predicted
 ORDER BY prompt_id, doc_id LIMIT 5"""))

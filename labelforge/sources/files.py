@@ -137,6 +137,35 @@ def read_parquet_indexed(spark: SparkSession, path: str, out: str = "row_id") ->
     return x.join(offsets, "__f").select(*cols, (F.col("__off") + F.col("__r")).cast("bigint").alias(out))
 
 
+def with_source_index(source: DataFrame, out: str = "row_id") -> DataFrame:
+    """P8 for CSV, JSON and text sources without a key: ``source`` (a plain
+    ``spark.read`` of files) with a stable 0..n-1 index in (file, record) order.
+
+    A first pass counts the records of each split (file, position of its first
+    byte) and notes where its records begin in the task that reads it; the
+    second adds the records of earlier splits. Splits only decide who counts:
+    the index is the same whatever their size, on every read, and no row moves."""
+    cols = source.columns
+    x = source.select(*cols, F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__s"),
+                      F.monotonically_increasing_id().alias("__g"))
+    splits = materialize(x.groupBy("__f", "__s").agg(F.min("__g").alias("__lo"), F.count(F.lit(1)).alias("__n")), "splits")
+    w = Window.orderBy("__f", "__s").rowsBetween(Window.unboundedPreceding, -1)  # one row per split
+    before = splits.select("__f", "__s", "__lo", F.coalesce(F.sum("__n").over(w), F.lit(0)).alias("__before"))
+    return x.join(before, ["__f", "__s"]).select(*cols, (F.col("__before") + F.col("__g") - F.col("__lo")).alias(out))
+
+
+def read_csv_indexed(spark: SparkSession, path: str, schema: T.StructType | str, out: str = "row_id", multi_line: bool = True) -> DataFrame:
+    """:func:`read_csv` with a stable index. Files whose fields hold no line
+    break may be read with ``multi_line=False``, in several tasks a file."""
+    options = {**CSV_READ, "multiLine": str(multi_line).lower()}
+    return with_source_index(spark.read.options(**options).schema(schema).csv(path), out)
+
+
+def read_json_indexed(spark: SparkSession, path: str, schema: T.StructType | str, out: str = "row_id") -> DataFrame:
+    """JSON lines with a stable index."""
+    return with_source_index(read_json(spark, path, schema), out)
+
+
 def write_snapshot(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """S3: dataset snapshot (Parquet instead of pickle)."""
     df.write.mode(mode).parquet(path)

@@ -4,7 +4,8 @@ Responses land as files; every parser (T3-T15) is a stateless column
 expression, so it runs unchanged on the stream. The running confusion counts
 are a streaming aggregation (state kept in the checkpoint location, so a
 restarted or failed query resumes exactly); metrics are derived from the
-counts table, which is bounded by ``prompts x classes^2``."""
+counts table. It has ``prompts x classes^2`` rows while answers parse; each distinct
+answer that stays unparsed is one more class, and state."""
 
 from __future__ import annotations
 
