@@ -7,10 +7,11 @@ prefix, so the phrases of 1, 2 and 3 words, and each language's number of words,
 need no rows of their own.
 
 Most windows are rare, and a phrase below the bar can't be a candidate nor a
-part of one. A first pass therefore counts pairs of neighbouring words in a
-table of hashed counters; a pair whose counter stays below the bar is surely
-rarer than the bar, and windows end before it. Counters only err upwards, so no
-count at or over the bar changes, whatever the number of counters.
+part of one. A first pass therefore counts phrases of 2 to 4 words in a
+table of hashed counters, which moves no words; a phrase whose counter stays below the bar is surely
+rarer than the bar, and a window ends before the word that makes its prefix one.
+Counters only err upwards, so no count at or over the bar changes, whatever the
+number of counters.
 
 Results for odd rows: a null text has no words, a null lang is ``und``, repeated
 rows count each time, other columns are not read, an empty table gives no rows.
@@ -35,9 +36,9 @@ LEAST = 30
 TOP = 2000
 #: A phrase goes if a longer candidate around it has this share (%) of its count.
 INSIDE = 80
-#: Counters of pairs: about one for PAIRS_A_COUNTER bytes of text, within these
+#: Counters of phrases: about one for TEXT_A_COUNTER bytes of text, within these
 #: powers of two. A worker holds them as bytes, the broadcast as bits (16 MB).
-FEWEST_BITS, MOST_BITS, PAIRS_A_COUNTER = 16, 27, 32
+FEWEST_BITS, MOST_BITS, TEXT_A_COUNTER = 16, 27, 16
 #: Counters in a row of the table that joins them.
 CELL = 1 << 15
 
@@ -60,19 +61,23 @@ class Words:
         #: Does the next word stand in the same piece?
         self.goes_on = np.append(piece[1:] == piece[:-1], False) if len(piece) else np.zeros(0, bool)
 
-    def pairs(self, bits: int) -> np.ndarray:
-        """The counter of each word and its next one (of no use at a piece's end)."""
+    def prefixes(self, bits: int):
+        """For 2, 3 and 4 words from each word on: do they stand in its piece, and
+        their counter (of no use where they don't)."""
         import xxhash
 
         h = lambda a: np.array([xxhash.xxh3_64_intdigest(x) for x in a.to_pylist()], np.uint64)
-        a, b = h(self.words)[self.code], h(self.langs)[self.lang]
+        word = h(self.words)[self.code]
+        inside, mixed = np.ones(len(word), bool), word + h(self.langs)[self.lang]
         with np.errstate(over="ignore"):
-            mixed = a * np.uint64(0x9E3779B97F4A7C15) + np.roll(a, -1) + b
-            mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return (mixed >> np.uint64(64 - bits)).astype(np.int64)
+            for k in range(1, ORDER):
+                inside = inside & np.append(self.goes_on[k - 1:], np.zeros(min(k - 1, len(word)), bool))
+                mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + np.roll(word, -k)
+                last = (mixed ^ (mixed >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                yield inside, (last >> np.uint64(64 - bits)).astype(np.uint32)
 
 
-def _pair_counters(docs: DataFrame, bits: int, least: int) -> np.ndarray:
+def _counters(docs: DataFrame, bits: int, least: int) -> np.ndarray:
     """Bits of the counters that reach ``least``, packed. Counts stop at
     ``least`` in each task: a sum of such counts reaches it just when the full
     sum does."""
@@ -81,9 +86,9 @@ def _pair_counters(docs: DataFrame, bits: int, least: int) -> np.ndarray:
 
         held = np.zeros(1 << bits, np.uint8)
         for b in batches:
-            w = Words(b.column(0), b.column(1))
-            at, n = np.unique(w.pairs(bits)[w.goes_on], return_counts=True)
-            held[at] = np.minimum(held[at] + n, least)
+            for inside, counter in Words(b.column(0), b.column(1)).prefixes(bits):
+                at, n = np.unique(counter[inside], return_counts=True)
+                held[at] = np.minimum(held[at] + n, least)
         z, cells = zstandard.ZstdCompressor(level=1), held.reshape(-1, min(CELL, 1 << bits))
         for k, cell in enumerate(cells):
             if cell.any():
@@ -117,8 +122,8 @@ def windows(docs: DataFrame, least: int = LEAST, bits: int | None = None) -> Dat
     docs = docs.select("lang", "text")
     if bits is None:
         size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-        bits = min(MOST_BITS, max(FEWEST_BITS, (size // PAIRS_A_COUNTER).bit_length()))
-    often = spark.sparkContext.broadcast(_pair_counters(docs, bits, min(least, 255)))
+        bits = min(MOST_BITS, max(FEWEST_BITS, (size // TEXT_A_COUNTER).bit_length()))
+    often = spark.sparkContext.broadcast(_counters(docs, bits, min(least, 255)))
 
     def make(batches):
         seen = often.value
@@ -126,11 +131,10 @@ def windows(docs: DataFrame, least: int = LEAST, bits: int | None = None) -> Dat
             w = Words(b.column(0), b.column(1))
             if not len(w.code):
                 continue
-            at = w.pairs(bits)
-            on = w.goes_on & ((seen[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)
-            cols, alive = [w.lang, w.code], np.ones(len(on), bool)
-            for k in range(1, ORDER):
-                alive = alive & np.append(on[k - 1:], np.zeros(k - 1, bool))
+            cols, alive = [w.lang, w.code], np.ones(len(w.code), bool)
+            for k, (inside, counter) in enumerate(w.prefixes(bits), 1):
+                enough = (seen[counter >> 3] >> (7 - (counter & 7)).astype(np.uint8)) & 1
+                alive = alive & inside & enough.astype(bool)
                 cols.append(np.where(alive, np.roll(w.code, -k), -1))
             # windows of one word are most: counted apart from the others
             one = cols[2] < 0
