@@ -18,6 +18,7 @@ def _c(x) -> Column:
 
 
 # Variant A: any word followed by a number; later match of a label wins.
+# Fixed value, as in pattern_b: equal scores need the very same pattern.
 PATTERN_A = r"(?U)(\w+)\s*[:,\s]*([\d.]+)"
 _DECIMAL_RE = r"^(?:\d+\.?\d*|\.\d+)$"
 # Decimal digits beyond ASCII, which ``float`` reads as well, and their values.

@@ -22,7 +22,7 @@ def normalise_label(c, mode: str = "compat", labels: list[str] | None = None) ->
     so it also rewrites a ``no`` inside a longer string and eats the spaces after it).
     ``strict``: ``lower(strip(x))`` kept only when it is a known label, else NULL."""
     c = _c(c)
-    if mode == "compat":
+    if mode == "compat":  # fixed value: the pattern decides what is rewritten
         return F.regexp_replace(c, r"(?U)[N|n]o\s*", "no")
     if mode == "strict":
         v = F.lower(py_strip(c))
@@ -112,6 +112,7 @@ def key_value_argmax(entries: Column, known_labels_only: bool = False,
     return _first_argmax(_dedupe_first_pos_last_value(entries))
 
 
+# Fixed values in the stages: the line prefix and the section marker of answers.
 def _stage1(lines: Column) -> Column:
     finals = F.filter(lines, lambda l: l.startswith("final label:"))
     return F.when(F.size(finals) > 0, py_strip(F.regexp_replace(F.element_at(finals, -1), "^final label:", "")))

@@ -41,7 +41,7 @@ def training_text(df: DataFrame, eos: str = "", label_only: bool = False) -> Dat
     ### Response:\\n{output}`` (or the label only) plus an end-of-sequence token."""
     if label_only:
         text = _nz(F.col("output"), "nan")
-    else:
+    else:  # fixed values: the frame of a training text
         text = F.concat(
             F.lit("### Instruction:\n"), _nz(F.col("instruction"), "nan"),
             F.lit("\n\nInput:\n"), _nz(F.col("input"), "nan"),

@@ -58,7 +58,7 @@ RULES = [
 ]
 RULE_DEFAULT = "romets"
 
-# Section headings seen in the reference's reports, and their canonical names.
+# Section headings of the reports, and their canonical names.
 HEADINGS = r"EXAM|FINDINGS?|CONCLUSIONS?|IMPRESSION|RECOMMEND(?:ATION)?|HISTORY|CLINICAL INFORMATION|COMPARISON"
 HEADING_RE = rf"(?imd)^({HEADINGS})[ \t]*:"
 CANONICAL = {"FINDING": "FINDINGS", "CONCLUSIONS": "CONCLUSION", "RECOMMEND": "RECOMMENDATION"}
