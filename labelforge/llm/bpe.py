@@ -17,7 +17,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 from functools import lru_cache
 
 import numpy as np
@@ -47,44 +46,51 @@ def vocabulary_bytes(tokenizer_json: str) -> list[bytes]:
     return [out.get(i, b"") for i in range(max(out) + 1)]
 
 
+#: fixed value: the splitting pattern of byte-level BPE vocabularies
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+@lru_cache(maxsize=2)
+def encoder(tokenizer_json: str):
+    """The ids that a byte-level BPE file gives, from its vocabulary as merge
+    ranks (ids of such vocabularies are in the merges' order)."""
+    import tiktoken
+
+    special = {t["content"]: t["id"] for t in json.loads(tokenizer_json)["added_tokens"]}
+    ranks = {b: i for i, b in enumerate(vocabulary_bytes(tokenizer_json)) if b and i not in special.values()}
+    enc = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def ids(text: bytes) -> np.ndarray:
+        parts = [enc.encode_to_numpy(p.decode(), allowed_special="all") for p in in_parts(text)]
+        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
+    return ids
+
+
 class Codec:
-    """Encodes texts of any length to numpy ids, and ids back to bytes."""
+    """Encodes texts of any length to numpy ids, and ids back to text."""
 
     def __init__(self, tokenizer_json: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tok = Tokenizer.from_str(tokenizer_json)
-        self.tok.no_truncation()
-        self.tok.no_padding()
-        self.table = vocabulary_bytes(tokenizer_json)
-        self.narrow = "<u2" if len(self.table) <= 1 << 16 else "<u4"
-        self.sizes = np.array([len(t) for t in self.table], np.int64)
+        self.ids_of = encoder(tokenizer_json)
+        table = vocabulary_bytes(tokenizer_json)
+        self.narrow = "<u2" if len(table) <= 1 << 16 else "<u4"
+        self.sizes = np.array([len(t) for t in table], np.int64)
+        self.flat = np.frombuffer(b"".join(table), np.uint8)
+        self.at = np.cumsum(self.sizes) - self.sizes
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        """Ids of whole texts, a bounded number of bytes in each call; long
-        texts are handed over in parts that end where tokens surely end."""
-        parts: list[bytes] = []
-        owner: list[int] = []
-        for i, t in enumerate(texts):
-            for p in in_parts(t):
-                parts.append(p)
-                owner.append(i)
-        found: list[list[np.ndarray]] = [[] for _ in texts]
-        at = 0
-        while at < len(parts):
-            end, size = at, 0
-            while end < len(parts) and (end == at or size + len(parts[end]) <= CALL_BYTES):
-                size += len(parts[end])
-                end += 1
-            got = self.tok.encode_batch_fast([p.decode() for p in parts[at:end]], add_special_tokens=False)
-            for i, e in zip(owner[at:end], got):
-                found[i].append(np.array(e.ids, np.uint32))
-            at = end
-        return [np.concatenate(f) if f else np.empty(0, np.uint32) for f in found]
+        """Ids of whole texts; long ones are handed over in parts that end where
+        tokens surely end."""
+        return [self.ids_of(t) for t in texts]
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.table.__getitem__, ids.tolist())).decode("utf-8", errors="replace")
+        """The ids' bytes, gathered from the vocabulary's, as text."""
+        parts = []
+        for s in range(0, len(ids), CALL_BYTES // 4):
+            some = ids[s:s + CALL_BYTES // 4]
+            n = self.sizes[some]
+            ends = np.cumsum(n)
+            parts.append(self.flat[np.arange(ends[-1]) + np.repeat(self.at[some] - ends + n, n)].tobytes())
+        return b"".join(parts).decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=2)

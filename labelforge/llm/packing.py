@@ -19,15 +19,13 @@ are ignored.
 
 from __future__ import annotations
 
-import json
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from labelforge.llm.bpe import in_parts, vocabulary_bytes
+from labelforge.llm.bpe import encoder
 from labelforge.llm.common import bounded_batches, saved, sorted_join
 
 CAPACITY = 1024
@@ -40,26 +38,6 @@ EXPONENT = 1.1
 #: Pieces of one length that one task ranks, about.
 CELL_ROWS = 100_000
 
-#: fixed value: the splitting pattern of byte-level BPE vocabularies
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
-@lru_cache(maxsize=2)
-def encoder(tokenizer_json: str):
-    """The ids that a byte-level BPE file gives, from its vocabulary as merge
-    ranks (ids of such vocabularies are in the merges' order)."""
-    import tiktoken
-
-    special = {t["content"]: t["id"] for t in json.loads(tokenizer_json)["added_tokens"]}
-    ranks = {b: i for i, b in enumerate(vocabulary_bytes(tokenizer_json)) if b and i not in special.values()}
-    enc = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-    def ids(text: bytes) -> np.ndarray:
-        parts = [enc.encode_to_numpy(p.decode(), allowed_special="all") for p in in_parts(text)]
-        return np.concatenate(parts) if parts else np.empty(0, np.uint32)
-    return ids
-
-
 def _cut(spec, capacity: int, end_id: int):
     def run(batches):
         ids_of = encoder(spec.value)
