@@ -8,7 +8,9 @@ within tolerance of its share of the bytes. The rows are then exchanged once.
 
 The first half of the key orders whole groups of equal texts; a group is split
 (by the second half) only where a boundary falls into it and its edge would
-miss the tolerance. Slots are counted from finer cells of the same order, so
+miss the tolerance. Repeated rows (equal text and doc_id) have one key; where they
+hold more than a part of the tolerance they are numbered, written once with
+their numbers, and dealt by those instead. Slots are counted from finer cells of the same order, so
 no task numbers a whole shard.
 
 Defined results: a null text has size 1 and crc32 0 and is a group of its own;
@@ -123,10 +125,26 @@ def find_splitters(keys: DataFrame, shards: int, tolerance: float = TOLERANCE) -
     return out
 
 
+def _numbered_repeats(keyed: DataFrame, shards: int, tolerance: float) -> DataFrame:
+    """``keyed`` with keys of their own for repeated rows that are too many, or too
+    large, to lie in one place. Such keys are at most 4 x shards / tolerance and
+    MOST_GROUPS, so they are broadcast; their rows are written once, as a number given
+    again by a task that runs again could differ."""
+    per = saved(keyed.groupBy("_hi", "_lo").agg(F.count(F.lit(1)).alias("_n"), F.sum("size").alias("_bytes")).where("_n > 1"), "repeated-keys")
+    rows, size = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    hot = per.where((F.col("_bytes") > tolerance * size / shards / 4) | (F.col("_n") > max(1000, rows // MOST_GROUPS))).select("_hi", "_lo")
+    if not hot.head(1):
+        return keyed
+    own = keyed.join(F.broadcast(hot), ["_hi", "_lo"], "left_semi").withColumn("_no", F.monotonically_increasing_id())
+    own = saved(own, "repeated-rows").withColumn("_lo", F.xxhash64("_lo", "_no")).drop("_no")
+    return keyed.join(F.broadcast(hot), ["_hi", "_lo"], "left_anti").unionByName(own)
+
+
 def shard(docs: DataFrame, shards: int = 16, cell_rows: int = CELL_ROWS, tolerance: float = TOLERANCE) -> DataFrame:
     """``docs`` with size, text_crc32, shard and slot (gapless from 0 within a
     shard, by cells of the key's order)."""
     keyed = with_key(docs.drop("size", "text_crc32", "shard", "slot", "_hi", "_lo", "_cell"))
+    keyed = _numbered_repeats(keyed, shards, tolerance)
     keys = saved(keyed.select("_hi", "_lo", "size"), "shard-keys")
     number = F.lit(0)
     for s in find_splitters(keys, shards, tolerance):
