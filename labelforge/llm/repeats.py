@@ -16,7 +16,10 @@ hash. Equal windows have equal anchors, so no repeat is lost:
 4. blocks get, for each surrounding, the windows that a smaller document has.
 
 A surrounding that stands in a third of all documents is one entry of each
-block, so no bucket is hot and no group of copies is spelled out.
+block, and no group of copies is spelled out. An anchor with very many different
+surroundings (a short stock phrase) would be one large group: blocks tell
+buckets how many they have, and above ``CROWD`` the windows of such an
+anchor are dealt out one by one, each by a hash of its own.
 
 Defined results: a null text counts as empty; texts shorter than ``LEAST``
 bytes keep all; a document doesn't lose bytes to itself, so repeated rows (one
@@ -38,6 +41,8 @@ LEAST = 50  # bytes of a repeat; at most 64 windows may share an anchor
 GRAM = 16  # bytes of an anchor
 SLICE = (1 << 20) - 128  # windows looked at together
 LAST = np.iinfo(np.int64).max
+#: Different surroundings of an anchor that one task takes, about (2.6 KB each).
+CROWD = 100_000
 
 _C = [np.uint64(c) for c in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]  # odd mixing constants
 
@@ -114,22 +119,28 @@ class Runs:
         if at < n:
             yield at, n
 
-    def around(self, i: int) -> bytes:
-        return self.buf[self.first[i]:self.last[i] + LEAST]
-
 
 def _ids(table: pa.Table) -> np.ndarray:
     return np.array([LAST if x is None else x for x in table.column("doc_id").to_pylist()], np.int64)
 
 
-def _anchors(runs: Runs, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct anchors, and which stand in documents of different doc_id."""
-    order = np.argsort(runs.hash, kind="stable")
-    h, d = runs.hash[order], ids[runs.text[order]]
-    at = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
-    if not len(at):
-        return h, np.empty(0, bool)
-    return h[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at)
+def _anchors(runs: Runs, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct anchors, which stand in documents of different doc_id, and a byte
+    on the surroundings of each: the power of two of their number, and four bits
+    that tell one set of them from another."""
+    if not len(runs.hash):
+        return runs.hash, np.empty(0, bool), np.empty(0, np.uint8)
+    words = _words(memoryview(runs.buf), len(runs.buf) - 7)
+    look = _mix(words[runs.first] * _C[0] + _mix(words[runs.last + (LEAST - 8)] + (runs.last - runs.first).astype(np.uint64)))
+    order = np.lexsort((look, runs.hash))
+    h, d, look = runs.hash[order], ids[runs.text[order]], look[order]
+    new = np.concatenate([[True], h[1:] != h[:-1]])
+    at = np.flatnonzero(new)
+    other = new | np.concatenate([[True], look[1:] != look[:-1]])
+    n = np.add.reduceat(other.astype(np.int64), at)
+    marks = _mix(np.add.reduceat(np.where(other, look, np.uint64(0)), at)) >> np.uint64(60)
+    powers = np.minimum(np.frexp(n.astype(np.float64))[1] - 1, 15)
+    return h[at], np.minimum.reduceat(d, at) != np.maximum.reduceat(d, at), (powers * 16 + marks.astype(np.int64)).astype(np.uint8)
 
 
 def _table(block: int, buckets: list[int], shared: list[bytes], data: list[bytes]) -> pa.Table:
@@ -144,51 +155,86 @@ ROWS = "block int, bucket int, shared binary, data binary"
 
 def _ask_anchors(buckets: int):
     def run(table: pa.Table) -> pa.Table:
-        h, several = _anchors(Runs(blocks.texts(table)), _ids(table))
+        h, several, crowd = _anchors(Runs(blocks.texts(table)), _ids(table))
         rows = blocks.by_bucket(h, buckets)
         return _table(table.column("block")[0].as_py(), [b for b, _, _ in rows], [b""] * len(rows),
-                      [h[x:y].tobytes() + np.packbits(several[x:y]).tobytes() for _, x, y in rows])
+                      [h[x:y].tobytes() + crowd[x:y].tobytes() + np.packbits(several[x:y]).tobytes() for _, x, y in rows])
     return run
 
 
-def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = len(data) * 8 // 65  # 8 bytes and one bit each
-    return np.frombuffer(data, np.uint64, n), np.unpackbits(np.frombuffer(data, np.uint8, -1, 8 * n), count=n).astype(bool)
+def _entries(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(data) * 8 // 73  # 8 bytes, one byte and one bit each
+    return (np.frombuffer(data, np.uint64, n), np.frombuffer(data, np.uint8, n, 8 * n),
+            np.unpackbits(np.frombuffer(data, np.uint8, -1, 9 * n), count=n).astype(bool))
 
 
-def _answer_anchors(table: pa.Table) -> pa.Table:
-    asked = [_entries(x.as_py()) for x in table.column("data")]
-    every, at, n = np.unique(np.concatenate([h for h, _ in asked]), return_inverse=True, return_counts=True)
-    shared = n > 1
-    shared[at[np.concatenate([s for _, s in asked])]] = True
-    found = np.split(shared[at], np.cumsum([len(h) for h, _ in asked])[:-1])
-    return _table(0, table.column("bucket").to_pylist(), [np.packbits(f).tobytes() for f in found],
-                  [b""] * len(found)).set_column(0, "block", table.column("block"))
+def _answer_anchors(crowd: int):
+    def run(table: pa.Table) -> pa.Table:
+        """Two bits for each anchor: does it stand in another document, and has
+        it over ``crowd`` surroundings? Blocks with equal marks may have the
+        same ones; eight marks or more say that they don't."""
+        asked = [_entries(x.as_py()) for x in table.column("data")]
+        every, at, n = np.unique(np.concatenate([h for h, _, _ in asked]), return_inverse=True, return_counts=True)
+        told = np.concatenate([c for _, c, _ in asked])
+        many = np.left_shift(1, (told >> 4).astype(np.int64))
+        marks = np.bincount(np.unique(at * 16 + (told & 15)) // 16, minlength=len(every))
+        most = np.zeros(len(every), np.int64)
+        np.maximum.at(most, at, many)
+        total = np.bincount(at, many, len(every))
+        packed = np.where(marks >= 8, total, most * marks) > crowd
+        shared = n > 1
+        shared[at[np.concatenate([s for _, _, s in asked])]] = True
+        cuts = np.cumsum([len(h) for h, _, _ in asked])[:-1]
+        found = [np.packbits(np.concatenate(x)).tobytes() for x in zip(np.split(shared[at], cuts), np.split(packed[at], cuts))]
+        return _table(0, table.column("bucket").to_pylist(), found, [b""] * len(found)).set_column(0, "block", table.column("block"))
+    return run
 
 
 class Shared:
-    """A block's runs whose anchor is shared, and their distinct surroundings
-    by bucket, each with the smallest document of the block that has it."""
+    """A block's runs whose anchor is shared (of crowded anchors, each window as a
+    run of its own), and their distinct surroundings by bucket, each with the
+    smallest document of the block that has it."""
 
     def __init__(self, table: pa.Table, answer: pa.Table, buckets: int):
         self.runs, self.ids = Runs(blocks.texts(table)), _ids(table)
-        h, _ = _anchors(self.runs, self.ids)
+        runs = self.runs
+        h, _, _ = _anchors(runs, self.ids)
         self.said = dict(zip(answer.column("bucket").to_pylist(), answer.column("shared").to_pylist()))
-        shared = np.zeros(len(h), bool)
+        shared, crowded = np.zeros(len(h), bool), np.zeros(len(h), bool)
         for b, x, y in blocks.by_bucket(h, buckets):
-            if b in self.said:  # else none of them is shared
-                shared[x:y] = np.unpackbits(np.frombuffer(self.said[b], np.uint8), count=y - x).astype(bool)
-        self.at = np.flatnonzero(shared[np.searchsorted(h, self.runs.hash)]) if len(h) else np.empty(0, np.int64)
-        doc = self.ids[self.runs.text[self.at]].tolist()
-        self.keys = list(zip(self.runs.hash[self.at].tolist(), map(self.runs.around, self.at.tolist())))
+            if self.said.get(b):  # else none of them is shared
+                bits = np.unpackbits(np.frombuffer(self.said[b], np.uint8), count=2 * (y - x)).astype(bool)
+                shared[x:y], crowded[x:y] = bits[:y - x], bits[y - x:]
+        of = np.searchsorted(h, runs.hash)
+        at = np.flatnonzero(shared[of]) if len(h) else np.empty(0, np.int64)
+        apart = crowded[of[at]] if len(h) else np.empty(0, bool)
+        many = np.where(apart, runs.last[at] - runs.first[at] + 1, 1)
+        nth = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        apart = np.repeat(apart, many)
+        at = np.repeat(at, many)
+        self.first = runs.first[at] + nth
+        self.last = np.where(apart, self.first, runs.last[at])
+        self.text = runs.text[at]
+        self.hash = runs.hash[at]
+        self.hash[apart] = _window_hash(runs.buf, self.first[apart])
+        self.doc = self.ids[self.text].tolist()
+        self.keys = list(zip(self.hash.tolist(), (runs.buf[x:y] for x, y in zip(self.first.tolist(), (self.last + LEAST).tolist()))))
         self.least: dict[tuple[int, bytes], int] = {}
-        for k, d in zip(self.keys, doc):
+        for k, d in zip(self.keys, self.doc):
             if d < self.least.get(k, LAST + 1):
                 self.least[k] = d
         self.order = sorted(self.least)
-        hashes = np.array([k[0] for k in self.order], np.uint64)
-        self.parts = blocks.by_bucket(hashes, buckets)
-        self.hashes = hashes
+        self.hashes = np.array([k[0] for k in self.order], np.uint64)
+        self.parts = blocks.by_bucket(self.hashes, buckets) if self.order else []
+
+
+def _window_hash(buf: bytes, first: np.ndarray) -> np.ndarray:
+    h = np.zeros(len(first), np.uint64)
+    if len(first):
+        words = _words(memoryview(buf), len(buf) - 7)
+        for k in [*range(0, LEAST - 8, 8), LEAST - 8]:
+            h = _mix(h * _C[0] + words[first + k])
+    return h
 
 
 def _ask_repeats(buckets: int):
@@ -198,15 +244,14 @@ def _ask_repeats(buckets: int):
         import zstandard
 
         s, z = Shared(table, answer, buckets), zstandard.ZstdCompressor(level=1)
-        data = []
-        for _, x, y in s.parts:
+        data = {b: b"" for b, bits in s.said.items() if any(bits)}
+        for b, x, y in s.parts:
             keys = s.order[x:y]
-            data.append(np.array([y - x], np.int64).tobytes() + s.hashes[x:y].tobytes()
-                        + np.array([s.least[k] for k in keys], np.int64).tobytes()
-                        + np.array([len(k[1]) for k in keys], np.uint8).tobytes()
-                        + z.compress(b"".join(k[1] for k in keys)))
-        bits = [s.said[b] for b, _, _ in s.parts]
-        return _table(table.column("block")[0].as_py(), [b for b, _, _ in s.parts], bits, data)
+            data[b] = (np.array([y - x], np.int64).tobytes() + s.hashes[x:y].tobytes()
+                       + np.array([s.least[k] for k in keys], np.int64).tobytes()
+                       + np.array([len(k[1]) for k in keys], np.uint8).tobytes()
+                       + z.compress(b"".join(k[1] for k in keys)))
+        return _table(table.column("block")[0].as_py(), list(data), [s.said.get(b, b"") for b in data], list(data.values()))
     return run
 
 
@@ -275,6 +320,9 @@ def _answer_repeats(table: pa.Table) -> pa.Table:
     asked, least = [], {}
     for x in table.column("data"):
         data = x.as_py()
+        if not data:  # only bits that travel along
+            asked.append(([], []))
+            continue
         n = int(np.frombuffer(data, np.int64, 1)[0])
         h = np.frombuffer(data, np.uint64, n, 8).tolist()
         doc = np.frombuffer(data, np.int64, n, 8 + 8 * n).tolist()
@@ -311,9 +359,8 @@ def _remove(buckets: int, as_text: bool):
         mask: dict[tuple[int, bytes], int] = {}
         for b, x, y in s.parts:
             mask.update(zip(s.order[x:y], np.frombuffer(said[b], np.uint64).tolist()))
-        first, last = s.runs.first[s.at], s.runs.last[s.at]
-        doc = s.ids[s.runs.text[s.at]].tolist()
-        m = np.array([mask[k] if d == s.least[k] else (1 << 64) - 1 for k, d in zip(s.keys, doc)], np.uint64)
+        first, last = s.first, s.last
+        m = np.array([mask[k] if d == s.least[k] else (1 << 64) - 1 for k, d in zip(s.keys, s.doc)], np.uint64)
         cover = np.zeros(len(s.runs.buf) + LEAST + 1, np.int32)
         for k in range(int((last - first).max(initial=-1)) + 1):
             at = first[(first + k <= last) & ((m >> np.uint64(k)) & np.uint64(1) > 0)] + k
@@ -353,7 +400,7 @@ def keep_first(docs: DataFrame, **params) -> DataFrame:
 
 
 def remove_repeats(docs: DataFrame, *extra: str, as_text: bool = False,
-                   block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
+                   block_bytes: int = blocks.BLOCK_BYTES, crowd: int = CROWD) -> DataFrame:
     """(doc_id, n_bytes, spans, kept, extra...) for every row of ``docs``: the
     spans of bytes removed, and the bytes that stay (``as_text``: their text,
     without code points that lost a byte)."""
@@ -361,7 +408,7 @@ def remove_repeats(docs: DataFrame, *extra: str, as_text: bool = False,
     buckets = min(blocks.MOST_BUCKETS, n)
     of_block = block.groupBy("block")
     # one plan: the exchange of the blocks is made once and read three times
-    anchors = of_block.applyInArrow(_ask_anchors(buckets), ROWS).groupBy("bucket").applyInArrow(_answer_anchors, ROWS)
+    anchors = of_block.applyInArrow(_ask_anchors(buckets), ROWS).groupBy("bucket").applyInArrow(_answer_anchors(crowd), ROWS)
     repeats = (of_block.cogroup(anchors.groupBy("block")).applyInArrow(_ask_repeats(buckets), ROWS)
                .groupBy("bucket").applyInArrow(_answer_repeats, ROWS))
     schema = StructType([docs.schema["doc_id"], StructField("n_bytes", LongType()), StructField("spans", SPANS),
