@@ -5,11 +5,12 @@ shard gets a hierarchical navigable small-world graph: every layer holds a
 sixteenth of the nodes below it, a node links to near and diverse neighbours,
 and a search walks down from the top with a beam. Every shard searches every
 shard of its label, in blocks of queries; what lies in range is followed to the
-last neighbour in range. In each search some queries that have links are audited
-against brute force; as long as one of them misses more than its share the beam
-doubles, up to the whole shard. Where too few have links, all are looked at, and
-brute force is the result. Links are verified by cosine in double precision; a
-link that either of its vectors finds counts for both. Components are joined.
+last neighbour in range. Each pair of shards is audited once against brute force:
+queries that have links, and probes made of the searched shard's own nodes; as long as one of
+them misses more than its share the beam doubles, and all searches of the pair
+take that beam through the graph. Links are verified by cosine in double
+precision; a link that either of its vectors finds counts for both. Components
+are joined.
 
 Equal vectors of a label are one node with a number of copies. A search returns
 a count of links for each query and the edges of a spanning forest, never all
@@ -38,8 +39,10 @@ BLOCK_ROWS = 1_024
 LINKS = 12
 #: Beam of an insertion, and the first beam of a search.
 BEAM = 24
-#: Queries with links that are audited in a search, and the share of its links that each must find.
+#: Queries with links, and probes, that are audited for a pair of shards; queries
+#: looked at for links; and the share of its links that each audited one must find.
 AUDITED = 64
+DRAWN = 1024
 RECALL = 0.999
 LAYER = 16  # each layer has one node in so many of the layer below
 SLACK = 1e-4  # single precision finds candidates; double decides
@@ -219,37 +222,69 @@ class SmallWorld:
         return tuple(self._local(q, 0, self._entry(q, 1) if len(self.layers) > 1 else self._entry(q, 0), beam, at_least)[2])
 
 
-def audited_search(world: SmallWorld, q: np.ndarray, at_least: float, recall: float = RECALL,
-                   own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, int]:
-    """All (query, node) in range, and the beam that passed the audit; ``own``
+def audited_beam(world: SmallWorld, q: np.ndarray, at_least: float, recall: float = RECALL, own: np.ndarray | None = None) -> int:
+    """The beam with which each audited query finds ``recall`` of its links in
+    ``world``, by brute force over the whole shard. Audited are ``AUDITED`` of the queries
+    that have links (drawn evenly, ``DRAWN`` looked at: links may be rare),
+    and as many probes made of the shard's own nodes, each turned so far that it just links to
+    its node: where no query has a link, these still measure the graph. ``own``
     is each query's own node or -1."""
     n = len(world.x)
     order = np.unique(np.linspace(0, len(q) - 1, min(AUDITED, len(q))).astype(int))
-    order = np.concatenate([order, np.setdiff1d(np.arange(len(q)), order)])
-    seen, truth, linked = [], [], 0
+    order = np.concatenate([order, np.setdiff1d(np.linspace(0, len(q) - 1, min(DRAWN, len(q))).astype(int), order)])
+    probes = [turned(world.x[np.unique(np.linspace(0, n - 1, min(AUDITED, n)).astype(int))], at_least + 0.25 * (1 - at_least))]
+    truth = [_in_range(probes[0], world.x, at_least + 1e-6)]
+    linked = 0
     for s in range(0, len(order), AUDITED):
         some = order[s:s + AUDITED]
-        sims = q[some] @ world.x.T
-        x, y = np.nonzero(sims >= at_least)
-        seen.append((some[x], y))
-        real = sims[x, y] >= at_least + 1e-6
+        x, y = _in_range(q[some], world.x, at_least + 1e-6)
         if own is not None:
-            real &= own[some[x]] != y
-        truth.append(some[x[real]] * n + y[real])
-        linked += len(np.unique(x[real]))
+            other = own[some[x]] != y
+            x, y = x[other], y[other]
+        with_links = np.unique(x)
+        if len(with_links):
+            probes.append(q[some[with_links]])
+            truth.append((np.searchsorted(with_links, x), y))
+            linked += len(with_links)
         if linked >= AUDITED:
             break
-    else:  # all were looked at
-        return *(np.concatenate(p) for p in zip(*seen)), n
-    truth = np.concatenate(truth)
-    wanted = np.bincount(truth // n, minlength=len(q))
+    at = np.cumsum([0] + [len(p) for p in probes])
+    key = np.concatenate([(x + k) * n + y for k, (x, y) in zip(at, truth)])
+    probes = np.concatenate(probes)
+    wanted = np.bincount(key // n, minlength=len(probes))
     beam = BEAM
-    while True:
-        a, b = world.in_range(q, at_least, beam)
-        hit = truth[np.isin(truth, a * n + b)]
-        if beam >= n or (np.bincount(hit // n, minlength=len(q)) >= recall * wanted).all():
-            return a, b, beam
+    while beam < n:
+        a, b = world.in_range(probes, at_least, beam)
+        hit = key[np.isin(key, a * n + b)]
+        if (np.bincount(hit // n, minlength=len(probes)) >= recall * wanted).all():
+            break
         beam *= 2
+    return beam
+
+
+def _in_range(q: np.ndarray, x: np.ndarray, at_least: float) -> tuple[np.ndarray, np.ndarray]:
+    return np.nonzero(q @ x.T >= at_least)
+
+
+def turned(x: np.ndarray, cosine: float) -> np.ndarray:
+    """Unit vectors at ``cosine`` to the unit vectors ``x``, each turned its own way."""
+    if x.shape[1] < 2:
+        return x
+    u = np.random.default_rng(x.shape[1]).normal(size=x.shape)
+    u -= (u * x).sum(axis=1, keepdims=True) * x
+    u /= np.sqrt((u * u).sum(axis=1, keepdims=True))
+    return (cosine * x + np.sqrt(1 - cosine * cosine) * u).astype(np.float32)
+
+
+def audited_search(world: SmallWorld, q: np.ndarray, at_least: float, recall: float = RECALL,
+                   own: np.ndarray | None = None, step: int = BLOCK_ROWS) -> tuple[np.ndarray, np.ndarray, int]:
+    """All (query, node) in range that the graph finds, in blocks of ``step``
+    queries, and the one beam that passed the audit. Only where no smaller beam
+    passes is it as wide as the shard, and all nodes are looked at."""
+    beam = audited_beam(world, q, at_least, recall, own)
+    found = [world.in_range(q[s:s + step], at_least, beam) for s in range(0, len(q), step)]
+    return (np.concatenate([a + s for (a, _), s in zip(found, range(0, len(q), step))]),
+            np.concatenate([b for _, b in found]), beam)
 
 
 def found_links(world: SmallWorld, x: np.ndarray, reps: np.ndarray, q: np.ndarray, q_reps: np.ndarray,
@@ -259,9 +294,10 @@ def found_links(world: SmallWorld, x: np.ndarray, reps: np.ndarray, q: np.ndarra
     at = order[np.minimum(np.searchsorted(reps, q_reps, sorter=order), len(reps) - 1)]
     own = np.where(reps[at] == q_reps, at, -1)
     bits = np.zeros((len(q), (len(x) + 7) // 8), np.uint8)
+    beam = audited_beam(world, q.astype(np.float32), least - SLACK, recall, own)
     for s in range(0, len(q), step):
         part = q[s:s + step]
-        a, b, _ = audited_search(world, part.astype(np.float32), least - SLACK, recall, own[s:s + step])
+        a, b = world.in_range(part.astype(np.float32), least - SLACK, beam)
         a, b = _verified(part, x, a, b, least)
         row = np.zeros((len(part), len(x)), bool)
         row[a, b] = own[s + a] != b
