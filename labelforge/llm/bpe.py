@@ -53,19 +53,37 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 @lru_cache(maxsize=2)
 def encoder(tokenizer_json: str):
     """The ids that a byte-level BPE file gives, from its vocabulary as merge
-    ranks (ids of such vocabularies are in the merges' order)."""
+    ranks (ids of such vocabularies are in the merges' order). The fast library's
+    splitting gives up on runs of some million blanks; such a part goes through
+    the library that the file is made for."""
     import tiktoken
 
     special = {t["content"]: t["id"] for t in json.loads(tokenizer_json)["added_tokens"]}
     ranks = {b: i for i, b in enumerate(vocabulary_bytes(tokenizer_json)) if b and i not in special.values()}
     enc = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
+    def of_part(part: str) -> np.ndarray:
+        try:
+            return enc.encode_to_numpy(part, allowed_special="all")
+        except ValueError:
+            return np.array(_plain(tokenizer_json).encode(part, add_special_tokens=False).ids, np.uint32)
+
     def ids(text: bytes) -> np.ndarray:
-        parts = [enc.encode_to_numpy(p.decode(), allowed_special="all") for p in in_parts(text)]
+        parts = [of_part(p.decode()) for p in in_parts(text)]
         return np.concatenate(parts) if parts else np.empty(0, np.uint32)
     return ids
 
 
+@lru_cache(maxsize=1)
+def _plain(tokenizer_json: str):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_str(tokenizer_json)
+    tok.no_truncation()
+    tok.no_padding()
+    return tok
+
+
 class Codec:
     """Encodes texts of any length to numpy ids, and ids back to text."""
 
