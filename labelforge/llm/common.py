@@ -86,7 +86,9 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     The number of edges never grows, a node of many edges is summed before the
     shuffle, and each round is a table in the shared folder."""
     def spread(sym: DataFrame, keep) -> DataFrame:
-        low = sym.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        # a table of its own: Spark splits the rows of a node with many edges
+        # only where no aggregate stands beside the join
+        low = saved(sym.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m")), name)
         return sorted_join(sym, low, "a").where(keep)
 
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()

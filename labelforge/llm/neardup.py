@@ -266,6 +266,10 @@ def _in_range(q: np.ndarray, x: np.ndarray, at_least: float) -> tuple[np.ndarray
     return np.nonzero(q @ x.T >= at_least)
 
 
+def _searched(world: SmallWorld, q: np.ndarray, at_least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
+    return world.in_range(q, at_least, beam) if beam < len(world.x) else _in_range(q, world.x, at_least)
+
+
 def turned(x: np.ndarray, cosine: float) -> np.ndarray:
     """Unit vectors at ``cosine`` to the unit vectors ``x``, each turned its own way."""
     if x.shape[1] < 2:
@@ -282,7 +286,7 @@ def audited_search(world: SmallWorld, q: np.ndarray, at_least: float, recall: fl
     queries, and the one beam that passed the audit. Only where no smaller beam
     passes is it as wide as the shard, and all nodes are looked at."""
     beam = audited_beam(world, q, at_least, recall, own)
-    found = [world.in_range(q[s:s + step], at_least, beam) for s in range(0, len(q), step)]
+    found = [_searched(world, q[s:s + step], at_least, beam) for s in range(0, len(q), step)]
     return (np.concatenate([a + s for (a, _), s in zip(found, range(0, len(q), step))]),
             np.concatenate([b for _, b in found]), beam)
 
@@ -297,7 +301,7 @@ def found_links(world: SmallWorld, x: np.ndarray, reps: np.ndarray, q: np.ndarra
     beam = audited_beam(world, q.astype(np.float32), least - SLACK, recall, own)
     for s in range(0, len(q), step):
         part = q[s:s + step]
-        a, b = world.in_range(part.astype(np.float32), least - SLACK, beam)
+        a, b = _searched(world, part.astype(np.float32), least - SLACK, beam)
         a, b = _verified(part, x, a, b, least)
         row = np.zeros((len(part), len(x)), bool)
         row[a, b] = own[s + a] != b
@@ -409,12 +413,15 @@ def near_duplicates(vectors: DataFrame, least_cosine: float = LEAST_COSINE, shar
     found = saved(asked.groupBy("label", "dim", "shard", "q_shard").applyInArrow(search, "rep long, links long, to long"), "vector-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comps = connected_components(found.select(F.col("rep").alias("a"), F.col("to").alias("b")), "vector-components")
-    named = (sorted_join(sorted_join(nodes.select("label", "embedding", "rep", "first", "copies"), links, "rep", "left"),
-                         comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
-    least = named.groupBy("component").agg(F.min("first").alias("component_id"))
+    named = saved(sorted_join(sorted_join(nodes.select("label", "embedding", "rep", "first", "copies"), links, "rep", "left"),
+                              comps.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")),
+                  "vector-members")
+    # a table of its own, so that Spark can split a large component's rows
+    least = saved(named.groupBy("component").agg(F.min("first").alias("component_id")), "vector-names")
     named = sorted_join(named, least, "component").select(
         "label", "embedding", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id",
         F.lit(True).alias("good"))
+    named = saved(named, "vector-named")
     return sorted_join(v, named, ["label", "embedding", "good"], "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
         F.when(F.col("n_links").isNull(), F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id")

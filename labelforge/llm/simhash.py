@@ -240,10 +240,12 @@ def components(fingerprints: DataFrame, most: int = MOST_BITS) -> DataFrame:
     smallest doc_id reachable over links."""
     nodes = saved(fingerprints.groupBy("_fp").agg(F.min("doc_id").alias("first")), "simhash-nodes")
     found = connected_components(links(nodes.select("_fp"), most), "simhash-components")
-    of = sorted_join(nodes, found.withColumnRenamed("node", "_fp"), "_fp", "left").select(
-        "_fp", "first", F.coalesce("component", "_fp").alias("component"))
-    least = of.groupBy("component").agg(F.min("first").alias("component_id"))
-    return sorted_join(of, least, "component").select("_fp", "component_id")
+    of = saved(sorted_join(nodes, found.withColumnRenamed("node", "_fp"), "_fp", "left").select(
+        "_fp", "first", F.coalesce("component", "_fp").alias("component")), "simhash-members")
+    # tables of their own on both sides of the joins: Spark splits a large
+    # component's, or a fingerprint's, rows only where no aggregate stands beside them
+    least = saved(of.groupBy("component").agg(F.min("first").alias("component_id")), "simhash-names")
+    return saved(sorted_join(of, least, "component").select("_fp", "component_id"), "simhash-named")
 
 
 def near_duplicates(docs: DataFrame, words_in: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
@@ -256,12 +258,11 @@ def near_duplicates(docs: DataFrame, words_in: int = SHINGLE_WORDS, most: int =
 
 def keep_one(docs: DataFrame, words_in: int = SHINGLE_WORDS, most: int = MOST_BITS) -> DataFrame:
     """The row of the smallest doc_id of each component, with all columns."""
-    full = with_fingerprint(docs, words_in).withColumns(
-        {"_id": F.coalesce("doc_id", F.lit(0)), "_none": F.col("doc_id").isNull()})
-    fps = saved(with_fingerprint(docs.select("doc_id", "text"), words_in).select("doc_id", "_fp"), "simhash")
-    keep = (sorted_join(fps, components(fps, most), "_fp")
-            .groupBy(F.col("component_id")).agg(F.min(F.struct(F.col("doc_id").isNull().alias("_none"),
-                                                               F.coalesce("doc_id", F.lit(0)).alias("_id"), "_fp")).alias("k"))
-            .select("k._id", "k._none", "k._fp"))
-    keys = ["_id", "_none", "_fp"]
-    return sorted_join(full, keep, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    row = {"__keep_none": F.col("doc_id").isNull(), "__keep_id": F.coalesce("doc_id", F.lit(0)),
+           "__keep_text": F.xxhash64("text", F.col("text").isNull())}  # the text tells rows of one doc_id apart
+    fps = with_fingerprint(docs.select("doc_id", "text"), words_in).withColumns(row).select("doc_id", *row, "_fp")
+    fps = saved(fps, "simhash")
+    named = sorted_join(fps, components(fps.select("doc_id", "_fp"), most), "_fp")
+    one = named.groupBy("component_id").agg(F.min(F.struct("__keep_none", "__keep_id", "_fp", "__keep_text")).alias("k"))
+    return sorted_join(docs.withColumns(row), one.select(*[f"k.{c}" for c in row]), list(row), "left_semi").dropDuplicates(
+        list(row)).select(*docs.columns)
