@@ -54,6 +54,10 @@ NAMES = re.compile(r"(?:^|[^a-z])(?:ads?|advert(?:s|isements?|ising)?|adsense|ad
 #: Names of the page's head, which inside an article may hold its headline.
 HEADS = re.compile(r"(?:^|[^a-z])(?:header|site-header|page-header|head)(?:$|[^a-z])")
 
+#: Names, at a word's start, of elements beside the article: an article in one of
+#: them is a comment or a teaser (a ``has-sidebar`` around the page isn't one).
+BESIDE = re.compile(r"(?:^|\s)(?:comment|repl(?:y|ies)|respond|disqus|related|recommend|teaser|trending|popular|sidebar|widget)")
+
 #: An open element that a start tag ends, and where the search for it stops.
 ENDED_BY = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
             "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -166,9 +170,10 @@ class Page:
                     said.append(f"\1{kid.hash:x}")
             n.hash = xxhash.xxh3_64_intdigest("\0".join(said).encode("utf-8", "surrogatepass"))
         # what holds the headline or the largest article isn't judged by its names
-        articles = [n for n in self.nodes if n.tag == "article"]
-        keys = [n for n in self.nodes if n.tag in ("h1", "main")] + sorted(articles, key=lambda n: -n.chars)[:1]
-        holds = {id(u) for n in keys for u in n.up()}
+        beside = {id(n) for n in self.nodes if n.tag in ("aside", "footer", "nav") or n.attrs and BESIDE.search(self._names(n))}
+        keys = [n for n in self.nodes if n.chars and n.tag in ("h1", "main", "article") and not any(id(u) in beside for u in n.up())]
+        articles = sorted((n for n in keys if n.tag == "article"), key=lambda n: -n.chars)[1:]
+        holds = {id(u) for n in keys if n not in articles for u in n.up()}
         self.said = {id(n) for n in self.nodes if n.tag in TAGS and not (n.tag == "form" and id(n) in holds)
                      or n.attrs and id(n) not in holds and self._says(n)}
         marks = (lambda n: n.tag == "article", lambda n: n.attrs.get("itemprop", "").lower() == "articlebody",
@@ -190,7 +195,11 @@ class Page:
             return True
         if "display:none" in a.get("style", "").replace(" ", "").lower():
             return True
-        return bool(NAMES.search(f"{a.get('class', '')} {a.get('id', '')}".lower()))
+        return bool(NAMES.search(Page._names(n)))
+
+    @staticmethod
+    def _names(n: Node) -> str:
+        return f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower()
 
     def named(self) -> str:
         """What tells the page from others: title and headline, else its longest paragraph."""
@@ -214,7 +223,7 @@ class Page:
         cut = recurs | self.said
         heads = {id(u) for n in self.nodes if n.tag == "h1" for u in n.up()}
         for n in self.nodes:
-            if n.tag == "header" or n.attrs and n.tag not in ("html", "body") and HEADS.search(f"{n.attrs.get('class', '')} {n.attrs.get('id', '')}".lower()):
+            if n.tag == "header" or n.attrs and n.tag not in ("html", "body") and HEADS.search(self._names(n)):
                 if id(n) not in self.inside and id(n) not in self.holds and (self.roots or id(n) not in heads):
                     cut.add(id(n))
             elif not self.roots and n.tag in ("ul", "ol", "div", "section", "table") and n.chars and 10 * n.linked > 6 * n.chars and id(n) not in heads:

@@ -152,6 +152,10 @@ CASES = [
     ("<form action=x><h1>T</h1><p>all in a form</p><select><option>1<option>2</select></form>", "T\n\nall in a form"),
     ("<article><p>cut off <a href=\"x", "cut off"), ("<p title='a>b' class = \"x\">q</p><p>it's 5\" wide</p>", "q\n\nit's 5\" wide"),
     ("<article></article><div><p>elsewhere</p></div>", "elsewhere"),
+    ("<h1>T</h1><div class=text><p>the text</p></div><section id=comments><article><p>a comment longer than the text</p></article></section>", "T\n\nthe text"),
+    ("<h1>T</h1><p>the text</p><div><article class='comment reply'><p>a comment longer than the text</p></article></div>", "T\n\nthe text"),
+    ("<aside><article><h2>more</h2><p>a teaser of another article</p></article></aside><div class='has-sidebar'><article><p>text</p></article></div>", "text"),
+    ("<div class=sidebar><h1>Site</h1><p>links</p></div><p>the text</p>", "the text"),
     ("<h1>T</h1><div><a href=1>one</a> <a href=2>two</a></div><p>see <a href=3>this</a></p>", "T\n\nsee this"),
 ]
 
