@@ -8,10 +8,12 @@ with the Bayesian information criterion as its bar), and with it its suffixes. A
 state's distribution is smoothed with that of its suffix. A symbol is scored by
 the longest suffix before it that is a state.
 
-The tree is a table of (context, next symbol), as large as the texts make it; no
-process holds it. Level by level its rows are joined with those of the suffix,
-which leaves a probability for each distinct string of ``DEPTH`` + 1 symbols;
-blocks of texts ask buckets for those of their own strings (``blocks.py``).
+The tree is a table of strings, a context and its next symbol in one number, as
+large as the texts make it; no process holds it. Blocks of texts (``blocks.py``)
+write their distinct strings of ``DEPTH`` + 1 symbols once, in order, as
+differences. Summed over all blocks these are the deepest level; level by level
+its rows are joined with those of the suffix, which leaves a probability for
+each string, and the buckets answer the blocks with those they asked for.
 
 Beside it stands a unigram base model over words (and one end per text) with
 exact counts, looked up through the same blocks and buckets.
@@ -25,27 +27,22 @@ belongs to the training part; extra columns are ignored.
 from __future__ import annotations
 
 from collections import Counter
-from dataclasses import dataclass
 from math import log10
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from labelforge.llm import blocks
-from labelforge.llm.common import bounded_batches, crc_mod_is, saved, sorted_join
+from labelforge.llm.common import crc_mod_is, saved, sorted_join
 
-#: Longest context, in symbols; any number, as contexts are keyed by their bytes.
+#: Longest context, in symbols: 7 at most, as a context and its next symbol share a long.
 DEPTH = 5
-#: Depth and contexts of ``fit``, the tree that fits one process (depth at most
-#: 6: contexts and a symbol share a long). Scoring doesn't use it.
-FIT_DEPTH = 5
-STATES = 20_000
-#: Distinct strings that a task adds up before it hands them on.
-HELD = 1 << 20
 #: Share of the criterion's penalty that a context's gain must exceed.
 BAR = 1.0
-SEGMENT = 1024
+#: Bytes of text in a block: the larger, the fewer strings are asked for twice.
+BLOCK_BYTES = 12 << 20
 END = 10  # the end symbol and the padding before a text: no word holds it
 
 
@@ -53,138 +50,6 @@ def symbols(text: bytes) -> bytes:
     return b" ".join(text.lower().split()) + b"\n"
 
 
-def _counts(depth: int):
-    """Rows (code, n): a context of ``depth`` symbols and the symbol after it,
-    one byte each, summed over the texts of a task."""
-    def run(batches):
-        codes, ns = np.empty(0, np.int64), np.empty(0, np.int64)
-
-        def add(parts: list[bytes]):
-            nonlocal codes, ns
-            b = np.frombuffer(b"".join(parts), np.uint8)
-            code = np.zeros(len(b) - depth, np.int64)
-            for k in range(depth + 1):
-                code |= b[k:len(b) - depth + k].astype(np.int64) << (8 * (depth - k))
-            skip = np.cumsum([len(p) for p in parts[:-1]])  # places whose symbol is padding
-            keep = np.ones(len(code), bool)
-            for k in range(depth):
-                keep[skip - depth + k] = False
-            found, n = np.unique(code[keep], return_counts=True)
-            codes, at = np.unique(np.concatenate([codes, found]), return_inverse=True)
-            ns = np.bincount(at, np.concatenate([ns, n]), len(codes)).astype(np.int64)
-
-        pad, parts, size = b"\n" * depth, [], 0
-        for b in batches:
-            for t in b.column("text"):
-                s = symbols((t.as_py() or "").encode())
-                for x in range(0, len(s), 1 << 20):  # a long text in slices, each with its context
-                    parts.append((pad if x == 0 else s[x - depth:x]) + s[x:x + (1 << 20)])
-                    size += len(parts[-1])
-                    if size > 2 << 20:
-                        add(parts)
-                        parts, size = [], 0
-        if parts:
-            add(parts)
-        for x in range(0, len(codes), 1 << 16):
-            yield pa.record_batch([pa.array(codes[x:x + (1 << 16)]), pa.array(ns[x:x + (1 << 16)])], ["code", "n"])
-    return run
-
-
-@dataclass
-class Tree:
-    """The closed tree as an automaton: from a state and a symbol to the state
-    of the longest suffix, and the log10 probability of that step."""
-    next: np.ndarray
-    logp: np.ndarray
-
-    def score(self, texts: list[bytes], depth: int) -> np.ndarray:
-        if not texts:
-            return np.zeros(0)
-        pad = b"\n" * depth
-        flat = np.frombuffer(pad + b"".join(t + pad for t in texts), np.uint8)
-        starts, lengths, whose, at = [], [], [], depth
-        for i, t in enumerate(texts):
-            for x in range(0, len(t), SEGMENT):
-                starts.append(at + x)
-                lengths.append(min(SEGMENT, len(t) - x))
-                whose.append(i)
-            at += len(t) + depth
-        lengths = np.array(lengths)
-        order = np.argsort(-lengths, kind="stable")
-        starts, lengths, whose = np.array(starts)[order], lengths[order], np.array(whose)[order]
-        states, logp = self.next.ravel(), self.logp.ravel()
-        state = np.zeros(len(starts), np.int64)
-        for k in range(depth, 0, -1):  # the state of the symbols before a segment
-            state = states[state * 256 + flat[starts - k]].astype(np.int64)
-        total = np.zeros(len(starts))
-        live = len(starts)
-        for k in range(int(lengths[0])):
-            while lengths[live - 1] <= k:
-                live -= 1
-            step = state[:live] * 256 + flat[starts[:live] + k]
-            total[:live] += logp[step]
-            state[:live] = states[step]
-        return np.bincount(whose, total, len(texts))
-
-
-def build(counts: dict[tuple[int, int], dict[int, int]]) -> Tree:
-    """The automaton of contexts (length, code) closed under prefixes and
-    suffixes, shorter contexts first, with their next-symbol counts."""
-    order = sorted(counts)
-    number = {c: i for i, c in enumerate(order)}
-    nxt = np.zeros((len(order), 256), np.int32)
-    prob = np.zeros((len(order), 256))
-    for (k, code), i in number.items():
-        if k == 0:
-            parent = np.full(256, 1 / 256)
-        else:
-            up = number[(k - 1, code & ((1 << 8 * (k - 1)) - 1))]
-            parent = prob[up]
-            nxt[i] = nxt[up]
-        seen = counts[(k, code)]
-        n = np.zeros(256)
-        n[list(seen)] = list(seen.values())
-        weight = max(1, len(seen))
-        prob[i] = (n + weight * parent) / (n.sum() + weight)
-        # longer states are reached from their prefix, which is here too
-        for a in range(256):
-            to = number.get((k + 1, code << 8 | a))
-            if to is not None:
-                nxt[i, a] = to
-    return Tree(nxt, np.log10(prob).astype(np.float32))
-
-
-def fit(texts: DataFrame, depth: int = FIT_DEPTH, states: int = STATES, bar: float = BAR) -> Tree:
-    bounded_batches(texts.sparkSession)
-    leaf = texts.select("text").mapInArrow(_counts(depth), "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    every = F.explode(F.array(*[F.struct(
-        F.lit(k).alias("k"), F.shiftright("code", 8).bitwiseAND(F.lit((1 << 8 * k) - 1).cast("long")).alias("ctx"))
-        for k in range(depth + 1)]))
-    grams = saved(leaf.select(every.alias("c"), F.col("code").bitwiseAND(F.lit(255).cast("long")).alias("sym"), "n")
-                  .groupBy("c.k", "c.ctx", "sym").agg(F.sum("n").alias("n")), "pst-grams")
-    totals = grams.groupBy("k", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds"))
-    shares = sorted_join(grams, totals, ["k", "ctx"])
-    suffix = F.when(F.col("k") > 0, F.col("ctx").bitwiseAND(F.expr("shiftleft(1L, 8 * (k - 1)) - 1")))
-    above = shares.select(F.col("k").alias("up_k"), F.col("ctx").alias("up"), F.col("sym").alias("up_sym"),
-                          (F.col("n") / F.col("total")).alias("q"))
-    gains = (sorted_join(shares.where("k > 0").withColumns({"up_k": F.col("k") - 1, "up": suffix, "up_sym": F.col("sym")}),
-                         above, ["up_k", "up", "up_sym"])
-             .groupBy("k", "ctx", "total", "kinds")
-             .agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain")))
-    stay = (gains.where(F.col("gain") > F.lit(bar / 2) * F.col("kinds") * F.log(F.col("total") + 1))
-            .orderBy(F.desc("gain"), "k", "ctx").limit(states).select("k", "ctx"))
-    # with all contiguous parts of a context, and the empty one
-    parts = F.explode(F.array_distinct(F.expr(
-        "flatten(transform(sequence(0, k), j -> transform(sequence(0, k - j),"
-        " s -> struct(j AS k, shiftright(ctx, 8 * s) & (shiftleft(1L, 8 * j) - 1) AS ctx))))")))
-    closed = stay.select(parts.alias("p")).select("p.k", "p.ctx").distinct()
-    rows = grams.join(F.broadcast(closed), ["k", "ctx"]).toPandas()
-    counts: dict[tuple[int, int], dict[int, int]] = {(0, 0): {}}
-    for k, ctx, sym, n in rows[["k", "ctx", "sym", "n"]].itertuples(index=False):
-        counts.setdefault((int(k), int(ctx)), {})[int(sym)] = int(n)
-    return build(counts)
-
-
 def _slices(texts, depth: int):
     """(symbols, places, whose) of some texts at a time: the places of ``symbols``
     that are scored, each with ``depth`` symbols before it, and the texts' numbers."""
@@ -210,147 +75,145 @@ def _slices(texts, depth: int):
         yield joined(parts, owners)
 
 
-def _tables(depth: int) -> np.ndarray:
-    """A random number for each symbol and distance; a string's hash is their sum modulo 2."""
-    import xxhash
+def _codes(flat: np.ndarray, depth: int) -> np.ndarray:
+    """The strings of ``depth`` + 1 symbols that end at each place from ``depth`` on, as numbers."""
+    code = np.zeros(len(flat) - depth, np.uint64)
+    for k in range(depth + 1):
+        code <<= np.uint64(8)
+        code |= flat[k:len(flat) - depth + k]
+    return code
 
-    return np.array([[xxhash.xxh3_64_intdigest(k.to_bytes(2, "little") + bytes([c])) for c in range(256)]
-                     for k in range(depth + 1)], np.uint64)
 
+def _distinct(texts: list[bytes], depth: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A block's distinct strings, in order, and their numbers in its texts marked ``train``."""
+    codes, counts = [np.empty(0, np.uint64)], [np.empty(0)]
+    for flat, at, whose in _slices(texts, depth):
+        where, found = pd.factorize(_codes(flat, depth)[at - depth])
+        codes.append(found)
+        counts.append(np.bincount(where, train[whose], len(found)))
+    every, at = np.unique(np.concatenate(codes), return_inverse=True)
+    return every, np.bincount(at, np.concatenate(counts), len(every)).astype(np.uint64)
 
-def _hashes(flat: np.ndarray, tables: np.ndarray) -> np.ndarray:
-    """Hashes of the strings that end at each place from ``depth`` on."""
-    depth = len(tables) - 1
-    h = np.zeros(len(flat) - depth, np.uint64)
-    for k in range(depth + 1):
-        h ^= tables[k][flat[depth - k:len(flat) - k]]
-    return h
 
+def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of strings; those that differ in their last two symbols alone share one, so that a
+    bucket's strings lie close together."""
+    mixed = (code >> np.uint64(16)) * np.uint64(0x9E3779B97F4A7C15)
+    return blocks.bucket_of(mixed ^ (mixed << np.uint64(29)), buckets).astype(np.uint16)
+
+
+def _pack(x: np.ndarray) -> bytes:
+    """An array by the bytes of its numbers, the same byte of all beside each other: the high ones
+    are mostly zero, which the shuffle's compression takes out."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), -1).T).tobytes()
+
+
+def _unpack(x: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(x, np.uint8).reshape(size, -1).T).reshape(-1).view(kind)
+
+
+def _steps(code: np.ndarray) -> bytes:
+    return _pack(np.diff(code, prepend=np.uint64(0)))
+
+
+def _sums(x: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(x, np.uint64), dtype=np.uint64)
 
-def _strings(depth: int):
-    """Rows (gram, n): the distinct strings of ``depth`` + 1 symbols in a task's
-    texts, with their number in those that aren't held out."""
-    def run(batches):
-        tables = _tables(depth)
-        h, n, grams = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty((0, depth + 1), np.uint8)
-
-        def rows():
-            for x in range(0, len(h), 1 << 16):
-                some = grams[x:x + (1 << 16)]
-                ends = np.arange(len(some) + 1, dtype=np.int32) * (depth + 1)
-                data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(some.tobytes())])
-                yield pa.record_batch([data, pa.array(n[x:x + (1 << 16)])], ["gram", "n"])
-
-        def texts():
-            for b in batches:
-                for t, held in zip(b.column("text"), b.column("held_out").to_pylist()):
-                    train.append(not held)
-                    yield (t.as_py() or "").encode()
-
-        train: list[bool] = []
-        for flat, at, whose in _slices(texts(), depth):
-            found, first, where = np.unique(_hashes(flat, tables)[at - depth], return_index=True, return_inverse=True)
-            count = np.bincount(where, np.array(train)[whose], len(found)).astype(np.int64)
-            new = flat[at[first][:, None] + np.arange(-depth, 1)]
-            h, first, where = np.unique(np.concatenate([h, found]), return_index=True, return_inverse=True)
-            n = np.bincount(where, np.concatenate([n, count]), len(h)).astype(np.int64)
-            grams = np.concatenate([grams, new])[first]
-            if len(h) > HELD:
-                yield from rows()
-                h, n, grams = h[:0], n[:0], grams[:0]
-        yield from rows()
-    return run
 
+def _leaf(batches):
+    """Rows (code, n) of a block's part of a bucket."""
+    for b in batches:
+        for grams, seen in zip(b.column("grams"), b.column("seen")):
+            code, n = _sums(grams.as_py()).view(np.int64), _unpack(seen.as_py(), np.int64)
+            for x in range(0, len(code), 1 << 16):
+                yield pa.record_batch([pa.array(code[x:x + (1 << 16)]), pa.array(n[x:x + (1 << 16)])], ["code", "n"])
 
-def probabilities(docs: DataFrame, depth: int = DEPTH, bar: float = BAR) -> DataFrame:
-    """(gram, p) for every distinct string of ``depth`` + 1 symbols of ``docs``
-    (text, held_out): the probability of its last symbol after the others, in
-    the tree of the rows that aren't held out."""
-    bounded_batches(docs.sparkSession)
-    leaf = (docs.select("text", "held_out").mapInArrow(_strings(depth), "gram binary, n long")
-            .groupBy("gram").agg(F.sum("n").alias("n")))
-    suffix = F.expr("substring(ctx, 2)")
+
+def _mask(symbols: int):
+    return F.lit((1 << 8 * symbols) - 1).cast("long")
+
+
+def probabilities(leaf: DataFrame, depth: int = DEPTH, bar: float = BAR) -> DataFrame:
+    """(code, p) for every row (code, n) of ``leaf``, the strings of ``depth`` + 1 symbols
+    with their numbers in training texts: the probability of the last symbol after the others."""
+    context = F.shiftrightunsigned("code", 8).alias("ctx")
     same = Window.partitionBy("ctx")  # at most 256 rows
-    rows = leaf.select(F.substring("gram", 1, depth).alias("ctx"), F.substring("gram", depth + 1, 1).alias("sym"), "n")
+    rows = leaf.select("code", "n")
     levels: list[DataFrame] = []
     for k in range(depth, -1, -1):
         if k < depth:
-            rows = levels[0].select(suffix.alias("ctx"), "sym", "n").groupBy("ctx", "sym").agg(F.sum("n").alias("n"))
-        levels.insert(0, saved(rows.withColumns({
-            "total": F.sum("n").over(same), "kinds": F.sum((F.col("n") > 0).cast("long")).over(same)}), f"pst-level-{k}"))
+            rows = (levels[0].select(F.col("code").bitwiseAND(_mask(k + 1)).alias("code"), "n")
+                    .groupBy("code").agg(F.sum("n").alias("n")))
+        levels.insert(0, saved(rows.select("code", "n", context).select(
+            "code", "n", F.sum("n").over(same).alias("total"),
+            F.sum((F.col("n") > 0).cast("int")).over(same).cast("int").alias("kinds")), f"pst-level-{k}"))
     stay = None  # contexts that pass, and suffixes of those that do
     states = []
     for k in range(depth, 0, -1):
-        above = levels[k - 1].where("n > 0").select(F.col("ctx").alias("up"), "sym", (F.col("n") / F.col("total")).alias("q"))
-        gains = (sorted_join(levels[k].where("n > 0").withColumn("up", suffix), above, ["up", "sym"])
-                 .groupBy("ctx", "total", "kinds")
+        above = levels[k - 1].where("n > 0").select(F.col("code").alias("up"), (F.col("n") / F.col("total")).alias("q"))
+        gains = (sorted_join(levels[k].where("n > 0").withColumn("up", F.col("code").bitwiseAND(_mask(k))), above, "up")
+                 .groupBy(context, "total", "kinds")
                  .agg(F.sum(F.col("n") * F.log(F.col("n") / F.col("total") / F.col("q"))).alias("gain")))
         passed = gains.where(F.col("gain") > F.lit(bar / 2) * F.col("kinds") * F.log(F.col("total") + 1)).select("ctx")
-        stay = saved(passed if stay is None else passed.union(stay.select(suffix.alias("ctx"))).distinct(), f"pst-states-{k}")
+        stay = saved(passed if stay is None else
+                     passed.union(stay.select(F.col("ctx").bitwiseAND(_mask(k)).alias("ctx"))).distinct(), f"pst-states-{k}")
         states.insert(0, stay)
     p = None
     for k, level in enumerate(levels):
-        level = level.withColumn("up", suffix)
         if k == 0:
             level = level.withColumns({"above": F.lit(1 / 256), "state": F.col("kinds") > 0})
         else:
-            level = sorted_join(sorted_join(level, p, ["up", "sym"]), states[k - 1].withColumn("state", F.lit(True)), "ctx", "left")
+            level = sorted_join(sorted_join(level.withColumn("up", F.col("code").bitwiseAND(_mask(k))), p, "up").withColumn(
+                "ctx", F.shiftrightunsigned("code", 8)), states[k - 1].withColumn("state", F.lit(True)), "ctx", "left")
         own = (F.col("n") + F.col("kinds") * F.col("above")) / (F.col("total") + F.col("kinds"))
         level = level.withColumn("p", F.when(F.col("state"), own).otherwise(F.col("above")))
-        p = level.select(F.col("ctx").alias("up"), "sym", F.col("p").alias("above"))
-    return level.select(F.concat("ctx", "sym").alias("gram"), "p")
+        p = level.select(F.col("code").alias("up"), F.col("p").alias("above"))
+    return level.select("code", "p")
 
 
-def _by_bucket(depth: int, buckets: int):
-    """Rows (bucket, h, logp) of the strings (gram, p)."""
+def _by_bucket(buckets: int):
+    """Rows (bucket, code, logp) of the strings (code, p)."""
     def run(batches):
-        tables = _tables(depth)
         for b in batches:
-            grams = np.frombuffer(b"".join(b.column("gram").to_pylist()), np.uint8).reshape(-1, depth + 1)
-            h = np.zeros(len(grams), np.uint64)
-            for k in range(depth + 1):
-                h ^= tables[k][grams[:, depth - k]]
-            yield pa.record_batch([pa.array(blocks.bucket_of(h, buckets).astype(np.int32)), pa.array(h.view(np.int64)),
-                                   pa.array(np.log10(b.column("p").to_numpy()).astype(np.float32))], ["bucket", "h", "logp"])
+            code = b.column("code")
+            yield pa.record_batch([pa.array(_bucket(code.to_numpy().view(np.uint64), buckets).astype(np.int32)), code,
+                                   pa.array(np.log10(b.column("p").to_numpy()).astype(np.float32))], ["bucket", "code", "logp"])
     return run
 
 
-def _distinct(text: list[bytes], tables: np.ndarray) -> np.ndarray:
-    """The hashes of a block's distinct strings, in order."""
-    depth = len(tables) - 1
-    found = [np.unique(_hashes(flat, tables)[at - depth]) for flat, at, _ in _slices(text, depth)]
-    return np.unique(np.concatenate([np.empty(0, np.uint64), *found]))
-
-
 def _ask(buckets: int, depth: int):
-    """A block's distinct words, by hash, with their counts in its training
-    texts, and its distinct strings: one row for each bucket."""
+    """A block's distinct words, by hash, and its distinct strings, each with
+    their counts in its training texts: one row for each bucket."""
     def run(table: pa.Table) -> pa.Table:
         import xxhash
 
+        texts = blocks.texts(table)
+        trains = ~table.column("held_out").to_numpy()
         train, other = Counter(), set()
-        for t, held in zip(blocks.texts(table), table.column("held_out").to_pylist()):
-            if held:
-                other.update(t.lower().split())
-            else:
-                train.update(t.lower().split())
+        for t, learn in zip(texts, trains.tolist()):
+            (train if learn else other).update(t.lower().split())
         words = [*train, *(other - train.keys())]
         h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words), np.uint64, len(words))
-        n = np.zeros(len(words), np.uint32)
+        n = np.zeros(len(words), np.uint64)
         n[:len(train)] = list(train.values())
         h, first = np.unique(h, return_index=True)
         n = n[first]
-        g = _distinct(blocks.texts(table), _tables(depth))
-        word = {b: (x, y) for b, x, y in (blocks.by_bucket(h, buckets) if len(h) else [])}
-        gram = {b: (x, y) for b, x, y in blocks.by_bucket(g, buckets)}
-        rows = sorted(word.keys() | gram.keys())
-        words, grams = ([part.get(b, (0, 0)) for b in rows] for part in (word, gram))
+        g, seen = _distinct(texts, depth, trains)
+        b = _bucket(g, buckets)
+        order = np.argsort(b, kind="stable")
+        g, seen, b = g[order], seen[order], b[order]
+        edges = np.searchsorted(b, np.arange(buckets + 1, dtype=np.int64)).tolist()
+        word = {i: (x, y) for i, x, y in (blocks.by_bucket(h, buckets) if len(h) else [])}
+        rows = [i for i in range(buckets) if i in word or edges[i] < edges[i + 1]]
+        words, grams = [word.get(i, (0, 0)) for i in rows], [(edges[i], edges[i + 1]) for i in rows]
         block = table.column("block")[0].as_py()
         return pa.table({"block": pa.array([block] * len(rows), pa.int32()),
                          "bucket": pa.array(rows, pa.int32()),
                          "hashes": pa.array([h[x:y].tobytes() for x, y in words], pa.binary()),
-                         "counts": pa.array([n[x:y].tobytes() for x, y in words], pa.binary()),
-                         "grams": pa.array([g[x:y].tobytes() for x, y in grams], pa.binary())})
+                         "counts": pa.array([_pack(n[x:y]) for x, y in words], pa.binary()),
+                         "grams": pa.array([_steps(g[x:y]) for x, y in grams], pa.binary()),
+                         "seen": pa.array([_pack(seen[x:y]) for x, y in grams], pa.binary())})
     return run
 
 
@@ -358,72 +221,86 @@ def _answer(table: pa.Table, known: pa.Table) -> pa.Table:
     """Counts over all blocks and the strings' log10 probabilities, in the order
     each block asked; the bucket's own sums stand on its first row."""
     hashes = [np.frombuffer(x.as_py(), np.uint64) for x in table.column("hashes")]
-    counts = [np.frombuffer(x.as_py(), np.uint32) for x in table.column("counts")]
+    counts = [_unpack(x.as_py(), np.uint64) for x in table.column("counts")]
     every, at = np.unique(np.concatenate(hashes), return_inverse=True)
     total = np.bincount(at, np.concatenate(counts), len(every)).astype(np.uint64)
     found = np.split(total[at], np.cumsum([len(h) for h in hashes])[:-1])
     rest = [0] * (len(hashes) - 1)
-    h = known.column("h").to_numpy().view(np.uint64)
-    order = np.argsort(h)
-    h, logp = h[order], known.column("logp").to_numpy()[order]
-    steps = [logp[np.searchsorted(h, np.frombuffer(x.as_py(), np.uint64))].tobytes() for x in table.column("grams")]
+    code = known.column("code").to_numpy().view(np.uint64)
+    order = np.argsort(code)
+    code, logp = code[order], known.column("logp").to_numpy()[order]
+    steps = [_pack(logp[np.searchsorted(code, _sums(x.as_py()))]) for x in table.column("grams")]
     return pa.table({"block": table.column("block"), "bucket": table.column("bucket"),
-                     "counts": pa.array([f.tobytes() for f in found], pa.binary()),
+                     "counts": pa.array([_pack(f) for f in found], pa.binary()),
                      "steps": pa.array(steps, pa.binary()),
                      "distinct": pa.array([int((total > 0).sum()), *rest], pa.int64()),
                      "tokens": pa.array([int(total.sum()), *rest], pa.int64())})
 
 
-def score(docs: DataFrame, held_out, depth: int = DEPTH, bar: float = BAR,
-          block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
-    for every row of ``docs``; ``held_out`` is the column of rows not learned."""
-    d = docs.select("doc_id", "text").withColumn("held_out", held_out)
-    block, n_blocks = blocks.blocked(d, "held_out", block_bytes=block_bytes)
-    buckets = min(blocks.MOST_BUCKETS, n_blocks)
-    asked = block.groupBy("block").applyInArrow(
-        _ask(buckets, depth), "block int, bucket int, hashes binary, counts binary, grams binary")
-    steps = probabilities(d, depth, bar).mapInArrow(_by_bucket(depth, buckets), "bucket int, h long, logp float")
-    answers = saved(asked.groupBy("bucket").cogroup(steps.groupBy("bucket")).applyInArrow(
-        _answer, "block int, bucket int, counts binary, steps binary, distinct long, tokens long"), "lm-counts")
-    known, tokens = (x or 0 for x in answers.agg(F.sum("distinct"), F.sum("tokens")).first())
-    training = d.where("not held_out").count()
-    known, tokens = known + (training > 0), tokens + training  # the end of each text
-
-    def both(table: pa.Table, answer: pa.Table) -> pa.Table:
+def _read(buckets: int, depth: int):
+    """What a block's answers say of its texts, without what needs the totals of all blocks: tokens
+    and known ones, log10 of the counts plus one over the words, the strings' log10 probabilities.
+    The sums of the buckets whose first row came here stand on the block's first text."""
+    def run(table: pa.Table, answer: pa.Table) -> pa.Table:
         import xxhash
 
         text = blocks.texts(table)
-        words = [t.lower().split() for t in text]
-        distinct = list({w for ws in words for w in ws})
-        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
         rows = sorted(zip(*(answer.column(c).to_pylist() for c in ("bucket", "counts", "steps"))))
-        counts = np.frombuffer(b"".join(r[1] for r in rows), np.uint64)
-        logp = np.frombuffer(b"".join(r[2] for r in rows), np.float32)
+        distinct = set()
+        for t in text:
+            distinct.update(t.lower().split())
+        distinct = list(distinct)
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in distinct), np.uint64, len(distinct))
         _, at = np.unique(h, return_inverse=True)
-        per = dict(zip(distinct, counts[at].tolist()))
-        size = tokens + known + 1
-        known_of, base = [], []
-        for ws in words:
-            c = np.fromiter((per[w] for w in ws), np.int64, len(ws))
-            c = np.append(c, training)
-            known_of.append(int((c > 0).sum()))
-            base.append(float(np.log10((c + 1) / size).sum()))
-        tables = _tables(depth)
-        grams, total = _distinct(text, tables), np.zeros(len(text))
+        per = dict(zip(distinct, np.concatenate([_unpack(r[1], np.uint64) for r in rows])[at].tolist()))
+        sizes, known, base = np.zeros(len(text), np.int64), np.zeros(len(text), np.int64), np.zeros(len(text))
+        for i, t in enumerate(text):
+            ws = t.lower().split()
+            c = np.fromiter(map(per.__getitem__, ws), np.float64, len(ws))
+            sizes[i], known[i], base[i] = len(ws), np.count_nonzero(c), np.log10(c + 1).sum()
+        del distinct, per
+        total = np.zeros(len(text))
+        grams, _ = _distinct(text, depth, np.zeros(len(text), bool))
+        logp = np.empty(len(grams), np.float32)
+        logp[np.argsort(_bucket(grams, buckets), kind="stable")] = np.concatenate([_unpack(r[2], np.float32) for r in rows])
         for flat, at, whose in _slices(text, depth):
-            found, where = np.unique(_hashes(flat, tables)[at - depth], return_inverse=True)
-            total += np.bincount(whose, logp[np.searchsorted(grams, found)][where], len(text))
+            where, found = pd.factorize(_codes(flat, depth)[at - depth])
+            total += np.bincount(whose, logp[np.searchsorted(grams, found)].astype(float)[where], len(text))
+        rest = [0] * (len(text) - 1)
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"),
-                         "n_tokens": pa.array([len(w) + 1 for w in words], pa.int64()),
-                         "n_known": pa.array(known_of, pa.int64()),
-                         "train_tokens": pa.array([tokens] * len(words), pa.int64()),
-                         "base_score": pa.array(base, pa.float64()),
-                         "score": pa.array(total, pa.float64())})
+                         "words": pa.array(sizes, pa.int64()), "known": pa.array(known),
+                         "base": pa.array(base), "score": pa.array(total),
+                         "distinct": pa.array([sum(answer.column("distinct").to_pylist()), *rest], pa.int64()),
+                         "tokens": pa.array([sum(answer.column("tokens").to_pylist()), *rest], pa.int64())})
+    return run
+
 
+def score(docs: DataFrame, held_out, depth: int = DEPTH, bar: float = BAR, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)
+    for every row of ``docs``; ``held_out`` is the column of rows not learned."""
+    if not 1 <= depth <= 7:
+        raise ValueError("depth must be from 1 to 7")
+    d = docs.select("doc_id", "text").withColumn("held_out", F.coalesce(held_out, F.lit(False)))
+    block, n_blocks = blocks.blocked(d, "held_out", block_bytes=block_bytes)
+    buckets = min(blocks.MOST_BUCKETS, n_blocks)
+    asked = saved(block.groupBy("block").applyInArrow(
+        _ask(buckets, depth), "block int, bucket int, hashes binary, counts binary, grams binary, seen binary"), "lm-asked")
+    leaf = asked.select("grams", "seen").mapInArrow(_leaf, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+    steps = probabilities(leaf, depth, bar).mapInArrow(_by_bucket(buckets), "bucket int, code long, logp float")
+    answers = asked.select("block", "bucket", "hashes", "counts", "grams").groupBy("bucket").cogroup(
+        steps.groupBy("bucket")).applyInArrow(
+        _answer, "block int, bucket int, counts binary, steps binary, distinct long, tokens long")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return block.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
-        both, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    rows = saved(block.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        _read(buckets, depth), f"doc_id {kind}, held_out boolean, words long, known long, base double, score double,"
+                               " distinct long, tokens long"), "lm-rows")
+    known, tokens, training = (x or 0 for x in rows.agg(
+        F.sum("distinct"), F.sum("tokens"), F.sum((~F.col("held_out")).cast("long"))).first())
+    known, tokens = known + (training > 0), tokens + training  # the end of each text
+    n = F.col("words") + 1
+    return rows.select("doc_id", "held_out", n.alias("n_tokens"), (F.col("known") + int(training > 0)).alias("n_known"),
+                       F.lit(tokens).cast("long").alias("train_tokens"),
+                       (F.col("base") + log10(training + 1) - n * log10(tokens + known + 1)).alias("base_score"), "score")
 
 
 def held_out(mod: int = 7, rest: int = 2):

@@ -130,32 +130,6 @@ def test_base_counts_and_score(docs, texts, block_bytes):
     assert all(r["score"] < 0 for r in got)
 
 
-def test_tree_uses_the_longest_suffix_and_sums_to_one(spark, docs):
-    tree = lm.fit(docs, depth=3, states=300)
-    assert np.allclose((10.0 ** tree.logp.astype(float)).sum(axis=1), 1, atol=1e-4)
-    some = [lm.symbols(b"the Of  zu"), b"\n", lm.symbols(prose(3, 3000).encode())]
-    got = tree.score(some, 3)
-    for t, s in zip(some, got):
-        state, total = 0, 0.0
-        for b in b"\n\n\n":
-            state = tree.next[state, b]
-        for b in t:
-            total += float(tree.logp[state, b])
-            state = tree.next[state, b]
-        assert s == pytest.approx(total, rel=1e-5)
-
-
-def test_automaton_states_are_longest_suffixes():
-    contexts = [(0, 0), (1, 97), (1, 98), (2, 97 << 8 | 98), (2, 98 << 8 | 97)]
-    tree = lm.build({c: {97: 1} for c in contexts})
-    order = sorted(contexts)
-    history, state = b"", 0
-    for b in b"abbaabcab":
-        history, state = history + bytes([b]), tree.next[state, b]
-        want = max(k for k, code in order if k <= len(history) and int.from_bytes(history[len(history) - k:], "big") == code)
-        assert order[state][0] == want
-
-
 def test_tree_learns(spark):
     d = spark.createDataFrame([(i, "abcabcabc " * 20) for i in range(50)], "doc_id long, text string")
     got = {r["doc_id"]: r for r in lm.score(d, lm.held_out()).collect()}

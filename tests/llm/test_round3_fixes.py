@@ -90,7 +90,7 @@ def log_probability(tree, t, depth):
     return total
 
 
-@pytest.mark.parametrize("block_bytes,depth", [(1 << 22, lm.DEPTH), (4_000, 3)])
+@pytest.mark.parametrize("block_bytes,depth", [(1 << 22, lm.DEPTH), (4_000, 3), (30_000, 7)])
 def test_scores_are_those_of_all_contexts_that_pass(spark, block_bytes, depth):
     rows = [(i, prose(i, 60)) for i in range(60)] + [(100, None), (101, ""), (102, "é ÿ zz"), (3, prose(3, 60)), (None, prose(9, 50))]
     d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
