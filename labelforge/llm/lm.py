@@ -84,15 +84,27 @@ def _codes(flat: np.ndarray, depth: int) -> np.ndarray:
     return code
 
 
+def _runs(code: np.ndarray) -> np.ndarray:
+    """Where the runs of equal numbers in ``code``, which is in order, start."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(code)), bool), code[1:] != code[:-1]]))
+
+
 def _distinct(texts: list[bytes], depth: int, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A block's distinct strings, in order, and their numbers in its texts marked ``train``."""
-    codes, counts = [np.empty(0, np.uint64)], [np.empty(0)]
+    codes, counts = [np.empty(0, np.uint64)], [np.empty(0, np.uint64)]
     for flat, at, whose in _slices(texts, depth):
-        where, found = pd.factorize(_codes(flat, depth)[at - depth])
-        codes.append(found)
-        counts.append(np.bincount(where, train[whose], len(found)))
-    every, at = np.unique(np.concatenate(codes), return_inverse=True)
-    return every, np.bincount(at, np.concatenate(counts), len(every)).astype(np.uint64)
+        code, learn = _codes(flat, depth)[at - depth], train[whose]
+        for part, counted in ((code[learn], 1), (code[~learn], 0)):
+            part.sort()
+            starts = _runs(part)
+            codes.append(part[starts])
+            counts.append(np.diff(starts, append=len(part)).astype(np.uint64) * np.uint64(counted))
+    every, n = np.concatenate(codes), np.concatenate(counts)
+    del codes, counts
+    order = np.argsort(every, kind="stable")  # merges the slices, each in order
+    every, n = every[order], n[order]
+    starts = _runs(every)
+    return every[starts], np.add.reduceat(n, starts) if len(n) else n
 
 
 def _bucket(code: np.ndarray, buckets: int) -> np.ndarray:
@@ -259,13 +271,22 @@ def _read(buckets: int, depth: int):
             c = np.fromiter(map(per.__getitem__, ws), np.float64, len(ws))
             sizes[i], known[i], base[i] = len(ws), np.count_nonzero(c), np.log10(c + 1).sum()
         del distinct, per
-        total = np.zeros(len(text))
-        grams, _ = _distinct(text, depth, np.zeros(len(text), bool))
-        logp = np.empty(len(grams), np.float32)
-        logp[np.argsort(_bucket(grams, buckets), kind="stable")] = np.concatenate([_unpack(r[2], np.float32) for r in rows])
+        codes, places = [np.empty(0, np.uint64)], []
         for flat, at, whose in _slices(text, depth):
             where, found = pd.factorize(_codes(flat, depth)[at - depth])
-            total += np.bincount(whose, logp[np.searchsorted(grams, found)].astype(float)[where], len(text))
+            codes.append(found)
+            ends = np.append(np.flatnonzero(np.diff(whose)) + 1, len(whose))
+            places.append((where.astype(np.uint32), whose[ends - 1], np.diff(ends, prepend=0), len(found)))
+        grams, at = np.unique(np.concatenate(codes), return_inverse=True)
+        del codes
+        logp = np.empty(len(grams), np.float32)
+        logp[np.argsort(_bucket(grams, buckets), kind="stable")] = np.concatenate([_unpack(r[2], np.float32) for r in rows])
+        of_slices = logp[at].astype(float)
+        del grams, at, logp
+        total, done = np.zeros(len(text)), 0
+        for where, whose, sizes_there, n_found in places:
+            total += np.bincount(np.repeat(whose, sizes_there), of_slices[done:done + n_found][where], len(text))
+            done += n_found
         rest = [0] * (len(text) - 1)
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out"),
                          "words": pa.array(sizes, pa.int64()), "known": pa.array(known),
