@@ -11,6 +11,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 
@@ -22,6 +24,11 @@ from pyspark.sql import types as T
 from labelforge.operators.prepare import length_grouped, padded_runs
 from labelforge.schema import LABELS
 
+#: Bytes that a Python worker gets at a time, at most (a longer row comes alone).
+BATCH_BYTES = "4m"
+#: Batches after which a worker gives back what it no longer holds.
+RELEASE_EVERY = 8
+
 ScorerFactory = Callable[[], Callable[[pd.Series], pd.Series]]
 
 _WORKER_CACHE: dict[str, Callable[[pd.Series], pd.Series]] = {}
@@ -36,13 +43,23 @@ def _scorer(token: str, factory: ScorerFactory):
     return _WORKER_CACHE[token]
 
 
+def _release() -> None:
+    """Gives the memory of batches that are done back to the system; left alone, a
+    worker keeps as much as its whole task has read."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt", out: str = "response",
                     keys: Sequence[str] | None = None, group_by_length: bool = True,
                     materialize: bool = True, partitions: int | None = None, max_padded: int | None = None) -> DataFrame:
     """``out`` = scorer(prompt), batch by batch.
 
-    Only ``keys`` + the prompt cross into Python (Arrow batches of
-    ``spark.sql.execution.arrow.maxRecordsPerBatch`` rows) and only ``keys`` +
+    Only ``keys`` + the prompt cross into Python (Arrow batches of ``BATCH_BYTES``,
+    however many and however long the prompts are) and only ``keys`` +
     the response come back; rows are sorted by length inside each partition
     first (P11), without a shuffle. With ``keys=None`` every input column is
     kept. The responses are written once to the shared checkpoint folder and that
@@ -53,6 +70,7 @@ def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt
     gets at a time by its padded size (longest prompt x rows, in characters;
     :func:`labelforge.operators.prepare.padded_runs`); a longer prompt comes
     alone."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     token = uuid.uuid4().hex
     keep = list(keys) if keys is not None else [c for c in df.columns if c != prompt]
     src = df.select(*keep, prompt)
@@ -66,12 +84,16 @@ def batch_inference(df: DataFrame, factory: ScorerFactory, prompt: str = "prompt
         keep = keep + [prompt]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _scorer(token, factory)
+        fn, done = _scorer(token, factory), 0
         for pdf in batches if max_padded is None else _padded(batches, prompt, max_padded):
             res = pd.Series(fn(pdf[prompt]), index=pdf.index).astype(object)
             part = pdf[keep].copy()
             part[out] = res
             yield part
+            del pdf, part, res
+            done += 1
+            if done % RELEASE_EVERY == 0:
+                _release()
 
     result = src.mapInPandas(run, schema)
     if materialize:
